@@ -53,6 +53,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import language_id
+
+    return language_id(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann import search
 
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": op5_url_filter,
     "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
+    "op8_language_id": op8_language_id,
     "op9_ann": op9_ann,
 }
 
