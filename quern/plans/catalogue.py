@@ -1 +1,596 @@
-QUERIES: dict = {}
+"""The registered queries over the test tables; :mod:`quern.plans.oracles` states each in SQL."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quern.functions import text as tx
+from quern.operators import bloom, caches, chunking, dictionary, fusion, graph, hybrid, intent, knn, lexical
+from quern.plans.answer import answer
+from quern.settings import DEFAULTS, Settings
+from quern.sources.store import collection_stats, upserted
+from quern.sources.tables import checkpoint_folder, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+#: Queries of batched searches: every row whose id is divisible by this.
+EACH = 50
+#: The test texts are invented prose; these of its words and stems stand beside the domain's keywords.
+COMMON = ("the", "and", "der", "que", "les", "th", "un", "est", "state", "rot", "con")
+FIXTURE_DISEASE, FIXTURE_SCHEME = ("the", "les", "der", "erst", "treatment"), ("and", "que", "und", "pour", "state")
+TTL = 86_400
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def vectors(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+
+
+def one_query(spark, sf):
+    """The vector 0 asks."""
+    return vectors(spark, sf).where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+
+
+def many_queries(spark, sf):
+    return vectors(spark, sf).where(F.col("vec_id") % EACH == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+
+
+def corpus(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content"), "source", (F.col("doc_id") % 10).cast("int").alias("page"))
+    kind = F.when(F.col("label") % 2 == 0, "disease").otherwise("scheme")
+    return vectors(spark, sf).join(docs, "vec_id").withColumn("collection", kind)
+
+
+def asked(spark, sf):
+    """Every fiftieth document asks with its vector and its whole text."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("question"))
+    return many_queries(spark, sf).join(docs, "query_id")
+
+
+def contents(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.col("text").alias("content"))
+
+
+def benchmark_questions(spark, sf):
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+
+
+# --- nearest neighbours -------------------------------------------------------------------------------------------
+
+
+@query
+def knn_l2(spark, sf):
+    return knn.nearest(vectors(spark, sf).drop("label"), one_query(spark, sf)).select("vec_id", "distance", "rank")
+
+
+@query
+def knn_cosine(spark, sf):
+    return knn.nearest(vectors(spark, sf).drop("label"), one_query(spark, sf), metric="cosine").select("vec_id", "distance", "score", "rank")
+
+
+@query
+def knn_ip(spark, sf):
+    return knn.nearest(vectors(spark, sf).drop("label"), one_query(spark, sf), metric="ip").select("vec_id", "distance", "rank")
+
+
+@query
+def knn_filtered(spark, sf):
+    return knn.nearest(vectors(spark, sf), one_query(spark, sf), where=F.col("label") == 3).select("vec_id", "label", "distance", "rank")
+
+
+@query
+def knn_threshold(spark, sf):
+    return knn.over_threshold(knn.nearest(vectors(spark, sf).drop("label"), one_query(spark, sf), 20, "cosine")).select("vec_id", "score", "rank")
+
+
+@query
+def knn_batch_rownum(spark, sf):
+    return knn.nearest(vectors(spark, sf).drop("label"), many_queries(spark, sf)).select("query_id", "vec_id", "distance", "rank")
+
+
+@query
+def knn_per_collection(spark, sf):
+    kinds = vectors(spark, sf).withColumn("collection", F.when(F.col("label") % 2 == 0, "diseases").otherwise("schemes")).drop("label")
+    return knn.nearest(kinds, one_query(spark, sf), within=["collection"]).select("collection", "vec_id", "distance", "rank")
+
+
+@query
+def mmr(spark, sf):
+    return knn.max_marginal_relevance(vectors(spark, sf).drop("label"), many_queries(spark, sf))
+
+
+# --- lexical scores -----------------------------------------------------------------------------------------------
+
+
+@query
+def bm25_fit_df(spark, sf):
+    return lexical.document_frequency(contents(spark, sf))
+
+
+@query
+def bm25_idf(spark, sf):
+    docs = contents(spark, sf)
+    total = docs.agg(F.count(F.lit(1)).alias("n"))
+    return lexical.document_frequency(docs).join(F.broadcast(total), F.lit(True)).select("term", F.round(lexical.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+
+
+@query
+def bm25_topk_corpus(spark, sf):
+    return lexical.bm25_corpus(contents(spark, sf), benchmark_questions(spark, sf)).select("query_id", "doc", "score", "rank")
+
+
+@query
+def bm25_candidates(spark, sf):
+    found = hybrid.candidates(corpus(spark, sf), asked(spark, sf), 15)
+    return lexical.bm25_candidates(found, asked(spark, sf)).select("query_id", "doc", F.round("bm25", 6).alias("bm25"))
+
+
+@query
+def tfidf_topk(spark, sf):
+    return hybrid.tfidf_search(corpus(spark, sf), asked(spark, sf))
+
+
+# --- hybrid search ------------------------------------------------------------------------------------------------
+
+
+@query
+def hybrid_search(spark, sf):
+    question = one_query(spark, sf).withColumn("question", F.lit("the state of the water and light"))
+    return hybrid.hybrid_search(corpus(spark, sf), question).select("doc", "score", "rank")
+
+
+@query
+def hybrid_batch(spark, sf):
+    return hybrid.hybrid_search(corpus(spark, sf), asked(spark, sf)).select("query_id", "doc", "score", "rank")
+
+
+@query
+def smart_search_nohybrid(spark, sf):
+    return hybrid.smart_search(corpus(spark, sf), asked(spark, sf), settings=Settings(enable_hybrid=False)).select("query_id", "doc", "distance", "score", "rank")
+
+
+# --- fusion and reranking -----------------------------------------------------------------------------------------
+
+
+def ranked_lists(spark, sf):
+    """query_id, question, collection, rank, content, source, page, score: 5 of each collection a query."""
+    found = knn.nearest(corpus(spark, sf), many_queries(spark, sf), within=["collection"])
+    return found.join(asked(spark, sf).select("query_id", "question"), "query_id")
+
+
+@query
+def rrf_parity(spark, sf):
+    out = fusion.reciprocal_rank_fusion(ranked_lists(spark, sf))
+    return out.select("query_id", "collection", "page", F.md5("content").alias("content_md5"), "rrf_score", "rrf_rank")
+
+
+@query
+def rrf_fuse(spark, sf):
+    out = fusion.reciprocal_rank_fusion(ranked_lists(spark, sf), top=8, merge_across=True)
+    return out.select("query_id", "collection", "page", F.md5("content").alias("content_md5"), "rrf_score", "rrf_rank")
+
+
+def reranked(spark, sf, top=10):
+    lists = ranked_lists(spark, sf).withColumn("ord", F.row_number().over(Window.partitionBy("query_id").orderBy("collection", "rank")))
+    return lists, fusion.rerank(lists, top, "ord", disease=FIXTURE_DISEASE, scheme=FIXTURE_SCHEME)
+
+
+@query
+def rerank_score(spark, sf):
+    return reranked(spark, sf)[1].select("query_id", "vec_id", "rerank_score", "rerank_rank")
+
+
+@query
+def rerank_threshold(spark, sf):
+    return fusion.over_threshold(reranked(spark, sf, 4)[1], 0.3).select("query_id", "vec_id", "score", "rerank_score")
+
+
+@query
+def rerank_fallback(spark, sf):
+    lists, best = reranked(spark, sf, 4)
+    kept = fusion.over_threshold(best, 0.55)
+    return fusion.with_fallback(kept, lists, ["ord"]).select("query_id", "vec_id", "edge_case", "final_rank")
+
+
+# --- deduplication ------------------------------------------------------------------------------------------------
+
+
+def dedup_rows(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"), "source", (F.col("doc_id") % 10).cast("int").alias("page"))
+
+
+@query
+def prefix_dedup_100(spark, sf):
+    return fusion.dedup_prefix(dedup_rows(spark, sf), ["doc_id"]).select("doc_id")
+
+
+@query
+def docid_dedup_200(spark, sf):
+    key = tx.document_key(F.col("content"), F.col("source"), F.col("page"))
+    return fusion.dedup_documents(dedup_rows(spark, sf), ["doc_id"]).select("doc_id", key.alias("doc_key"))
+
+
+@query
+def dedup_batch(spark, sf):
+    rows = dedup_rows(spark, sf).withColumns({"source": F.lit(None).cast("string"), "batch": F.col("doc_id") % 7})
+    return fusion.dedup_documents(rows, ["doc_id"], ["batch"]).select("batch", "doc_id")
+
+
+@query
+def cross_collection_dedup(spark, sf):
+    """Documents of both collections share one filter, disease ones first; page is left out of the key."""
+    rows = dedup_rows(spark, sf).withColumns({"collection": F.when(F.col("doc_id") % 2 == 0, "disease").otherwise("scheme"), "page": F.lit(None).cast("int")})
+    return fusion.dedup_documents(rows, ["collection", "doc_id"]).select("collection", "doc_id")
+
+
+# --- text functions -----------------------------------------------------------------------------------------------
+
+
+@query
+def clean_text(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", tx.clean_text(F.col("text")).alias("cleaned"))
+
+
+@query
+def preprocess_text(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", F.regexp_replace("html", "<[^>]*>", "\n\n\n 7 \n").alias("raw"))
+    return pages.select("page_id", tx.preprocess_text(F.col("raw")).alias("cleaned"))
+
+
+@query
+def truncate_text(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", tx.truncate_text(F.col("text"), 200).alias("short"))
+
+
+@query
+def extract_keywords(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.array_join(tx.extract_keywords(F.col("text")), " ").alias("keywords"))
+
+
+@query
+def cache_key(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", tx.cache_key(F.col("text")).alias("cache_key"))
+
+
+@query
+def query_hash(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", tx.query_hash(F.col("text")).alias("query_hash"))
+
+
+@query
+def token_counts(spark, sf):
+    words = tx.tokens(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", F.size(words).alias("n_tokens"), F.size(F.array_distinct(words)).alias("n_distinct"))
+
+
+# --- dictionaries -------------------------------------------------------------------------------------------------
+
+
+def listed(column):
+    return F.array_join(F.array_sort(column), ",")
+
+
+@query
+def kw_exact(spark, sf):
+    words = dictionary.DISEASE_KEYWORDS + dictionary.SCHEME_KEYWORDS + COMMON
+    return table(spark, sf, "documents").select("doc_id", listed(dictionary.exact_matches(F.col("text"), words)).alias("matches"))
+
+
+@query
+def kw_prefix(spark, sf):
+    docs = table(spark, sf, "documents")
+    return docs.select("doc_id", listed(dictionary.prefix_matches(F.col("text"), dictionary.DISEASE_KEYWORDS + COMMON)).alias("matches"))
+
+
+@query
+def kw_all(spark, sf):
+    """Prefix matches by category, as rows: the join form for large dictionaries."""
+    lists = {"disease": dictionary.DISEASE_KEYWORDS + ("the", "les"), "scheme": dictionary.SCHEME_KEYWORDS + ("and", "que")}
+    return dictionary.prefix_matches_joined(contents(spark, sf), dictionary.keyword_table(spark, lists))
+
+
+@query
+def kw_overlap(spark, sf):
+    """Words of a benchmark item that are keywords and words of the document of the same number."""
+    pairs = benchmark_questions(spark, sf).join(contents(spark, sf), F.col("query_id") == F.col("doc"))
+    q, c = tx.distinct_tokens(F.col("question")), tx.distinct_tokens(F.col("content"))
+    both = dictionary.keyword_overlap(q, c, FIXTURE_DISEASE) + dictionary.keyword_overlap(q, c, FIXTURE_SCHEME)
+    return pairs.select("query_id", dictionary.keyword_overlap(q, c, FIXTURE_DISEASE).alias("disease"), both.alias("both_lists"))
+
+
+@query
+def kw_starts_with(spark, sf):
+    return dictionary.starts_with(dictionary.keyword_table(spark), "CIT").select("category", "keyword")
+
+
+@query
+def kw_count(spark, sf):
+    return dictionary.keyword_table(spark).groupBy("category").agg(F.count_distinct("keyword").alias("n_words"))
+
+
+@query
+def kw_phrase(spark, sf):
+    words = ("the and", "of the", "mit license", "root rot")
+    return table(spark, sf, "documents").select("doc_id", listed(dictionary.phrase_matches(F.col("text"), words)).alias("matches"))
+
+
+# --- graph --------------------------------------------------------------------------------------------------------
+
+
+def every_start(nodes):
+    return nodes.select(F.col("id").alias("start"))
+
+
+@query
+def kg_stats(spark, sf):
+    return graph.graph_stats(*graph.domain_graph(spark))
+
+
+@query
+def kg_nodes_by_type(spark, sf):
+    return graph.domain_graph(spark)[0].where("node_type = 'disease'").select("id", "name", F.element_at("metadata", "severity").alias("severity"))
+
+
+@query
+def kg_neighbors(spark, sf):
+    return graph.neighbors(graph.domain_graph(spark)[1], "hlb")
+
+
+@query
+def kg_incoming(spark, sf):
+    return graph.incoming(graph.domain_graph(spark)[1], "hlb")
+
+
+@query
+def kg_bfs(spark, sf):
+    nodes, edges = graph.domain_graph(spark)
+    return graph.bfs(nodes, edges, every_start(nodes), 4).select("start", "id", "depth", F.array_join("path", ">").alias("path"))
+
+
+@query
+def kg_bfs_relation(spark, sf):
+    nodes, edges = graph.domain_graph(spark)
+    return graph.bfs(nodes, edges, every_start(nodes), 3, ["causes", "treats"]).select("start", "id", "depth", F.array_join("path", ">").alias("path"))
+
+
+@query
+def kg_multi_hop(spark, sf):
+    nodes, edges = graph.domain_graph(spark)
+    found = graph.multi_hop(nodes, edges, every_start(nodes), ["disease", "symptom"], 3)
+    return found.select("start", "id", "name", "type", "hops", F.array_join("path", ">").alias("path"))
+
+
+@query
+def kg_schemes(spark, sf):
+    nodes, edges = graph.domain_graph(spark)
+    return graph.schemes_for(nodes, edges, nodes).select("id", "scheme", "scheme_name", "scheme_type", F.array_join("path", ">").alias("path"))
+
+
+@query
+def kg_treatments_both_ways(spark, sf):
+    nodes, edges = graph.domain_graph(spark)
+    return graph.treatments_for_symptom(nodes, edges, nodes.where("node_type = 'symptom'").select(F.col("id").alias("start")), "both").select("start", "id", "hops")
+
+
+@query
+def kg_disease_context(spark, sf):
+    nodes, edges = graph.domain_graph(spark)
+    return graph.disease_context(nodes, edges, nodes.where("node_type = 'disease'").select(F.col("id").alias("start")))
+
+
+@query
+def kg_shortest_path(spark, sf):
+    nodes, edges = graph.domain_graph(spark)
+    return graph.shortest_paths(nodes, edges, every_start(nodes)).select("start", "id", F.round("cost", 6).alias("cost"))
+
+
+@query
+def kg_dijkstra(spark, sf):
+    nodes, edges = graph.domain_graph(spark)
+    return graph.dijkstra(nodes, edges, every_start(nodes)).select("start", "id", F.round("cost", 6).alias("cost"))
+
+
+@query
+def kg_dfs(spark, sf):
+    nodes, edges = graph.domain_graph(spark)
+    return graph.dfs(nodes, edges, every_start(nodes)).select("start", "ord", "id", "depth", F.array_join("path", ">").alias("path"))
+
+
+@query
+def kg_enrich(spark, sf):
+    nodes, edges = graph.domain_graph(spark)
+    rows = [(1, "how to treat canker and hlb", "disease"), (2, "subsidy for root rot", "hybrid"), (3, "scheme for Tristeza", "scheme"), (4, "canker?", "disease"), (5, "psyllid aphid", "hybrid")]
+    return graph.enrich(spark.createDataFrame(rows, "query_id long, question string, intent string"), nodes, edges)
+
+
+@query
+def nation_bfs(spark, sf):
+    """A graph from tables: customers and suppliers at their nations, nations at their regions; who is within two edges of a region."""
+    c, s, n, r = (table(spark, sf, t) for t in ("customer", "supplier", "nation", "region"))
+    name = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
+    nodes = (
+        c.select(name("c", "c_custkey").alias("id")).union(s.select(name("s", "s_suppkey"))).union(n.select(name("n", "n_nationkey"))).union(r.select(name("r", "r_regionkey")))
+    )
+    edges = (
+        n.select(name("r", "n_regionkey").alias("src"), name("n", "n_nationkey").alias("dst"), F.col("n_nationkey").alias("seq"))
+        .union(c.select(name("n", "c_nationkey"), name("c", "c_custkey"), F.col("c_custkey").cast("int")))
+        .union(s.select(name("n", "s_nationkey"), name("s", "s_suppkey"), F.col("s_suppkey").cast("int")))
+    )
+    edges = edges.withColumns({"relation": F.lit("has"), "weight": F.lit(1.0)})
+    found = graph.bfs(nodes, edges, r.select(name("r", "r_regionkey").alias("start")), 2)
+    return found.groupBy("start", "depth", F.substring("id", 1, 1).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- intents ------------------------------------------------------------------------------------------------------
+
+SAMPLES = [
+    (1, "Hi"), (2, "How are you"), (3, "My lemon leaves have canker spots"), (4, "What subsidy is there for drip irrigation?"), (5, "Is there government help for treating HLB?"),
+    (6, "Tell me a joke"), (7, "thanks"), (8, "Goodbye"), (9, "what can you do"), (10, "who are you"), (11, "loan for treatment of disease"), (12, "Namaste"), (13, "kaise ho bhai"), (14, "please guide me to the scheme"),
+]
+LABELS = [
+    (1, "INTENT: disease\nCONFIDENCE: 0.9\nREASON: names a disease"), (2, "intent: SCHEME\nconfidence: 1.7\nreason: a: b"), (3, "INTENT: weather\nCONFIDENCE: high\nREASON:"),
+    (4, "no label"), (5, "INTENT: disease\nINTENT: hybrid\nCONFIDENCE: .4\nCONFIDENCE: -2"), (6, "  INTENT:greeting  \n\n CONFIDENCE: 7e-1 "),
+]
+
+
+def questions(spark, sf):
+    turns = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn") + 100).alias("query_id"), F.col("text").alias("question"))
+    return spark.createDataFrame(SAMPLES, "query_id long, question string").unionByName(turns)
+
+
+@query
+def intent_rules(spark, sf):
+    return questions(spark, sf).select("query_id", intent.rule_intent(F.col("question")).alias("intent"))
+
+
+@query
+def intent_route(spark, sf):
+    branch = intent.route(intent.rule_intent(F.col("question")))
+    return questions(spark, sf).select("query_id", branch.alias("branch"), F.array_join(intent.target_collections(branch), ",").alias("targets"))
+
+
+@query
+def greeting_cascade(spark, sf):
+    return questions(spark, sf).select("query_id", intent.greeting_key(F.col("question")).alias("reply_key"))
+
+
+@query
+def llm_label_parse(spark, sf):
+    parsed = intent.parse_label(F.col("raw"))
+    return spark.createDataFrame(LABELS, "id long, raw string").select("id", parsed["intent"].alias("intent"), parsed["confidence"].alias("confidence"), parsed["reason"].alias("reason"))
+
+
+@query
+def confidence_gate(spark, sf):
+    rows = spark.createDataFrame([(1, 0.3, 0), (2, 0.3, 2), (3, 0.4, 0), (4, 0.9, 4)], "id long, confidence double, n_docs long")
+    return rows.select("id", intent.gate(F.col("confidence"), F.col("n_docs")).alias("outcome"))
+
+
+# --- sketches -----------------------------------------------------------------------------------------------------
+
+BITS, HASHES = bloom.optimal_bits(5000, 0.001), bloom.optimal_hashes(bloom.optimal_bits(5000, 0.001), 5000)
+
+
+def keys(spark, sf):
+    rows = dedup_rows(spark, sf)
+    return rows.select("doc_id", tx.document_key(F.col("content"), F.col("source"), F.col("page")).alias("item"))
+
+
+@query
+def bloom_bits(spark, sf):
+    return bloom.filter_bits(keys(spark, sf), BITS, HASHES)
+
+
+@query
+def bloom_membership(spark, sf):
+    """Keys of the even documents are in; which keys of all documents may be?"""
+    every = keys(spark, sf)
+    inside = bloom.filter_bits(every.where("doc_id % 2 = 0"), BITS, HASHES)
+    return bloom.membership(every, inside, BITS, HASHES)
+
+
+@query
+def bloom_stats(spark, sf):
+    return bloom.stats(keys(spark, sf), 5000, 0.001)
+
+
+@query
+def scalable_bloom_assign(spark, sf):
+    """Documents arrive in order of doc_id, which counts from 0."""
+    rows = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") + 1).alias("ord"), F.lit("").alias("item"))
+    return bloom.scalable_assignment(rows, 100).groupBy("filter").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+# --- chunks, store, caches ----------------------------------------------------------------------------------------
+
+
+@query
+def window_chunks(spark, sf):
+    pieces = table(spark, sf, "documents").select("doc_id", F.posexplode(chunking.window_chunks(F.col("text"))).alias("chunk", "content"))
+    return pieces.select("doc_id", "chunk", F.length("content").alias("n_chars"), F.md5("content").alias("content_md5"))
+
+
+@query
+def recursive_chunks(spark, sf):
+    pieces = table(spark, sf, "documents").select("doc_id", F.posexplode(chunking.recursive_chunks(F.col("text"))).alias("chunk", "content"))
+    return pieces.select("doc_id", "chunk", F.length("content").alias("n_chars"), F.md5("content").alias("content_md5"))
+
+
+def chunk_rows(spark, sf):
+    pages = table(spark, sf, "documents").select(F.col("source").alias("source_file"), F.col("doc_id").cast("int").alias("page"), F.col("text").alias("content"))
+    kind = F.when(F.substring("source_file", 4, 10).cast("int") % 2 == 0, DEFAULTS.disease_collection).otherwise(DEFAULTS.scheme_collection)
+    return chunking.chunked_pages(pages, kind, clean=False, chunks=chunking.window_chunks)
+
+
+@query
+def chunk_ids(spark, sf):
+    return chunk_rows(spark, sf).select("chunk_id", "collection", "chunk_index")
+
+
+@query
+def collection_stats_query(spark, sf):
+    return collection_stats(chunk_rows(spark, sf), [DEFAULTS.disease_collection, DEFAULTS.scheme_collection, "absent"])
+
+
+@query
+def upsert_chunks(spark, sf):
+    """Chunks of even pages come anew: once as they are, once reversed with a later index, which stays."""
+    old = chunk_rows(spark, sf)
+    new = old.where("page % 2 = 0").withColumns({"content": F.reverse("content"), "chunk_index": F.col("chunk_index") + 1})
+    return upserted(old, old.where("page % 2 = 0").unionByName(new)).select("chunk_id", "chunk_index", F.md5("content").alias("content_md5"))
+
+
+@query
+def context_builder(spark, sf):
+    rows = ranked_lists(spark, sf).where("collection = 'disease'")
+    return chunking.contexts(rows).select("query_id", F.md5("context").alias("context_md5"), F.length("context").alias("n_chars"))
+
+
+@query
+def embed_cache_stats(spark, sf):
+    return caches.cache_stats(table(spark, sf, "conversations").select("text"))
+
+
+@query
+def ttl_cache_hits(spark, sf):
+    requests = table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    return caches.ttl_hits(requests, TTL).groupBy("key").agg(F.sum(F.col("hit").cast("long")).alias("hits"), F.sum((~F.col("hit")).cast("long")).alias("misses"))
+
+
+@query
+def stream_event_windows(spark, sf):
+    """The event table as a stream: hourly counts a type, drained to the end."""
+    from quern.streaming.requests import drain, read_events, windowed_counts
+
+    return drain(windowed_counts(read_events(spark, f"{sf}/events.parquet")), stream_folder(spark), "complete")
+
+
+def stream_folder(spark):
+    return f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+
+# --- the whole answer ---------------------------------------------------------------------------------------------
+
+
+def answer_questions(spark, sf):
+    """Benchmark items ask, each with the vector of its own number."""
+    vecs = vectors(spark, sf).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    return benchmark_questions(spark, sf).join(vecs, "query_id")
+
+
+def fixture_intent(question):
+    return intent.rule_intent(question, FIXTURE_DISEASE, FIXTURE_SCHEME)
+
+
+@query
+def answer_all(spark, sf):
+    out = answer(corpus(spark, sf), answer_questions(spark, sf), classifier=fixture_intent, disease=FIXTURE_DISEASE, scheme=FIXTURE_SCHEME)
+    return out.select("query_id", "success", "intent", "outcome", "n_sources", "sources", F.md5("answer").alias("answer_md5"))
