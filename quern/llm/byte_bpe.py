@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-A task takes its documents in blocks of some 16 MB. Each distinct piece (match of the split pattern) of a block stands
+A task takes its documents in blocks of some 8 MB. Each distinct piece (match of the split pattern) of a block stands
 once in one long array of byte tokens. An inverted index maps each mergeable pair, by the rank of the token it makes,
 to the positions where the pair starts; ranks are replayed in ascending order, each over all its positions at once,
 and only the pairs beside a merged position are looked up anew. Documents are then spelled with the finished pieces.
@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import pieces, runs
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Pieces that a worker process keeps from block to block.
-MAX_PIECES = 500_000
+MAX_PIECES = 250_000
 _NONE = np.int32(2**31 - 1)
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
