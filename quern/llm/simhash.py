@@ -25,9 +25,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import checkpointed, map_pieces, utf8
 
@@ -75,13 +74,14 @@ def fingerprint_column(text: pa.Array) -> pa.Array:
     return pa.array(np.array(prints, np.uint64).view(np.int64))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (64 bits, as a signed long) for every row."""
+def fingerprints(docs: DataFrame, key: Column | None = None) -> DataFrame:
+    """doc_id, key, fp (64 bits, as a signed long) for every row; ``key`` is any long of the row."""
 
     def step(piece: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([piece.column("doc_id"), fingerprint_column(piece.column("text"))], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("key"), fingerprint_column(piece.column("text"))], ["doc_id", "key", "fp"])
 
-    return map_pieces(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", step, "doc_id long, fp long")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.lit(0).cast("long") if key is None else key).alias("key"), "text")
+    return map_pieces(read, "text", step, "doc_id long, key long, fp long")
 
 
 def bit_planes(prints: np.ndarray) -> np.ndarray:
@@ -215,21 +215,21 @@ def classes(prints: DataFrame, most: int = MAX_GROUP) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, most: int = MAX_GROUP) -> DataFrame:
-    """``docs`` with one row of each component: that of its smallest doc_id (of equal ones, the first by text hash). All columns stay."""
+    """``docs`` with one row of each component: that of its smallest doc_id (of equal ones, the first by text hash). All columns stay.
+
+    What is kept is named by doc_id and text hash, so the texts' second pass stays in the JVM.
+    """
     names = docs.columns
-    mark = "kept_print"
+    mark = "kept_text"
     while mark in names:
         mark += "_"
-
-    def step(piece: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), fingerprint_column(piece.column("text"))], [*names, mark])
-
-    prints = checkpointed(fingerprints(docs))
+    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    prints = checkpointed(fingerprints(docs, key))
     by_root = prints.join(classes(prints, most), "fp").groupBy("root")
-    kept = by_root.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("k")).select("k.doc_id", "k.fp")
-    d = map_pieces(docs, "text", step, StructType([*docs.schema.fields, StructField(mark, LongType())])).alias("d")
-    same = (F.col(f"d.{mark}") == F.col("k.fp")) & F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))
-    rows = d.join(kept.alias("k"), same, "left_semi")
-    first = Window.partitionBy(mark, "doc_id").orderBy(F.xxhash64("text"), F.col("text"))
+    kept = by_root.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("k")).select("k.doc_id", "k.key")
+    d, k = docs.withColumn(mark, key).alias("d"), kept.alias("k")
+    same = (F.col(f"d.{mark}") == F.col("k.key")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id"))
+    rows = d.join(k, same, "left_semi")
+    first = Window.partitionBy(mark, "doc_id").orderBy("text")
     rank = f"{mark}_rank"
     return rows.withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).select(*names)
