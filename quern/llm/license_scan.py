@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import map_pieces, utf8
+from .common import checkpointed, map_pieces, utf8
 
 # The base phrases and their labels.
 BASE_PHRASES = {
@@ -169,7 +169,7 @@ def spans(hits: DataFrame, grams: DataFrame) -> DataFrame:
 def license_scan(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_spans."""
     key = ["doc_id", "text_key"]
-    raw = gram_hits(docs).groupBy(*key).agg(F.first("n_words").alias("n_words"), F.first("hits").alias("hits"), F.count(F.lit(1)).alias("copies"))
+    raw = checkpointed(gram_hits(docs).groupBy(*key).agg(F.first("n_words").alias("n_words"), F.first("hits").alias("hits"), F.count(F.lit(1)).alias("copies")))  # a row a text, read twice
     hits = raw.where(F.size("hits") > 0).select(*key, F.inline("hits"))
     found = spans(hits, template_grams(docs.sparkSession))
     base = F.col("base")
