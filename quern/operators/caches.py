@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from quern.functions.text import cache_key
 from quern.settings import DEFAULTS
@@ -43,23 +45,25 @@ def ttl_hits(requests: DataFrame, seconds: int = DEFAULTS.response_ttl_seconds)
     """``requests`` (key, ts) with hit: whether an entry younger than ``seconds`` was there; a hit does not prolong an entry.
 
     Whether a request misses depends on the miss before it, so a key's requests are gone through in order. A gap of ``seconds`` or more always
-    ends in a miss, so runs between such gaps are independent groups; a run is what one task holds.
+    ends in a miss, so runs between such gaps are independent and are dealt out apart, which spreads a hot key; rows stream past in order and only the last
+    entry's expiry is held.
     """
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    before = Window.partitionBy("key").orderBy("at")
-    ordered = requests.withColumn("at", micros)
-    ordered = ordered.withColumn("opens", F.coalesce((F.col("at") - F.lag("at").over(before) >= seconds * 1_000_000).cast("int"), F.lit(1)))
-    ordered = ordered.withColumn("run", F.sum("opens").over(before)).drop("opens")
-    schema = [f for f in ordered.schema.fields if f.name not in ("at", "run")]
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("at", kind="stable")
-        hits, until = [], None
-        for at in rows["at"]:
-            hits.append(until is not None and at < until)
-            if not hits[-1]:
-                until = at + seconds * 1_000_000
-        return rows.assign(hit=hits)[[f.name for f in schema] + ["hit"]]
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return ordered.groupBy("key", "run").applyInPandas(walk, f"{kinds}, hit boolean")
+    names = requests.columns
+    before = Window.partitionBy("key").orderBy("_at")
+    ordered = requests.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
+    opens = F.coalesce((F.col("_at") - F.lag("_at").over(before) >= seconds * 1_000_000).cast("int"), F.lit(1))
+    ordered = ordered.withColumn("_opens", opens).withColumn("_run", F.sum("_opens").over(before)).drop("_opens")
+    ordered = ordered.repartition("key", "_run").sortWithinPartitions("key", "_run", "_at")
+
+    def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, until = None, 0
+        for batch in batches:
+            hits = []
+            for key, run, at in zip(batch.column("key").to_pylist(), batch.column("_run").to_pylist(), batch.column("_at").to_pylist()):
+                hit = (key, run) == last and at < until
+                if not hit:
+                    last, until = (key, run), at + seconds * 1_000_000
+                hits.append(hit)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(hits, pa.bool_())], [*names, "hit"])
+
+    return ordered.mapInArrow(walk, StructType([*requests.schema.fields, StructField("hit", BooleanType())]))

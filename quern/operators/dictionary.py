@@ -37,13 +37,14 @@ def exact_matches(text: Column, keywords: tuple[str, ...]) -> Column:
 
 
 def prefix_matches(text: Column, keywords: tuple[str, ...]) -> Column:
-    """Keywords that some cleaned word of the text starts with.
+    """Keywords that some cleaned word of the text starts with; one of several words or with a hyphen never is.
 
-    Each word gives its prefixes of the keywords' lengths, which are intersected with the keywords: the work is words x lengths, not words x keywords.
+    The cleaned words are joined with a space before each, once a text, and searched for " keyword": a scan of bytes a keyword.
     """
-    lengths = F.array(*[F.lit(n) for n in sorted({len(k) for k in keywords})]) if keywords else F.array().cast("array<int>")
-    heads = F.transform(cleaned_words(text), lambda w: F.transform(lengths, lambda n: F.substring(w, F.lit(1), n)))
-    return F.array_intersect(keyword_array(keywords), F.flatten(heads))
+    single = tuple(k for k in keywords if k.isalnum())
+    spaced = F.concat(F.lit(" "), F.array_join(cleaned_words(text), " "))
+    found = F.transform(F.array(spaced), lambda s: F.filter(keyword_array(single), lambda k: F.contains(s, F.concat(F.lit(" "), k))))
+    return F.when(text.isNotNull(), F.flatten(found))
 
 
 def phrase_matches(text: Column, keywords: tuple[str, ...]) -> Column:

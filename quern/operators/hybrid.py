@@ -49,3 +49,8 @@ def tfidf_search(corpus: DataFrame, queries: DataFrame, k: int | None = None, me
     """query_id, doc, score, rank by TF-IDF over the min(5k, 50) nearest."""
     k = int(positive("k", k, DEFAULTS.top_k))
     return tfidf_candidates(candidates(corpus, queries, min(5 * k, 50), metric), queries, k)
+
+
+def retriever(corpus: DataFrame, k: int | None = None, metric: str = "l2sq"):
+    """A function of queries (query_id, query_vec) to their k nearest of ``corpus``."""
+    return lambda queries: nearest(corpus, queries, k, metric)

@@ -114,3 +114,30 @@ def tfidf_candidates(candidates: DataFrame, queries: DataFrame, k: int | None =
     every = candidates.select("query_id", "doc", "ord").join(scored, ["query_id", "doc"], "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), digits))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "ord")
     return every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "doc", "score", "rank")
+
+
+def tfidf_fit(docs: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS, max_features: int = MAX_FEATURES) -> tuple[DataFrame, DataFrame]:
+    """(terms: term, idf; weights: doc, term, w with vectors of length 1) of a whole corpus (doc, content).
+
+    The vocabulary is a top-k by total count, so it is bounded by ``max_features`` and broadcast.
+    """
+    tf = docs.select("doc", F.explode(tfidf_terms(F.col("content"), stop_words)).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+    total = docs.agg(F.count(F.lit(1)).alias("n"))
+    top = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).orderBy(F.desc("total"), "term").limit(max_features)
+    terms = top.join(F.broadcast(total), F.lit(True)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    raw = tf.join(F.broadcast(terms), "term").select("doc", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norms = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return terms, raw.join(norms, "doc").select("doc", "term", (F.col("w") / F.col("norm")).alias("w"))
+
+
+def tfidf_corpus(model: tuple[DataFrame, DataFrame], queries: DataFrame, k: int | None = None, stop_words: tuple[str, ...] = STOP_WORDS, digits: int = 6) -> DataFrame:
+    """query_id, doc, score, rank: the k best by cosine of those that share a term with the query."""
+    k = int(positive("k", k, DEFAULTS.top_k))
+    terms, weights = model
+    asked = queries.select("query_id", F.explode(tfidf_terms(F.col("question"), stop_words)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    asked = asked.join(terms, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("qw"))
+    norms = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_norm"))
+    dots = weights.join(small(asked), "term").groupBy("query_id", "doc").agg(F.sum(F.col("w") * F.col("qw")).alias("dot")).join(norms, "query_id")
+    scored = dots.select("query_id", "doc", F.round(F.col("dot") / F.col("q_norm"), digits).alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

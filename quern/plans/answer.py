@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import collected_context, context_block
+from quern.functions.text import collected_context, context_block, query_hash
 from quern.operators import fusion, intent
 from quern.operators.hybrid import smart_search
 from quern.settings import DEFAULTS, Settings
@@ -73,3 +73,19 @@ def answer(corpus: DataFrame, questions: DataFrame, settings: Settings = DEFAULT
     return rows.select(
         "query_id", F.lit(True).alias("success"), "intent", outcome.alias("outcome"), F.col("n").alias("n_sources"), F.coalesce("sources", F.lit("")).alias("sources"), said.alias("answer")
     )
+
+
+def answer_cached(corpus: DataFrame, questions: DataFrame, cache: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """(answers with was_cached, the grown cache) for a cache (query_hash, success, intent, outcome, n_sources, sources, answer); questions of one hash are answered once."""
+    hashed = questions.withColumn("query_hash", query_hash(F.col("question")))
+    columns = ["success", "intent", "outcome", "n_sources", "sources", "answer"]
+    once = hashed.join(cache.select("query_hash"), "query_hash", "left_anti")
+    once = once.withColumn("_at", F.row_number().over(Window.partitionBy("query_hash").orderBy("query_id"))).where("_at = 1")
+    fresh = answer(corpus, once.select("query_id", "query_vec", "question"), **options).join(once.select("query_id", "query_hash"), "query_id").select("query_hash", *columns)
+    known = settled(cache.select("query_hash", *columns, F.lit(True).alias("was_cached")).unionByName(fresh.withColumn("was_cached", F.lit(False))))
+    return hashed.select("query_id", "query_hash").join(known, "query_hash").drop("query_hash"), known.drop("was_cached")
+
+
+def as_json(answers: DataFrame) -> DataFrame:
+    """query_id, body: the response as JSON."""
+    return answers.select("query_id", F.to_json(F.struct("success", "intent", "answer")).alias("body"))

@@ -93,3 +93,12 @@ def search_lexical_index(index: tuple[DataFrame, DataFrame], queries: DataFrame,
     scored = scored.groupBy("query_id", "doc").agg(F.round(F.sum(F.col("qtf") * idf(F.col("n"), F.col("df")) * bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl"))), 6).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def save_tfidf(model: tuple[DataFrame, DataFrame], path: str) -> None:
+    model[0].write.mode("overwrite").parquet(f"{path}/terms")
+    model[1].write.mode("overwrite").parquet(f"{path}/weights")
+
+
+def load_tfidf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/weights")

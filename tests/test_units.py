@@ -104,6 +104,17 @@ def test_tfidf_terms(spark):
     assert one(spark.createDataFrame([("the",)], "t string").select(lexical.tfidf_terms(F.col("t")))) == []
 
 
+def test_saved_tfidf(spark, tmp_path):
+    docs = spark.createDataFrame([(0, "red fish swims"), (1, "blue fish fish"), (2, "one two red"), (3, "")], "doc long, content string")
+    asked = spark.createDataFrame([(1, "red fish"), (2, "nothing shared")], "query_id long, question string")
+    store.save_tfidf(lexical.tfidf_fit(docs), str(tmp_path / "model"))
+    got = lexical.tfidf_corpus(store.load_tfidf(spark, str(tmp_path / "model")), asked).collect()
+    assert [r.doc for r in sorted(got, key=lambda r: r["rank"])][0] == 0 and {r.query_id for r in got} == {1} and all(0 < r.score <= 1 for r in got)
+    candidates = docs.select(F.lit(1).cast("long").alias("query_id"), "doc", F.col("doc").alias("ord"), "content")
+    local = {r.doc: r.score for r in lexical.tfidf_candidates(candidates, asked.limit(1)).collect()}
+    assert {r.doc: r.score for r in got} == {d: x for d, x in local.items() if x}
+
+
 # --- fusion ---
 
 
@@ -357,3 +368,35 @@ def test_first_requests(spark, tmp_path):
     spark.createDataFrame(rows, "key string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
     got = rq.drain(rq.first_requests(rq.read_events(spark, str(tmp_path / "in")), ["key"]), str(tmp_path / "out"))
     assert sorted(r.key for r in got.collect()) == ["a", "b"]
+
+
+# --- jobs ---
+
+
+def test_ingest(spark, tmp_path):
+    from quern.plans.ingest import ingest
+
+    for kind in ("disease", "scheme"):
+        (tmp_path / kind).mkdir()
+        (tmp_path / kind / "book.txt").write_text("some words of a page. " * 200 + "\f" + "another page")
+    paths = {"disease": str(tmp_path / "disease"), "scheme": str(tmp_path / "scheme")}
+    split = lambda b: b.decode().split("\f")
+    first = {r.collection: r.n for r in ingest(spark, paths, str(tmp_path / "db"), split).collect()}
+    again = {r.collection: r.n for r in ingest(spark, {**paths, "scheme": None}, str(tmp_path / "db"), split).collect()}
+    assert first == again and all(n > 2 for n in first.values())
+    with pytest.raises(FileNotFoundError):
+        ingest(spark, {}, str(tmp_path / "db"), split)
+
+
+def test_answers_from_cache(spark):
+    from quern.plans import catalogue
+    from quern.plans.answer import answer_cached, as_json
+
+    sf = "/root/testdata/sf0.001"
+    asked = catalogue.answer_questions(spark, sf).limit(3)
+    asked = asked.unionByName(asked.withColumns({"query_id": F.col("query_id") + 1000, "question": F.concat(F.lit("  "), F.upper("question"))}))
+    empty = spark.createDataFrame([], "query_hash string, success boolean, intent string, outcome string, n_sources long, sources string, answer string")
+    rows, cache = answer_cached(catalogue.corpus(spark, sf), asked, empty, classifier=catalogue.fixture_intent)
+    assert rows.count() == 6 and cache.count() == 3 and rows.where("was_cached").count() == 0
+    rows, _ = answer_cached(catalogue.corpus(spark, sf), asked, cache, classifier=catalogue.fixture_intent)
+    assert rows.where("was_cached").count() == 6 and '"success":true' in as_json(rows).first().body
