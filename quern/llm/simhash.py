@@ -227,9 +227,11 @@ def deduplicated(docs: DataFrame, most: int = MAX_GROUP) -> DataFrame:
     prints = checkpointed(fingerprints(docs, key))
     by_root = prints.join(classes(prints, most), "fp").groupBy("root")
     kept = by_root.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("k")).select("k.doc_id", "k.key")
-    d, k = docs.withColumn(mark, key).alias("d"), kept.alias("k")
-    same = (F.col(f"d.{mark}") == F.col("k.key")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id"))
-    rows = d.join(k, same, "left_semi")
-    first = Window.partitionBy(mark, "doc_id").orderBy("text")
+    # Null ids made plain columns, so that the join and the ranking after it are dealt out by the same keys: texts move once.
+    by = [mark, f"{mark}_id", f"{mark}_none"]
+    plain = {by[1]: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), by[2]: F.col("doc_id").isNull()}
+    wanted = kept.select(F.col("key").alias(mark), *[c.alias(n) for n, c in plain.items()])
+    rows = docs.withColumns({mark: key, **plain}).join(wanted, by, "left_semi")
     rank = f"{mark}_rank"
+    first = Window.partitionBy(*by).orderBy("text")
     return rows.withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).select(*names)
