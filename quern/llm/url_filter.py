@@ -128,7 +128,9 @@ class Judge:
         self.margin = F.lit(2.0 * self.overall - 1.0)
         if 0 < k < n:
             ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(self.with_share(rows)).select("features", F.col("blocked").cast("double").alias("label"))
-            self.margin = tree_sum(GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, stepSize=0.3, seed=SEED).fit(ready.repartition(1).cache()))
+            ready = ready.repartition(1).cache()
+            self.margin = tree_sum(GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, stepSize=0.3, seed=SEED).fit(ready))
+            ready.unpersist()
 
     def with_share(self, rows: DataFrame) -> DataFrame:
         known = F.create_map(*[F.lit(x) for pair in self.shares.items() for x in pair]) if self.shares else F.create_map().cast("map<string,double>")
