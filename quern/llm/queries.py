@@ -84,5 +84,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 #: DuckDB SQL for the queries above that SQL can express on whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_decontamination": f"""WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS ws FROM benchmark), d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+      bi AS (SELECT item, ws, least(len(ws), 10) AS k, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS i FROM b WHERE len(ws) > 0),
+      win AS (SELECT DISTINCT item, k, array_to_string(ws[i : i + k - 1], ' ') AS w FROM bi), ks AS (SELECT DISTINCT k FROM win),
+      di AS (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, ks WHERE len(ws) >= k), dg AS (SELECT doc_id, k, i, array_to_string(ws[i : i + k - 1], ' ') AS w FROM di),
+      hit AS (SELECT doc_id, item, k, i FROM dg JOIN win USING (k, w)), wi AS (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS at FROM hit), n AS (SELECT doc_id, count(*) AS n_hit FROM wi GROUP BY doc_id),
+      it AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hit GROUP BY doc_id)
+      SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+      FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op10_suffix_dedup": """WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+      o AS (SELECT doc_id, hx, n, unnest(range(0, n - 99, 500)) AS o FROM h WHERE n >= 100), bx AS (SELECT doc_id, n, o, substr(hx, 2 * o + 1, 1198) AS bx FROM o),
+      p AS (SELECT doc_id, o, bx, unnest(range(least(500, n - 99 - o))) AS i FROM bx), w AS (SELECT doc_id, o + i AS p, row_number() OVER (PARTITION BY md5(substr(bx, 2 * i + 1, 200)) ORDER BY doc_id, o + i) AS r FROM p),
+      s AS (SELECT doc_id, p, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 100, true) AS opens FROM w WHERE r > 1), g AS (SELECT doc_id, p, sum(CAST(opens AS INT)) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM s),
+      runs AS (SELECT doc_id, g, min(p) AS a, max(p) + 100 AS b FROM g GROUP BY doc_id, g), m AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id),
+      e AS (SELECT doc_id, a, b FROM runs UNION ALL SELECT doc_id, n, n FROM h), k AS (SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 0) AS f FROM e),
+      kept AS (SELECT doc_id, string_agg(substr(hx, 2 * f + 1, 2 * (a - f)), '' ORDER BY a) AS kx FROM k JOIN h USING (doc_id) GROUP BY doc_id)
+      SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kx)) AS kept_sha256 FROM h JOIN kept USING (doc_id) LEFT JOIN m USING (doc_id)""",
+}
