@@ -15,8 +15,23 @@ MAX_BROADCAST_ROWS = 50_000
 PAGES = "source_file string, page int, content string"
 
 
+#: Tables of up to so many bytes may lie in too few pieces for the cores; a core gets this much at least.
+SPREAD_MOST, SPREAD_LEAST = 1 << 30, 1 << 19
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A scan that lies in fewer pieces than there are cores (one small file) dealt out evenly; any other as it is.
+
+    Only small tables are moved: a large one has pieces enough, and is never shuffled here.
+    """
+    plan = rows._jdf.queryExecution()
+    size, cores = int(str(plan.optimizedPlan().stats().sizeInBytes())), rows.sparkSession.sparkContext.defaultParallelism
+    wanted = min(cores, size // SPREAD_LEAST)
+    return rows.repartition(wanted) if size <= SPREAD_MOST and plan.toRdd().getNumPartitions() < wanted else rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def small(df: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
