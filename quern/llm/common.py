@@ -11,6 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.sources.tables import spread
+
 #: Bytes of text that one vectorised step works on; its temporary arrays take some 80 times as much.
 PIECE_BYTES = 1 << 20
 
@@ -36,7 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
