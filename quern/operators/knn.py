@@ -1,22 +1,29 @@
 """Exact nearest neighbours of a set of query vectors, and diversity-aware selection.
 
-Queries are compared with the corpus in blocks of bounded size, each broadcast to the corpus' own partitions. Each
-partition keeps its k best a query before anything is shuffled (window group limit), so what moves is
-queries x partitions x k rows, however large the corpus is.
+Queries are compared with the corpus in blocks of at most ``QUERY_BLOCK``, each broadcast as one matrix. A task multiplies slices of its part
+of the corpus with that matrix and holds only the k best a query (and ranking group), so what is sorted and shuffled
+is queries x tasks x k rows, however large the corpus is; a final row_number merges them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from quern.functions.vectors import distance
+from quern.functions.vectors import DISTANCES
 from quern.settings import DEFAULTS, positive
 
 QUERY_BLOCK = 2000
+#: Distances that a task computes at once, and candidates beyond k that it scores again one by one.
+CELLS, SLACK = 1 << 21, 4
 DIGITS = 6
 
 
@@ -24,27 +31,120 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int | None = None, metric:
     """query_id, the corpus' columns but ``embedding``, distance, score (1 - distance) and rank.
 
     ``corpus`` has ``vec_id`` and ``embedding``, ``queries`` has ``query_id`` and ``query_vec``. ``where`` filters before the k are taken; ``within`` names columns
-    that each have a ranking of their own (a collection). Ties, after rounding, go to the smaller vec_id.
+    that each have a ranking of their own (a collection). Ties, after rounding, go to the smaller vec_id. Vectors that are null, hold a null or
+    have another length than the queries' take no part.
     """
     k = int(positive("k", k, DEFAULTS.top_k))
+    if metric not in DISTANCES:
+        raise ValueError(f"metric must be one of {sorted(DISTANCES)}, not {metric!r}")
+    within = within or []
     corpus = corpus if where is None else corpus.where(where)
     kept = [c for c in corpus.columns if c != "embedding"]
-    vectors = corpus.withColumn("embedding", F.col("embedding").cast("array<double>"))
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    best = Window.partitionBy("query_id", *(within or [])).orderBy("distance", "vec_id")
+    vectors = corpus.withColumns({"vec_id": F.col("vec_id").cast("long"), "embedding": F.col("embedding").cast("array<double>")}).select(*kept, "embedding")
+    vectors = vectors.where(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull()))
+    asked = queries.select("query_id", F.col("query_vec").cast("array<double>").alias("query_vec"))
+    asked = asked.where(F.col("query_vec").isNotNull() & ~F.exists("query_vec", lambda x: x.isNull()))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    schema = StructType([queries.schema["query_id"], *[StructField(c, LongType()) if c == "vec_id" else vectors.schema[c] for c in kept], StructField("distance", DoubleType())])
+    best = Window.partitionBy("query_id", *within).orderBy("distance", "vec_id")
 
     def block(i: int) -> DataFrame:
-        asked = queries.select("query_id", F.col("query_vec").cast("array<double>").alias("query_vec"))
-        asked = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        near = F.round(distance(metric, F.col("query_vec"), F.col("embedding")), digits).alias("distance")
-        found = vectors.join(F.broadcast(asked), F.lit(True)).select("query_id", *kept, near)
+        here = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        found = vectors.mapInArrow(_block_best(vectors.sparkSession, here.toArrow(), kept, within, k, metric, digits), schema)
         return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
     found = reduce(DataFrame.unionByName, map(block, range(blocks)))
     return found.withColumn("score", F.round(F.lit(1.0) - F.col("distance"), digits))
 
 
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _distances(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """(queries, rows), by one matrix product."""
+    dots = q @ x.T
+    if metric == "l2sq":
+        return (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * dots
+    if metric == "cosine":
+        with np.errstate(divide="ignore", invalid="ignore"):
+            dots = dots / (np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None, :])
+        return 1 - np.where(np.isfinite(dots), dots, -np.inf)
+    return 1 - dots
+
+
+def _exact(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Of pairs of rows, summed in a fixed order."""
+    if metric == "l2sq":
+        return ((q - x) ** 2).sum(1)
+    dots = (q * x).sum(1)
+    if metric == "cosine":
+        with np.errstate(divide="ignore", invalid="ignore"):
+            dots = dots / (np.sqrt((q * q).sum(1)) * np.sqrt((x * x).sum(1)))
+    return 1 - dots
+
+
+def _block_best(spark, asked: pa.Table, kept: list[str], within: list[str], k: int, metric: str, digits: int):
+    """A function of Arrow batches to a task's best rows for one block of queries, by length of the query vectors."""
+    ids, vecs = asked.column("query_id").combine_chunks(), asked.column("query_vec").combine_chunks()
+    lengths = pc.list_value_length(vecs).to_numpy(zero_copy_only=False)
+    by_length = {int(n): (np.flatnonzero(lengths == n), _matrix(vecs.filter(pa.array(lengths == n)))) for n in np.unique(lengths)}
+    shared = spark.sparkContext.broadcast((ids, by_length))
+
+    def pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, row, distance) of what may be among a query's best in this batch."""
+        sizes = pc.list_value_length(batch.column("embedding")).to_numpy(zero_copy_only=False)
+        vec_id = batch.column("vec_id").to_numpy(zero_copy_only=False)
+        groups = np.zeros(batch.num_rows, np.int64)
+        for c in within:
+            codes = batch.column(c).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            groups = groups * (batch.num_rows + 2) + codes + 1
+        for length, (who, q) in shared.value[1].items():
+            for group in np.unique(groups):
+                rows = np.flatnonzero((sizes == length) & (groups == group))
+                step = max(1, CELLS // max(1, len(q)))
+                for start in range(0, len(rows), step):
+                    own = rows[start : start + step]
+                    x = _matrix(batch.column("embedding").take(pa.array(own)))
+                    near = _distances(metric, q, x)
+                    m = min(k + SLACK, len(own))
+                    pick = np.argpartition(near, m - 1, axis=1)[:, :m]
+                    edge = np.take_along_axis(near, pick, 1).max(axis=1)
+                    crowded = np.flatnonzero((near <= edge[:, None] + 10.0**-digits).sum(axis=1) > m)
+                    for r in crowded.tolist():  # ties at the edge, once rounded: the smaller ids
+                        pick[r] = np.lexsort((vec_id[own], np.round(near[r], digits)))[:m]
+                    row, col = np.repeat(np.arange(len(q)), m), pick.ravel()
+                    yield who[row], own[col], np.round(_exact(metric, q[row], x[col]), digits) + 0.0
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            for who, rows, near in pairs(batch):
+                some = np.isfinite(near)
+                who, rows, near = who[some], rows[some], near[some]
+                fresh = pa.table({**{f"c{i}": batch.column(c).take(pa.array(rows)) for i, c in enumerate(kept)}, "who": pa.array(who), "near": pa.array(near)})
+                held = fresh if held is None else pa.concat_tables([held, fresh])
+                held = best_of(held)
+        if held is not None and held.num_rows:
+            cols = [shared.value[0].take(held.column("who").combine_chunks()), *(held.column(f"c{i}").combine_chunks() for i in range(len(kept))), held.column("near").combine_chunks()]
+            yield pa.RecordBatch.from_arrays(cols, ["query_id", *kept, "distance"])
+
+    def best_of(held: pa.Table) -> pa.Table:
+        who, near = held.column("who").to_numpy(), held.column("near").to_numpy()
+        vec_id = held.column(f"c{kept.index('vec_id')}").to_numpy()
+        groups = np.zeros(held.num_rows, np.int64)
+        for c in within:
+            codes = held.column(f"c{kept.index(c)}").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            groups = groups * (held.num_rows + 2) + codes + 1
+        order = np.lexsort((vec_id, near, groups, who))
+        new = np.append(True, (who[order][1:] != who[order][:-1]) | (groups[order][1:] != groups[order][:-1])) if len(order) else np.zeros(0, bool)
+        place = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0)) if len(order) else order
+        return held.take(pa.array(order[place < k]))
+
+    return run
+
+
 def over_threshold(found: DataFrame, least: float | None = None) -> DataFrame:
     """Of ranked rows those of score ``least`` or more; a filter after the k were taken."""
     return found.where(F.col("score") >= (DEFAULTS.min_relevance if least is None else least))
@@ -59,8 +159,6 @@ def max_marginal_relevance(corpus: DataFrame, queries: DataFrame, k: int | None
     near = nearest(corpus.withColumn("vec", F.col("embedding")), queries, fetch_k, "l2sq").join(queries, "query_id").select("query_id", "vec_id", "rank", "vec", "query_vec")
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
         rows = rows.sort_values("rank")
         unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
         vectors = unit(np.stack(rows.vec.to_list()).astype(float))

@@ -68,6 +68,26 @@ def test_query_blocks_do_not_matter(spark, monkeypatch):
         knn.nearest(vectors, queries, 3, "angular")
 
 
+@pytest.mark.parametrize("metric", ["l2sq", "cosine", "ip"])
+def test_nearest_edges(spark, metric, monkeypatch):
+    monkeypatch.setattr(knn, "CELLS", 40)
+    rows = [(i, [1.0, float(i % 3)], "ab"[i % 2]) for i in range(60)] + [(100, None, "a"), (101, [None, 1.0], "a"), (102, [1.0], "b"), (103, [0.0, 0.0], None), (104, [], "a")]
+    corpus = spark.createDataFrame(rows, "vec_id long, embedding array<double>, kind string").repartition(3)
+    queries = spark.createDataFrame([(1, [1.0, 1.0]), (2, [2.0, 0.0]), (3, None), (4, [5.0])], "query_id long, query_vec array<double>")
+    length = lambda v: math.sqrt(sum(x * x for x in v))
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    far = {"l2sq": lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b)), "ip": lambda a, b: 1 - dot(a, b), "cosine": lambda a, b: 1 - dot(a, b) / length(a) / length(b) if length(b) else None}[metric]
+    for within in ([], ["kind"]):
+        got = sorted((r.query_id, str(r.kind) if within else "", r["rank"], r.vec_id, r.distance) for r in knn.nearest(corpus, queries, 7, metric, within).collect())
+        want = []
+        for q, v in [(1, [1.0, 1.0]), (2, [2.0, 0.0]), (4, [5.0])]:
+            for kind in ({str(k) for _, _, k in rows} if within else {""}):
+                near = sorted((round(far(v, e), 6), i) for i, e, k in rows if e and None not in e and len(e) == len(v) and far(v, e) is not None and kind in ("", str(k)))
+                want += [(q, kind, n + 1, i, d) for n, (d, i) in enumerate(near[:7])]
+        assert got == sorted(want)
+    assert knn.nearest(corpus, queries.limit(0), 3, metric).collect() == [] and knn.nearest(corpus.limit(0), queries, 3, metric).collect() == []
+
+
 def test_mmr_against_the_rule(spark):
     rng = random.Random(5)
     data = {i: [rng.gauss(0, 1) for _ in range(6)] for i in range(40)}
