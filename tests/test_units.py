@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quern.functions import text as tx
-from quern.operators import bloom, caches, chunking, dictionary, fusion, graph, intent, knn, lexical
+from quern.operators import bloom, caches, chunking, dictionary, fusion, graph, hybrid, intent, knn, lexical
 from quern.settings import Settings, positive
 from quern.sources import store, tables
 from quern.streaming import requests as rq
@@ -64,6 +64,7 @@ def test_query_blocks_do_not_matter(spark, monkeypatch):
     whole = rows()
     monkeypatch.setattr(knn, "QUERY_BLOCK", 120)
     assert rows() == whole and len(whole) == 1500
+    assert sorted(map(tuple, hybrid.retriever(vectors, 3)(queries).select("query_id", "vec_id", "rank").collect())) == whole
     with pytest.raises(ValueError):
         knn.nearest(vectors, queries, 3, "angular")
 
