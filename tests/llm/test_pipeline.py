@@ -60,3 +60,17 @@ def test_stages_return_documents(spark, docs):
     assert cp.STAGES[-1][1](spark, frame, SF).count() == frame.count()
     for _, stage in cp.STAGES:
         assert stage(spark, docs([]), SF).collect() == []
+
+
+def test_stages_keep_clashing_columns(spark, docs):
+    from pyspark.sql import functions as F
+
+    extra = {c: F.lit(c) for c in ("kept_text", "kept_text_id", "score", "fp", "key", "root", "label", "ids", "piece")}
+    frame = docs([(1, "plain words stand here as they are"), (2, "plain words stand here as they are"), (None, None), (3, 'token = "0123456789abcdef0123456789abcdef01234567"')]).withColumns(extra)
+    columns = frame.columns
+    for name, stage in cp.STAGES[:-1]:
+        frame = stage(spark, frame, SF)
+        assert frame.columns == columns, name
+        frame = spark.createDataFrame(frame.collect(), frame.schema)
+    rows = {r.doc_id: r for r in frame.collect()}
+    assert set(rows) == {1, None, 3} and "<SECRET>" in rows[3].text and all(r.score == "score" and r.fp == "fp" for r in rows.values())
