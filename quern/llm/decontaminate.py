@@ -2,7 +2,7 @@
 
 A window is 10 consecutive words of an item; an item of fewer words (not none) is one window of all of them. The
 windows' hashes are broadcast while there are at most ``MAX_BROADCAST_WINDOWS`` of them (16 MB of hashes and their words); beyond that
-the windows of documents are joined to those of items by a shuffle (:func:`joined_hits`), with the same rows.
+the windows of documents are joined to those of items by a shuffle (:func:`joined_hits`, :func:`joined_cuts`), with the same rows.
 
 Defined cases: null and empty texts have no words; an empty benchmark hits nothing; repeated rows come out as often as
 they go in; items that share words are each counted; other columns are ignored, whatever their names.
@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
@@ -166,29 +167,38 @@ def joined_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(who).cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort(who), ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def cut_once(found: tc.Words, data: np.ndarray, at: np.ndarray, length: np.ndarray) -> str:
+    """One text (and its words) without the words at these places, a line break instead of each span."""
+    hit = covered(len(found.starts), at, length)
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
+    parts, last = [], 0
+    for a, b in zip(edges[::2].tolist(), (edges[1::2] - 1).tolist()):
+        parts.append(data[last : found.starts[a]].tobytes())
+        last = int(found.ends[b])
+    parts.append(data[last:].tobytes())
+    return b"\n".join(parts).decode("utf-8", "replace")
+
+
+def words_of(text: str) -> tuple[np.ndarray, tc.Words]:
+    data = np.frombuffer(text.encode(), np.uint8)
+    return data, tc.words(data, np.array([0, len(data)]))
+
+
 def cut_words(text: str, windows: Windows) -> str:
     """The text without its hit words, a line break in their place; again until nothing is hit, as a cut joins what stood apart."""
     while True:
-        data = np.frombuffer(text.encode(), np.uint8)
-        found = tc.words(data, np.array([0, len(data)]))
+        data, found = words_of(text)
         at, length, _ = windows.hits(found)
         if not len(at):
             return text
-        hit = covered(len(found.starts), at, length)
-        edges = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
-        parts, last = [], 0
-        for a, b in zip(edges[::2].tolist(), (edges[1::2] - 1).tolist()):
-            parts.append(data[last : found.starts[a]].tobytes())
-            last = int(found.ends[b])
-        parts.append(data[last:].tobytes())
-        text = b"\n".join(parts).decode("utf-8", "replace")
+        text = cut_once(found, data, at, length)
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, most: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
     """``docs`` with hit spans removed and n_chars set anew; documents with no word left go. All columns stay."""
-    shared, many = bounded_windows(benchmark)
+    shared, many = bounded_windows(benchmark, most)
     if shared is None:
-        raise ValueError(f"the benchmark has over {MAX_BROADCAST_WINDOWS} windows: use contamination() and drop the documents it marks")
+        return joined_cuts(docs, many)
     names = docs.columns
 
     def step(piece: pa.RecordBatch) -> pa.RecordBatch:
@@ -199,8 +209,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         texts, keep = piece.column("text").to_pylist(), np.ones(piece.num_rows, bool)
         for d in np.unique(np.searchsorted(found.first, at, side="right") - 1).tolist():
             texts[d] = cut_words(texts[d], shared.value)
-            data = np.frombuffer(texts[d].encode(), np.uint8)
-            keep[d] = len(tc.words(data, np.array([0, len(data)])).starts) > 0
+            keep[d] = len(words_of(texts[d])[1].starts) > 0
         cols = [piece.column(c) for c in names]
         cols[names.index("text")] = pa.array(texts, piece.column("text").type)
         if "n_chars" in names:
@@ -209,3 +218,86 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays(cols, names).filter(pa.array(keep))
 
     return map_pieces(docs, "text", step, docs.schema)
+
+
+def joined_places(texts: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """(text_key, at: [(word, k)]) of the texts (text_key, text) that hold a window: hashes meet in a shuffle join, then the words."""
+
+    def step(piece: pa.RecordBatch) -> pa.RecordBatch:
+        found = tc.words(*utf8(piece.column("text")))
+        hashes, rows, ats, ks, grams = found.hashes(), [], [], [], []
+        for k in lengths:
+            own = tc.gram_hashes(hashes, k)
+            at = np.arange(len(own), dtype=np.int64)
+            at = at[tc.inside_one(found, at, k)] if len(at) else at
+            row = np.searchsorted(found.first, at, side="right") - 1
+            rows.append(row)
+            ats.append(at - found.first[row])
+            ks.append(np.full(len(at), k, np.int32))
+            grams.append(own[at].view(np.int64))
+        return pa.RecordBatch.from_arrays(
+            [piece.column("text_key").take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(ats)), pa.array(np.concatenate(ks)), pa.array(np.concatenate(grams))],
+            ["text_key", "at", "k", "gram"],
+        )
+
+    def window_hash(piece: pa.RecordBatch) -> pa.RecordBatch:
+        ks = piece.column("k").to_numpy(zero_copy_only=False)
+        texts, grams = piece.column("words").to_pylist(), np.zeros(piece.num_rows, np.uint64)
+        for k in np.unique(ks).tolist():
+            own = np.flatnonzero(ks == k)
+            grams[own] = hashes_of([texts[i] for i in own.tolist()], k)
+        return pa.RecordBatch.from_arrays([piece.column("k"), pa.array(grams.view(np.int64))], ["k", "gram"])
+
+    def spell(piece: pa.RecordBatch) -> pa.RecordBatch:
+        found = tc.words(*utf8(piece.column("text")))
+        out: list[list] = [[], [], [], []]
+        for d, (key, maybe) in enumerate(zip(piece.column("text_key").to_pylist(), piece.column("maybe").to_pylist())):
+            for x in maybe:
+                for c, v in zip(out, (key, x["at"], x["k"], found.text(int(found.first[d]) + x["at"], x["k"]))):
+                    c.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], ["text_key", "at", "k", "words"])
+
+    wanted = map_pieces(windows.select("k", "words").distinct(), "words", window_hash, "k int, gram long").distinct()
+    grams = map_pieces(texts, "text", step, "text_key string, at long, k int, gram long")
+    maybe = grams.join(wanted, ["k", "gram"], "left_semi").groupBy("text_key").agg(F.collect_list(F.struct("at", "k")).alias("maybe"))
+    spelt = map_pieces(texts.join(maybe, "text_key"), "text", spell, "text_key string, at long, k int, words binary")
+    return spelt.join(windows.select("k", "words").distinct(), ["k", "words"], "left_semi").groupBy("text_key").agg(F.collect_list(F.struct("at", "k")).alias("at"))
+
+
+def key_of(text: str) -> Column:
+    return F.sha2(F.col(text).cast("binary"), 256)
+
+
+def joined_cuts(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """What :func:`decontaminated` gives, where the windows are too many to broadcast.
+
+    Each distinct text is cut at its hit places; what was cut is looked up again until nothing is hit. ``text_key`` is that of the text as it came in.
+    """
+    lengths = sorted(r[0] for r in windows.select("k").distinct().limit(WINDOW + 1).collect())
+
+    def cut(piece: pa.RecordBatch) -> pa.RecordBatch:
+        texts = []
+        for text, places in zip(piece.column("text").to_pylist(), piece.column("at").to_pylist()):
+            data, found = words_of(text)
+            texts.append(cut_once(found, data, np.array([x["at"] for x in places], np.int64), np.array([x["k"] for x in places], np.int64)))
+        left = [len(words_of(t)[1].starts) > 0 for t in texts]
+        return pa.RecordBatch.from_arrays([piece.column("text_key"), pa.array(texts, pa.string()), pa.array(left)], ["text_key", "text", "left"])
+
+    now = docs.where(F.col("text").isNotNull()).select(key_of("text").alias("text_key"), F.col("text").cast("string").alias("text")).dropDuplicates(["text_key"])
+    rounds: list[DataFrame] = []
+    while True:
+        hit = now.select("text_key", "text").join(joined_places(now.select("text_key", "text"), windows, lengths), "text_key")
+        now = checkpointed(map_pieces(hit, "text", cut, "text_key string, text string, left boolean"))
+        if now.isEmpty():
+            break
+        rounds.append(now.withColumn("round", F.lit(len(rounds))))
+    if not rounds:
+        return docs
+    last = reduce(DataFrame.unionByName, rounds).groupBy("text_key").agg(F.max_by(F.struct("text", "left"), "round").alias("cut")).alias("cut")
+    both = docs.alias("docs").join(last, key_of("docs.text") == F.col("cut.text_key"), "left").where(F.coalesce(F.col("cut.cut.left"), F.lit(True)))
+    text = F.coalesce(F.col("cut.cut.text"), F.col("docs.text"))
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        n_chars = F.col("docs.n_chars")
+        new["n_chars"] = F.when(F.col("cut.cut.text").isNotNull() & n_chars.isNotNull(), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(n_chars)
+    return both.select(*(new[c].alias(c) if c in new else F.col(f"docs.`{c}`") for c in docs.columns))

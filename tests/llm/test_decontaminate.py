@@ -63,3 +63,15 @@ def test_stage_leaves_no_window(spark, docs):
     got = {r.doc_id: r for r in dc.decontaminated(docs([(1, nested), (2, "clean text"), (3, "short item"), (4, None)]), items).collect()}
     assert set(got) == {1, 2, 4} and got[2].text == "clean text" and got[4].text is None
     assert split(got[1].text) == ["clean", "words", "stay"] and got[1].n_chars == len(got[1].text)
+
+
+def test_stage_without_broadcast(spark, docs):
+    first = ITEMS[0][1].replace(" eleven", "")
+    nested = f"one two three four five {first} six seven eight nine ten. Clean words stay"
+    rows = [(1, nested), (1, nested), (2, "clean text"), (3, "short item"), (4, None), (None, f"Ä {first} ö short. item"), (5, ""), (6, "--"), (7, "short a a a item b")]
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    of = lambda most: sorted((tuple(r) for r in dc.decontaminated(docs(rows).withColumn("text_key", dc.F.lit("own")), items, most=most).collect()), key=repr)
+    assert of(2) == of(dc.MAX_BROADCAST_WINDOWS) and len(of(2)) == 8
+    table, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    a, b = (sorted(map(tuple, dc.decontaminated(table, bench, most=m).collect()), key=repr) for m in (2, dc.MAX_BROADCAST_WINDOWS))
+    assert a == b and a != sorted(map(tuple, table.collect()), key=repr)
