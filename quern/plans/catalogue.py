@@ -102,6 +102,32 @@ def knn_per_collection(spark, sf):
     return knn.nearest(kinds, one_query(spark, sf), within=["collection"]).select("collection", "vec_id", "distance", "rank")
 
 
+@query
+def knn_cosine_batch(spark, sf):
+    return knn.nearest(vectors(spark, sf).drop("label"), many_queries(spark, sf), metric="cosine").select("query_id", "vec_id", "distance", "score", "rank")
+
+
+@query
+def knn_ip_batch(spark, sf):
+    return knn.nearest(vectors(spark, sf).drop("label"), many_queries(spark, sf), metric="ip").select("query_id", "vec_id", "distance", "rank")
+
+
+@query
+def knn_filtered_batch(spark, sf):
+    return knn.nearest(vectors(spark, sf), many_queries(spark, sf), where=F.col("label") == 3).select("query_id", "vec_id", "label", "distance", "rank")
+
+
+@query
+def knn_threshold_batch(spark, sf):
+    return knn.over_threshold(knn.nearest(vectors(spark, sf).drop("label"), many_queries(spark, sf), 20, "cosine")).select("query_id", "vec_id", "score", "rank")
+
+
+@query
+def knn_per_collection_batch(spark, sf):
+    kinds = vectors(spark, sf).withColumn("collection", F.when(F.col("label") % 2 == 0, "diseases").otherwise("schemes")).drop("label")
+    return knn.nearest(kinds, many_queries(spark, sf), within=["collection"]).select("query_id", "collection", "vec_id", "distance", "rank")
+
+
 @query
 def mmr(spark, sf):
     return knn.max_marginal_relevance(vectors(spark, sf).drop("label"), many_queries(spark, sf))

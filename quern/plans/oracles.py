@@ -60,6 +60,11 @@ def one_knn(dist: str, k: int, more: str = "", cols: str = "vec_id, distance, ra
     r AS (SELECT *, round(1 - distance, 6) AS score, CAST(row_number() OVER ({part} ORDER BY distance, vec_id) AS INT) AS rank FROM d QUALIFY rank <= {k}) SELECT {cols} FROM r"""
 
 
+def many_knn(dist: str, k: int, more: str = "", cols: str = "vec_id, distance, rank", where: str = "true", part: str = "") -> str:
+    return f"""WITH {VEC}, q AS (SELECT vec_id AS query_id, v AS qv FROM vec WHERE vec_id % {EACH} = 0), d AS (SELECT query_id, vec.*, round({dist}, 6) + 0.0 AS distance {more} FROM vec, q WHERE {where}),
+    r AS (SELECT *, round(1 - distance, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id {part} ORDER BY distance, vec_id) AS INT) AS rank FROM d QUALIFY rank <= {k}) SELECT query_id, {cols} FROM r"""
+
+
 def candidates(n: int) -> str:
     return f"""cand AS (SELECT q.query_id, c.vec_id AS doc, c.content, c.source, c.page, round({l2("qv", "v")}, 12) AS distance,
       row_number() OVER (PARTITION BY q.query_id ORDER BY round({l2("qv", "v")}, 12), c.vec_id) AS ord FROM corpus c, q QUALIFY ord <= {n})"""
@@ -212,6 +217,11 @@ ORACLE_SQL: dict[str, str] = {
     "knn_batch_rownum": f"""WITH {VEC}, d AS (SELECT q.vec_id AS query_id, c.vec_id, round({l2("q.v", "c.v")}, 6) AS distance FROM vec c, vec q WHERE q.vec_id % {EACH} = 0)
         SELECT query_id, vec_id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INT) AS rank FROM d QUALIFY rank <= 5""",
     "knn_per_collection": one_knn(l2("qv", "v"), 5, ", CASE WHEN label % 2 = 0 THEN 'diseases' ELSE 'schemes' END AS collection", "collection, vec_id, distance, rank", part="PARTITION BY collection"),
+    "knn_cosine_batch": many_knn(f"1 - {cos('qv', 'v')}", 5, cols="vec_id, distance, score, rank"),
+    "knn_ip_batch": many_knn(f"1 - {ip('qv', 'v')}", 5),
+    "knn_filtered_batch": many_knn(l2("qv", "v"), 5, where="label = 3", cols="vec_id, label, distance, rank"),
+    "knn_threshold_batch": many_knn(f"1 - {cos('qv', 'v')}", 20, cols="vec_id, score, rank") + " WHERE score >= 0.25",
+    "knn_per_collection_batch": many_knn(l2("qv", "v"), 5, ", CASE WHEN label % 2 = 0 THEN 'diseases' ELSE 'schemes' END AS collection", "collection, vec_id, distance, rank", part=", collection"),
     "bm25_fit_df": f"SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct({tok('text')})) AS term FROM documents) GROUP BY term",
     "bm25_idf": f"WITH d AS (SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct({tok('text')})) AS term FROM documents) GROUP BY term), n AS (SELECT count(*) AS n FROM documents) SELECT term, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM d, n",
     "bm25_topk_corpus": f"""WITH dl AS (SELECT doc_id AS doc, len({tok("text")}) AS dl FROM documents), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), w AS (SELECT doc_id AS doc, unnest({tok("text")}) AS term FROM documents),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as tx
 from quern.operators import bloom, caches, chunking, dictionary, fusion, graph, hybrid, intent, knn, lexical
+from quern.plans.catalogue import QUERIES
 from quern.settings import Settings, positive
 from quern.sources import store, tables
 from quern.streaming import requests as rq
@@ -421,3 +422,9 @@ def test_answers_from_cache(spark):
     assert rows.count() == 6 and cache.count() == 3 and rows.where("was_cached").count() == 0
     rows, _ = answer_cached(catalogue.corpus(spark, sf), asked, cache, classifier=catalogue.fixture_intent)
     assert rows.where("was_cached").count() == 6 and '"success":true' in as_json(rows).first().body
+
+
+@pytest.mark.parametrize("name", ["knn_batch_rownum", "knn_cosine_batch", "knn_ip_batch", "knn_filtered_batch", "knn_threshold_batch", "knn_per_collection_batch"])
+def test_batched_searches_ask_every_fiftieth_vector(spark, name):
+    found = QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert {r.query_id for r in found.select("query_id").distinct().collect()} == set(range(0, 500, 50))
