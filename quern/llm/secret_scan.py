@@ -1,7 +1,8 @@
 """Secret scans: candidates by vectorised rules, false positives removed by a random forest.
 
-A candidate is a run of [A-Za-z0-9_+/=.-] of at least ``MIN_LENGTH`` bytes that holds a letter and a digit (edges trimmed of = . -).
-A forest scores each by its length, character transitions, dictionary coverage, path (the ``source`` column) and
+A candidate is a run of [A-Za-z0-9_+/=.-] of at least ``MIN_LENGTH`` bytes that holds a letter and a digit (every part of an = chain by itself,
+edges trimmed of = . -), or what is assigned to a key word or quoted after it on the same line: any characters, from ``MIN_VALUE`` bytes
+on, up to the closing quote or, without quotes, the next blank. Secrets that overlap are one span. A forest scores each by its length, character transitions, dictionary coverage, path (the ``source`` column) and
 neighbouring words. It is trained on the driver from labelled findings; :func:`labelled_findings` makes a fixed set of them by rule
 (keys of known forms and random keys in key contexts against digests, identifiers, placeholders and versions), and
 callers may pass their own. Private key blocks are found by their own markers and need no vote.
@@ -24,8 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_pieces, utf8
+from .textcore import LOWER
 
 MIN_LENGTH, CONTEXT_BYTES, THRESHOLD = 12, 48, 0.5
+MIN_VALUE = 6
 N_TREES, DEPTH, N_FINDINGS, SEED = 31, 9, 4000, 11
 MASK = "<SECRET>"
 SCHEMA = "doc_id long, n_candidates long, n_secrets long, spans string, max_score double, redacted_sha256 string"
@@ -39,6 +42,13 @@ _ALPHA[65:91] = _ALPHA[97:123] = True
 _RUN |= _DIGIT | _ALPHA
 _PRIVATE = re.compile(rb"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----.*?(?:-----END [A-Z ]{0,30}PRIVATE KEY-----|\Z)", re.S)
 _KEY_WORDS = re.compile(rb"token|secret|passw|pwd|passphrase|api.?key|access.?key|auth|bearer|credential|private.?key|client.?key")
+_KEY = rb"(?:token|secret|passw|pwd|passphrase|api.?key|access.?key|auth(?!or)|bearer|credential|private.?key|client.?key)[a-z0-9_-]*+"
+_ASSIGN = rb"[\"'`]?[ \t]*+(?:(?:=>|:=|==?|:)[ \t]*+(?:(?:bearer|basic|token)[ \t]++)?|(?=[\"'`]))"
+#: A key word (taken whole, so that a scan is linear) and its value: quoted, or up to a blank, a quote or the next assignment.
+_VALUE = re.compile(_KEY + rb"(?:" + _ASSIGN + rb"(?:\"((?:[^\"\\\n]|\\.)*+)\"|'((?:[^'\\\n]|\\.)*+)'|`((?:[^`\\\n]|\\.)*+)`|[\"'`]?((?:(?![&,;][ \t]?[a-z0-9_]+[=:])[^\s\"'`])++)))?")
+_KEYED = re.compile(_KEY + _ASSIGN + rb"[\"'`]?$")
+_REFERENCE = re.compile(rb"\$|<.*>$|%\w+%$|\{\{|\w*[(\[]|.*(?:getenv|environ|process\.env|\(\))|[*.x#_-]+$|(?:none|null|true|false|undefined|nil)\W*$|(?:[a-z_]+\.)+[a-z_]*$")
+_MESSAGE = re.compile(rb"\b(?:is|the|your|please|enter|invalid|missing|must|not|forgot|required|optional|expired|for|to|of|an?|string)\b|passw|token|secret|credential|api.?key")
 _PLAIN_WORDS = re.compile(rb"commit|sha\d*|md5|checksum|digest|hash|uuid|guid|revision|etag|integrity|version|build|example|sample|dummy|placeholder|fixture|isbn|order|invoice|file|path|url")
 _FAKE = re.compile(rb"example|sample|dummy|placeholder|changeme|your|xxxx|1234567|abcdef|fake|test|insert|todo|redacted")
 _FORM = re.compile(rb"AKIA[0-9A-Z]{16}$|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk[-_][A-Za-z0-9_-]{16,}|AIza[A-Za-z0-9_-]{30,}|glpat-[A-Za-z0-9_-]{16,}|eyJ[A-Za-z0-9_-]{10,}\.")
@@ -65,6 +75,7 @@ _WORDS = re.compile("|".join(sorted(DICTIONARY, key=len, reverse=True)).encode()
 FEATURES = (
     "length", "transitions", "letter_transitions", "coverage", "entropy", "digits", "upper", "symbols", "distinct", "form",
     "digest_form", "uuid_form", "version_form", "fake", "key_word", "plain_word", "assigned", "quoted", "path_key", "path_plain",
+    "keyed", "spaces", "reference", "message",
 )
 
 
@@ -83,11 +94,32 @@ def describe(found: bytes, before: bytes, after: bytes, path: bytes) -> list[flo
         float(-(share * np.log2(share)).sum()), kinds.count(0) / n, kinds.count(1) / n, kinds.count(3) / n, len(share) / n, bool(_FORM.match(found)),
         bool(_DIGEST.match(found)), bool(_UUID.match(found)), bool(_VERSION.match(found)), bool(_FAKE.search(low)), bool(_KEY_WORDS.search(near)), bool(_PLAIN_WORDS.search(near)),
         tail[-1:] in (b"=", b":"), before[-1:] in (b'"', b"'", b"`") and after[:1] in (b'"', b"'", b"`"), bool(_PATH_KEY.search(path.lower())), bool(_PATH_PLAIN.search(path.lower())),
+        bool(_KEYED.search(near)), found.count(b" ") / n, bool(_REFERENCE.match(low)), bool(_MESSAGE.search(low)),
     ]
 
 
 def candidates(data: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int]]:
-    """(document, start, end) of every candidate; places count from the start of all the data."""
+    """(document, start, end) of every candidate, in order; places count from the start of all the data."""
+    return sorted({*run_candidates(data, bounds), *value_candidates(data, bounds)})
+
+
+def value_candidates(data: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int]]:
+    """What is assigned to a key word, or quoted after it."""
+    low, out = LOWER[data].tobytes(), []
+    for d, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+        for m in _VALUE.finditer(low, a, b):
+            if m.lastindex is None:
+                continue
+            s, e = m.span(m.lastindex)
+            if m.lastindex == 4:  # without quotes: closing punctuation is the text's
+                e = s + len(low[s:e].rstrip(b".,;:)]}>"))
+            if e - s >= MIN_VALUE:
+                out.append((d, s, e))
+    return out
+
+
+def run_candidates(data: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int]]:
+    """Long runs with a letter and a digit."""
     inside = np.zeros(len(data) + 2, bool)
     inside[1:-1] = _RUN[data]
     opens, closes = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
@@ -106,12 +138,15 @@ def candidates(data: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int
     for s, e in zip(starts[both].tolist(), ends[both].tolist()):
         d = int(np.searchsorted(bounds, s, side="right")) - 1
         run = data[s:e].tobytes()
-        if (cut := run.rfind(b"=", 0, len(run) - 2)) >= 0 and run[cut + 1 :].strip(b"="):  # name=value
-            s, run = s + cut + 1, run[cut + 1 :]
-        left = len(run) - len(run.lstrip(b"=.-"))
-        run = run.strip(b".-").lstrip(b"=")
-        if len(run) >= MIN_LENGTH:
-            out.append((d, s + left, s + left + len(run)))
+        body = run.rstrip(b"=")
+        parts = body.split(b"=")
+        for i, part in enumerate(parts):  # name=value=...
+            padded = part + run[len(body) :] if i == len(parts) - 1 else part
+            left = len(padded) - len(padded.lstrip(b"=.-"))
+            core = padded.lstrip(b"=.-").rstrip(b".-")
+            if len(core) >= MIN_LENGTH:
+                out.append((d, s + left, s + left + len(core)))
+            s += len(part) + 1
     return out
 
 
@@ -172,11 +207,36 @@ def labelled_findings(n: int = N_FINDINGS, seed: int = SEED) -> list[tuple[bytes
     prose = lambda: " ".join("".join(rng.choice(("th", "er", "on", "an", "re", "st", "in", "ou", "ea", "de", "la", "ch")) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 6)))
     names = ("token", "secret", "password", "api_key", "API_KEY", "access_key", "auth_token", "client_secret", "TOKEN", "passwd", "db_password", "private_key", "Bearer")
     plain = ("commit", "sha1", "sha256", "md5", "checksum", "etag", "revision", "integrity", "digest", "uuid", "build", "id", "file", "url", "version", "hash")
+    letters, marks = alnum[:52], "!@#$%^&*?+~"
+    syllables = lambda k: "".join(rng.choice(("th", "er", "on", "an", "re", "st", "in", "ou", "ea", "de", "la", "ch")) for _ in range(k))
+    said = ("enter", "your", "please", "invalid", "missing", "the", "is required", "must be set", "for", "expired", "forgot")
+    strong = (
+        lambda: syllables(rng.randint(2, 4)) + draw("0123456789", rng.randint(1, 4)) + draw(letters, rng.randint(1, 4)), lambda: word().title()[:8] + rng.choice(marks) + draw("0123456789", rng.randint(1, 4)) + rng.choice(marks) + word(),
+        lambda: rng.choice(marks).join(draw(alnum, rng.randint(2, 6)) for _ in range(rng.randint(2, 4))).ljust(7, "7"), lambda: draw(rng.choice((letters, letters[:26], letters[26:])), rng.randint(10, 40)), lambda: draw(alnum, rng.randint(7, 11)),
+        *[lambda: leet(named().title()) + rng.choice(marks) + (leet(word()) if rng.random() < 0.5 else named().title()) + draw("0123456789", rng.randint(0, 2))] * 2,
+    )
+    phrases = (lambda: rng.choice((" ", "-")).join(syllables(rng.randint(2, 4)) for _ in range(rng.randint(3, 6))), lambda: " ".join(word() for _ in range(rng.randint(4, 6))), lambda: syllables(rng.randint(3, 6)))
+    leet = lambda x: "".join({"a": "@", "o": "0", "s": "$", "i": "!", "e": "3"}.get(c, c) if rng.random() < 0.7 else c for c in x) + draw("0123456789", 1)
+    named = lambda: rng.choice(("token", "password", "secret", "api_key", word()))
+    parts = "some thing ing tion pre com ment ver al ist ous ly en ness un ble every where with out know be cause ter ful der que les und ein".split()
+    loose = (lambda: word().ljust(6, "s"), lambda: syllables(rng.randint(3, 5)), lambda: "".join(rng.choice(parts) for _ in range(rng.randint(2, 3))).ljust(6, "s"))
+    no_secret = (
+        lambda: "${" + named() + "}", lambda: "$" + named() + "_" + word(), lambda: "<" + named() + ">", lambda: "<SECRET>", lambda: "{{ " + named() + " }}", lambda: "%" + named() + "%", lambda: rng.choice("*.x#-") * rng.randint(6, 20),
+        lambda: rng.choice(("process.env.", "config.", "self.", "settings.")) + named(), lambda: rng.choice(("getenv(", "os.environ[", "get_" + word() + "(")) + named(), lambda: "get" + word().title() + named().title() + "()",
+        lambda: rng.choice(("undefined", "required", "optional", "string", "changeme", "your_" + named())), lambda: word() + rng.choice("_-. ") + named(),
+        *[lambda: " ".join(rng.sample((rng.choice(said), rng.choice(said), named(), word()), rng.randint(3, 4)))] * 2, lambda: word().ljust(6, "s"),
+    )
     out = []
     for i in range(n):
         secret = i % 2
         upper = rng.random() < 0.15
-        if secret:
+        if rng.random() < 0.4:  # right after a key word
+            free = rng.random() < 0.35
+            found = rng.choice(strong if free else strong + phrases)() if secret else rng.choice(no_secret[:11] + loose * 3 if free else no_secret)()
+            quote = "" if free else rng.choice(('"', '"', "'"))
+            before = prose() + " " + rng.choice(names[:-1]) + rng.choice((" = ", "=", ": ", ":")) + quote
+            path = rng.choice(("src0", "src7", "", "app/config.yml", ".env", "settings.ini", "src/app.py", "docs/a.md", "test/app.py"))
+        elif secret:
             found = rng.choice((
                 lambda: "AKIA" + draw(alnum[:26] + "0123456789", 16), lambda: rng.choice(("ghp_", "gho_", "ghs_")) + draw(alnum, 36), lambda: f"xoxb-{draw('0123456789', 11)}-{draw(alnum, 24)}",
                 lambda: "sk-" + draw(alnum, 40), lambda: "AIza" + draw(alnum + "_-", 35), lambda: f"eyJ{draw(alnum, 20)}.eyJ{draw(alnum, 40)}.{draw(alnum + '_-', 43)}",
@@ -222,17 +282,29 @@ def scan(data: np.ndarray, bounds: np.ndarray, paths: list[str | None], forest:
     for (d, s, e), p in zip(found, score.tolist()):
         if p >= THRESHOLD:
             spans[d].append((s - int(bounds[d]), e - int(bounds[d])))
+    spans = [united(x) for x in spans]
     whole = data.tobytes()
     if b"PRIVATE KEY-----" in whole:
         for d, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
             blocks = [m.span() for m in _PRIVATE.finditer(whole[a:b])]
             if blocks:
-                spans[d] = sorted([s for s in spans[d] if not any(x < s[1] and s[0] < y for x, y in blocks)] + blocks)
+                spans[d] = united(spans[d] + blocks)
                 n[d] += len(blocks)
                 best[d] = 1.0
     return n, best, spans
 
 
+def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order; those that overlap are one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def redact(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     parts, last = [], 0
     for s, e in spans:
