@@ -73,3 +73,11 @@ def test_edges(spark, tables):
     assert len(got) == 5 and {r.lang for r in got if r.page_id == 2} == {"de"} and all(0 < r.posterior <= 1 for r in got)
     assert li.language_id(pages.limit(0), docs).collect() == []
     assert {r.lang for r in li.language_id(pages, docs.limit(0)).collect()} == {None}
+
+
+def test_rare_languages_are_possible_answers(spark):
+    names = [a + b for a in "abcdefgh" for b in "pqrstuvwx"][:70]
+    docs = spark.createDataFrame([(n, f"common words number {n}", "en") for n in range(300)] + [(1000 + n, f"{x}{x} {x} of {x}", x) for n, x in enumerate(names)], "doc_id long, text string, lang string")
+    assert li.fitted(docs, rows=20).languages == sorted([*names, "en"])
+    pages = spark.createDataFrame([(n, f"https://{x}.example.{x}/{x}/a", f'<html lang="{x}"><p>{x}{x} {x} of {x}</p></html>') for n, x in enumerate(names)], "page_id long, url string, html string")
+    assert {r.page_id: r.lang for r in li.language_id(pages, docs).collect()} == dict(enumerate(names))
