@@ -6,10 +6,13 @@ Bit i of an item is (md5 + i * sha1) mod m. The digests do not fit a number type
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.sources.tables import settled
+
 
 def optimal_bits(n: int, p: float) -> int:
     return math.ceil(-n * math.log(p) / math.log(2) ** 2)
@@ -68,6 +71,38 @@ def scalable_filter(n: int = 1000, p: float = 0.01, growth: int = 2, tightening:
     return out
 
 
+def arrivals(items: DataFrame, order: list[str]) -> DataFrame:
+    """``items`` with ord: their number from 1 in the given order, without gaps. Rows are sorted by ranges; each range is offset by the counts before it."""
+    ranged = settled(items.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    ranged = ranged.withColumns({"_part": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    offsets, total = [], 0
+    for part, n in sorted(tuple(r) for r in ranged.groupBy("_part").count().collect()):
+        offsets.append((part, total))
+        total += n
+    before = items.sparkSession.createDataFrame(offsets, "_part long, _before long")
+    return ranged.join(F.broadcast(before), "_part").withColumn("ord", F.col("_before") + F.col("_row") + 1).drop("_at", "_part", "_row", "_before")
+
+
+def scalable_bits(items: DataFrame, n: int = 1000, p: float = 0.01, growth: int = 2, tightening: float = 0.5) -> DataFrame:
+    """filter, bit: the set bits of each filter of ``items`` (item, ord), with its own size and hashes."""
+    assigned = scalable_assignment(items, n, growth)
+    last = assigned.agg(F.max("filter")).first()[0]
+    if last is None:
+        return assigned.select("filter", F.lit(None).cast("long").alias("bit"))
+    found = [filter_bits(assigned.where(F.col("filter") == j), bits, hashes).select(F.lit(j).alias("filter"), "bit") for j, _, _, bits, hashes in scalable_filter(n, p, growth, tightening, last + 1)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def scalable_membership(probes: DataFrame, items: DataFrame, n: int = 1000, p: float = 0.01, growth: int = 2, tightening: float = 0.5) -> DataFrame:
+    """item, maybe: whether any of the filters of ``items`` (item, ord) has all of its bits."""
+    every = settled(scalable_bits(items, n, p, growth, tightening))
+    last = every.agg(F.max("filter")).first()[0]
+    if last is None:
+        return probes.select("item").distinct().withColumn("maybe", F.lit(False))
+    found = [membership(probes, every.where(F.col("filter") == j), bits, hashes) for j, _, _, bits, hashes in scalable_filter(n, p, growth, tightening, last + 1)]
+    return reduce(DataFrame.unionByName, found).groupBy("item").agg(F.max("maybe").alias("maybe"))
+
+
 def scalable_assignment(items: DataFrame, n: int = 1000, growth: int = 2) -> DataFrame:
     """``items`` (item, ord: arrival from 1 without gaps) with the number of the filter that takes each.
 

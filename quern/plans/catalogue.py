@@ -530,11 +530,23 @@ def bloom_stats(spark, sf):
 
 @query
 def scalable_bloom_assign(spark, sf):
-    """Documents arrive in order of doc_id, which counts from 0."""
-    rows = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") + 1).alias("ord"), F.lit("").alias("item"))
+    """Documents arrive in order of doc_id."""
+    rows = bloom.arrivals(table(spark, sf, "documents").select("doc_id", F.lit("").alias("item")), ["doc_id"])
     return bloom.scalable_assignment(rows, 100).groupBy("filter").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
 
 
+#: Of the first filter; small, so that several are filled on the test tables.
+FIRST_CAPACITY = 20
+
+
+@query
+def scalable_bloom_membership(spark, sf):
+    """Keys of the even documents are added in order of doc_id; which keys of all documents may be in any of the filters?"""
+    every = keys(spark, sf)
+    added = bloom.arrivals(every.where("doc_id % 2 = 0"), ["doc_id", "item"])
+    return bloom.scalable_membership(every, added, FIRST_CAPACITY)
+
+
 # --- chunks, store, caches ----------------------------------------------------------------------------------------
 
 

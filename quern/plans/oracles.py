@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from quern.operators import graph, intent
+from quern.operators.bloom import scalable_filter
 from quern.operators.dictionary import DISEASE_KEYWORDS, SCHEME_KEYWORDS
 from quern.operators.lexical import STOP_WORDS
-from quern.plans.catalogue import BITS, COMMON, EACH, FIXTURE_DISEASE, FIXTURE_SCHEME, HASHES, LABELS, SAMPLES, TTL
+from quern.plans.catalogue import BITS, COMMON, EACH, FIRST_CAPACITY, FIXTURE_DISEASE, FIXTURE_SCHEME, HASHES, LABELS, SAMPLES, TTL
 
 W = r"[\p{L}\p{N}_]+"
 
@@ -146,6 +147,14 @@ NAMED = "array_to_string(list_transform(path, lambda p: names[p]), '>')"
 NAMES = "nm AS (SELECT map(list(id), list(name)) AS names FROM nodes)"
 
 
+def fold_by(digest: str, pieces: int, bits: str) -> str:
+    """A hex digest's number modulo a column."""
+    out = "0::BIGINT"
+    for i in range(pieces):
+        out = f"(({out} * (4294967296 % {bits}) + ('0x' || substr({digest}, {1 + 8 * i}, 8))::BIGINT) % {bits})"
+    return out
+
+
 def fold(digest: str, pieces: int) -> str:
     out = "0::BIGINT"
     for i in range(pieces):
@@ -154,6 +163,7 @@ def fold(digest: str, pieces: int) -> str:
 
 
 KEYS = f"keys AS (SELECT doc_id, {DOCKEY} AS item FROM documents), hs AS (SELECT doc_id, item, {fold('md5(item)', 4)} AS h1, {fold('sha1(item)', 5)} AS h2 FROM keys), bits AS (SELECT doc_id, item, (h1 + i * h2) % {BITS} AS bit FROM hs, range({HASHES}) r(i))"
+GROWN = [(j, FIRST_CAPACITY * (2**j - 1), FIRST_CAPACITY * (2 ** (j + 1) - 1), bits, hashes) for j, _, _, bits, hashes in scalable_filter(FIRST_CAPACITY, most=16)]
 QUESTIONS = f"qs AS (SELECT * FROM ({rows(SAMPLES)}) t(query_id, question) UNION ALL SELECT conv_id * 1000 + turn + 100, text FROM conversations)"
 
 
@@ -295,6 +305,11 @@ ORACLE_SQL: dict[str, str] = {
     "bloom_stats": f"""WITH {KEYS}, f AS (SELECT count(DISTINCT bit) / {BITS} AS r FROM bits), e AS (SELECT count(DISTINCT item) AS n FROM keys)
         SELECT {BITS} AS size_bits, {-(-BITS // 8)} AS size_bytes, {HASHES} AS hash_count, n AS elements_added, round(r, 4) AS fill_ratio, round(pow(r, {HASHES}), 6) AS estimated_fp_rate, 0.001::DOUBLE AS target_fp_rate FROM f, e""",
     "scalable_bloom_assign": """WITH c AS (SELECT CAST(j AS INT) AS filter, 100 * (pow(2, j) - 1) AS lo, 100 * (pow(2, j + 1) - 1) AS hi FROM range(40) r(j)) SELECT filter, count(*) AS n, min(doc_id) AS first_doc FROM documents JOIN c ON doc_id >= lo AND doc_id < hi GROUP BY filter""",
+    "scalable_bloom_membership": f"""WITH keys AS (SELECT doc_id, {DOCKEY} AS item FROM documents), sz(filter, lo, hi, m, k) AS ({rows(GROWN)}),
+        arr AS (SELECT item, row_number() OVER (ORDER BY doc_id, item) AS ord FROM keys WHERE doc_id % 2 = 0), inn AS (SELECT filter, item FROM arr JOIN sz ON ord > lo AND ord <= hi), used AS (SELECT DISTINCT filter FROM inn),
+        hs AS (SELECT item, filter, k, m, {fold_by('md5(item)', 4, 'm')} AS h1, {fold_by('sha1(item)', 5, 'm')} AS h2 FROM (SELECT DISTINCT item FROM keys), sz SEMI JOIN used USING (filter)),
+        b AS (SELECT DISTINCT item, filter, (h1 + unnest(range(k)) * h2) % m AS bit FROM hs), ins AS (SELECT DISTINCT filter, bit FROM b SEMI JOIN inn USING (item, filter)),
+        e AS (SELECT item, b.filter, count(ins.bit) = count(*) AS maybe FROM b LEFT JOIN ins USING (filter, bit) GROUP BY item, b.filter) SELECT item, bool_or(maybe) AS maybe FROM e GROUP BY item""",
     "window_chunks": f"WITH {CHUNKS} SELECT doc_id, CAST(i AS INT) AS chunk, CAST(length(content) AS INT) AS n_chars, md5(content) AS content_md5 FROM pieces",
     "chunk_ids": f"WITH {CHUNKS} SELECT chunk_id, collection, chunk_index FROM ci",
     "collection_stats_query": f"WITH {CHUNKS}, n(collection) AS (VALUES ('citrus_diseases'), ('government_schemes'), ('absent')) SELECT n.collection, count(chunk_id) AS n FROM n LEFT JOIN ci USING (collection) GROUP BY ALL",

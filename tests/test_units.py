@@ -301,6 +301,24 @@ def test_scalable_filter():
     assert [(c, r) for _, c, r, _, _ in first] == [(1000, 0.01), (2000, 0.005), (4000, 0.0025)] and [b for *_, b, _ in first][:2] == [9586, 22056]
 
 
+def test_scalable_filter_with_gaps_and_repeats(spark):
+    rows = [(7 * (i // 2), f"item {i}") for i in range(50)]
+    added = bloom.arrivals(spark.createDataFrame(rows, "id long, item string").repartition(3), ["id", "item"])
+    assert sorted(r.ord for r in added.collect()) == list(range(1, 51))
+    counts = {r.filter: r["count"] for r in bloom.scalable_assignment(added, 10).groupBy("filter").count().collect()}
+    assert counts == {0: 10, 1: 20, 2: 20}
+    probes = spark.createDataFrame([(f"item {i}",) for i in range(1050)], "item string")
+    maybe = {r.item: r.maybe for r in bloom.scalable_membership(probes, added, 10).collect()}
+    import hashlib
+
+    h = lambda f, x: int(f(x.encode()).hexdigest(), 16)
+    bits = lambda x, m, k: {(h(hashlib.md5, x) + i * h(hashlib.sha1, x)) % m for i in range(k)}
+    by_id = sorted(rows)
+    filters = [(set().union(*(bits(x, m, k) for _, x in by_id[a:b])), m, k) for (_, _, _, m, k), (a, b) in zip(bloom.scalable_filter(10, most=3), ((0, 10), (10, 30), (30, 50)))]
+    assert maybe == {x: any(bits(x, m, k) <= held for held, m, k in filters) for x in maybe} and len(maybe) == 1050 and all(maybe[x] for _, x in rows)
+    assert not any(r.maybe for r in bloom.scalable_membership(probes, added.limit(0), 10).collect())
+
+
 # --- chunks and stores ---
 
 
