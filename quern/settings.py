@@ -19,8 +19,6 @@ class Settings:
     bm25_weight: float = 0.3
     semantic_weight: float = 0.7
     response_ttl_seconds: int = 1800
-    response_cache_size: int = 500
-    embedding_cache_size: int = 2000
     disease_collection: str = "citrus_diseases"
     scheme_collection: str = "government_schemes"
 
