@@ -446,3 +446,14 @@ def test_answers_from_cache(spark):
 def test_batched_searches_ask_every_fiftieth_vector(spark, name):
     found = QUERIES[name](spark, "/root/testdata/sf0.001")
     assert {r.query_id for r in found.select("query_id").distinct().collect()} == set(range(0, 500, 50))
+
+
+def test_long_paths_and_many_types(spark):
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(53)], "id string")
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}", 1.0) for i in range(52)], "src string, dst string, weight double")
+    found = {r.id: r.cost for r in graph.shortest_paths(nodes, edges, nodes.where("id = 'n0'").select(F.col("id").alias("start"))).collect()}
+    assert found == {f"n{i}": float(i) for i in range(53)}
+    many = [("s", "scheme", "S", {"type": "x"}), *[(f"t{i}", f"type{i}", f"T{i}", {"type": ""}) for i in range(1200)]]
+    kinds = spark.createDataFrame(many, "id string, node_type string, name string, metadata map<string,string>")
+    links = spark.createDataFrame([("s", f"t{i}", "for", 1.0, i) for i in range(1200)], "src string, dst string, relation string, weight double, seq int")
+    assert graph.schemes_for(kinds, links, kinds.where("id <> 's'").select("id")).count() == 1200
