@@ -5,7 +5,7 @@ windows' hashes are broadcast while there are at most ``MAX_BROADCAST_WINDOWS``
 the windows of documents are joined to those of items by a shuffle (:func:`joined_hits`, :func:`joined_cuts`), with the same rows.
 
 Defined cases: null and empty texts have no words; an empty benchmark hits nothing; repeated rows come out as often as
-they go in; items that share words are each counted; other columns are ignored, whatever their names.
+they go in; items that share words are each counted; an item without an id hits, but is not counted; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -51,14 +51,15 @@ class Windows:
     """The broadcast side: for each length a hash set, and the items by the exact words."""
 
     def __init__(self, rows: list):
-        self.items: dict[bytes, list[str]] = defaultdict(list)
+        self.items: dict[bytes, list[str]] = {}
         by_k: dict[int, list[bytes]] = defaultdict(list)
         for k, text, item in rows:
             text = bytes(text)
             if text not in self.items:
                 by_k[k].append(text)
-            self.items[text].append(item)
-        self.items = dict(self.items)
+                self.items[text] = []
+            if item is not None:
+                self.items[text].append(item)
         self.sets = {k: tc.HashSet(hashes_of(texts, k)) for k, texts in by_k.items()}
 
     def hits(self, found: tc.Words) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:

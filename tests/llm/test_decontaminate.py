@@ -75,3 +75,9 @@ def test_stage_without_broadcast(spark, docs):
     table, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
     a, b = (sorted(map(tuple, dc.decontaminated(table, bench, most=m).collect()), key=repr) for m in (2, dc.MAX_BROADCAST_WINDOWS))
     assert a == b and a != sorted(map(tuple, table.collect()), key=repr)
+
+
+def test_items_without_an_id(spark, docs):
+    items = spark.createDataFrame([(None, "short item"), (7, "short item"), (None, "other words")], "item_id long, text string")
+    a, b = (rows_of(dc.contamination(docs([(1, "a short item"), (2, "b other words"), (3, "c")]), items, most=m)) for m in (dc.MAX_BROADCAST_WINDOWS, 1))
+    assert a == b and [x[2:4] for x in a] == [(2, 1), (2, 0), (0, 0)]
