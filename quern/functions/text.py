@@ -8,6 +8,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
+#: White space of any script, as a class that Java's and RE2's expressions read alike (their \s is ASCII only).
+WHITE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def stripped(text: Column) -> Column:
+    """Without white space at both ends; F.trim takes U+0020 alone."""
+    return F.regexp_replace(text, rf"\A{WHITE}+|{WHITE}+\z", "")
+
+
+def spaced(text: Column) -> Column:
+    """Stripped, and every run of white space one space."""
+    return F.trim(F.regexp_replace(text, rf"{WHITE}+", " "))
 
 
 def tokens(text: Column) -> Column:
@@ -21,8 +33,7 @@ def distinct_tokens(text: Column) -> Column:
 
 def clean_text(text: Column) -> Column:
     """White space collapsed, then all but words, spaces and ``.,!?-`` dropped, then trimmed."""
-    collapsed = F.regexp_replace(text, r"\s+", " ")
-    return F.trim(F.regexp_replace(collapsed, r"[^\p{L}\p{N}_\s.,!?-]", ""))
+    return F.trim(F.regexp_replace(spaced(text), r"[^\p{L}\p{N}_\s.,!?-]", ""))
 
 
 def preprocess_text(text: Column) -> Column:
@@ -39,23 +50,23 @@ def truncate_text(text: Column, most: int) -> Column:
 
 def extract_keywords(text: Column, most: int = 10) -> Column:
     """The first distinct lower-cased words at white space, in order of appearance."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(text), rf"{WHITE}+"), lambda w: w != "")
     return F.slice(F.array_distinct(words), 1, most)
 
 
 def cache_key(text: Column) -> Column:
-    """Key of a text in the embedding cache: trimmed and lowered; its MD5 if it is longer than 100 characters."""
-    plain = F.lower(F.trim(text))
+    """Key of a text in the embedding cache: stripped and lowered; its MD5 if it is longer than 100 characters."""
+    plain = F.lower(stripped(text))
     return F.when(F.length(plain) > 100, F.md5(plain)).otherwise(plain)
 
 
 def query_hash(text: Column) -> Column:
-    return F.md5(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")))
+    return F.md5(spaced(F.lower(text)))
 
 
 def content_hash(text: Column, prefix: int = 200) -> Column:
     """MD5 of the first ``prefix`` characters of the lowered text with white space collapsed."""
-    return F.md5(F.substring(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), 1, prefix))
+    return F.md5(F.substring(spaced(F.lower(text)), 1, prefix))
 
 
 def document_key(text: Column, source: Column, page: Column) -> Column:
@@ -66,8 +77,8 @@ def document_key(text: Column, source: Column, page: Column) -> Column:
 
 
 def prefix_key(text: Column, prefix: int = 100) -> Column:
-    """Key of prefix deduplication: the first characters, lowered and trimmed."""
-    return F.trim(F.lower(F.substring(text, 1, prefix)))
+    """Key of prefix deduplication: the first characters, lowered and stripped."""
+    return stripped(F.lower(F.substring(text, 1, prefix)))
 
 
 def context_block(rank: Column, source: Column, page: Column, content: Column) -> Column:

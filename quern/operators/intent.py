@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quern.functions.text import stripped
 from quern.operators.dictionary import cleaned_words, keyword_array
 
 INTENTS = ("disease", "scheme", "hybrid", "greeting", "out_of_scope")
@@ -69,7 +70,7 @@ def target_collections(branch: Column) -> Column:
 
 def greeting_key(question: Column) -> Column:
     """Key of the reply to a greeting: the first group of phrases that the question contains one of."""
-    q = F.trim(F.lower(question))
+    q = stripped(F.lower(question))
     out = F.lit("hello")
     for key, phrases in reversed(CASCADE):
         out = F.when(q.rlike("|".join(phrases)), key).otherwise(out)

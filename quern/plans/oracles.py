@@ -9,6 +9,16 @@ from quern.operators.lexical import STOP_WORDS
 from quern.plans.catalogue import BITS, COMMON, EACH, FIRST_CAPACITY, FIXTURE_DISEASE, FIXTURE_SCHEME, HASHES, LABELS, SAMPLES, TTL
 
 W = r"[\p{L}\p{N}_]+"
+#: White space of any script; trim() takes U+0020 alone and RE2's \s is ASCII.
+WS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def strip(x: str) -> str:
+    return f"regexp_replace({x}, '\\A{WS}+|{WS}+\\z', '', 'g')"
+
+
+def spaced(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{WS}+', ' ', 'g'))"
 
 
 def lit(x) -> str:
@@ -53,7 +63,7 @@ VEC = "vec AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embed
 CORPUS = f"""{VEC}, corpus AS (SELECT vec_id, v, label, text AS content, source, CAST(doc_id % 10 AS INT) AS page,
   CASE WHEN label % 2 = 0 THEN 'disease' ELSE 'scheme' END AS collection FROM vec JOIN documents ON doc_id = vec_id)"""
 ASKED = f"q AS (SELECT vec_id AS query_id, v AS qv, text AS question FROM vec JOIN documents ON doc_id = vec_id WHERE vec_id % {EACH} = 0)"
-CLEAN = r"trim(regexp_replace(regexp_replace({x}, '\s+', ' ', 'g'), '[^\p{{L}}\p{{N}}_\s.,!?-]', '', 'g'))"
+CLEAN = r"trim(regexp_replace(trim(regexp_replace({x}, '" + WS.replace("{", "{{").replace("}", "}}") + r"+', ' ', 'g')), '[^\p{{L}}\p{{N}}_\s.,!?-]', '', 'g'))"
 
 
 def one_knn(dist: str, k: int, more: str = "", cols: str = "vec_id, distance, rank", where: str = "true", part: str = "") -> str:
@@ -126,7 +136,8 @@ def relevance(question: str, content: str, score: str, disease, scheme) -> str:
 
 RERANK = f"""{CORPUS}, {ASKED}, {LISTS}, rs AS (SELECT *, {relevance("question", "content", "score", FIXTURE_DISEASE, FIXTURE_SCHEME)} AS rerank_score FROM rl),
     rr AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, ord) AS INT) AS rerank_rank FROM rs)"""
-HASH = r"md5(substr(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), 1, 200))"
+KEY = f"CASE WHEN length(lower({strip('text')})) > 100 THEN md5(lower({strip('text')})) ELSE lower({strip('text')}) END"
+HASH = f"md5(substr({spaced('lower(text)')}, 1, 200))"
 DOCKEY = f"CASE WHEN source IS NOT NULL AND source <> '' THEN source || '_p' || (doc_id % 10) || '_' || substr({HASH}, 1, 8) ELSE {HASH} END"
 RAW = r"regexp_replace(html, '<[^>]*>', E'\n\n\n 7 \n', 'g')"
 PRE = CLEAN.format(x=r"regexp_replace(regexp_replace(regexp_replace(" + RAW + r", '\n{3,}', E'\n\n', 'g'), ' {2,}', ' ', 'g'), '(?m)^\s*\d+\s*$', '', 'g')")
@@ -178,7 +189,7 @@ def rule(x: str, disease, scheme) -> str:
 
 
 def cascade(x: str) -> str:
-    whens = " ".join("WHEN " + " OR ".join(f"contains(trim(lower({x})), {lit(p)})" for p in ps) + f" THEN {lit(k)}" for k, ps in intent.CASCADE)
+    whens = " ".join("WHEN " + " OR ".join(f"contains({strip(f'lower({x})')}, {lit(p)})" for p in ps) + f" THEN {lit(k)}" for k, ps in intent.CASCADE)
     return f"CASE {whens} ELSE 'hello' END"
 
 
@@ -207,7 +218,7 @@ def answer_sql() -> str:
     al AS (SELECT rf.query_id, qi.question, qi.intent, collection, content, source, page, score, CAST(rrf_rank AS BIGINT) AS ord, 8 AS lim FROM rf JOIN qi USING (query_id)
       UNION ALL SELECT query_id, question, intent, collection, content, source, page, score, ord, 4 FROM od WHERE intent <> 'hybrid'),
     rs AS (SELECT *, {relevant} AS rerank_score FROM al), r1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, ord) AS rr FROM rs QUALIFY rr <= lim),
-    r2 AS (SELECT * FROM r1 QUALIFY row_number() OVER (PARTITION BY query_id, trim(lower(substr(content, 1, 100))) ORDER BY rr) = 1),
+    r2 AS (SELECT * FROM r1 QUALIFY row_number() OVER (PARTITION BY query_id, {strip("lower(substr(content, 1, 100))")} ORDER BY rr) = 1),
     r3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rr) AS fr FROM r2 WHERE score >= 0.25 OR rerank_score >= 0.25),
     lo AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ord) AS fr FROM od WHERE query_id NOT IN (SELECT query_id FROM r3) QUALIFY fr <= 4),
     fin AS (SELECT query_id, content, source, page, fr FROM r3 UNION ALL SELECT query_id, content, source, page, fr FROM lo),
@@ -251,7 +262,7 @@ ORACLE_SQL: dict[str, str] = {
     "rerank_fallback": f"""WITH {RERANK}, kept AS (SELECT * FROM rr WHERE rerank_rank <= 4 AND (score >= 0.55 OR rerank_score >= 0.55)),
         lost AS (SELECT query_id, vec_id, 'low_relevance' AS edge_case, CAST(row_number() OVER (PARTITION BY query_id ORDER BY ord) AS INT) AS final_rank FROM rl WHERE query_id NOT IN (SELECT query_id FROM kept) QUALIFY final_rank <= 4)
         SELECT query_id, vec_id, CAST(NULL AS VARCHAR) AS edge_case, rerank_rank AS final_rank FROM kept UNION ALL SELECT * FROM lost""",
-    "prefix_dedup_100": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY trim(lower(substr(text, 1, 100)))",
+    "prefix_dedup_100": f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY {strip('lower(substr(text, 1, 100))')}",
     "docid_dedup_200": f"SELECT min(doc_id) AS doc_id, {DOCKEY.replace('text', 'any_text')} AS doc_key FROM (SELECT doc_id, source, text AS any_text FROM documents) GROUP BY doc_key".replace("min(doc_id) AS doc_id", "min(doc_id) AS doc_id"),
     "dedup_batch": f"SELECT doc_id % 7 AS batch, min(doc_id) AS doc_id FROM documents GROUP BY doc_id % 7, {HASH}",
     "cross_collection_dedup": f"""SELECT CASE WHEN doc_id % 2 = 0 THEN 'disease' ELSE 'scheme' END AS collection, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY {HASH} ORDER BY doc_id % 2, doc_id) = 1""",
@@ -261,8 +272,8 @@ ORACLE_SQL: dict[str, str] = {
     "extract_keywords": r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS ws FROM documents), u AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM w),
         f AS (SELECT doc_id, w, min(i) AS i FROM u GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM f QUALIFY r <= 10), s AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS keywords FROM k GROUP BY doc_id)
         SELECT doc_id, coalesce(keywords, '') AS keywords FROM documents LEFT JOIN s USING (doc_id)""",
-    "cache_key": "SELECT conv_id, turn, CASE WHEN length(lower(trim(text))) > 100 THEN md5(lower(trim(text))) ELSE lower(trim(text)) END AS cache_key FROM conversations",
-    "query_hash": r"SELECT conv_id, turn, md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS query_hash FROM conversations",
+    "cache_key": f"SELECT conv_id, turn, {KEY} AS cache_key FROM conversations",
+    "query_hash": f"SELECT conv_id, turn, md5({spaced('lower(text)')}) AS query_hash FROM conversations",
     "token_counts": f"SELECT doc_id, CAST(len({tok('text')}) AS INT) AS n_tokens, CAST(len(list_distinct({tok('text')})) AS INT) AS n_distinct FROM documents",
     "kw_exact": f"SELECT doc_id, array_to_string(list_sort(list_intersect({clean_words('text')}, {array(dict.fromkeys(DISEASE_KEYWORDS + SCHEME_KEYWORDS + COMMON))})), ',') AS matches FROM documents",
     "kw_prefix": f"""WITH w AS (SELECT doc_id, unnest({clean_words("text")}) AS w FROM documents), k AS (SELECT unnest({array(dict.fromkeys(DISEASE_KEYWORDS + COMMON))}) AS k), m AS (SELECT DISTINCT doc_id, k FROM w JOIN k ON starts_with(w, k)),
@@ -316,7 +327,7 @@ ORACLE_SQL: dict[str, str] = {
     "upsert_chunks": f"WITH {CHUNKS} SELECT chunk_id, chunk_index + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS chunk_index, md5(CASE WHEN doc_id % 2 = 0 THEN reverse(content) ELSE content END) AS content_md5 FROM ci",
     "context_builder": f"""WITH {CORPUS}, {ASKED}, {LISTS}, c AS (SELECT query_id, string_agg({BLOCK.format(r="rank")}, E'\\n\\n' ORDER BY rank) AS context FROM rl WHERE collection = 'disease' GROUP BY query_id)
         SELECT query_id, md5(context) AS context_md5, CAST(length(context) AS INT) AS n_chars FROM c""",
-    "embed_cache_stats": """WITH k AS (SELECT CASE WHEN length(lower(trim(text))) > 100 THEN md5(lower(trim(text))) ELSE lower(trim(text)) END AS key FROM conversations), c AS (SELECT count(*) AS t, count(DISTINCT key) AS m FROM k)
+    "embed_cache_stats": f"""WITH k AS (SELECT {KEY} AS key FROM conversations), c AS (SELECT count(*) AS t, count(DISTINCT key) AS m FROM k)
         SELECT t - m AS hits, m AS misses, m AS distinct_keys, round((t - m) / greatest(t, 1), 4) AS hit_rate FROM c""",
     "ttl_cache_hits": f"""WITH RECURSIVE m(key, since) AS (SELECT user_id, min(ts) FROM events GROUP BY user_id UNION ALL SELECT key, (SELECT min(ts) FROM events e WHERE e.user_id = m.key AND e.ts >= m.since + INTERVAL {TTL} SECOND) FROM m WHERE since IS NOT NULL),
         x AS (SELECT key, count(since) AS misses FROM m GROUP BY key), n AS (SELECT user_id AS key, count(*) AS n FROM events GROUP BY user_id) SELECT key, n - misses AS hits, misses FROM x JOIN n USING (key)""",
