@@ -16,7 +16,7 @@ from quern.sources.tables import read_collections
 def ingest(spark: SparkSession, paths: dict[str, str | None], base: str, split: Callable[[bytes], list[str]], settings: Settings = DEFAULTS) -> DataFrame:
     """Replace each collection (disease, scheme) that has files by their chunks; returns collection, n.
 
-    ``split`` turns a file's bytes into the texts of its pages. Each step writes a whole version of the store, so a job that dies and is
+    ``split`` turns a file's bytes into the texts of its pages. Each step writes a version of its own collection, so a job that dies and is
     run again ends in the same state. No file at all is an error.
     """
     store = ChunkStore(spark, base, settings)

@@ -1,4 +1,7 @@
-"""A chunk store: Parquet partitioned by collection, written in whole versions so that a job that dies leaves the last good one."""
+"""A chunk store: a folder of Parquet for each collection, written in versions so that a job that dies leaves the last good one.
+
+A change writes its own collection only. The version before stays for whoever still reads it; older ones are removed.
+"""
 
 from __future__ import annotations
 
@@ -21,36 +24,43 @@ class ChunkStore:
             raise ValueError(f"collection must be one of {KINDS}, not {kind!r}")
         return self.settings.disease_collection if kind == "disease" else self.settings.scheme_collection
 
-    def _versions(self) -> list[int]:
-        """Versions that were written to their end."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.base)
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        done = [str(s.getPath().getName()) for s in fs.listStatus(path) if fs.exists(s.getPath().suffix("/_SUCCESS"))]
-        return sorted(int(n[1:]) for n in done if n[:1] == "v" and n[1:].isdigit())
+    def _fs(self, path: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def read(self, kind: str | None = None) -> DataFrame:
-        """All chunks, or those of one collection (partition pruning)."""
-        versions = self._versions()
-        rows = self.spark.read.schema(CHUNKS).parquet(f"{self.base}/v{versions[-1]}") if versions else self.spark.createDataFrame([], CHUNKS)
-        columns = [f.split()[0] for f in CHUNKS.split(", ")]
-        return rows.select(*columns) if kind is None else rows.select(*columns).where(F.col("collection") == self.name(kind))
+    def _folders(self, path: str) -> list[str]:
+        fs, where = self._fs(path)
+        return sorted(str(s.getPath().getName()) for s in fs.listStatus(where) if s.isDirectory()) if fs.exists(where) else []
 
-    def _write(self, rows: DataFrame) -> None:
-        version = (self._versions() or [0])[-1] + 1
-        rows.write.partitionBy("collection").mode("overwrite").parquet(f"{self.base}/v{version}")
+    def _versions(self, collection: str) -> list[int]:
+        """Versions of a collection that were written to their end."""
+        fs, where = self._fs(f"{self.base}/{collection}")
+        return sorted(int(n[1:]) for n in self._folders(f"{self.base}/{collection}") if n[:1] == "v" and n[1:].isdigit() and fs.exists(where.suffix(f"/{n}/_SUCCESS")))
+
+    def read(self, kind: str | None = None) -> DataFrame:
+        """All chunks, or those of one collection, whose folder alone is read then."""
+        names = self._folders(self.base) if kind is None else [self.name(kind)]
+        last = [f"{self.base}/{n}/v{v[-1]}" for n in names if (v := self._versions(n))]
+        return self.spark.read.schema(CHUNKS).parquet(*last) if last else self.spark.createDataFrame([], CHUNKS)
+
+    def _write(self, rows: DataFrame, collection: str) -> None:
+        done = self._versions(collection)
+        rows.write.mode("overwrite").parquet(f"{self.base}/{collection}/v{(done or [0])[-1] + 1}")
+        for old in done[:-1]:
+            fs, where = self._fs(f"{self.base}/{collection}/v{old}")
+            fs.delete(where, True)
 
     def add(self, chunks: DataFrame, kind: str) -> DataFrame:
         """Upsert by chunk_id; of new rows with one id the last (by chunk_index) stays. Returns the ids. A missing id is ``<kind>_<chunk_index>``."""
         given = F.coalesce("chunk_id", F.concat(F.lit(f"{kind}_"), F.col("chunk_index").cast("string")))
-        self._write(upserted(self.read(), chunks.withColumns({"chunk_id": given, "collection": F.lit(self.name(kind))})))
+        self._write(upserted(self.read(kind), chunks.withColumns({"chunk_id": given, "collection": F.lit(self.name(kind))})), self.name(kind))
         return chunks.select(given.alias("chunk_id"))
 
     def drop(self, kind: str) -> None:
         """Drop one collection; anything but "disease" is the scheme one."""
         gone = self.name("disease" if kind == "disease" else "scheme")
-        self._write(self.read().where(F.col("collection") != gone))
+        if self._versions(gone):
+            self._write(self.spark.createDataFrame([], CHUNKS), gone)
 
     def stats(self) -> DataFrame:
         """collection, n for both collections, 0 where there is none."""
