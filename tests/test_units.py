@@ -1,5 +1,6 @@
 """Operators that SQL does not state: sequential searches, the splitter, stores, caches and streams."""
 
+import hashlib
 import math
 import random
 from datetime import datetime, timedelta
@@ -47,6 +48,29 @@ def test_preprocess(spark, raw, want):
     assert one(spark.createDataFrame([(raw,)], "t string").select(tx.preprocess_text(F.col("t")))) == want
 
 
+def test_keys_strip_all_white_space(spark):
+    texts = ["\thello  world\n", "hello world", "\u00a0\u2003hello world\u3000", "\x1chello \x0bworld\r\n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(tx.cache_key(F.col("t"))).collect()] == [t.strip().lower() for t in texts]
+    assert [r[0] for r in df.select(tx.prefix_key(F.col("t"), 8)).collect()] == [t[:8].lower().strip() for t in texts]
+    want = [hashlib.md5(" ".join(t.lower().split()).encode()).hexdigest() for t in texts]
+    assert [r[0] for r in df.select(tx.query_hash(F.col("t"))).collect()] == want and len(set(want)) == 1
+    assert [r[0] for r in df.select(tx.content_hash(F.col("t"))).collect()] == want
+    assert one(spark.createDataFrame([("\u2003Thanks\n",)], "q string").select(intent.greeting_key(F.col("q")))) == "thanks"
+
+
+def test_keys_and_their_sql(spark):
+    """On rows with tabs, line breaks and other scripts' spaces at the ends, as the test tables have none."""
+    import duckdb
+
+    from quern.plans.oracles import spaced, strip
+
+    texts = ["\ta b\n", " a  b ", "\u00a0a\u2003b\u3000", "\x1ca\x0bb\r", "", "a\u200bb"]
+    con = duckdb.connect()
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.stripped(F.col("t")), tx.spaced(F.col("t"))).collect()
+    assert [tuple(r) for r in got] == [con.execute(f"SELECT {strip('x')}, {spaced('x')} FROM (SELECT ?::VARCHAR AS x)", [t]).fetchone() for t in texts]
+
+
 def test_truncate_and_keys(spark):
     df = spark.createDataFrame([("one two three",), ("onetwothree",), ("short",)], "t string")
     assert [r[0] for r in df.select(tx.truncate_text(F.col("t"), 9)).collect()] == ["one two...", "onetwothr...", "short"]
@@ -66,10 +90,25 @@ def test_query_blocks_do_not_matter(spark, monkeypatch):
     monkeypatch.setattr(knn, "QUERY_BLOCK", 120)
     assert rows() == whole and len(whole) == 1500
     assert sorted(map(tuple, hybrid.retriever(vectors, 3)(queries).select("query_id", "vec_id", "rank").collect())) == whole
+    monkeypatch.setattr(knn, "PART_BYTES", 64 * 8 * 50)
+    assert rows() == whole
     with pytest.raises(ValueError):
         knn.nearest(vectors, queries, 3, "angular")
 
 
+def test_wide_columns_and_repeats(spark, monkeypatch):
+    """Texts are joined after the ranking; rows of one id, and repeated rows, come out each with its own."""
+    rows = [(1, [1.0], "a", 5), (1, [1.0], "b", 6), (2, [1.0], None, 7), (2, [1.0], None, 7), (3, [9.0], "far", 8)]
+    corpus = spark.createDataFrame(rows, "vec_id long, embedding array<double>, content string, page int")
+    queries = spark.createDataFrame([(q, [1.0]) for q in range(5)], "query_id long, query_vec array<double>")
+    want = sorted((q, i, str(t), p) for q in range(5) for i, _, t, p in rows[:4])
+    for block in (100, 2):
+        monkeypatch.setattr(knn, "QUERY_BLOCK", block)
+        got = knn.nearest(corpus, queries, 4)
+        assert got.columns == ["query_id", "vec_id", "content", "page", "distance", "rank", "score"]
+        assert sorted((r.query_id, r.vec_id, str(r.content), r.page) for r in got.collect()) == want
+
+
 @pytest.mark.parametrize("metric", ["l2sq", "cosine", "ip"])
 def test_nearest_edges(spark, metric, monkeypatch):
     monkeypatch.setattr(knn, "CELLS", 40)
@@ -87,6 +126,9 @@ def test_nearest_edges(spark, metric, monkeypatch):
                 near = sorted((round(far(v, e), 6), i) for i, e, k in rows if e and None not in e and len(e) == len(v) and far(v, e) is not None and kind in ("", str(k)))
                 want += [(q, kind, n + 1, i, d) for n, (d, i) in enumerate(near[:7])]
         assert got == sorted(want)
+        monkeypatch.setattr(knn, "QUERY_BLOCK", 1)
+        assert sorted((r.query_id, str(r.kind) if within else "", r["rank"], r.vec_id, r.distance) for r in knn.nearest(corpus, queries, 7, metric, within).collect()) == sorted(want)
+        monkeypatch.setattr(knn, "QUERY_BLOCK", 2000)
     assert knn.nearest(corpus, queries.limit(0), 3, metric).collect() == [] and knn.nearest(corpus.limit(0), queries, 3, metric).collect() == []
 
 
@@ -366,6 +408,8 @@ def test_store(spark, tmp_path):
     assert db.read("disease").where("content = 'new'").count() == 1 and db.read("scheme").where("chunk_id = 'scheme_0'").count() == 1
     db.drop("disease")
     assert db.read("disease").count() == 0 and db.read().count() == len(ids)
+    assert sorted(p.name for p in (tmp_path / "store" / "government_schemes").iterdir()) == ["v1"]  # a change of one collection leaves the other alone
+    assert sorted(p.name for p in (tmp_path / "store" / "citrus_diseases").iterdir()) == ["v2", "v3"]
     with pytest.raises(ValueError):
         db.read("other")
 
