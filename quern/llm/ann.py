@@ -1,19 +1,20 @@
 """Approximate nearest neighbours (largest inner product): a forest of random-projection trees.
 
 Fit: each tree has orthonormal random directions, one a level, and splits a node at the median of at most ``SAMPLE_FLOATS`` numbers'
-worth of sampled vectors (those of the smallest hashes of their ids). Every vector is routed to a leaf of every tree.
+worth of sampled vectors (those of the smallest hashes of their ids); where the sample has run out, at the level's median. Every vector is routed to a leaf of every tree.
 
 Search: all trees share one priority queue of nodes, ordered by the squared distance from the query to the node's
-cell; the cheapest ``SHARE`` x (leaves of a tree) leaves are taken, from whichever trees. A child costs no less than its parent and one
+cell; the cheapest ``probes`` leaves are taken, from whichever trees. A child costs no less than its parent and one
 child costs the same, so keeping that many nodes a level pops the same leaves as one queue would. Then exact
-reranking: every vector of these leaves is scored in double precision.
+reranking: every vector of these leaves is scored once in double precision.
 
-``SHARE`` is a share of the leaves, since the test vectors point evenly into all 64 dimensions and no index finds
-nine in ten of their neighbours in a fixed number of leaves; work then grows with queries times vectors. For clustered vectors
-give ``probes``, a fixed number.
+How many leaves: the fewest (in steps of a tenth) with which ``RECALL`` of the true neighbours of ``CALIBRATION`` queries lie in a leaf that is taken. Their true
+neighbours are found by one exact pass of these few queries over all vectors. So the work follows the data: clustered vectors need
+a few leaves a query, vectors that point evenly into all of 64 dimensions need most of a small table.
 
-Equal vectors are one entry with their K + 1 smallest ids, which is exact. Leaves are dealt in blocks of about
-``BLOCK_ROWS`` vectors; a fuller block is split and its queries go to each part. Queries stream past a block in batches.
+Layout: each vector is sent once, with its leaf of every tree, to the block of its cell in the first tree (blocks are bounded in bytes; a
+fuller one is split). A table of (leaf, block) says where a leaf's vectors are; a query goes to the blocks of its leaves, with these leaves.
+Equal vectors are one entry with their K + 1 smallest ids, which is exact, and equal queries are searched once.
 
 Defined cases: a vector that is null, zero, or holds a null, infinite or NaN component takes no part, nor does one of another length
 than the most common; repeated rows (same id and vector) count once; ties go to the smaller vec_id; fewer candidates
@@ -27,32 +28,40 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-K, TREES, LEAF_ROWS, SHARE, MAX_DEPTH = 20, 8, 64, 1.5, 16
-BLOCK_ROWS, MAX_BLOCK_ROWS = 32_768, 131_072
+K, TREES, LEAF_ROWS = 20, 8, 64
+#: Share of the sampled queries' true neighbours that the taken leaves hold, and the number of these queries.
+RECALL, CALIBRATION = 0.95, 64
+#: Vectors of one block, as doubles; a block over the second is split.
+BLOCK_BYTES, MAX_BLOCK_BYTES = 4 << 20, 16 << 20
 SAMPLE_ROWS, SAMPLE_FLOATS = 20_000, 2_000_000
 QUERY_BATCH, SLACK, SEED = 1024, 4, 23
-_ROWS = "part long, sub int, kind int, leaf int, ref long, vec array<double>, more array<long>"
-_FOUND = "query_id long, score double, ids array<long>"
+_FOUND = "h1 long, h2 long, score double, ids array<long>"
 
 
 class Forest:
-    """Directions (trees, depth, dim) and, for each tree and level, one threshold a node."""
+    """Directions (trees, depth, dim) and, for each tree and level, one threshold a node; a single one where the sample has run out."""
 
     def __init__(self, sample: np.ndarray, depth: int, trees: int = TREES, seed: int = SEED):
         rng = np.random.default_rng(seed)
         dim = sample.shape[1]
-        self.trees, self.depth = trees, min(depth, dim)
-        self.directions = np.stack([np.linalg.qr(rng.normal(size=(dim, dim)))[0][:, : self.depth].T for _ in range(trees)])
+        self.trees, self.depth = trees, depth
+        rotation = lambda: np.linalg.qr(rng.normal(size=(dim, dim)))[0].T
+        self.directions = np.stack([np.concatenate([rotation() for _ in range(-(-depth // dim))] or [np.zeros((0, dim))])[:depth] for _ in range(trees)])
         self.thresholds: list[list[np.ndarray]] = []
         for t in range(trees):
             along, node, levels = sample @ self.directions[t].T, np.zeros(len(sample), np.int64), []
             for level in range(self.depth):
-                cut = np.full(1 << level, float(np.median(along[:, level])) if len(sample) else 0.0)
+                middle = float(np.median(along[:, level])) if len(sample) else 0.0
+                if 4 << level > len(sample):
+                    levels.append(np.array([middle]))
+                    continue
+                cut = np.full(1 << level, middle)
                 order = np.argsort(node, kind="stable")
                 edges = np.flatnonzero(np.diff(node[order])) + 1
                 for members in np.split(order, edges):
@@ -68,9 +77,13 @@ class Forest:
         for t in range(self.trees):
             along = x @ self.directions[t].T
             for level, cut in enumerate(self.thresholds[t]):
-                out[t] = out[t] * 2 + (along[:, level] > cut[out[t]])
+                out[t] = out[t] * 2 + (along[:, level] > cut[np.minimum(out[t], len(cut) - 1)])
         return out
 
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        """(rows, trees): tree * 2**depth + leaf."""
+        return (self.leaves(x) + (np.arange(self.trees) << self.depth)[:, None]).T
+
     def nearest_leaves(self, q: np.ndarray, probes: int) -> np.ndarray:
         """(rows, at most probes) of tree * 2**depth + leaf: the first leaves that the shared queue pops."""
         n = len(q)
@@ -80,7 +93,7 @@ class Forest:
         rows = np.arange(n)[:, None]
         for level in range(self.depth):
             cuts = np.stack([levels[level] for levels in self.thresholds])
-            gap = along[rows, tree, level] - cuts[tree, node]
+            gap = along[rows, tree, level] - cuts[tree, np.minimum(node, cuts.shape[1] - 1)]
             cost = np.concatenate((cost + np.maximum(gap, 0) ** 2, cost + np.maximum(-gap, 0) ** 2), axis=1)
             node, tree = np.concatenate((node * 2, node * 2 + 1), axis=1), np.concatenate((tree, tree), axis=1)
             if cost.shape[1] > probes:
@@ -91,6 +104,17 @@ class Forest:
             node, tree = node[rows, keep], tree[rows, keep]
         return (tree << self.depth) + node
 
+    def probes_for(self, q: np.ndarray, owner: np.ndarray, neighbours: np.ndarray, recall: float) -> int:
+        """The fewest leaves, in steps of a tenth, of which ``recall`` of the neighbours (each of query ``owner``) lie in one."""
+        codes, probes, every = self.codes(neighbours), self.trees, self.trees << self.depth
+        while probes < every and len(codes):
+            popped = self.nearest_leaves(q, probes)
+            held = np.concatenate([np.isin(codes[owner == i], popped[i]).any(axis=1) for i in range(len(q))])
+            if held.mean() >= recall:
+                break
+            probes = min(every, probes + max(1, probes // 10))
+        return probes
+
 
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -98,115 +122,154 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, vec (doubles) of the vectors that take part, length not yet looked at."""
+    """vec_id, vec (floats as they are, anything else as doubles) of the vectors that take part, length not yet looked at."""
     v = F.col("vec")
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
-    out = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"))
+    out = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("vec"))
     return out.where(F.col("vec_id").isNotNull() & v.isNotNull() & F.forall(v, fine) & F.exists(v, lambda x: x != 0))
 
 
-def search(vectors: DataFrame, is_query: Column | None = None, k: int = K, share: float = SHARE, probes: int | None = None) -> DataFrame:
-    """query_id, rank, vec_id, score. ``is_query`` is a condition on vec_id."""
+def true_neighbours(entries: DataFrame, q: np.ndarray, own: list[int], k: int) -> DataFrame:
+    """query (its place), score, vec: the k best entries of a few queries by one pass over all; an entry of the query's own id alone is none."""
+    shared = entries.sparkSession.sparkContext.broadcast((q, own))
+    kind = entries.schema["vec"].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, own = shared.value
+        held: list[list] = [[] for _ in own]
+        for whole in batches:
+            for start in range(0, whole.num_rows, QUERY_BATCH):
+                batch = whole.slice(start, QUERY_BATCH)
+                x, ids = _matrix(batch.column("vec")), batch.column("ids")
+                ref, alone = batch.column("ref").to_numpy(), np.diff(ids.offsets.to_numpy()) == 1
+                scores = q @ x.T
+                for i, mine in enumerate(own):
+                    s = np.where(alone & (ref == mine), -np.inf, scores[i])
+                    best = np.argsort(-s, kind="stable")[:k]
+                    held[i] = sorted(held[i] + [(-float(s[j]), int(ref[j]), x[j]) for j in best.tolist() if s[j] > -np.inf], key=lambda r: r[:2])[:k]
+        flat = [(i, -s, v) for i, rows in enumerate(held) for s, _, v in rows]
+        if flat:
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in flat], pa.int32()), pa.array([r[1] for r in flat]), pa.array([r[2].tolist() for r in flat], pa.list_(pa.float64())).cast(pa.list_(pa.float32() if kind == "array<float>" else pa.float64()))], ["query", "score", "vec"])
+
+    best = Window.partitionBy("query").orderBy(F.desc("score"))
+    found = entries.select("vec", "ref", "ids").mapInArrow(run, f"query int, score double, vec {kind}")
+    return found.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k).select("query", "vec")
+
+
+def search(vectors: DataFrame, is_query: Column | None = None, k: int = K, recall: float = RECALL, probes: int | None = None, scored: Accumulator | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score. ``is_query`` is a condition on vec_id; ``probes`` sets the number of leaves a query; ``scored`` adds up the entries that are scored."""
     is_query = F.col("vec_id") % 20 == 0 if is_query is None else is_query
     spark = vectors.sparkSession
+    none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     fine = usable(vectors)
     common = fine.groupBy(F.size("vec").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
     if common is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return none
     dim = common.dim
-    fine = checkpointed(fine.where(F.size("vec") == dim).dropDuplicates(["vec_id", "vec"]))
+    # Two independent hashes name a vector, so that equal queries meet without carrying it.
+    fine = checkpointed(fine.where(F.size("vec") == dim).dropDuplicates(["vec_id", "vec"]).withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(1), "vec")}))
     by_vec = Window.partitionBy("vec").orderBy("vec_id")
     entries = fine.withColumn("at", F.row_number().over(by_vec)).where(F.col("at") <= k + 1).groupBy("vec").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     entries = checkpointed(entries.withColumn("ref", F.element_at("ids", 1)))
+    asking = fine.where(is_query)
+    few = asking.select("vec_id", "vec").orderBy(F.xxhash64("vec_id"), "vec_id").limit(CALIBRATION).toArrow()
+    if not few.num_rows:
+        return none
     n = entries.count()
-    depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(n, 1) / LEAF_ROWS))))
+    depth = max(0, math.ceil(math.log2(max(n, 1) / LEAF_ROWS)))
     take = min(SAMPLE_ROWS, max(1, SAMPLE_FLOATS // dim))
     sample = entries.orderBy(F.xxhash64("ref"), "ref").limit(take).select("vec").toArrow()
     forest = Forest(_matrix(sample.column("vec").combine_chunks()), depth)
-    depth = forest.depth
-    per_leaf = max(1, n >> depth)
-    block_bits = max(0, depth - max(0, int(math.log2(max(1, BLOCK_ROWS // per_leaf)))))
-    probes = max(1, math.ceil(share * (1 << depth))) if probes is None else probes
+    if probes is None:
+        q = _matrix(few.column("vec").combine_chunks())
+        near = true_neighbours(entries, q, few.column("vec_id").to_pylist(), k).toArrow()
+        probes = forest.probes_for(q, near.column("query").to_numpy(), _matrix(near.column("vec").combine_chunks()), recall)
+    bits = min(depth, max(0, math.ceil(math.log2(max(1, n * dim * 8 / BLOCK_BYTES)))))
+    room = max(1, MAX_BLOCK_BYTES // (dim * 8))
+    kind = fine.schema["vec"].dataType.simpleString()
     shared = spark.sparkContext.broadcast(forest)
-
-    def part_of(leaf: np.ndarray) -> np.ndarray:
-        return leaf >> (depth - block_bits)
+    part_of = lambda codes: codes[:, 0] >> (depth - bits)
 
     def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, QUERY_BATCH):
                 batch = whole.slice(start, QUERY_BATCH)
-                leaf = shared.value.leaves(_matrix(batch.column("vec"))) + (np.arange(TREES) << depth)[:, None]
-                for t in range(TREES):
-                    yield pa.RecordBatch.from_arrays([pa.array(part_of(leaf[t])), pa.array(leaf[t].astype(np.int32)), *(batch.column(c) for c in ("ref", "vec", "ids"))], ["part", "leaf", "ref", "vec", "more"])
+                codes = shared.value.codes(_matrix(batch.column("vec")))
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(codes.ravel()), TREES).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(part_of(codes)), *(batch.column(c) for c in ("ref", "vec", "ids")), lists], ["part", "ref", "vec", "ids", "codes"])
+
+    def places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            codes = shared.value.codes(_matrix(whole.column("vec")))
+            pairs = np.unique(np.stack((codes.ravel(), np.repeat(part_of(codes), TREES)), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["code", "part"])
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 128):
                 batch = whole.slice(start, 128)
-                leaf = np.sort(shared.value.nearest_leaves(_matrix(batch.column("vec")), probes), axis=1)
-                rows, parts, lists = [], [], []
-                for i, (own, part) in enumerate(zip(leaf, part_of(leaf))):
-                    for piece in np.split(np.arange(len(own)), np.flatnonzero(np.diff(part)) + 1):
-                        rows.append(i)
-                        parts.append(part[piece[0]])
-                        lists.append(own[piece])
-                at = pa.array(rows, pa.int64())
-                cuts = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in lists]))), pa.int32())
-                more = pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([np.zeros(0, np.int64), *lists])))
-                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), batch.column("vec_id").take(at), batch.column("vec").take(at), more], ["part", "ref", "vec", "more"])
-
-    placed = checkpointed(entries.mapInArrow(route, "part long, leaf int, ref long, vec array<double>, more array<long>"))
-    subs = F.ceil(F.col("rows") / MAX_BLOCK_ROWS).cast("int")
-    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("rows")).select("part", subs.alias("subs"))
-    rows = placed.join(sizes, "part").select("part", F.pmod(F.xxhash64("ref"), F.col("subs")).cast("int").alias("sub"), F.lit(0).alias("kind"), "leaf", "ref", "vec", "more")
-    asked = fine.where(is_query).select("vec_id", "vec").mapInArrow(ask, "part long, ref long, vec array<double>, more array<long>")
-    asked = asked.join(sizes, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), F.lit(1).alias("kind"), F.lit(-1).alias("leaf"), "ref", "vec", "more")
-    together = rows.unionByName(asked).repartition("part", "sub").sortWithinPartitions("part", "sub", "kind", "leaf")
-    found = together.mapInArrow(lambda batches: _rerank(batches, k), _FOUND)
-    each = found.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
-    each = each.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                popped = shared.value.nearest_leaves(_matrix(batch.column("vec")), probes)
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(popped.ravel()), popped.shape[1]).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column("h1"), batch.column("h2"), lists], ["h1", "h2", "codes"])
+
+    key = ["h1", "h2"]
+    placed = entries.mapInArrow(route, f"part long, ref long, vec {kind}, ids array<long>, codes array<long>")
+    where = entries.select("vec").mapInArrow(places, "code long, part long").distinct()
+    subs = F.ceil(F.count(F.lit(1)) / room).cast("int")
+    sizes = entries.select("vec", "ref", "ids").mapInArrow(route, f"part long, ref long, vec {kind}, ids array<long>, codes array<long>").groupBy("part").agg(subs.alias("subs"))
+    once = asking.groupBy(*key).agg(F.first("vec").alias("vec"))
+    popped = once.mapInArrow(ask, "h1 long, h2 long, codes array<long>").select(*key, F.explode("codes").alias("code"))
+    sent = popped.join(where, "code").groupBy(*key, "part").agg(F.collect_list("code").alias("codes")).join(sizes, "part").join(once, key)
+    rows = placed.join(sizes, "part").select("part", F.pmod(F.xxhash64("ref"), F.col("subs")).cast("int").alias("sub"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("h1"), F.col("ref").alias("h2"), "vec", "ids", "codes")
+    sent = sent.select("part", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), F.lit(1).alias("kind"), *key, "vec", F.lit(None).cast("array<long>").alias("ids"), "codes")
+    together = rows.unionByName(sent).repartition("part", "sub").sortWithinPartitions("part", "sub", "kind")
+    found = together.mapInArrow(lambda batches: _rerank(batches, k, scored), _FOUND)
+    each = found.select(*key, "score", F.explode("ids").alias("vec_id")).groupBy(*key, "vec_id").agg(F.max("score").alias("score"))
+    best = Window.partitionBy(*key).orderBy(F.desc("score"), "vec_id")
+    # A query leaves out its own id alone, so k + 1 are enough for all that share a vector.
+    first = each.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", "vec_id", "score"))).alias("best"))
+    answers = asking.select(F.col("vec_id").alias("query_id"), *key).join(first, key)
+    others = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    return answers.select("query_id", F.posexplode(others).alias("at", "one")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "one.vec_id", "one.score")
 
 
 class _Block:
-    """The vectors of one block, sorted by leaf."""
+    """The vectors of one block and, for every leaf, the rows that lie in it."""
 
-    def __init__(self, leaf: np.ndarray, ref: np.ndarray, x: np.ndarray, ids: pa.Array):
+    def __init__(self, ref: np.ndarray, x: np.ndarray, ids: pa.Array, codes: np.ndarray):
         self.ref, self.x, self.ids = ref, x, ids
-        self.names, self.first = np.unique(leaf, return_index=True)
-        self.first = np.append(self.first, len(leaf))
-
-    def answer(self, queries: np.ndarray, q: np.ndarray, leaves: pa.ListArray, k: int) -> pa.RecordBatch | None:
-        """Each query's best entries of the leaves it asks for, scored in a fixed order of summation."""
-        room = k + 1 + SLACK
-        flat = leaves.flatten().to_numpy(zero_copy_only=False)
-        owner = np.repeat(np.arange(len(queries)), np.diff(leaves.offsets.to_numpy(zero_copy_only=False)))
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
-        score, entry = np.full((len(queries), room), -np.inf), np.full((len(queries), room), -1, np.int64)
-        lo, hi = np.searchsorted(flat, self.names, "left"), np.searchsorted(flat, self.names, "right")
-        for i in np.flatnonzero(hi > lo).tolist():
-            who = owner[lo[i] : hi[i]]
-            a, b = int(self.first[i]), int(self.first[i + 1])
-            s = np.concatenate((score[who], q[who] @ self.x[a:b].T), axis=1)
-            e = np.concatenate((entry[who], np.broadcast_to(np.arange(a, b), (len(who), b - a))), axis=1)
-            keep = np.argpartition(-s, room - 1, axis=1)[:, :room]
-            least = np.take_along_axis(s, keep, 1).min(axis=1)
-            tied = np.flatnonzero((s >= least[:, None]).sum(axis=1) > room)
-            for r in tied[least[tied] > -np.inf].tolist():  # more entries than room tie at the edge: smallest ids stay
-                keep[r] = np.lexsort((self.ref[e[r]], -s[r]))[:room]
-            score[who], entry[who] = np.take_along_axis(s, keep, 1), np.take_along_axis(e, keep, 1)
-        row, col = np.nonzero(entry >= 0)
-        if not len(row):
-            return None
-        at = entry[row, col]
-        exact = (q[row] * self.x[at]).sum(axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(queries[row]), pa.array(exact), self.ids.take(pa.array(at))], ["query_id", "score", "ids"])
-
-
-def _rerank(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(codes.ravel(), kind="stable")
+        self.rows, flat = order // codes.shape[1], codes.ravel()[order]
+        self.names, first = np.unique(flat, return_index=True)
+        self.first = np.append(first, len(flat))
+
+    def candidates(self, leaves: np.ndarray) -> np.ndarray:
+        """Rows in any of these leaves, each once."""
+        at = np.searchsorted(self.names, leaves)
+        at = at[(at < len(self.names))]
+        at = at[np.isin(self.names[at], leaves)]
+        mask = np.zeros(len(self.ref), bool)
+        for a, b in zip(self.first[at].tolist(), self.first[at + 1].tolist()):
+            mask[self.rows[a:b]] = True
+        return np.flatnonzero(mask)
+
+    def best(self, q: np.ndarray, leaves: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Rows of the best entries, their scores in a fixed order of summation, and how many were scored."""
+        own = self.candidates(leaves)
+        near, room = self.x[own] @ q, k + 1 + SLACK
+        if len(own) > room:
+            least = np.partition(near, len(near) - room)[len(near) - room]
+            pick = np.flatnonzero(near >= least)
+            if len(pick) > room:  # ties at the edge: the smallest ids stay
+                pick = pick[np.lexsort((self.ref[own[pick]], -near[pick]))[:room]]
+        else:
+            pick = np.arange(len(own))
+        rows = own[pick]
+        return rows, (q[None, :] * self.x[rows]).sum(axis=1), len(own)
+
+
+def _rerank(batches: Iterable[pa.RecordBatch], k: int, scored: Accumulator | None) -> Iterator[pa.RecordBatch]:
     """Rows of blocks, each block's vectors before its queries, to each query's best entries."""
     key, held, block = None, [], None
     for whole in batches:
@@ -225,10 +288,14 @@ def _rerank(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             if block is None and held:
                 t = pa.Table.from_batches(held).combine_chunks()
                 column = lambda c: t.column(c).combine_chunks()  # noqa: B023, E731
-                block = _Block(column("leaf").to_numpy(), column("ref").to_numpy(), _matrix(column("vec")), column("more"))
+                block = _Block(column("h2").to_numpy(), _matrix(column("vec")), column("ids"), column("codes").flatten().to_numpy().reshape(t.num_rows, -1))
                 held = []
-            for start in range(0, run.num_rows, QUERY_BATCH):
-                batch = run.slice(start, QUERY_BATCH)
-                more = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in batch.column("more")])), pa.int32()), batch.column("more").flatten())
-                if block is not None and (out := block.answer(batch.column("ref").to_numpy(), _matrix(batch.column("vec")), more, k)) is not None:
-                    yield out
+            if block is None:
+                continue
+            q, leaves = _matrix(run.column("vec")), run.column("codes")
+            found = [block.best(q[i], leaves[i].values.to_numpy(), k) for i in range(run.num_rows)]
+            if scored is not None:
+                scored.add(sum(f[2] for f in found))
+            who = pa.array(np.repeat(np.arange(run.num_rows), [len(f[0]) for f in found]))
+            at, scores = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+            yield pa.RecordBatch.from_arrays([run.column("h1").take(who), run.column("h2").take(who), pa.array(scores), block.ids.take(pa.array(at))], ["h1", "h2", "score", "ids"])

@@ -59,8 +59,8 @@ def test_split_blocks_give_the_same(spark, monkeypatch):
     data = [(i, rng.normal(size=8).tolist()) for i in range(900)]
     table = spark.createDataFrame(data, "vec_id long, embedding array<double>")
     want = brute(dict(data), 5)
-    monkeypatch.setattr(ann, "MAX_BLOCK_ROWS", 50)
-    monkeypatch.setattr(ann, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(ann, "MAX_BLOCK_BYTES", 50 * 8 * 8)
+    monkeypatch.setattr(ann, "BLOCK_BYTES", 100 * 8 * 8)
     got = answers(ann.search(table, k=5, probes=10_000))
     assert {q: [v for _, v, _ in a] for q, a in got.items()} == {q: [j for _, j in v] for q, v in want.items()}
 
@@ -75,3 +75,43 @@ def test_shared_queue_pops_the_cheapest_leaves():
     home = forest.leaves(q) + (np.arange(3) << 5)[:, None]
     few = forest.nearest_leaves(q, 12)
     assert all(set(home[:, i].tolist()) <= set(few[i].tolist()) for i in range(40))
+
+
+def recall(got, ids, x):
+    hits = 0
+    for q, found in got.items():
+        s = x @ x[ids == q][0]
+        s[ids == q] = -np.inf
+        hits += len(set(ids[np.lexsort((ids, -s))[:20]].tolist()) & {v for _, v, _ in found})
+    return hits / (20 * len(got))
+
+
+def test_clustered_vectors_need_few_leaves(spark):
+    """An index has to do less than exact search where the data allow it: here under a tenth of it, at two sizes."""
+    for n in (4000, 16000):
+        rng = np.random.default_rng(7)
+        middle = rng.normal(size=(n // 100, 16))
+        x = (middle[rng.integers(0, len(middle), n)] + rng.normal(size=(n, 16)) * 0.1).astype(np.float32).astype(float)
+        ids, scored = np.arange(n), spark.sparkContext.accumulator(0)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        got = answers(ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), scored=scored))
+        assert len(got) == n // 20 and recall(got, ids, x) >= 0.9
+        assert scored.value < 0.1 * n * len(got)
+
+
+def test_depth_follows_the_data():
+    """Deeper than the dimensions, and than the sample has nodes for: leaves go on splitting, thresholds stay bounded."""
+    x = np.random.default_rng(2).normal(size=(2000, 3))
+    forest = ann.Forest(x, 20, trees=2)
+    assert forest.depth == 20 and sum(c.size for t in forest.thresholds for c in t) < 4 * len(x)
+    assert len(np.unique(forest.leaves(x)[0])) > 1000
+    home = forest.codes(x[:50])
+    assert all(set(h) <= set(p) for h, p in zip(home.tolist(), forest.nearest_leaves(x[:50], 40).tolist()))
+
+
+def test_many_equal_queries(spark):
+    """A third of all rows share one vector: they are one entry and one query, and every id gets its own answer."""
+    rng = np.random.default_rng(4)
+    rows = {i: ([1.0, 2.0, 3.0, 4.0] if i % 3 == 0 else rng.normal(size=4).tolist()) for i in range(600)}
+    got = answers(ann.search(spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>"), k=5, probes=10_000))
+    assert {q: [v for _, v, _ in a] for q, a in got.items()} == {q: [j for _, j in v] for q, v in brute(rows, 5).items()}
