@@ -13,7 +13,8 @@ neighbours are found by one exact pass of these few queries over all vectors. So
 a few leaves a query, vectors that point evenly into all of 64 dimensions need most of a small table.
 
 Layout: each vector is sent once, with its leaf of every tree, to the block of its cell in the first tree (blocks are bounded in bytes; a
-fuller one is split). A table of (leaf, block) says where a leaf's vectors are; a query goes to the blocks of its leaves, with these leaves.
+fuller one is split). A table of (cell, block) says where the vectors of each upper cell of every tree are; a query goes to the blocks of its leaves' cells, with
+its leaves as a list or, where they are many, a bit for each leaf.
 Equal vectors are one entry with their K + 1 smallest ids, which is exact, and equal queries are searched once.
 
 Defined cases: a vector that is null, zero, or holds a null, infinite or NaN component takes no part, nor does one of another length
@@ -41,6 +42,8 @@ RECALL, CALIBRATION = 0.95, 64
 BLOCK_BYTES, MAX_BLOCK_BYTES = 4 << 20, 16 << 20
 SAMPLE_ROWS, SAMPLE_FLOATS = 20_000, 2_000_000
 QUERY_BATCH, SLACK, SEED = 1024, 4, 23
+#: Levels of the table's cells below those of the blocks.
+FINER = 2
 _FOUND = "h1 long, h2 long, score double, ids array<long>"
 
 
@@ -189,6 +192,7 @@ def search(vectors: DataFrame, is_query: Column | None = None, k: int = K, recal
     room = max(1, MAX_BLOCK_BYTES // (dim * 8))
     kind = fine.schema["vec"].dataType.simpleString()
     shared = spark.sparkContext.broadcast(forest)
+    below = depth - min(depth, bits + FINER)
     part_of = lambda codes: codes[:, 0] >> (depth - bits)
 
     def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,27 +206,26 @@ def search(vectors: DataFrame, is_query: Column | None = None, k: int = K, recal
     def places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             codes = shared.value.codes(_matrix(whole.column("vec")))
-            pairs = np.unique(np.stack((codes.ravel(), np.repeat(part_of(codes), TREES)), axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["code", "part"])
+            pairs = np.unique(np.stack((codes.ravel() >> below, np.repeat(part_of(codes), TREES)), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["cell", "part"])
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 128):
                 batch = whole.slice(start, 128)
                 popped = shared.value.nearest_leaves(_matrix(batch.column("vec")), probes)
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(popped.ravel()), popped.shape[1]).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("h1"), batch.column("h2"), lists], ["h1", "h2", "codes"])
+                cells = pa.array([np.unique(row >> below) for row in popped], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("h1", "h2", "vec")), cells, pa.array([packed(row, TREES << depth) for row in popped], pa.binary())], ["h1", "h2", "vec", "cells", "leaves"])
 
     key = ["h1", "h2"]
     placed = entries.mapInArrow(route, f"part long, ref long, vec {kind}, ids array<long>, codes array<long>")
-    where = entries.select("vec").mapInArrow(places, "code long, part long").distinct()
-    subs = F.ceil(F.count(F.lit(1)) / room).cast("int")
-    sizes = entries.select("vec", "ref", "ids").mapInArrow(route, f"part long, ref long, vec {kind}, ids array<long>, codes array<long>").groupBy("part").agg(subs.alias("subs"))
-    once = asking.groupBy(*key).agg(F.first("vec").alias("vec"))
-    popped = once.mapInArrow(ask, "h1 long, h2 long, codes array<long>").select(*key, F.explode("codes").alias("code"))
-    sent = popped.join(where, "code").groupBy(*key, "part").agg(F.collect_list("code").alias("codes")).join(sizes, "part").join(once, key)
-    rows = placed.join(sizes, "part").select("part", F.pmod(F.xxhash64("ref"), F.col("subs")).cast("int").alias("sub"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("h1"), F.col("ref").alias("h2"), "vec", "ids", "codes")
-    sent = sent.select("part", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), F.lit(1).alias("kind"), *key, "vec", F.lit(None).cast("array<long>").alias("ids"), "codes")
+    where = entries.select("vec").mapInArrow(places, "cell long, part long").distinct()
+    sizes = placed.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / room).cast("int").alias("subs"))
+    once = checkpointed(asking.groupBy(*key).agg(F.first("vec").alias("vec")).mapInArrow(ask, f"h1 long, h2 long, vec {kind}, cells array<long>, leaves binary"))
+    visits = once.select(*key, F.explode("cells").alias("cell")).join(where, "cell").select(*key, "part").distinct()
+    sent = visits.join(sizes, "part").join(once.drop("cells"), key)
+    rows = placed.join(sizes, "part").select("part", F.pmod(F.xxhash64("ref"), F.col("subs")).cast("int").alias("sub"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("h1"), F.col("ref").alias("h2"), "vec", "ids", "codes", F.lit(None).cast("binary").alias("leaves"))
+    sent = sent.select("part", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), F.lit(1).alias("kind"), *key, "vec", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<long>").alias("codes"), "leaves")
     together = rows.unionByName(sent).repartition("part", "sub").sortWithinPartitions("part", "sub", "kind")
     found = together.mapInArrow(lambda batches: _rerank(batches, k, scored), _FOUND)
     each = found.select(*key, "score", F.explode("ids").alias("vec_id")).groupBy(*key, "vec_id").agg(F.max("score").alias("score"))
@@ -234,27 +237,35 @@ def search(vectors: DataFrame, is_query: Column | None = None, k: int = K, recal
     return answers.select("query_id", F.posexplode(others).alias("at", "one")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "one.vec_id", "one.score")
 
 
+def packed(leaves: np.ndarray, every: int) -> bytes:
+    """A byte that tells the form, then the sorted leaves or, where that is shorter, a bit for each leaf there is."""
+    if len(leaves) * 64 < every:
+        return b"l" + np.sort(leaves).astype(np.int64).tobytes()
+    bits = np.zeros(every, bool)
+    bits[leaves] = True
+    return b"b" + np.packbits(bits).tobytes()
+
+
 class _Block:
     """The vectors of one block and, for every leaf, the rows that lie in it."""
 
     def __init__(self, ref: np.ndarray, x: np.ndarray, ids: pa.Array, codes: np.ndarray):
-        self.ref, self.x, self.ids = ref, x, ids
+        self.ref, self.x, self.ids, self.codes = ref, x, ids, codes
         order = np.argsort(codes.ravel(), kind="stable")
         self.rows, flat = order // codes.shape[1], codes.ravel()[order]
         self.names, first = np.unique(flat, return_index=True)
         self.first = np.append(first, len(flat))
 
-    def candidates(self, leaves: np.ndarray) -> np.ndarray:
-        """Rows in any of these leaves, each once."""
-        at = np.searchsorted(self.names, leaves)
-        at = at[(at < len(self.names))]
-        at = at[np.isin(self.names[at], leaves)]
-        mask = np.zeros(len(self.ref), bool)
-        for a, b in zip(self.first[at].tolist(), self.first[at + 1].tolist()):
-            mask[self.rows[a:b]] = True
-        return np.flatnonzero(mask)
-
-    def best(self, q: np.ndarray, leaves: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    def candidates(self, leaves: bytes) -> np.ndarray:
+        """Rows in any of the packed leaves, each once."""
+        if leaves[:1] == b"b":
+            return np.flatnonzero(np.unpackbits(np.frombuffer(leaves, np.uint8, offset=1)).view(bool)[self.codes].any(axis=1))
+        wanted = np.frombuffer(leaves, np.int64, offset=1)
+        at = np.searchsorted(self.names, wanted)
+        at = at[self.names[np.minimum(at, len(self.names) - 1)] == wanted]
+        return np.unique(np.concatenate([np.zeros(0, np.int64), *(self.rows[a:b] for a, b in zip(self.first[at].tolist(), self.first[at + 1].tolist()))]))
+
+    def best(self, q: np.ndarray, leaves: bytes, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         """Rows of the best entries, their scores in a fixed order of summation, and how many were scored."""
         own = self.candidates(leaves)
         near, room = self.x[own] @ q, k + 1 + SLACK
@@ -292,8 +303,7 @@ def _rerank(batches: Iterable[pa.RecordBatch], k: int, scored: Accumulator | Non
                 held = []
             if block is None:
                 continue
-            q, leaves = _matrix(run.column("vec")), run.column("codes")
-            found = [block.best(q[i], leaves[i].values.to_numpy(), k) for i in range(run.num_rows)]
+            found = [block.best(q, leaves, k) for q, leaves in zip(_matrix(run.column("vec")), run.column("leaves").to_pylist())]
             if scored is not None:
                 scored.add(sum(f[2] for f in found))
             who = pa.array(np.repeat(np.arange(run.num_rows), [len(f[0]) for f in found]))
