@@ -43,7 +43,7 @@ BLOCK_BYTES, MAX_BLOCK_BYTES = 4 << 20, 16 << 20
 SAMPLE_ROWS, SAMPLE_FLOATS = 20_000, 2_000_000
 QUERY_BATCH, SLACK, SEED = 1024, 4, 23
 #: Levels of the table's cells below those of the blocks.
-FINER = 2
+FINER = 1
 _FOUND = "h1 long, h2 long, score double, ids array<long>"
 
 
@@ -219,10 +219,10 @@ def search(vectors: DataFrame, is_query: Column | None = None, k: int = K, recal
 
     key = ["h1", "h2"]
     placed = entries.mapInArrow(route, f"part long, ref long, vec {kind}, ids array<long>, codes array<long>")
-    where = entries.select("vec").mapInArrow(places, "cell long, part long").distinct()
+    where = entries.select("vec").mapInArrow(places, "cell long, part long").groupBy("cell").agg(F.collect_set("part").alias("parts"))
     sizes = placed.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / room).cast("int").alias("subs"))
     once = checkpointed(asking.groupBy(*key).agg(F.first("vec").alias("vec")).mapInArrow(ask, f"h1 long, h2 long, vec {kind}, cells array<long>, leaves binary"))
-    visits = once.select(*key, F.explode("cells").alias("cell")).join(where, "cell").select(*key, "part").distinct()
+    visits = once.select(*key, F.explode("cells").alias("cell")).join(where, "cell").groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_list("parts"))).alias("parts")).select(*key, F.explode("parts").alias("part"))
     sent = visits.join(sizes, "part").join(once.drop("cells"), key)
     rows = placed.join(sizes, "part").select("part", F.pmod(F.xxhash64("ref"), F.col("subs")).cast("int").alias("sub"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("h1"), F.col("ref").alias("h2"), "vec", "ids", "codes", F.lit(None).cast("binary").alias("leaves"))
     sent = sent.select("part", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), F.lit(1).alias("kind"), *key, "vec", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<long>").alias("codes"), "leaves")
