@@ -40,10 +40,13 @@ def small(df: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder in ``spark.checkpoint.dir``; in a session without one, a folder of its own."""
+    """The shared folder in ``spark.checkpoint.dir``; a local session without one gets a folder of its own, any other an error, as its executors would not see it."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-checkpoints-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quern-checkpoints-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
