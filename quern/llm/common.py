@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -10,19 +9,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quern.sources.tables import spread
+from quern.sources.tables import checkpoint_folder, spread
 
 #: Bytes of text that one vectorised step works on; its temporary arrays take some 80 times as much.
 PIECE_BYTES = 1 << 20
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Point checkpoints at the shared folder in ``spark.checkpoint.dir``; only where it is unset, at a folder of this session's own."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-checkpoints-"))
+    """Point checkpoints at the shared folder in ``spark.checkpoint.dir``; a local session without it gets a folder of its own, any other an error."""
+    checkpoint_folder(spark)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -33,8 +30,32 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder's path under the checkpoint folder; executors and driver all see it."""
-    ensure_checkpoints(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tables-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/tables-{uuid.uuid4().hex}"
+
+
+def dropped(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that :func:`shared_folder` named, whose tables nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Keys that :func:`join_hot` broadcasts at most, and the rows that any of them has more than.
+HOT_KEYS, HOT_LEAST = 10_000, 1000
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], rows: str) -> DataFrame:
+    """Inner join of many rows with one row a key, of which some may stand for a large part of ``left``.
+
+    ``right``'s column ``rows`` says how many rows of ``left`` have the key. Keys with over 1/HOT_KEYS of all rows are at most HOT_KEYS, so they are broadcast, whatever the size
+    of the data; the others are shuffled. Both sides are read more than once: pass written tables.
+    """
+    total = right.agg(F.coalesce(F.sum(rows), F.lit(0)).alias("n")).first().n
+    least = max(HOT_LEAST, total // HOT_KEYS)
+    hot, cold = right.where(F.col(rows) > least).drop(rows), right.where(F.col(rows) <= least).drop(rows)
+    if hot.isEmpty():
+        return left.join(cold, on)
+    rest = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on)
+    return rest.unionByName(left.join(F.broadcast(hot), on))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,7 +9,8 @@ segment of the address | language).
 * Declared: the lang attribute of the html tag. Address: a path segment such as /fr/.
 * Host prior: each page votes for languages by its own evidence; votes are summed by host in a grouped aggregation, and smoothed
   towards the host's domain, that towards its address suffix (com, de, ...), and that towards all pages. So a suffix
-  speaks through what its pages are.
+  speaks through what its pages are. A page's own vote is taken out of all four sums before they become its prior: its evidence counts once.
+  Hosts of a large part of all pages are joined by broadcast (at most ``common.HOT_KEYS`` of them), the others by shuffle.
 
 Defined cases: null html has no text and declares nothing; a null url has an empty host, domain and suffix; unknown declared
 languages are no evidence; no labelled document at all gives null languages; repeated rows vote and come out as often as
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import checkpointed, map_pieces, utf8
+from .common import checkpointed, join_hot, map_pieces, utf8
 from .url_filter import host_and_path
 
 TRAIN_DOCS, LANGUAGE_DOCS, BUCKETS = 4000, 200, 1 << 14
@@ -145,25 +146,29 @@ def normal(logs: Column) -> Column:
     return F.transform(raised, lambda x: x / total)
 
 
-def host_priors(own: DataFrame, n: int) -> DataFrame:
-    """host, prior (array by language). Grouped sums of votes by host, domain, suffix and all, each smoothed by the next."""
+def host_votes(own: DataFrame, n: int) -> DataFrame:
+    """host, pages, votes: sums of votes by language of the host, its domain, its suffix and all pages, as four arrays. Grouped aggregations, each of the one before."""
     votes = own.select("host", "domain", "suffix", normal(F.col("own")).alias("v"))
-    hosts = votes.groupBy("host", "domain", "suffix").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(n)])
-    domains = hosts.groupBy("domain", "suffix").agg(*[F.sum(f"v{i}").alias(f"d{i}") for i in range(n)])
+    hosts = votes.groupBy("host", "domain", "suffix").agg(F.count(F.lit(1)).alias("pages"), *[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(n)])
+    packed = lambda letter: F.array(*[f"{letter}{i}" for i in range(n)])
+    hosts = checkpointed(hosts)
+    domains = checkpointed(hosts.groupBy("domain", "suffix").agg(*[F.sum(f"v{i}").alias(f"d{i}") for i in range(n)]))
     suffixes = domains.groupBy("suffix").agg(*[F.sum(f"d{i}").alias(f"s{i}") for i in range(n)])
-    everywhere = suffixes.agg(*[F.sum(f"s{i}").alias(f"a{i}") for i in range(n)])
-    add = lambda letter: sum((F.col(f"{letter}{i}") for i in range(1, n)), F.col(f"{letter}0"))
-
-    def smoothed(rows: DataFrame, letter: str, above: str, keep: list[str]) -> DataFrame:
-        total = add(letter)
-        return rows.select(*keep, *[((F.col(f"{letter}{i}") + PRIOR_VOTES * F.col(f"p{above}{i}")) / (total + PRIOR_VOTES)).alias(f"p{letter}{i}") for i in range(n)])
-
-    total = add("a")
-    top = everywhere.select(*[((F.col(f"a{i}") + 1.0) / (total + float(n))).alias(f"pa{i}") for i in range(n)])
-    by_suffix = smoothed(suffixes.join(F.broadcast(top), F.lit(True)), "s", "a", ["suffix"])
-    by_domain = smoothed(domains.join(by_suffix, "suffix"), "d", "s", ["domain"])
-    by_host = smoothed(hosts.join(by_domain, "domain"), "v", "d", ["host"])
-    return by_host.select("host", F.array(*[f"pv{i}" for i in range(n)]).alias("prior"))
+    everywhere = domains.agg(*[F.sum(f"d{i}").alias(f"a{i}") for i in range(n)]).select(packed("a").alias("a"))  # one row
+    joined = hosts.select("host", "domain", "suffix", "pages", packed("v").alias("v")).join(domains.select("domain", packed("d").alias("d")), "domain").join(suffixes.select("suffix", packed("s").alias("s")), "suffix")
+    return checkpointed(joined.join(F.broadcast(everywhere), F.lit(True)).select("host", "pages", F.struct("v", "d", "s", "a").alias("votes")))
+
+
+def prior(own: Column, votes: Column, n: int) -> Column:
+    """A page's prior: each level's votes without its own, smoothed by the level above; all pages by one vote a language."""
+    mine = normal(own)
+    others = lambda level: F.zip_with(level, mine, lambda x, y: F.greatest(x - y, F.lit(0.0)))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+    smoothed = lambda level, above, weight: F.transform(F.zip_with(level, above, lambda x, p: x + weight * p), lambda x: x / (total(level) + weight))
+    out = smoothed(others(votes["a"]), F.array_repeat(F.lit(1.0 / n), n), float(n))
+    for level in ("s", "d", "v"):
+        out = smoothed(others(votes[level]), out, PRIOR_VOTES)
+    return out
 
 
 def language_id(pages: DataFrame, docs: DataFrame) -> DataFrame:
@@ -173,7 +178,7 @@ def language_id(pages: DataFrame, docs: DataFrame) -> DataFrame:
     n = len(model.languages)
     if not n:
         return own.select("page_id", "host", "declared", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("posterior"), F.lit(None).cast("double").alias("prior_share"))
-    joined = own.join(host_priors(own, n), "host")
+    joined = join_hot(own, host_votes(own, n), ["host"], "pages").withColumn("prior", prior(F.col("own"), F.col("votes"), n))
     post = normal(F.zip_with("own", "prior", lambda e, p: e + F.log(p)))
     best = F.array_max(F.transform("post", lambda p, i: F.struct(p.alias("p"), (-i).alias("i"))))
     names = F.array(*map(F.lit, model.languages))

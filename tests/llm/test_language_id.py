@@ -25,16 +25,15 @@ def brute(rows, model):
         own.append(log - log.max())
         keys.append((host, ".".join(host.split(".")[-2:]), host.split(".")[-1]))
     votes = [np.exp(o) / np.exp(o).sum() for o in own]
-    total = np.sum(votes, axis=0)
-    top = (total + 1) / (total.sum() + n)
-
-    def level(at, key, above):
-        got = np.sum([v for v, k in zip(votes, keys) if k[at] == key], axis=0)
+    def level(at, key, above, me):
+        got = np.sum([np.zeros(n)] + [v for i, (v, k) in enumerate(zip(votes, keys)) if k[at] == key and i != me], axis=0)
         return (got + li.PRIOR_VOTES * above) / (got.sum() + li.PRIOR_VOTES)
 
     out = {}
-    for (page, _, _), o, (host, domain, suffix) in zip(rows, own, keys):
-        prior = level(0, host, level(1, domain, level(2, suffix, top)))
+    for me, ((page, _, _), o, (host, domain, suffix)) in enumerate(zip(rows, own, keys)):
+        total = np.sum(votes, axis=0) - votes[me]
+        top = (total + 1) / (total.sum() + n)
+        prior = level(0, host, level(1, domain, level(2, suffix, top, me), me), me)
         post = np.exp(o) * prior
         out[page] = (model.languages[int(np.argmax(post))], post.max() / post.sum())
     return out
@@ -81,3 +80,18 @@ def test_rare_languages_are_possible_answers(spark):
     assert li.fitted(docs, rows=20).languages == sorted([*names, "en"])
     pages = spark.createDataFrame([(n, f"https://{x}.example.{x}/{x}/a", f'<html lang="{x}"><p>{x}{x} {x} of {x}</p></html>') for n, x in enumerate(names)], "page_id long, url string, html string")
     assert {r.page_id: r.lang for r in li.language_id(pages, docs).collect()} == dict(enumerate(names))
+
+
+def test_a_page_does_not_vote_for_itself(spark, tables):
+    _, docs = tables
+    rows = [(1, "http://only.example.xx/a", '<html lang="fr">')]
+    (row,) = li.language_id(spark.createDataFrame(rows, "page_id long, url string, html string"), docs).collect()
+    assert row.lang == "fr" and row.prior_share == round(1 / 4, 6)
+
+
+def test_hot_hosts_join_alike(tables, monkeypatch):
+    pages, docs = tables
+    rows = lambda: sorted(map(str, li.language_id(pages, docs).collect()))
+    want = rows()
+    monkeypatch.setattr("quern.llm.common.HOT_LEAST", 5)
+    assert rows() == want
