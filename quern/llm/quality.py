@@ -5,7 +5,8 @@ and two pooled ones: words all in capitals, and a token that repeats the one bef
 root of its number of features, so a score is one sparse dot product.
 
 Training reads at most ``TRAIN_ROWS`` labelled rows, those of the smallest hash of their doc_id among the rows whose crc32(doc_id) mod 5 is
-not 0, and the whole texts of these. Labels, lang, source and doc_id are no inputs of a score.
+not 0, and the whole text of each (where a doc_id has several, the one whose features are least as bytes), so copies neither weigh more nor are gathered. They
+stream past one task, once an epoch; a document travels as its distinct features and their counts. Labels, lang, source and doc_id are no inputs of a score.
 
 Defined cases: null and empty texts score by the intercept alone; rows without labels score like any other; no labelled
 row at all gives every text the score 0.5; a null doc_id is not held out; repeated rows come out as often as they go in; other
@@ -71,46 +72,54 @@ def features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return table[there], counts[first]
 
 
-def train(rows: list[tuple[int, np.ndarray]]) -> np.ndarray:
-    """Weights after EPOCHS passes of per-coordinate FTRL-proximal updates over (label, feature occurrences)."""
-    z, n = np.zeros(BUCKETS + 3), np.zeros(BUCKETS + 3)
+class Learner:
+    """Per-coordinate FTRL-proximal logistic regression."""
 
-    def weight(i: np.ndarray) -> np.ndarray:
-        shrunk = np.sign(z[i]) * np.maximum(np.abs(z[i]) - np.where(i == _INTERCEPT, 0, L1), 0)
-        return -shrunk / ((BETA + np.sqrt(n[i])) / ALPHA + L2)
+    def __init__(self):
+        self.z, self.n = np.zeros(BUCKETS + 3), np.zeros(BUCKETS + 3)
 
-    samples = []
-    for label, seen in rows:
-        i, count = np.unique(seen, return_counts=True)
-        samples.append((label, np.append(i, _INTERCEPT), np.append(count / np.sqrt(max(len(seen), 1)), 1.0)))
-    for _ in range(EPOCHS):
-        for label, i, x in samples:
-            w = weight(i)
-            g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - label) * x
-            step = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / ALPHA
-            z[i] += g - step * w
-            n[i] += g * g
-    return weight(np.arange(BUCKETS + 3))
+    def weight(self, i: np.ndarray) -> np.ndarray:
+        z = self.z[i]
+        shrunk = np.sign(z) * np.maximum(np.abs(z) - np.where(i == _INTERCEPT, 0, L1), 0)
+        return -shrunk / ((BETA + np.sqrt(self.n[i])) / ALPHA + L2)
+
+    def update(self, label: int, i: np.ndarray, count: np.ndarray) -> None:
+        """One document: its distinct features and how often each occurs."""
+        x = np.append(count / np.sqrt(max(count.sum(), 1)), 1.0)
+        i = np.append(i, _INTERCEPT)
+        w, n = self.weight(i), self.n[i]
+        g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - label) * x
+        self.z[i] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / ALPHA * w
+        self.n[i] += g * g
 
 
 def fitted(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray:
     """Weights of a model of the labelled rows that are not held out."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("doc_id is not null and label is not null")
     chosen = usable.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.distinct()), "doc_id")
 
     def listed(piece: pa.RecordBatch) -> pa.RecordBatch:
         seen, first = features(*utf8(piece.column("text")))
-        raw = [seen[a:b].astype(np.int32).tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+        raw = []
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+            i, count = np.unique(seen[a:b], return_counts=True)
+            raw.append(np.concatenate((i, count)).astype(np.int32).tobytes())
         return pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("label"), pa.array(raw, pa.binary())], ["doc_id", "label", "seen"])
 
     def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(label, np.frombuffer(seen, np.int32)) for b in batches for label, seen in zip(b.column("label").to_pylist(), b.column("seen").to_pylist())]
-        if got:
-            yield pa.RecordBatch.from_arrays([pa.array([train(got).astype(np.float32).tobytes()], pa.binary())], ["weights"])
-
-    found = map_pieces(texts, "text", listed, "doc_id long, label int, seen binary")
-    ordered = found.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "label", "seen")
+        model, some = Learner(), False
+        for batch in batches:
+            for label, seen in zip(batch.column("label").to_pylist(), batch.column("seen")):
+                i, count = np.frombuffer(seen.as_buffer(), np.int32).reshape(2, -1)
+                model.update(label, i, count)
+                some = True
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([model.weight(np.arange(BUCKETS + 3)).astype(np.float32).tobytes()], pa.binary())], ["weights"])
+
+    found = map_pieces(texts, "text", listed, "doc_id long, label int, seen binary").groupBy("doc_id", "label").agg(F.min("seen").alias("seen"))
+    passes = found.select("*", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))).alias("epoch"))
+    ordered = passes.repartition(1).sortWithinPartitions("epoch", F.xxhash64("doc_id"), "doc_id", "label")
     got = ordered.mapInArrow(learn, "weights binary").collect()
     return np.frombuffer(bytes(got[0].weights), np.float32).astype(np.float64) if got else np.zeros(BUCKETS + 3)
 
