@@ -8,10 +8,11 @@
    carry-save counters (ones, twos, more) add a differing bit of 64 fingerprints at once, and a block of them is
    abandoned when all its distances exceed the radius. Each fingerprint yields one edge to its component in the group,
    never all pairs.
-5. A group of over ``MAX_GROUP`` fingerprints is not gathered: each of its members goes to the keys that differ from it in at most
-   one bit. Two fingerprints are within 2 bits if and only if they share such a key, and no key has over 65 members,
-   so this is exact and linear for groups of any size.
-6. Components: alternating large-star and small-star steps over (fingerprint, fingerprint) edges in Spark, checkpointed.
+5. A group of over ``MAX_GROUP`` fingerprints is not gathered but cut once more in the same way: of the 4 bytes its members need not share, two fingerprints
+   within 2 bits agree on at least 2, so every link lies in one of 6 subgroups. Members of a subgroup share 48 bits and are distinct, so there are
+   at most 65,536 of them (512 KB), however many documents there are; they are compared bit-sliced like any other.
+6. Components: alternating large-star and small-star steps over (fingerprint, fingerprint) edges in Spark, checkpointed, until nothing changes.
+7. Fingerprints of a large part of all rows (copies, empty texts) are joined back by broadcast (at most ``common.HOT_KEYS`` of them), the others by shuffle.
 
 Defined cases: null text is empty; a text without words has fingerprint zero and links like any other; fewer than 3
 words are one shingle; a null doc_id takes part but is never a component's name while another is there; repeated rows
@@ -28,14 +29,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_pieces, utf8
+from .common import checkpointed, join_hot, map_pieces, utf8
 
 SEED, SHINGLE, RADIUS, BITS = 42, 3, 2, 64
 BAND = 16
 BAND_PAIRS = [(a, b) for a in range(4) for b in range(a + 1, 4)]
-#: Distinct fingerprints of a group that one task compares; larger groups go by keys.
+#: Distinct fingerprints of a group that one task compares; larger groups are cut into subgroups.
 MAX_GROUP = 4096
-MAX_ROUNDS = 40
 
 _BIT_TABLE = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 
@@ -166,24 +166,24 @@ def link_edges(distinct: DataFrame, most: int = MAX_GROUP) -> DataFrame:
     """Edges (a, b) whose components are those of all links between distinct fingerprints."""
     fp = F.col("fp")
     band = lambda i: F.shiftrightunsigned(fp, BAND * i).bitwiseAND(F.lit((1 << BAND) - 1))
-    keys = F.array(*[F.struct(F.lit(n).alias("pair"), F.shiftleft(band(i), BAND).bitwiseOR(band(j)).alias("key")) for n, (i, j) in enumerate(BAND_PAIRS)])
+    both = lambda i, j: F.shiftleft(band(i), BAND).bitwiseOR(band(j))
+    rest = [[x for x in range(4) if x not in pair] for pair in BAND_PAIRS]
+    keys = F.array(*[F.struct(F.lit(n).alias("pair"), both(*pair).alias("key"), both(*rest[n]).alias("rest")) for n, pair in enumerate(BAND_PAIRS)])
     keyed = distinct.select("fp", F.inline(keys))
     sized = keyed.groupBy("pair", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    in_groups = keyed.join(sized, ["pair", "key"])
+    in_groups = checkpointed(keyed.join(sized, ["pair", "key"]))
     small = in_groups.where(F.col("n") <= most).groupBy("pair", "key").agg(F.collect_list("fp").alias("members")).select("members")
-    from_groups = small.mapInArrow(_compare_groups, "a long, b long")
-    flips = F.concat(F.array(fp), *[F.array(fp.bitwiseXOR(F.lit(np.uint64(1 << i).astype(np.int64).item()))) for i in range(BITS)])
-    by_key = in_groups.where(F.col("n") > most).select("fp").distinct().select("fp", F.explode(flips).alias("mid"))
-    along = Window.partitionBy("mid").orderBy("fp")
-    from_keys = by_key.select(fp.alias("a"), F.lag("fp").over(along).alias("b")).where("b is not null")
-    return from_groups.unionByName(from_keys).distinct()
+    byte = lambda i: F.shiftrightunsigned("rest", 8 * i).bitwiseAND(F.lit(255))
+    subkeys = F.array(*[F.struct(F.lit(n).alias("sub"), F.shiftleft(byte(i), 8).bitwiseOR(byte(j)).alias("subkey")) for n, (i, j) in enumerate(BAND_PAIRS)])
+    large = in_groups.where(F.col("n") > most).select("pair", "key", "fp", F.inline(subkeys)).groupBy("pair", "key", "sub", "subkey").agg(F.collect_list("fp").alias("members"))
+    return small.unionByName(large.where(F.size("members") > 1).select("members")).mapInArrow(_compare_groups, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge; root is the smallest node reachable. Alternating star steps."""
     edges = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     last = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         # large star: every larger neighbour of a node moves to the smallest of the node and its neighbours
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -196,22 +196,21 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(sums) == last:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v"))).distinct()
         last = tuple(sums)
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 
 def near_duplicates(docs: DataFrame, most: int = MAX_GROUP) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id."""
     prints = checkpointed(fingerprints(docs))
-    return prints.join(classes(prints, most), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return join_hot(prints, classes(prints, most), ["fp"], "copies").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def classes(prints: DataFrame, most: int = MAX_GROUP) -> DataFrame:
-    """fp, root, component_id for every distinct fingerprint of (doc_id, fp) rows."""
-    smallest = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
+    """fp, copies (rows of it), root, component_id for every distinct fingerprint of (doc_id, fp) rows; written down."""
+    smallest = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies")))
     nodes = components(link_edges(smallest.select("fp"), most))
-    rooted = smallest.join(nodes, smallest.fp == nodes.node, "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
+    rooted = smallest.join(nodes, smallest.fp == nodes.node, "left").select("fp", "copies", "first_doc", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    return rooted.select("fp", "root").join(named, "root")
+    return checkpointed(rooted.select("fp", "copies", "root").join(named, "root"))
 
 
 def deduplicated(docs: DataFrame, most: int = MAX_GROUP) -> DataFrame:
@@ -225,7 +224,7 @@ def deduplicated(docs: DataFrame, most: int = MAX_GROUP) -> DataFrame:
         mark += "_"
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     prints = checkpointed(fingerprints(docs, key))
-    by_root = prints.join(classes(prints, most), "fp").groupBy("root")
+    by_root = join_hot(prints, classes(prints, most), ["fp"], "copies").groupBy("root")
     kept = by_root.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("k")).select("k.doc_id", "k.key")
     # Null ids made plain columns, so that the join and the ranking after it are dealt out by the same keys: texts move once.
     by = [mark, f"{mark}_id", f"{mark}_none"]

@@ -90,3 +90,49 @@ def test_edges(docs):
 def test_stage_keeps_one_of_each_group(docs):
     rows = [(5, None), (3, ""), (9, "one"), (8, "ONE"), (7, "a b"), (7, "a b"), (None, "all alone here"), (None, "some other words")]
     assert sorted(str(r.doc_id) for r in sh.deduplicated(docs(rows)).collect()) == ["3", "7", "8", "None", "None"]
+
+
+def test_a_long_chain_settles(spark):
+    """A path of links, one bit apart, through 600 fingerprints: as many rounds as it takes."""
+    prints, x, rng = [0], 0, random.Random(9)
+    while len(prints) < 600:
+        x ^= 1 << rng.randrange(64)
+        if x not in prints:
+            prints.append(x)
+    frame = spark.createDataFrame([(i, int(np.uint64(p).astype(np.int64))) for i, p in enumerate(prints)], "doc_id long, fp long")
+    for most in (sh.MAX_GROUP, 0):
+        assert {r.component_id for r in sh.classes(frame, most).collect()} == {0}
+
+
+def test_large_group_shares_two_bands(spark):
+    """3000 fingerprints that differ in 12 bits alone: one group, cut into subgroups, against all pairs by union of one- and two-bit neighbours."""
+    rng = random.Random(3)
+    low = rng.sample(range(1 << 24), 3000)
+    prints = {i: 0xABCD_0000_0000_0000 | v for i, v in enumerate(low)}
+    parent = {p: p for p in prints.values()}
+
+    def find(p):
+        while parent[p] != p:
+            p = parent[p]
+        return p
+
+    flips = [1 << a | 1 << b for a in range(24) for b in range(a, 24)]
+    for p in list(parent):
+        for f in flips:
+            if (q := p ^ f) in parent:
+                x, y = find(p), find(q)
+                parent[max(x, y)] = min(x, y)
+    first = {}
+    for i, p in prints.items():
+        first.setdefault(find(p), i)
+    frame = spark.createDataFrame([(i, int(np.uint64(p).astype(np.int64))) for i, p in prints.items()], "doc_id long, fp long")
+    for most in (100, sh.MAX_GROUP):
+        got = {int(np.int64(r.fp).astype(np.uint64)): r.component_id for r in sh.classes(frame, most).collect()}
+        assert got == {p: first[find(p)] for p in prints.values()}
+
+
+def test_hot_fingerprints_join_alike(docs, monkeypatch):
+    rows = [(i, "same words in all of these") for i in range(30)] + [(100 + i, f"other words number {i} stand here") for i in range(20)]
+    want = sorted(map(str, sh.near_duplicates(docs(rows)).collect()))
+    monkeypatch.setattr("quern.llm.common.HOT_LEAST", 5)
+    assert sorted(map(str, sh.near_duplicates(docs(rows)).collect())) == want
