@@ -2,7 +2,8 @@
 
 A window is 10 consecutive words of an item; an item of fewer words (not none) is one window of all of them. The
 windows' hashes are broadcast while there are at most ``MAX_BROADCAST_WINDOWS`` of them (16 MB of hashes and their words); beyond that
-the windows of documents are joined to those of items by a shuffle (:func:`joined_hits`, :func:`joined_cuts`), with the same rows.
+the windows of documents are joined to those of items by a shuffle (:func:`joined_hits`, :func:`joined_cuts`), with the same rows. Before that shuffle each task
+drops what isn't in a table of ``FILTER_BITS`` bits of the items' window hashes (4 MB, however many windows there are); the join compares words.
 
 Defined cases: null and empty texts have no words; an empty benchmark hits nothing; repeated rows come out as often as
 they go in; items that share words are each counted; an item without an id hits, but is not counted; other columns are ignored, whatever their names.
@@ -25,6 +26,7 @@ from .common import checkpointed, map_pieces, utf8
 WINDOW = 10
 #: A window's hash and words take some 300 bytes in each Python worker.
 MAX_BROADCAST_WINDOWS = 200_000
+FILTER_BITS = 1 << 25
 
 HITS = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
@@ -132,38 +134,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, most: int = MAX_BROADCA
 
 
 def joined_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """The same rows where the windows are too many to broadcast: document windows meet item windows in a shuffle join."""
-    lengths = sorted(r[0] for r in windows.select("k").distinct().limit(WINDOW + 1).collect())
-    key = ["doc_id", "text_key"]
-
-    def step(piece: pa.RecordBatch) -> pa.RecordBatch:
-        found = tc.words(*utf8(piece.column("text")))
-        cols: list[list] = [[], [], [], [], []]
-        for d, (a, b) in enumerate(zip(found.first[:-1].tolist(), found.first[1:].tolist())):
-            for k in lengths:
-                for i in range(a, b - k + 1):
-                    for c, v in zip(cols, (d, i - a, k, found.text(i, k), None)):
-                        c.append(v)
-        return pa.RecordBatch.from_arrays(
-            [piece.column(c).take(pa.array(cols[0], pa.int64())) for c in key] + [pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())],
-            [*key, "at", "k", "words"],
-        )
-
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_key"), "text")
+    """The same rows where the windows are too many to broadcast: each distinct text's windows meet item windows in a shuffle join."""
 
     def count(piece: pa.RecordBatch) -> pa.RecordBatch:
         found = tc.words(*utf8(piece.column("text")))
-        return pa.RecordBatch.from_arrays([*(piece.column(c) for c in key), pa.array(found.counts(), pa.int64())], [*key, "n_words"])
+        return pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("text_key"), pa.array(found.counts(), pa.int64())], ["doc_id", "text_key", "n_words"])
 
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("string").alias("text")).withColumn("text_key", key_of("text"))
     sizes = map_pieces(read, "text", count, "doc_id long, text_key string, n_words long")
-    grams = map_pieces(read, "text", step, "doc_id long, text_key string, at long, k int, words binary").distinct()
-    hits = grams.join(windows, ["k", "words"])
-    places = hits.select(*key, F.explode(F.sequence("at", F.col("at") + F.col("k") - 1)).alias("word")).distinct().groupBy(*key).agg(F.count("*").alias("n_hit"))
-    items = hits.groupBy(*key).agg(F.collect_set("item_id").alias("items"))
-    out = sizes
-    for more, names in ((places, ["n_hit"]), (items, ["items"])):
-        l, r = out.alias("l"), more.alias("r")
-        out = l.join(r, F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.text_key") == F.col("r.text_key")), "left").select("l.*", *(f"r.{c}" for c in names))
+    hits = checkpointed(spelt_places(read.select("text_key", "text").dropDuplicates(["text_key"]), windows).join(windows, ["k", "words"]).select("text_key", "at", "k", "item_id"))
+    places = hits.select("text_key", F.explode(F.sequence("at", F.col("at") + F.col("k") - 1)).alias("word")).distinct().groupBy("text_key").agg(F.count(F.lit(1)).alias("n_hit"))
+    items = hits.groupBy("text_key").agg(F.collect_set("item_id").alias("items"))
+    out = sizes.join(places.join(items, "text_key"), "text_key", "left")
     n_hit, who = F.coalesce("n_hit", F.lit(0)), F.coalesce("items", F.array().cast("array<string>"))
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(who).cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort(who), ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
@@ -221,25 +203,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, most: int = MAX_BROADC
     return map_pieces(docs, "text", step, docs.schema)
 
 
-def joined_places(texts: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
-    """(text_key, at: [(word, k)]) of the texts (text_key, text) that hold a window: hashes meet in a shuffle join, then the words."""
-
-    def step(piece: pa.RecordBatch) -> pa.RecordBatch:
-        found = tc.words(*utf8(piece.column("text")))
-        hashes, rows, ats, ks, grams = found.hashes(), [], [], [], []
-        for k in lengths:
-            own = tc.gram_hashes(hashes, k)
-            at = np.arange(len(own), dtype=np.int64)
-            at = at[tc.inside_one(found, at, k)] if len(at) else at
-            row = np.searchsorted(found.first, at, side="right") - 1
-            rows.append(row)
-            ats.append(at - found.first[row])
-            ks.append(np.full(len(at), k, np.int32))
-            grams.append(own[at].view(np.int64))
-        return pa.RecordBatch.from_arrays(
-            [piece.column("text_key").take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(ats)), pa.array(np.concatenate(ks)), pa.array(np.concatenate(grams))],
-            ["text_key", "at", "k", "gram"],
-        )
+def filter_bits(windows: DataFrame) -> np.ndarray:
+    """A bit for every value of the upper bits of a hash: set for those of the windows. Bits are gathered as words, at most FILTER_BITS / 64 rows."""
 
     def window_hash(piece: pa.RecordBatch) -> pa.RecordBatch:
         ks = piece.column("k").to_numpy(zero_copy_only=False)
@@ -247,22 +212,44 @@ def joined_places(texts: DataFrame, windows: DataFrame, lengths: list[int]) -> D
         for k in np.unique(ks).tolist():
             own = np.flatnonzero(ks == k)
             grams[own] = hashes_of([texts[i] for i in own.tolist()], k)
-        return pa.RecordBatch.from_arrays([piece.column("k"), pa.array(grams.view(np.int64))], ["k", "gram"])
+        return pa.RecordBatch.from_arrays([pa.array(bit_of(grams))], ["bit"])
+
+    words = map_pieces(windows.select("k", "words"), "words", window_hash, "bit long").groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits"))
+    found, out = words.toArrow(), np.zeros(FILTER_BITS >> 6, np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+
+
+def bit_of(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(64 - (FILTER_BITS.bit_length() - 1))).astype(np.int64)
+
+
+def spelt_places(texts: DataFrame, windows: DataFrame) -> DataFrame:
+    """(text_key, at, k, words) of the windows of the texts (text_key, text) that may be some item's; to be joined by k and words."""
+    lengths = sorted(r[0] for r in windows.select("k").distinct().limit(WINDOW + 1).collect())
+    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(filter_bits(windows)))
 
     def spell(piece: pa.RecordBatch) -> pa.RecordBatch:
-        found = tc.words(*utf8(piece.column("text")))
-        out: list[list] = [[], [], [], []]
-        for d, (key, maybe) in enumerate(zip(piece.column("text_key").to_pylist(), piece.column("maybe").to_pylist())):
-            for x in maybe:
-                for c, v in zip(out, (key, x["at"], x["k"], found.text(int(found.first[d]) + x["at"], x["k"]))):
-                    c.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], ["text_key", "at", "k", "words"])
+        found, table = tc.words(*utf8(piece.column("text"))), shared.value
+        hashes, rows, ats, ks, words = found.hashes(), [], [], [], []
+        for k in lengths:
+            own = bit_of(tc.gram_hashes(hashes, k))
+            at = np.flatnonzero(table[own >> 3] >> (7 - (own & 7)).astype(np.uint8) & 1)
+            at = at[tc.inside_one(found, at, k)] if len(at) else at
+            row = np.searchsorted(found.first, at, side="right") - 1
+            rows.append(row)
+            ats.append(at - found.first[row])
+            ks.append(np.full(len(at), k, np.int32))
+            words += [found.text(i, k) for i in at.tolist()]
+        flat = lambda x, t: pa.array(np.concatenate([np.zeros(0, t), *x]).astype(t))
+        return pa.RecordBatch.from_arrays([piece.column("text_key").take(flat(rows, np.int64)), flat(ats, np.int64), flat(ks, np.int32), pa.array(words, pa.binary())], ["text_key", "at", "k", "words"])
+
+    return map_pieces(texts, "text", spell, "text_key string, at long, k int, words binary")
 
-    wanted = map_pieces(windows.select("k", "words").distinct(), "words", window_hash, "k int, gram long").distinct()
-    grams = map_pieces(texts, "text", step, "text_key string, at long, k int, gram long")
-    maybe = grams.join(wanted, ["k", "gram"], "left_semi").groupBy("text_key").agg(F.collect_list(F.struct("at", "k")).alias("maybe"))
-    spelt = map_pieces(texts.join(maybe, "text_key"), "text", spell, "text_key string, at long, k int, words binary")
-    return spelt.join(windows.select("k", "words").distinct(), ["k", "words"], "left_semi").groupBy("text_key").agg(F.collect_list(F.struct("at", "k")).alias("at"))
+
+def joined_places(texts: DataFrame, windows: DataFrame) -> DataFrame:
+    """(text_key, at: [(word, k)]) of the texts (text_key, text) that hold a window."""
+    return spelt_places(texts, windows).join(windows.select("k", "words").distinct(), ["k", "words"], "left_semi").groupBy("text_key").agg(F.collect_list(F.struct("at", "k")).alias("at"))
 
 
 def key_of(text: str) -> Column:
@@ -274,7 +261,6 @@ def joined_cuts(docs: DataFrame, windows: DataFrame) -> DataFrame:
 
     Each distinct text is cut at its hit places; what was cut is looked up again until nothing is hit. ``text_key`` is that of the text as it came in.
     """
-    lengths = sorted(r[0] for r in windows.select("k").distinct().limit(WINDOW + 1).collect())
 
     def cut(piece: pa.RecordBatch) -> pa.RecordBatch:
         texts = []
@@ -287,7 +273,7 @@ def joined_cuts(docs: DataFrame, windows: DataFrame) -> DataFrame:
     now = docs.where(F.col("text").isNotNull()).select(key_of("text").alias("text_key"), F.col("text").cast("string").alias("text")).dropDuplicates(["text_key"])
     rounds: list[DataFrame] = []
     while True:
-        hit = now.select("text_key", "text").join(joined_places(now.select("text_key", "text"), windows, lengths), "text_key")
+        hit = now.select("text_key", "text").join(joined_places(now.select("text_key", "text"), windows), "text_key")
         now = checkpointed(map_pieces(hit, "text", cut, "text_key string, text string, left boolean"))
         if now.isEmpty():
             break
