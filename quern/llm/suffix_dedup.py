@@ -2,16 +2,20 @@
 
 1. Anchors. Every 100-byte window has one anchor, its 32-byte gram of least hash. Consecutive windows share an anchor
    and make one span. A task emits one row a span, about one for 32 bytes: hash of the gram, hash of the span. Spans that repeat
-   within the task go no further than that task (pre-aggregation): only its earliest stays.
+   within the task go no further than that task (pre-aggregation, bytes compared on the spot): only its earliest stays. A long text is worked off in
+   overlapping parts.
 2. Equal windows have equal grams at equal places, so windows are compared within a gram's rows only. Rows sorted by
-   (gram, span, document, place) stream past: a span seen before is removed whole; if a gram has several distinct spans,
+   (gram, span, document, place) stream past: a span seen before is to be removed whole; if a gram has several distinct spans,
    the earliest of each is looked at byte by byte.
 3. Those spans' contexts are cut out of the texts and dealt into buckets by the gram with 34 or 35 bytes on the side that
    all its windows hold. A task takes whole buckets, up to ``BLOCK_BYTES`` at a time, and sorts their suffixes by
    difference-cover blockwise construction (:mod:`suffix_blocks`).
    A bucket of over ``MAX_BUCKET`` contexts is not gathered: its windows go on as 128-bit hashes, of which a grouped
    minimum keeps the earliest.
-4. Removed runs are merged a document, and what remains is hashed.
+4. Whole spans that are to go are claims: this document's bytes, merged to runs and cut at every ``SEGMENT`` bytes of the source's text, equal the source's.
+   Distinct claims (a passage of a million copies makes a few) are compared with the source's bytes; nothing is removed on a hash's word, and a claim
+   that does not hold stops the job.
+5. Removed runs are merged a document, and what remains is hashed.
 
 Order of documents is by doc_id (null last), and where a doc_id has several texts by the texts' hashes.
 
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import map_pieces, shared_folder, utf8
+from .common import checkpointed, dropped, map_pieces, shared_folder, utf8
 from .suffix_blocks import repeated_windows
 
 WIDTH, GRAM = 100, 32
@@ -41,11 +45,14 @@ HALF = (WIDTH - GRAM) // 2
 #: Text that a task takes at once, and so the reach of its pre-aggregation.
 PIECE_BYTES = 1 << 20
 BLOCK_BYTES, MAX_BUCKET = 1 << 20, 8192
+SEGMENT = 256
 LAST_ID = 2**63 - 1
 
 _SPANS = "gram long, span long, doc long, alt long, at int, n int"
-_RUNS = "kind int, doc long, alt long, at int, n int, inner int"
-_CONTEXTS = "bucket long, doc long, alt long, at int, bytes binary"
+#: Kind 0: removed bytes (at, n), and the place in the source (sat, -1 if bytes have been compared); kind 1: a span to look at.
+_RUNS = "kind int, doc long, alt long, at int, n int, inner int, sdoc long, salt long, sat int"
+#: Kind 0: a claim on the bytes of doc, alt; kind 1: a context of a bucket.
+_CUT = "kind int, bucket long, doc long, alt long, at int, bytes binary"
 _FOUND = "kind int, doc long, alt long, at int, n int, h1 long, h2 long"
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -83,6 +90,38 @@ def spans_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     return hashes[gram[opens]], span, owner[opens], first - bounds[owner[opens]], count, gram[opens] - first
 
 
+def spans_by_parts(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """:func:`spans_of`, with texts of over PIECE_BYTES taken in parts whose windows follow on each other; a span ends with its part."""
+    long = np.flatnonzero(np.diff(bounds) > PIECE_BYTES)
+    if not len(long):
+        return spans_of(data, bounds)
+    found, last = [], 0
+    for d in [*long.tolist(), len(bounds) - 1]:
+        if d > last:
+            few = spans_of(data[bounds[last] : bounds[d]], bounds[last : d + 1] - bounds[last])
+            found.append((*few[:2], few[2] + last, *few[3:]))
+        if d < len(bounds) - 1:
+            for a in range(int(bounds[d]), int(bounds[d + 1]) - WIDTH + 1, PIECE_BYTES):
+                part = data[a : min(a + PIECE_BYTES + WIDTH - 1, int(bounds[d + 1]))]
+                few = spans_of(part, np.array([0, len(part)]))
+                found.append((*few[:2], few[2] + d, few[3] + a - int(bounds[d]), *few[4:]))
+        last = d + 1
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> bool:
+    """Whether data[a : a + n] equals data[b : b + n] for all of them; each n is 8 at least."""
+    if not len(a):
+        return True
+    eight = np.ndarray((len(data) - 7,), np.uint64, np.ascontiguousarray(data).data, 0, (1,))
+    for i in range(0, int(n.max()), 8):
+        live = n > i
+        step = np.minimum(i, n[live] - 8)
+        if (eight[a[live] + step] != eight[b[live] + step]).any():
+            return False
+    return True
+
+
 def merged(runs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     """(start, end) runs, sorted, with those that overlap or touch as one."""
     out: list[list[int]] = []
@@ -99,7 +138,7 @@ def span_rows(rows: DataFrame) -> DataFrame:
 
     def step(piece: pa.RecordBatch) -> pa.RecordBatch:
         data, bounds = utf8(piece.column("text"))
-        gram, span, owner, first, count, inner = spans_of(data, bounds)
+        gram, span, owner, first, count, inner = spans_by_parts(data, bounds)
         doc, alt = piece.column("doc").to_numpy()[owner], piece.column("alt").to_numpy()[owner]
         packed = ((span >> np.uint64(14)) << np.uint64(14)) | (count << 7 | inner).astype(np.uint64)
         order = np.lexsort((first, alt, doc, packed, gram))
@@ -107,6 +146,9 @@ def span_rows(rows: DataFrame) -> DataFrame:
         again = np.append(False, (g[1:] == g[:-1]) & (s[1:] == s[:-1])) if len(g) else np.zeros(0, bool)
         head = np.maximum.accumulate(np.where(again, 0, np.arange(len(g)))) if len(g) else np.zeros(0, np.int64)
         other = again & ((d != d[head]) | (a != a[head]) | (f != f[head]))  # else a repeated row's
+        place = (bounds[owner] + first)[order]
+        if not same_bytes(data, place[again], place[head[again]], (c + WIDTH - 1)[again]):
+            raise RuntimeError("two spans of one hash differ")
         by_doc: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for key_d, key_a, x, y in zip(d[other].tolist(), a[other].tolist(), f[other].tolist(), (f + c - 1 + WIDTH)[other].tolist()):
             by_doc.setdefault((key_d, key_a), []).append((x, y))
@@ -127,13 +169,13 @@ def span_rows(rows: DataFrame) -> DataFrame:
 
 
 def _stream_spans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted span rows to removed bytes (kind 0: at, n) and spans to look at (kind 1: first window, windows, place of the gram)."""
+    """Sorted span rows to removed bytes (kind 0: at, n, and their source) and spans to look at (kind 1: first window, windows, place of the gram)."""
     held: np.ndarray | None = None  # the first span of the last gram, while it is that gram's only one
     last: np.ndarray | None = None  # the last row, as (gram, span, doc, alt, at) of the first of its span
     for batch in batches:
         cols = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("gram", "span", "doc", "alt", "at", "n")], axis=1)
         local, cols = cols[cols[:, 1] == -1], cols[cols[:, 1] != -1]
-        out = [np.column_stack((np.zeros(len(local), np.int64), local[:, 2:6], np.zeros(len(local), np.int64)))]
+        out = [np.column_stack((np.zeros(len(local), np.int64), local[:, 2:6], np.zeros((len(local), 3), np.int64), np.full(len(local), -1)))]
         if len(cols):
             before = np.vstack((last if last is not None else np.zeros((1, 6), np.int64), cols))
             has = np.ones(len(cols), bool)
@@ -144,7 +186,7 @@ def _stream_spans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             first = before[head]  # row of the first of each one's span; 0 is from earlier batches
             gone = same_span & (cols[:, 2:5] != first[:, 2:5]).any(axis=1)
             windows, inner = cols[:, 1] >> 7 & 127, cols[:, 1] & 127
-            out.append(np.column_stack((np.zeros(int(gone.sum()), np.int64), cols[gone][:, 2:5], windows[gone] - 1 + WIDTH, np.zeros(int(gone.sum()), np.int64))))
+            out.append(np.column_stack((np.zeros(int(gone.sum()), np.int64), cols[gone][:, 2:5], windows[gone] - 1 + WIDTH, np.zeros(int(gone.sum()), np.int64), first[gone][:, 2:5])))
             fresh = np.flatnonzero(~same_span)
             if len(fresh):
                 firsts = cols[fresh]
@@ -160,35 +202,69 @@ def _stream_spans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 # The last span may be followed by others of its gram: it waits unless it is known to have company.
                 wait = not several[-1]
                 picked = firsts[ask]
-                out.append(np.column_stack((np.ones(len(picked), np.int64), picked[:, 2:5], picked[:, 1] >> 7 & 127, picked[:, 1] & 127)))
+                out.append(np.column_stack((np.ones(len(picked), np.int64), picked[:, 2:5], picked[:, 1] >> 7 & 127, picked[:, 1] & 127, np.zeros((len(picked), 2), np.int64), np.full(len(picked), -1))))
                 held = firsts[-1:] if wait else None
             last = first[-1:].copy()
             last[:, :2] = cols[-1:, :2]
         rows = np.vstack(out)
         if len(rows):
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, i].astype(t)) for i, t in enumerate((np.int32, np.int64, np.int64, np.int32, np.int32, np.int32))], ["kind", "doc", "alt", "at", "n", "inner"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, i].astype(t)) for i, t in enumerate((np.int32, np.int64, np.int64, np.int32, np.int32, np.int32, np.int64, np.int64, np.int32))], ["kind", "doc", "alt", "at", "n", "inner", "sdoc", "salt", "sat"])
+
+
+def claims_of(text: bytes, found: list[tuple[int, int, int, int, int]]) -> Iterator[tuple[int, int, int, bytes]]:
+    """(source doc, source alt, place there, bytes) of the runs (at, n, sdoc, salt, sat) of one text: what overlaps at one distance is one run, cut at the source's segments."""
+    by_source: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
+    for at, n, sdoc, salt, sat in found:
+        by_source.setdefault((sdoc, salt, sat - at), []).append((at, at + n))
+    for (sdoc, salt, ahead), runs in by_source.items():
+        for a, b in merged(runs):
+            while a < b:
+                to = min(b, a + SEGMENT - (a + ahead) % SEGMENT)
+                yield sdoc, salt, a + ahead, text[a:to]
+                a = to
 
 
-def _cut_contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with their asked spans to contexts by bucket."""
+def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with their spans to claims (kind 0) and to contexts by bucket (kind 1)."""
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        buckets, docs, alts, ats, parts = [], [], [], [], []
+        kinds, buckets, docs, alts, ats, parts = [], [], [], [], [], []
         for doc, alt, packed, asked in zip(batch.column("doc").to_pylist(), batch.column("alt").to_pylist(), batch.column("packed").to_pylist(), batch.column("asked").to_pylist()):
             text = unpack(packed)
-            for span in {(x["at"], x["n"], x["inner"]) for x in asked}:
+            for row in claims_of(text, [(x["at"], x["n"], x["sdoc"], x["salt"], x["sat"]) for x in asked if x["kind"] == 0]):
+                for c, v in zip((kinds, buckets, docs, alts, ats, parts), (0, 0, *row)):
+                    c.append(v)
+            for span in {(x["at"], x["n"], x["inner"]) for x in asked if x["kind"] == 1}:
                 at, n, inner = span
                 gram = at + inner
                 split = min(max(inner - HALF, 0), n)  # windows from here on hold the bytes after the gram, those before it the bytes before
                 for a, b, key in ((at, at + split, text[gram - HALF - 1 : gram + GRAM] if split else b""), (at + split, at + n, text[gram : gram + WIDTH - HALF])):
                     if b > a:
+                        kinds.append(1)
                         buckets.append(int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "little", signed=True))
                         docs.append(doc)
                         alts.append(alt)
                         ats.append(a)
                         parts.append(text[a : b - 1 + WIDTH])
         if buckets:
-            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(docs, pa.int64()), pa.array(alts, pa.int64()), pa.array(ats, pa.int32()), pa.array(parts, pa.binary())], ["bucket", "doc", "alt", "at", "bytes"])
+            cols = zip((kinds, buckets, docs, alts, ats, parts), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], ["kind", "bucket", "doc", "alt", "at", "bytes"])
+
+
+def _false_claims(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Claims with the source's text, to those that do not hold."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    last, text = None, b""
+    for batch in batches:
+        docs, alts = batch.column("doc").to_pylist(), batch.column("alt").to_pylist()
+        bad = []
+        for i, (key, at, said) in enumerate(zip(zip(docs, alts), batch.column("at").to_pylist(), batch.column("bytes").to_pylist())):
+            if key != last:
+                last, text = key, unpack(batch.column("packed")[i].as_py())
+            if text[at : at + len(said)] != said:
+                bad.append(i)
+        if bad:
+            yield batch.select(["doc", "alt", "at"]).take(pa.array(bad))
 
 
 class _Blocks:
@@ -313,9 +389,14 @@ def suffix_dedup(docs: DataFrame, most: int = MAX_BUCKET) -> DataFrame:
 
     texts = map_pieces(rows, "text", pack, "doc_id long, doc long, alt long, packed binary")
     key = ["doc", "alt"]
-    asked = streamed.where("kind = 1").groupBy(*key).agg(F.collect_list(F.struct("at", "n", "inner")).alias("asked"))
-    contexts = texts.join(asked, key).select(*key, "packed", "asked").mapInArrow(_cut_contexts, _CONTEXTS)
-    dealt = contexts.repartition("bucket").sortWithinPartitions("bucket", "doc", "alt", "at")
+    asked = streamed.where("kind = 1 or sat >= 0").groupBy(*key).agg(F.collect_list(F.struct("kind", "at", "n", "inner", "sdoc", "salt", "sat")).alias("asked"))
+    texts.join(asked, key).select(*key, "packed", "asked").mapInArrow(_cut, _CUT).write.option("compression", "zstd").parquet(f"{folder}/cut")
+    cut = spark.read.parquet(f"{folder}/cut")
+    claims = cut.where("kind = 0").select(*key, "at", "bytes").distinct()
+    false = claims.join(texts.select(*key, "packed").dropDuplicates(key), key).select(*key, "at", "bytes", "packed").mapInArrow(_false_claims, "doc long, alt long, at int")
+    if found := false.limit(1).collect():
+        raise RuntimeError(f"two spans of one hash differ: {found[0]}")
+    dealt = cut.where("kind = 1").drop("kind").repartition("bucket").sortWithinPartitions("bucket", "doc", "alt", "at")
     dealt.mapInArrow(lambda b: _sort_blocks(b, most), _FOUND).write.option("compression", "zstd").parquet(f"{folder}/windows")
     found = spark.read.parquet(f"{folder}/windows")
 
@@ -325,5 +406,6 @@ def suffix_dedup(docs: DataFrame, most: int = MAX_BUCKET) -> DataFrame:
         earliest = wide.groupBy("h1", "h2").agg(F.min(F.struct("doc", "alt", "at")).alias("e"))
         later = wide.join(earliest, ["h1", "h2"]).where(F.struct("doc", "alt", "at") > F.col("e"))
         gone = gone.unionByName(later.select(*key, "at", "n"))
-    gone = gone.groupBy(*key).agg(F.collect_list(F.struct("at", "n")).alias("gone"))
+    gone = checkpointed(gone.groupBy(*key).agg(F.collect_list(F.struct("at", "n")).alias("gone")))
+    dropped(spark, folder)
     return texts.join(gone, key, "left").select("doc_id", "packed", "gone").mapInArrow(_keep, SCHEMA)

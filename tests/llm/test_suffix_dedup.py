@@ -106,3 +106,30 @@ def test_suffixes_come_out_sorted():
 
 def test_cover_has_every_difference():
     assert {(a - b) % sb.PERIOD for a in sb.COVER for b in sb.COVER} == set(range(sb.PERIOD))
+
+
+def test_long_texts_by_parts(spark, docs, monkeypatch):
+    """Parts of 1000 bytes: spans that a part ends, and equal ones that none does, give the same result."""
+    monkeypatch.setattr(sd, "PIECE_BYTES", 1000)
+    rng = random.Random(8)
+    base = "".join(rng.choice("abcdef ") for _ in range(7000))
+    rows = [(1, base), (2, "x" + base[500:4200] + "y" * 1300), (3, base[:50]), (4, base[3000:] + base[:3000]), (5, "short")]
+    data = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+    bounds = np.cumsum([0, *(len(t) for _, t in rows)])
+    whole, parts = sd.spans_of(data, bounds), sd.spans_by_parts(data, bounds)
+    windows = lambda f: sorted((d, p) for d, a, n in zip(f[2].tolist(), f[3].tolist(), f[4].tolist()) for p in range(a, a + n))
+    assert windows(parts) == windows(whole) and len(parts[0]) > len(whole[0])
+    assert got(sd.suffix_dedup(docs(rows))) == brute(rows)
+
+
+def test_claims_are_compared_with_bytes():
+    data = np.frombuffer(b"a" * 120 + b"b" * 120, np.uint8)
+    assert sd.same_bytes(data, np.array([0, 121]), np.array([5, 125]), np.array([101, 99]))
+    assert not sd.same_bytes(data, np.array([0, 15]), np.array([10, 20]), np.array([101, 105]))
+    assert list(sd.claims_of(bytes(range(200)) * 4, [(300, 120, 7, 1, 500), (400, 100, 7, 1, 600)])) == [(7, 1, 500, (bytes(range(200)) * 4)[300:312]), (7, 1, 512, (bytes(range(200)) * 4)[312:500])]
+    text = bytes(range(97, 123)) * 10
+    import pyarrow as pa
+    import zstandard
+
+    batch = pa.RecordBatch.from_pydict({"doc": [1, 1], "alt": [0, 0], "at": pa.array([0, 5], pa.int32()), "bytes": [text[:50], text[:50]], "packed": [zstandard.ZstdCompressor().compress(text)] * 2})
+    assert [b.to_pydict() for b in sd._false_claims([batch])] == [{"doc": [1], "alt": [0], "at": [5]}]
