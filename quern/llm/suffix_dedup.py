@@ -10,8 +10,8 @@
 3. Those spans' contexts are cut out of the texts and dealt into buckets by the gram with 34 or 35 bytes on the side that
    all its windows hold. A task takes whole buckets, up to ``BLOCK_BYTES`` at a time, and sorts their suffixes by
    difference-cover blockwise construction (:mod:`suffix_blocks`).
-   A bucket of over ``MAX_BUCKET`` contexts is not gathered: its windows go on as 128-bit hashes, of which a grouped
-   minimum keeps the earliest.
+   Buckets are counted first: one of over ``MAX_BUCKET`` contexts is not gathered; its windows go on from where they are as 128-bit hashes, of
+   which a grouped minimum keeps the earliest.
 4. Whole spans that are to go are claims: this document's bytes, merged to runs and cut at every ``SEGMENT`` bytes of the source's text, equal the source's.
    Distinct claims (a passage of a million copies makes a few) are compared with the source's bytes; nothing is removed on a hash's word, and a claim
    that does not hold stops the job.
@@ -34,6 +34,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.sources.tables import small
+
 from . import textcore as tc
 from .common import checkpointed, dropped, map_pieces, shared_folder, utf8
 from .suffix_blocks import repeated_windows
@@ -268,10 +270,10 @@ def _false_claims(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 class _Blocks:
-    """Collects sorted contexts into blocks of whole buckets; a bucket that grows over ``most`` gives hashed windows instead."""
+    """Collects sorted contexts into blocks of whole buckets."""
 
-    def __init__(self, most: int):
-        self.most, self.bucket, self.spilled = most, None, False
+    def __init__(self):
+        self.bucket = None
         self.now: list[tuple[int, int, int, bytes]] = []  # of this bucket
         self.block: list[tuple[int, int, int, bytes]] = []
         self.names: list[int] = []
@@ -281,21 +283,15 @@ class _Blocks:
         if bucket != self.bucket:
             yield from self.close_bucket()
             self.bucket = bucket
-        if self.now and self.now[-1][:3] == row[:3]:
-            return  # a repeated row's
-        self.now.append(row)
-        if len(self.now) > self.most:
-            yield self.hashed()
-            self.spilled, self.now = True, []
+        if not self.now or self.now[-1][:3] != row[:3]:  # else a repeated row's
+            self.now.append(row)
 
     def close_bucket(self) -> Iterator[pa.RecordBatch]:
-        if self.spilled and self.now:
-            yield self.hashed()
-        elif len(self.now) > 1:
+        if len(self.now) > 1:
             self.block += self.now
             self.names += [len(self.names)] * len(self.now)
             self.size += sum(len(r[3]) for r in self.now)
-        self.now, self.spilled = [], False
+        self.now = []
         if self.size >= BLOCK_BYTES:
             yield from self.close_block()
 
@@ -319,18 +315,21 @@ class _Blocks:
         zero = np.zeros(len(who), np.int64)
         yield _found(zero, [rows[i][0] for i in who], [rows[i][1] for i in who], np.array([rows[i][2] for i in who]) + at, sizes - 1 + WIDTH, zero, zero)
 
-    def hashed(self) -> pa.RecordBatch:
-        """The windows of the contexts at hand as two hashes each (kind 2)."""
-        text = np.frombuffer(b"".join(r[3] for r in self.now), np.uint8)
-        bounds = np.cumsum([0, *(len(r[3]) for r in self.now)])
-        counts = np.diff(bounds) - WIDTH + 1
-        owner = np.repeat(np.arange(len(self.now)), counts)
-        place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-        starts = bounds[:-1][owner] + place
-        flipped = tc.prefix_hash(text ^ np.uint8(0xA5))
-        h1, h2 = tc.span_hash(tc.prefix_hash(text), starts, starts + WIDTH), tc.span_hash(flipped, starts, starts + WIDTH)
-        take = lambda i: np.array([r[i] for r in self.now], np.int64)[owner]
-        return _found(np.full(len(owner), 2), take(0), take(1), take(2) + place, np.full(len(owner), WIDTH), h1.view(np.int64), h2.view(np.int64))
+
+def _hash_windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of contexts as two hashes each (kind 2)."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, 4096):
+            batch = whole.slice(start, 4096)
+            text, bounds = utf8(batch.column("bytes"))
+            counts = np.diff(bounds) - WIDTH + 1
+            owner = np.repeat(np.arange(batch.num_rows), counts)
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+            starts = bounds[:-1][owner] + place
+            flipped = tc.prefix_hash(text ^ np.uint8(0xA5))
+            h1, h2 = tc.span_hash(tc.prefix_hash(text), starts, starts + WIDTH), tc.span_hash(flipped, starts, starts + WIDTH)
+            doc, alt, at = (batch.column(c).to_numpy()[owner] for c in ("doc", "alt", "at"))
+            yield _found(np.full(len(owner), 2), doc, alt, at + place, np.full(len(owner), WIDTH), h1.view(np.int64), h2.view(np.int64))
 
 
 def _found(kind, doc, alt, at, n, h1, h2) -> pa.RecordBatch:
@@ -338,8 +337,8 @@ def _found(kind, doc, alt, at, n, h1, h2) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, t)) for c, t in zip((kind, doc, alt, at, n, h1, h2), types)], ["kind", "doc", "alt", "at", "n", "h1", "h2"])
 
 
-def _sort_blocks(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    blocks = _Blocks(most)
+def _sort_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    blocks = _Blocks()
     for batch in batches:
         for bucket, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "doc", "alt", "at", "bytes"))):
             yield from blocks.add(bucket, tuple(row))
@@ -396,8 +395,11 @@ def suffix_dedup(docs: DataFrame, most: int = MAX_BUCKET) -> DataFrame:
     false = claims.join(texts.select(*key, "packed").dropDuplicates(key), key).select(*key, "at", "bytes", "packed").mapInArrow(_false_claims, "doc long, alt long, at int")
     if found := false.limit(1).collect():
         raise RuntimeError(f"two spans of one hash differ: {found[0]}")
-    dealt = cut.where("kind = 1").drop("kind").repartition("bucket").sortWithinPartitions("bucket", "doc", "alt", "at")
-    dealt.mapInArrow(lambda b: _sort_blocks(b, most), _FOUND).write.option("compression", "zstd").parquet(f"{folder}/windows")
+    contexts = cut.where("kind = 1").drop("kind")
+    hot = small(checkpointed(contexts.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("bucket")))
+    dealt = contexts.join(hot, "bucket", "left_anti").repartition("bucket").sortWithinPartitions("bucket", "doc", "alt", "at").mapInArrow(_sort_blocks, _FOUND)
+    hashed = contexts.join(hot, "bucket", "left_semi").mapInArrow(_hash_windows, _FOUND)
+    dealt.unionByName(hashed).write.option("compression", "zstd").parquet(f"{folder}/windows")
     found = spark.read.parquet(f"{folder}/windows")
 
     gone = streamed.where("kind = 0").select(*key, "at", "n").unionByName(found.where("kind = 0").select(*key, "at", "n"))
