@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import byte_bpe, decontaminate, quality, secret_scan, simhash
-from quern.llm.common import shared_folder, table
+from quern.llm.common import dropped, shared_folder, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,4 +57,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for n, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
         docs = spark.read.parquet(f"{folder}/{n}")
+        if n:  # what the stage has read is done with
+            dropped(spark, f"{folder}/{n - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
