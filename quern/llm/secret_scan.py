@@ -96,13 +96,12 @@ def word_counts(docs: DataFrame) -> list[tuple[bytes, int]]:
                 fit = np.flatnonzero((sizes >= 3) & (sizes <= 12) & (letters[found.ends] - letters[found.starts] == sizes))
                 if not len(fit):
                     continue
-                # words as numbers: 5 bits a letter, and the document
-                codes = np.zeros(len(fit), np.int64)
-                for i in range(12):
-                    live = sizes[fit] > i
-                    codes[live] = codes[live] << 5 | (found.data[found.starts[fit[live]] + i] - 96)
-                once = np.unique(np.stack((codes, found.documents()[fit]), axis=1), axis=0)
-                names, counts = np.unique(once[:, 0], return_counts=True)
+                codes, live, at = np.zeros(len(fit), np.int64), np.arange(len(fit)), found.starts[fit]
+                for i in range(12):  # words as numbers, 5 bits a letter
+                    live = live[sizes[fit[live]] > i]
+                    codes[live] = codes[live] << 5 | (found.data[at[live] + i] - 96)
+                names, which = np.unique(codes, return_inverse=True)
+                counts = np.bincount(np.unique(which * piece.num_rows + found.documents()[fit]) // piece.num_rows)
                 for code, n in zip(names.tolist(), counts.tolist()):
                     held[code] += n
                 if len(held) > HELD_WORDS:
