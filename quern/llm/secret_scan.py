@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import map_pieces, pieces, utf8
+from .common import checkpointed, map_pieces, pieces, utf8
 from .textcore import LOWER
 
 MIN_LENGTH, CONTEXT_BYTES, THRESHOLD = 12, 48, 0.5
@@ -113,7 +113,15 @@ def word_counts(docs: DataFrame) -> list[tuple[bytes, int]]:
     def rows_of(held: Counter[int]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.int64()), pa.array(list(held.values()), pa.int64())], ["code", "n"])
 
-    found = docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "code").limit(DICTIONARY_WORDS).collect()
+    counts = checkpointed(docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
+    # Sizes of the words' classes by count (a few hundred rows) say how often a word has to be for the list, so that no task or driver sorts them all.
+    octave = F.floor(F.log2("n") * 8)
+    least, total = 0, 0
+    for r in counts.groupBy(octave.alias("octave")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("octave")).collect():
+        least, total = r.octave, total + r.words
+        if total >= DICTIONARY_WORDS:
+            break
+    found = counts.where(octave >= least).orderBy(F.desc("n"), "code").limit(DICTIONARY_WORDS).collect()
     return [(spelt(r.code), r.n) for r in found]
 
 

@@ -28,13 +28,15 @@ def test_no_kind_of_feature_decides_alone():
         assert right([f for f in ss.FEATURES if f not in names]) < 0.93, kind
 
 
-def test_dictionary_is_that_of_the_documents(spark, docs):
+def test_dictionary_is_that_of_the_documents(docs, monkeypatch):
     texts = {i: t for i, t in enumerate(["The river, the RIVER runs", "a river in the sand", None, "", "é river sand ab averyveryverylongword x1y"])}
     count = {}
     for t in texts.values():
         for w in {w for w in WORD.findall((t or "").lower()) if re.fullmatch("[a-z]{3,12}", w)}:
             count[w.encode()] = count.get(w.encode(), 0) + 1
     assert dict(ss.word_counts(docs(list(texts.items())).repartition(2))) == count and ss.word_counts(docs([])) == []
+    monkeypatch.setattr(ss, "DICTIONARY_WORDS", 2)
+    assert ss.word_counts(docs(list(texts.items()))) == [(b"river", 3), (b"sand", 2)]
     known = ss.Knowledge([(b"river", 3), (b"sand", 2)], [])
     assert known.covered(b"xriversandq.riv") == 9 and ss.Knowledge([], []).covered(b"river") == 0
 
