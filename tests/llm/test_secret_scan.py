@@ -36,7 +36,7 @@ def test_dictionary_is_that_of_the_documents(docs, monkeypatch):
             count[w.encode()] = count.get(w.encode(), 0) + 1
     assert dict(ss.word_counts(docs(list(texts.items())).repartition(2))) == count and ss.word_counts(docs([])) == []
     monkeypatch.setattr(ss, "DICTIONARY_WORDS", 2)
-    assert ss.word_counts(docs(list(texts.items()))) == [(b"river", 3), (b"sand", 2)]
+    assert ss.word_counts(docs(list(texts.items()))) == [(b"river", 3), (b"the", 2)]  # of equal counts the shorter word, then by letters
     known = ss.Knowledge([(b"river", 3), (b"sand", 2)], [])
     assert known.covered(b"xriversandq.riv") == 9 and ss.Knowledge([], []).covered(b"river") == 0
 
