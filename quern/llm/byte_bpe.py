@@ -1,16 +1,18 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-A task takes its documents in blocks of some 8 MB. Each distinct piece (match of the split pattern) of a block stands
-once in one long array of byte tokens. An inverted index maps each mergeable pair, by the rank of the token it makes,
-to the positions where the pair starts; ranks are replayed in ascending order, each over all its positions at once,
-and only the pairs beside a merged position are looked up anew. Documents are then spelled with the finished pieces.
+1. Split: a task cuts its texts (blocks of some 16 MB) into pieces by the pattern; a text becomes a list of numbers of its block's distinct pieces. Texts are
+   split once, and the lists are written down.
+2. The distinct pieces of the whole corpus come together by a grouped count, each once, dealt out by their bytes.
+3. Replay: a task's pieces stand on end in one long array of byte tokens. An inverted index maps each mergeable pair, by the rank of the token it makes,
+   to the positions where the pair starts; ranks are replayed in ascending order, each over all its positions at once,
+   and only the pairs beside a merged position are looked up anew. Pieces do not touch each other, so each merge is applied to all of its places in the corpus
+   whatever the number of tasks that hold them.
+4. Ids are joined back to the blocks' pieces (those in very many blocks by broadcast, ``common.HOT_KEYS`` of them at most), and texts are spelled block by block.
 
 The result equals that of an encoder that takes the lowest rank in each piece, leftmost first. The two orders could
 differ only where a merge makes a pair of a lower rank than its own; pieces where that happens are encoded one by one
 (:func:`lowest_first`). A piece that is itself a token is that token.
 
-Pieces of earlier blocks are kept by the worker process (``MAX_PIECES`` of them), so a task's cost follows its new pieces.
-
 Defined cases: null text is empty and has no ids; repeated rows come out as often as they go in; a very long text is a
 block of its own; other columns are ignored, whatever their names.
 """
@@ -25,17 +27,21 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, runs
+from .common import checkpointed, dropped, join_hot, pieces, runs, shared_folder
 
-BLOCK_BYTES = 8 << 20
-#: Pieces that a worker process keeps from block to block.
-MAX_PIECES = 250_000
+BLOCK_BYTES = 16 << 20
+#: Bytes of distinct pieces that are replayed at once.
+REPLAY_BYTES = 8 << 20
 _NONE = np.int32(2**31 - 1)
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+#: Rows of a block: its pieces by number (kind 0), then its texts as numbers of pieces, of 2 or 4 bytes each, squeezed (kind 1).
+_SPLIT = "block long, kind int, n long, doc_id long, width int, codes binary, piece binary"
 
 
 def read_ranks(path: str) -> bytes:
@@ -171,89 +177,137 @@ class _Index(dict):
         return n
 
 
-class Encoder:
-    """Known pieces and what they are spelled with."""
+_vocabularies: dict[int, Vocabulary] = {}
+
+
+def _vocabulary(raw: bytes) -> Vocabulary:
+    """Of the rank file's bytes; a worker process keeps the last one."""
+    if hash(raw) not in _vocabularies:
+        _vocabularies.clear()
+        _vocabularies[hash(raw)] = Vocabulary(parse_ranks(raw))
+    return _vocabularies[hash(raw)]
+
+
+def _split(batches: Iterable[pa.RecordBatch], pattern: str) -> Iterator[pa.RecordBatch]:
+    cut, squeeze = regex.compile(pattern).findall, zstandard.ZstdCompressor(level=1).compress
+    name = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for block in pieces(batch, "text", BLOCK_BYTES):
+            index, lists = _Index(), []
+            at = index.__getitem__
+            for text in block.column("text"):
+                found = cut(text.as_py() or "")
+                lists.append(np.fromiter(map(at, found), np.uint32, len(found)))
+            width = 2 if len(index) <= 1 << 16 else 4
+            codes = [squeeze(x.astype(f"<u{width}").tobytes()) for x in lists]
+            n, k = len(lists), len(index)
+            yield _rows(name, 1, [None] * n, block.column("doc_id"), [width] * n, codes, [None] * n)
+            words = [w.encode() for w in index]
+            for a in range(0, k, 10_000):
+                m = min(k, a + 10_000) - a
+                yield _rows(name, 0, range(a, a + m), [None] * m, [None] * m, [None] * m, words[a : a + m])
+            name += 1
+
+
+def _rows(block: int, kind: int, n, doc_id, width, codes, piece) -> pa.RecordBatch:
+    cols = [pa.array(n, pa.int64()), doc_id if isinstance(doc_id, pa.Array) else pa.array(doc_id, pa.int64()), pa.array(width, pa.int32()), pa.array(codes, pa.binary()), pa.array(piece, pa.binary())]
+    size = len(cols[0])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(size, block)), pa.array(np.full(size, kind, np.int32)), *cols], ["block", "kind", "n", "doc_id", "width", "codes", "piece"])
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.vocab, self.pattern = Vocabulary(ranks), regex.compile(pattern)
-        self.clear()
 
-    def clear(self) -> None:
-        self.index, self.decimal, self.raw = _Index(), [], []
-        self.ids, self.first = np.zeros(0, np.int32), np.zeros(1, np.int64)
+def _replayed(batches: Iterable[pa.RecordBatch], raw: bytes) -> Iterator[pa.RecordBatch]:
+    """Distinct pieces (piece, blocks) with their ids."""
 
-    def learn(self) -> None:
-        """Spell the pieces that the index has got since."""
-        known = len(self.decimal)
-        new = [p.encode() for p in list(self.index)[known:]]
-        if not new:
-            return
-        whole = [self.vocab.ranks.get(p) for p in new]
+    def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        words, vocab = table.column("piece").to_pylist(), _vocabulary(raw)
+        whole = [vocab.ranks.get(w) for w in words]
         todo = [i for i, w in enumerate(whole) if w is None]
-        ids, first = replay([new[i] for i in todo], self.vocab) if todo else (np.zeros(0, np.int32), np.zeros(1, np.int64))
-        spelled = [[w] if w is not None else None for w in whole]
-        flat = ids.tolist()
-        for i, a, b in zip(todo, first[:-1].tolist(), first[1:].tolist()):
-            spelled[i] = flat[a:b]
-        tokens = self.vocab.tokens
-        self.decimal += [",".join(map(str, s)).encode() for s in spelled]
-        self.raw += [b"".join([tokens[t] for t in s]) for s in spelled]
-        counts = np.fromiter(map(len, spelled), np.int64, len(spelled))
-        self.ids = np.concatenate((self.ids, np.fromiter((t for s in spelled for t in s), np.int32, int(counts.sum()))))
-        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(counts)))
-
-    def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """Of each text the places of its pieces; all pieces' decimal ids and bytes."""
-        if len(self.index) > MAX_PIECES:
-            self.clear()
-        at = self.index.__getitem__
-        split = self.pattern.findall
-        places = []
-        for text in texts:
-            found = split(text) if text else []
-            places.append(np.fromiter(map(at, found), np.int32, len(found)))
-        self.learn()
-        return places, np.array(self.decimal, object), np.array(self.raw, object)
-
-
-_encoders: dict[tuple[int, str], Encoder] = {}
-
-
-def _encoder(raw: bytes, pattern: str) -> Encoder:
-    key = (hash(raw), pattern)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(parse_ranks(raw), pattern)
-    return _encoders[key]
+        ids, first = replay([words[i] for i in todo], vocab) if todo else (np.zeros(0, np.int32), np.zeros(1, np.int64))
+        counts = np.ones(len(words), np.int64)
+        counts[todo] = np.diff(first)
+        cuts = np.concatenate(([0], np.cumsum(counts)))
+        flat = np.zeros(cuts[-1], np.int32)
+        known = [i for i, w in enumerate(whole) if w is not None]
+        flat[cuts[known]] = [whole[i] for i in known]
+        flat[np.repeat(cuts[todo], counts[todo]) + runs(counts[todo])] = ids
+        return pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in ("piece", "blocks")), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat))], ["piece", "blocks", "ids"])
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= REPLAY_BYTES:
+            yield flush(held)
+            held, size = [], 0
+    if held:
+        yield flush(held)
+
+
+def _spelled(batches: Iterable[pa.RecordBatch], raw: bytes, ids: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of blocks, each block's pieces (with ids) before its texts, to encoded texts."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    tokens = _vocabulary(raw).tokens
+    block, held, ready = None, [], None
+    for whole in batches:
+        names, kinds = whole.column("block").to_numpy(), whole.column("kind").to_numpy()
+        cuts = np.flatnonzero((names[1:] != names[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), whole.num_rows]):
+            if a == b:
+                continue
+            if names[a] != block:
+                block, held, ready = names[a], [], None
+            run = whole.slice(a, b - a)
+            if kinds[a] == 0:
+                held.append(run.select(["ids"]))
+                continue
+            if ready is None:
+                lists = pa.Table.from_batches(held).column("ids").combine_chunks() if held else pa.array([], pa.list_(pa.int32()))
+                flat, first = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))).astype(np.int64)
+                said = lists.to_pylist()
+                ready = flat, first, np.array([",".join(map(str, x)).encode() for x in said], object), np.array([b"".join([tokens[t] for t in x]) for x in said], object)
+                held = []
+            yield _encoded(run, unpack, *ready, ids)
+
+
+def _encoded(run: pa.RecordBatch, unpack, flat: np.ndarray, first: np.ndarray, decimal: np.ndarray, decoded: np.ndarray, ids: bool) -> pa.RecordBatch:
+    places = [np.frombuffer(unpack(c), f"<u{w}").astype(np.int64) for c, w in zip(run.column("codes").to_pylist(), run.column("width").to_pylist())]
+    counts = np.diff(first)
+    sizes = np.array([counts[p].sum() for p in places], np.int64)
+    cols = [
+        run.column("doc_id"),
+        pa.array(sizes),
+        pa.array([hashlib.sha256(b",".join(decimal[p].tolist())).hexdigest() for p in places], pa.string()),
+        pa.array([hashlib.sha256(b"".join(decoded[p].tolist())).hexdigest() for p in places], pa.string()),
+    ]
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    if ids:
+        each = [flat[np.repeat(first[p], counts[p]) + runs(counts[p])] for p in places]
+        cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *each]))))
+        names.append("ids")
+    return pa.RecordBatch.from_arrays(cols, names)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_tokens, digests of the ids and of the bytes they decode to; the ids too on demand."""
-    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _encoder(shared.value, pattern)
-        for batch in batches:
-            for block in pieces(batch, "text", BLOCK_BYTES):
-                places, decimal, raw = coder.encode(block.column("text").to_pylist())
-                counts = np.diff(coder.first)
-                sizes = np.array([counts[p].sum() for p in places], np.int64)
-                cols = [
-                    block.column("doc_id"),
-                    pa.array(sizes),
-                    pa.array([hashlib.sha256(b",".join(decimal[p].tolist())).hexdigest() for p in places], pa.string()),
-                    pa.array([hashlib.sha256(b"".join(raw[p].tolist())).hexdigest() for p in places], pa.string()),
-                ]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if ids:
-                    flat = [coder.ids[np.repeat(coder.first[p], counts[p]) + runs(counts[p])] for p in places]
-                    cuts = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
-                    cols.append(pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([np.zeros(0, np.int32), *flat]))))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(cols, names)
-
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return read.mapInArrow(run, SCHEMA + ", ids array<int>" * ids)
+    spark = docs.sparkSession
+    folder, shared = shared_folder(spark), spark.sparkContext.broadcast(read_ranks(ranks_path))
+
+    def written(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    split = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: _split(b, pattern), _SPLIT), "split")
+    uses = split.where("kind = 0").select("block", "n", "piece")
+    distinct = uses.groupBy("piece").agg(F.count(F.lit(1)).alias("blocks"))
+    known = written(distinct.mapInArrow(lambda b: _replayed(b, shared.value), "piece binary, blocks long, ids array<int>"), "pieces")
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    spelled = join_hot(uses, known, ["piece"], "blocks").select("block", F.lit(0).alias("kind"), "n", none("doc_id", "long"), none("width", "int"), none("codes", "binary"), "ids")
+    texts = split.where("kind = 1").select("block", "kind", none("n", "long"), "doc_id", "width", "codes", none("ids", "array<int>"))
+    dealt = spelled.unionByName(texts).repartition("block").sortWithinPartitions("block", "kind", "n")
+    out = checkpointed(dealt.mapInArrow(lambda b: _spelled(b, shared.value, ids), SCHEMA + ", ids array<int>" * ids))
+    dropped(spark, folder)
+    return out
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:

@@ -57,3 +57,19 @@ def test_replay_where_a_merge_makes_a_lower_rank(words):
     ranks = {bytes([i]): i for i in range(256)} | {b"aba": 256, b"ab": 257, b"abab": 258, b"aaa": 259, b"aa": 260}
     ids, first = bb.replay(words, bb.Vocabulary(ranks))
     assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [bb.lowest_first(w, ranks) for w in words]
+
+
+def test_many_blocks_and_hot_pieces(spark, docs, monkeypatch):
+    """Blocks of a few texts share pieces; those in many blocks are joined by broadcast."""
+    monkeypatch.setattr("quern.llm.common.HOT_LEAST", 2)
+    rows = [(i, f"the same words stand here, and number{i} {'é' * (i % 7)}") for i in range(60)]
+    check(bb.encode(docs(rows).repartition(12), PATH, public_tokenizers.PATTERN), rows)
+
+
+def test_a_piece_is_replayed_once_in_the_corpus():
+    import pyarrow as pa
+
+    raw = bb.read_ranks(PATH)
+    words = [b" the", b"zzzqqqxxy", b" unheardofness", b"a", b"\xe6\x97\xa5"]
+    (out,) = bb._replayed([pa.RecordBatch.from_pydict({"piece": words[:2], "blocks": [1, 2]}), pa.RecordBatch.from_pydict({"piece": words[2:], "blocks": [3, 4, 5]})], raw)
+    assert out.column("ids").to_pylist() == [[RANKS[w]] if w in RANKS else bb.lowest_first(w, RANKS) for w in words] and out.column("blocks").to_pylist() == [1, 2, 3, 4, 5]
