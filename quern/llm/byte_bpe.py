@@ -1,13 +1,13 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
 1. Split: a task cuts its texts (blocks of some 16 MB) into pieces by the pattern; a text becomes a list of numbers of its block's distinct pieces. Texts are
-   split once, and the lists are written down.
-2. The distinct pieces of the whole corpus come together by a grouped count, each once, dealt out by their bytes.
-3. Replay: a task's pieces stand on end in one long array of byte tokens. An inverted index maps each mergeable pair, by the rank of the token it makes,
+   split once, and the lists are written down. A block's distinct pieces are packed by ``BUCKETS`` hash buckets, one row each.
+2. A bucket's rows of all blocks come to one task, where each piece of the corpus is met once.
+3. Replay: a task's distinct pieces stand on end in one long array of byte tokens. An inverted index maps each mergeable pair, by the rank of the token it makes,
    to the positions where the pair starts; ranks are replayed in ascending order, each over all its positions at once,
    and only the pairs beside a merged position are looked up anew. Pieces do not touch each other, so each merge is applied to all of its places in the corpus
    whatever the number of tasks that hold them.
-4. Ids are joined back to the blocks' pieces (those in very many blocks by broadcast, ``common.HOT_KEYS`` of them at most), and texts are spelled block by block.
+4. Ids go back to the blocks, packed alike, and texts are spelled block by block. No row stands for a single occurrence of a piece, so none is hot.
 
 The result equals that of an encoder that takes the lowest rank in each piece, leftmost first. The two orders could
 differ only where a merge makes a pair of a lower rank than its own; pieces where that happens are encoded one by one
@@ -32,16 +32,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, dropped, join_hot, pieces, runs, shared_folder
+from . import textcore as tc
+from .common import checkpointed, dropped, pieces, runs, shared_folder
 
 BLOCK_BYTES = 16 << 20
-#: Bytes of distinct pieces that are replayed at once.
-REPLAY_BYTES = 8 << 20
+#: Hash buckets of pieces; a task takes whole buckets, and replays up to REPLAY_BYTES of distinct pieces at once (at least one bucket).
+BUCKETS, REPLAY_BYTES = 1024, 8 << 20
 _NONE = np.int32(2**31 - 1)
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Rows of a block: its pieces by number (kind 0), then its texts as numbers of pieces, of 2 or 4 bytes each, squeezed (kind 1).
-_SPLIT = "block long, kind int, n long, doc_id long, width int, codes binary, piece binary"
+#: Rows of a block: its pieces by bucket (kind 0), then its texts as numbers of pieces in order of buckets (kind 1). Arrays are packed by :func:`packed`.
+_ROWS = "block long, kind int, bucket int, doc_id long, data binary"
 
 
 def read_ranks(path: str) -> bytes:
@@ -188,9 +189,23 @@ def _vocabulary(raw: bytes) -> Vocabulary:
     return _vocabularies[hash(raw)]
 
 
+_squeeze, _unpack = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+
+
+def packed(numbers: np.ndarray, tail: bytes = b"") -> bytes:
+    """Numbers of 0 or more in as few bytes each as the largest needs, then other bytes, squeezed."""
+    width = 1 if not len(numbers) or numbers.max() < 1 << 8 else 2 if numbers.max() < 1 << 16 else 4
+    return _squeeze(bytes([width]) + len(numbers).to_bytes(8, "little") + numbers.astype(f"<u{width}").tobytes() + tail)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, bytes]:
+    raw = _unpack(data)
+    width, n = raw[0], int.from_bytes(raw[1:9], "little")
+    return np.frombuffer(raw, f"<u{width}", n, 9).astype(np.int64), raw[9 + width * n :]
+
+
 def _split(batches: Iterable[pa.RecordBatch], pattern: str) -> Iterator[pa.RecordBatch]:
-    cut, squeeze = regex.compile(pattern).findall, zstandard.ZstdCompressor(level=1).compress
-    name = TaskContext.get().partitionId() << 32
+    cut, name = regex.compile(pattern).findall, TaskContext.get().partitionId() << 32
     for batch in batches:
         for block in pieces(batch, "text", BLOCK_BYTES):
             index, lists = _Index(), []
@@ -198,56 +213,80 @@ def _split(batches: Iterable[pa.RecordBatch], pattern: str) -> Iterator[pa.Recor
             for text in block.column("text"):
                 found = cut(text.as_py() or "")
                 lists.append(np.fromiter(map(at, found), np.uint32, len(found)))
-            width = 2 if len(index) <= 1 << 16 else 4
-            codes = [squeeze(x.astype(f"<u{width}").tobytes()) for x in lists]
-            n, k = len(lists), len(index)
-            yield _rows(name, 1, [None] * n, block.column("doc_id"), [width] * n, codes, [None] * n)
             words = [w.encode() for w in index]
-            for a in range(0, k, 10_000):
-                m = min(k, a + 10_000) - a
-                yield _rows(name, 0, range(a, a + m), [None] * m, [None] * m, [None] * m, words[a : a + m])
+            sizes = np.fromiter(map(len, words), np.int64, len(words))
+            ends = np.cumsum(sizes)
+            hashes = tc.span_hash(tc.prefix_hash(np.frombuffer(b"".join(words), np.uint8)), ends - sizes, ends)
+            bucket = (hashes >> np.uint64(40)) % np.uint64(BUCKETS)
+            order = np.argsort(bucket, kind="stable")
+            place = np.empty(len(words), np.int64)
+            place[order] = np.arange(len(words))
+            cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist() if len(words) else []
+            data = []
+            for a, b in zip(cuts, [*cuts[1:], len(words)]):
+                own = order[a:b]
+                data.append(packed(sizes[own], b"".join([words[i] for i in own.tolist()])))
+            yield _rows(name, 0, bucket[order][cuts].astype(np.int32), None, data)
+            yield _rows(name, 1, None, block.column("doc_id"), [packed(place[x]) for x in lists])
             name += 1
 
 
-def _rows(block: int, kind: int, n, doc_id, width, codes, piece) -> pa.RecordBatch:
-    cols = [pa.array(n, pa.int64()), doc_id if isinstance(doc_id, pa.Array) else pa.array(doc_id, pa.int64()), pa.array(width, pa.int32()), pa.array(codes, pa.binary()), pa.array(piece, pa.binary())]
-    size = len(cols[0])
-    return pa.RecordBatch.from_arrays([pa.array(np.full(size, block)), pa.array(np.full(size, kind, np.int32)), *cols], ["block", "kind", "n", "doc_id", "width", "codes", "piece"])
+def _rows(block: int | np.ndarray, kind: int, bucket: np.ndarray | None, doc_id: pa.Array | None, data: list[bytes]) -> pa.RecordBatch:
+    n = len(data)
+    cols = [np.broadcast_to(np.asarray(block, np.int64), n), np.full(n, kind, np.int32)]
+    return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(bucket) if bucket is not None else pa.nulls(n, pa.int32()), doc_id if doc_id is not None else pa.nulls(n, pa.int64()), pa.array(data, pa.binary())], ["block", "kind", "bucket", "doc_id", "data"])
+
+
+def _ids_of(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words on end, and n + 1 offsets: the token itself where a word is one, else by replay."""
+    whole = [vocab.ranks.get(w) for w in words]
+    todo = [i for i, w in enumerate(whole) if w is None]
+    counts = np.ones(len(words), np.int64)
+    ids, first = replay([words[i] for i in todo], vocab) if todo else (np.zeros(0, np.int32), np.zeros(1, np.int64))
+    counts[todo] = np.diff(first)
+    cuts = np.concatenate(([0], np.cumsum(counts)))
+    flat = np.zeros(cuts[-1], np.int32)
+    known = [i for i, w in enumerate(whole) if w is not None]
+    flat[cuts[known]] = [whole[i] for i in known]
+    flat[np.repeat(cuts[todo], counts[todo]) + runs(counts[todo])] = ids
+    return flat, cuts
 
 
 def _replayed(batches: Iterable[pa.RecordBatch], raw: bytes) -> Iterator[pa.RecordBatch]:
-    """Distinct pieces (piece, blocks) with their ids."""
-
-    def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(held).combine_chunks()
-        words, vocab = table.column("piece").to_pylist(), _vocabulary(raw)
-        whole = [vocab.ranks.get(w) for w in words]
-        todo = [i for i, w in enumerate(whole) if w is None]
-        ids, first = replay([words[i] for i in todo], vocab) if todo else (np.zeros(0, np.int32), np.zeros(1, np.int64))
-        counts = np.ones(len(words), np.int64)
-        counts[todo] = np.diff(first)
-        cuts = np.concatenate(([0], np.cumsum(counts)))
-        flat = np.zeros(cuts[-1], np.int32)
-        known = [i for i, w in enumerate(whole) if w is not None]
-        flat[cuts[known]] = [whole[i] for i in known]
-        flat[np.repeat(cuts[todo], counts[todo]) + runs(counts[todo])] = ids
-        return pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in ("piece", "blocks")), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat))], ["piece", "blocks", "ids"])
-
-    held, size = [], 0
+    """Rows of pieces, sorted by bucket, to rows of their ids (kind 0 alike)."""
+    vocab = _vocabulary(raw)
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        flat, first = _ids_of(list(index), vocab)
+        counts = np.diff(first)
+        for start in range(0, len(held), 256):
+            some = held[start : start + 256]
+            data = []
+            for _, _, own in some:
+                ids = flat[np.repeat(first[own], counts[own]) + runs(counts[own])]
+                data.append(packed(counts[own], packed(ids)))
+            yield _rows(np.array([r[0] for r in some]), 0, np.array([r[1] for r in some], np.int32), None, data)
+
+    index, held, size, last = _Index(), [], 0, None
     for batch in batches:
-        held.append(batch)
-        size += batch.nbytes
-        if size >= REPLAY_BYTES:
-            yield flush(held)
-            held, size = [], 0
+        for block, bucket, data in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "data"))):
+            if bucket != last and size >= REPLAY_BYTES:
+                yield from flush()
+                index, held, size = _Index(), [], 0
+            last = bucket
+            sizes, text = unpacked(data)
+            ends, known = np.cumsum(sizes).tolist(), len(index)
+            own = np.fromiter((index[text[a:b]] for a, b in zip([0, *ends], ends)), np.int64, len(ends))
+            size += int(sizes[own >= known].sum())
+            held.append((block, bucket, own))
     if held:
-        yield flush(held)
+        yield from flush()
 
 
 def _spelled(batches: Iterable[pa.RecordBatch], raw: bytes, ids: bool) -> Iterator[pa.RecordBatch]:
-    """Rows of blocks, each block's pieces (with ids) before its texts, to encoded texts."""
-    unpack = zstandard.ZstdDecompressor().decompress
-    tokens = _vocabulary(raw).tokens
+    """Rows of blocks, each block's ids by bucket before its texts, to encoded texts."""
+    tokens = np.array(_vocabulary(raw).tokens, object)
+    decimal = np.array([str(i).encode() for i in range(len(tokens))], object)
     block, held, ready = None, [], None
     for whole in batches:
         names, kinds = whole.column("block").to_numpy(), whole.column("kind").to_numpy()
@@ -259,30 +298,30 @@ def _spelled(batches: Iterable[pa.RecordBatch], raw: bytes, ids: bool) -> Iterat
                 block, held, ready = names[a], [], None
             run = whole.slice(a, b - a)
             if kinds[a] == 0:
-                held.append(run.select(["ids"]))
+                held += [(counts, unpacked(tail)[0].astype(np.int32)) for counts, tail in map(unpacked, run.column("data").to_pylist())]
                 continue
             if ready is None:
-                lists = pa.Table.from_batches(held).column("ids").combine_chunks() if held else pa.array([], pa.list_(pa.int32()))
-                flat, first = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))).astype(np.int64)
-                said = lists.to_pylist()
-                ready = flat, first, np.array([",".join(map(str, x)).encode() for x in said], object), np.array([b"".join([tokens[t] for t in x]) for x in said], object)
-                held = []
-            yield _encoded(run, unpack, *ready, ids)
-
-
-def _encoded(run: pa.RecordBatch, unpack, flat: np.ndarray, first: np.ndarray, decimal: np.ndarray, decoded: np.ndarray, ids: bool) -> pa.RecordBatch:
-    places = [np.frombuffer(unpack(c), f"<u{w}").astype(np.int64) for c, w in zip(run.column("codes").to_pylist(), run.column("width").to_pylist())]
-    counts = np.diff(first)
-    sizes = np.array([counts[p].sum() for p in places], np.int64)
+                counts = np.concatenate([np.zeros(0, np.int64), *(h[0] for h in held)])
+                ready, held = (np.concatenate([np.zeros(0, np.int32), *(h[1] for h in held)]), counts, np.cumsum(counts) - counts), []
+            flat, counts, first = ready
+            for start in range(0, run.num_rows, 512):
+                part, each = run.slice(start, 512), []
+                for data in part.column("data").to_pylist():
+                    p = unpacked(data)[0]
+                    each.append(flat[np.repeat(first[p], counts[p]) + runs(counts[p])])
+                yield _encoded(part.column("doc_id"), each, tokens, decimal, ids)
+
+
+def _encoded(doc_id: pa.Array, each: list[np.ndarray], tokens: np.ndarray, decimal: np.ndarray, ids: bool) -> pa.RecordBatch:
+    sizes = np.array([len(x) for x in each], np.int64)
     cols = [
-        run.column("doc_id"),
+        doc_id,
         pa.array(sizes),
-        pa.array([hashlib.sha256(b",".join(decimal[p].tolist())).hexdigest() for p in places], pa.string()),
-        pa.array([hashlib.sha256(b"".join(decoded[p].tolist())).hexdigest() for p in places], pa.string()),
+        pa.array([hashlib.sha256(b",".join(decimal[x].tolist())).hexdigest() for x in each], pa.string()),
+        pa.array([hashlib.sha256(b"".join(tokens[x].tolist())).hexdigest() for x in each], pa.string()),
     ]
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     if ids:
-        each = [flat[np.repeat(first[p], counts[p]) + runs(counts[p])] for p in places]
         cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *each]))))
         names.append("ids")
     return pa.RecordBatch.from_arrays(cols, names)
@@ -292,19 +331,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = False) ->
     """One row per input row: doc_id, n_tokens, digests of the ids and of the bytes they decode to; the ids too on demand."""
     spark = docs.sparkSession
     folder, shared = shared_folder(spark), spark.sparkContext.broadcast(read_ranks(ranks_path))
-
-    def written(rows: DataFrame, name: str) -> DataFrame:
-        rows.write.option("compression", "zstd").parquet(f"{folder}/{name}")
-        return spark.read.parquet(f"{folder}/{name}")
-
-    split = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: _split(b, pattern), _SPLIT), "split")
-    uses = split.where("kind = 0").select("block", "n", "piece")
-    distinct = uses.groupBy("piece").agg(F.count(F.lit(1)).alias("blocks"))
-    known = written(distinct.mapInArrow(lambda b: _replayed(b, shared.value), "piece binary, blocks long, ids array<int>"), "pieces")
-    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
-    spelled = join_hot(uses, known, ["piece"], "blocks").select("block", F.lit(0).alias("kind"), "n", none("doc_id", "long"), none("width", "int"), none("codes", "binary"), "ids")
-    texts = split.where("kind = 1").select("block", "kind", none("n", "long"), "doc_id", "width", "codes", none("ids", "array<int>"))
-    dealt = spelled.unionByName(texts).repartition("block").sortWithinPartitions("block", "kind", "n")
+    docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: _split(b, pattern), _ROWS).write.parquet(f"{folder}/split")
+    split = spark.read.parquet(f"{folder}/split")
+    known = split.where("kind = 0").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _replayed(b, shared.value), _ROWS)
+    dealt = known.unionByName(split.where("kind = 1")).repartition("block").sortWithinPartitions("block", "kind", "bucket")
     out = checkpointed(dealt.mapInArrow(lambda b: _spelled(b, shared.value, ids), SCHEMA + ", ids array<int>" * ids))
     dropped(spark, folder)
     return out
