@@ -1,18 +1,19 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-1. Split: a task cuts its texts (blocks of some 16 MB) into pieces by the pattern; a text becomes a list of numbers of its block's distinct pieces. Texts are
-   split once, and the lists are written down. A block's distinct pieces are packed by ``BUCKETS`` hash buckets, one row each.
-2. A bucket's rows of all blocks come to one task, where each piece of the corpus is met once.
-3. Replay: a task's distinct pieces stand on end in one long array of byte tokens. An inverted index maps each mergeable pair, by the rank of the token it makes,
-   to the positions where the pair starts; ranks are replayed in ascending order, each over all its positions at once,
-   and only the pairs beside a merged position are looked up anew. Pieces do not touch each other, so each merge is applied to all of its places in the corpus
-   whatever the number of tasks that hold them.
-4. Ids go back to the blocks, packed alike, and texts are spelled block by block. No row stands for a single occurrence of a piece, so none is hot.
+A task takes its documents in blocks of some 8 MB. Each distinct piece (match of the split pattern) of a block stands
+once in one long array of byte tokens. An inverted index maps each mergeable pair, by the rank of the token it makes,
+to the positions where the pair starts; ranks are replayed in ascending order, each over all its positions at once,
+and only the pairs beside a merged position are looked up anew. Documents are then spelled with the finished pieces.
 
 The result equals that of an encoder that takes the lowest rank in each piece, leftmost first. The two orders could
 differ only where a merge makes a pair of a lower rank than its own; pieces where that happens are encoded one by one
 (:func:`lowest_first`). A piece that is itself a token is that token.
 
+Replay over the distinct pieces of the whole corpus was built twice and measured: a text's numbers of pieces have to be written and shuffled back to
+their ids, which takes over twice the disk that there is for the same ids (README). Pieces do not touch each other, so a block's merges are the corpus' merges.
+
+Pieces of earlier blocks are kept by the worker process (``MAX_PIECES`` of them), so a task's cost follows its new pieces.
+
 Defined cases: null text is empty and has no ids; repeated rows come out as often as they go in; a very long text is a
 block of its own; other columns are ignored, whatever their names.
 """
@@ -27,22 +28,17 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import textcore as tc
-from .common import checkpointed, dropped, pieces, runs, shared_folder
+from .common import pieces, runs
 
-BLOCK_BYTES = 16 << 20
-#: Hash buckets of pieces; a task takes whole buckets, and replays up to REPLAY_BYTES of distinct pieces at once (at least one bucket).
-BUCKETS, REPLAY_BYTES = 1024, 8 << 20
+BLOCK_BYTES = 8 << 20
+#: Pieces that a worker process keeps from block to block.
+MAX_PIECES = 250_000
 _NONE = np.int32(2**31 - 1)
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Rows of a block: its pieces by bucket (kind 0), then its texts as numbers of pieces in order of buckets (kind 1). Arrays are packed by :func:`packed`.
-_ROWS = "block long, kind int, bucket int, doc_id long, data binary"
 
 
 def read_ranks(path: str) -> bytes:
@@ -178,166 +174,89 @@ class _Index(dict):
         return n
 
 
-_vocabularies: dict[int, Vocabulary] = {}
-
-
-def _vocabulary(raw: bytes) -> Vocabulary:
-    """Of the rank file's bytes; a worker process keeps the last one."""
-    if hash(raw) not in _vocabularies:
-        _vocabularies.clear()
-        _vocabularies[hash(raw)] = Vocabulary(parse_ranks(raw))
-    return _vocabularies[hash(raw)]
-
-
-_squeeze, _unpack = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
-
-
-def packed(numbers: np.ndarray, tail: bytes = b"") -> bytes:
-    """Numbers of 0 or more in as few bytes each as the largest needs, then other bytes, squeezed."""
-    width = 1 if not len(numbers) or numbers.max() < 1 << 8 else 2 if numbers.max() < 1 << 16 else 4
-    return _squeeze(bytes([width]) + len(numbers).to_bytes(8, "little") + numbers.astype(f"<u{width}").tobytes() + tail)
-
-
-def unpacked(data: bytes) -> tuple[np.ndarray, bytes]:
-    raw = _unpack(data)
-    width, n = raw[0], int.from_bytes(raw[1:9], "little")
-    return np.frombuffer(raw, f"<u{width}", n, 9).astype(np.int64), raw[9 + width * n :]
-
-
-def _split(batches: Iterable[pa.RecordBatch], pattern: str) -> Iterator[pa.RecordBatch]:
-    cut, name = regex.compile(pattern).findall, TaskContext.get().partitionId() << 32
-    for batch in batches:
-        for block in pieces(batch, "text", BLOCK_BYTES):
-            index, lists = _Index(), []
-            at = index.__getitem__
-            for text in block.column("text"):
-                found = cut(text.as_py() or "")
-                lists.append(np.fromiter(map(at, found), np.uint32, len(found)))
-            words = [w.encode() for w in index]
-            sizes = np.fromiter(map(len, words), np.int64, len(words))
-            ends = np.cumsum(sizes)
-            hashes = tc.span_hash(tc.prefix_hash(np.frombuffer(b"".join(words), np.uint8)), ends - sizes, ends)
-            bucket = (hashes >> np.uint64(40)) % np.uint64(BUCKETS)
-            order = np.argsort(bucket, kind="stable")
-            place = np.empty(len(words), np.int64)
-            place[order] = np.arange(len(words))
-            cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist() if len(words) else []
-            data = []
-            for a, b in zip(cuts, [*cuts[1:], len(words)]):
-                own = order[a:b]
-                data.append(packed(sizes[own], b"".join([words[i] for i in own.tolist()])))
-            yield _rows(name, 0, bucket[order][cuts].astype(np.int32), None, data)
-            yield _rows(name, 1, None, block.column("doc_id"), [packed(place[x]) for x in lists])
-            name += 1
-
-
-def _rows(block: int | np.ndarray, kind: int, bucket: np.ndarray | None, doc_id: pa.Array | None, data: list[bytes]) -> pa.RecordBatch:
-    n = len(data)
-    cols = [np.broadcast_to(np.asarray(block, np.int64), n), np.full(n, kind, np.int32)]
-    return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(bucket) if bucket is not None else pa.nulls(n, pa.int32()), doc_id if doc_id is not None else pa.nulls(n, pa.int64()), pa.array(data, pa.binary())], ["block", "kind", "bucket", "doc_id", "data"])
-
-
-def _ids_of(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words on end, and n + 1 offsets: the token itself where a word is one, else by replay."""
-    whole = [vocab.ranks.get(w) for w in words]
-    todo = [i for i, w in enumerate(whole) if w is None]
-    counts = np.ones(len(words), np.int64)
-    ids, first = replay([words[i] for i in todo], vocab) if todo else (np.zeros(0, np.int32), np.zeros(1, np.int64))
-    counts[todo] = np.diff(first)
-    cuts = np.concatenate(([0], np.cumsum(counts)))
-    flat = np.zeros(cuts[-1], np.int32)
-    known = [i for i, w in enumerate(whole) if w is not None]
-    flat[cuts[known]] = [whole[i] for i in known]
-    flat[np.repeat(cuts[todo], counts[todo]) + runs(counts[todo])] = ids
-    return flat, cuts
-
-
-def _replayed(batches: Iterable[pa.RecordBatch], raw: bytes) -> Iterator[pa.RecordBatch]:
-    """Rows of pieces, sorted by bucket, to rows of their ids (kind 0 alike)."""
-    vocab = _vocabulary(raw)
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        flat, first = _ids_of(list(index), vocab)
-        counts = np.diff(first)
-        for start in range(0, len(held), 256):
-            some = held[start : start + 256]
-            data = []
-            for _, _, own in some:
-                ids = flat[np.repeat(first[own], counts[own]) + runs(counts[own])]
-                data.append(packed(counts[own], packed(ids)))
-            yield _rows(np.array([r[0] for r in some]), 0, np.array([r[1] for r in some], np.int32), None, data)
-
-    index, held, size, last = _Index(), [], 0, None
-    for batch in batches:
-        for block, bucket, data in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "data"))):
-            if bucket != last and size >= REPLAY_BYTES:
-                yield from flush()
-                index, held, size = _Index(), [], 0
-            last = bucket
-            sizes, text = unpacked(data)
-            ends, known = np.cumsum(sizes).tolist(), len(index)
-            own = np.fromiter((index[text[a:b]] for a, b in zip([0, *ends], ends)), np.int64, len(ends))
-            size += int(sizes[own >= known].sum())
-            held.append((block, bucket, own))
-    if held:
-        yield from flush()
-
-
-def _spelled(batches: Iterable[pa.RecordBatch], raw: bytes, ids: bool) -> Iterator[pa.RecordBatch]:
-    """Rows of blocks, each block's ids by bucket before its texts, to encoded texts."""
-    tokens = np.array(_vocabulary(raw).tokens, object)
-    decimal = np.array([str(i).encode() for i in range(len(tokens))], object)
-    block, held, ready = None, [], None
-    for whole in batches:
-        names, kinds = whole.column("block").to_numpy(), whole.column("kind").to_numpy()
-        cuts = np.flatnonzero((names[1:] != names[:-1]) | (kinds[1:] != kinds[:-1])) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), whole.num_rows]):
-            if a == b:
-                continue
-            if names[a] != block:
-                block, held, ready = names[a], [], None
-            run = whole.slice(a, b - a)
-            if kinds[a] == 0:
-                held += [(counts, unpacked(tail)[0].astype(np.int32)) for counts, tail in map(unpacked, run.column("data").to_pylist())]
-                continue
-            if ready is None:
-                counts = np.concatenate([np.zeros(0, np.int64), *(h[0] for h in held)])
-                ready, held = (np.concatenate([np.zeros(0, np.int32), *(h[1] for h in held)]), counts, np.cumsum(counts) - counts), []
-            flat, counts, first = ready
-            for start in range(0, run.num_rows, 512):
-                part, each = run.slice(start, 512), []
-                for data in part.column("data").to_pylist():
-                    p = unpacked(data)[0]
-                    each.append(flat[np.repeat(first[p], counts[p]) + runs(counts[p])])
-                yield _encoded(part.column("doc_id"), each, tokens, decimal, ids)
-
-
-def _encoded(doc_id: pa.Array, each: list[np.ndarray], tokens: np.ndarray, decimal: np.ndarray, ids: bool) -> pa.RecordBatch:
-    sizes = np.array([len(x) for x in each], np.int64)
-    cols = [
-        doc_id,
-        pa.array(sizes),
-        pa.array([hashlib.sha256(b",".join(decimal[x].tolist())).hexdigest() for x in each], pa.string()),
-        pa.array([hashlib.sha256(b"".join(tokens[x].tolist())).hexdigest() for x in each], pa.string()),
-    ]
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-    if ids:
-        cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *each]))))
-        names.append("ids")
-    return pa.RecordBatch.from_arrays(cols, names)
+class Encoder:
+    """Known pieces and what they are spelled with."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.vocab, self.pattern = Vocabulary(ranks), regex.compile(pattern)
+        self.clear()
+
+    def clear(self) -> None:
+        self.index, self.decimal, self.raw = _Index(), [], []
+        self.ids, self.first = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def learn(self) -> None:
+        """Spell the pieces that the index has got since."""
+        known = len(self.decimal)
+        new = [p.encode() for p in list(self.index)[known:]]
+        if not new:
+            return
+        whole = [self.vocab.ranks.get(p) for p in new]
+        todo = [i for i, w in enumerate(whole) if w is None]
+        ids, first = replay([new[i] for i in todo], self.vocab) if todo else (np.zeros(0, np.int32), np.zeros(1, np.int64))
+        spelled = [[w] if w is not None else None for w in whole]
+        flat = ids.tolist()
+        for i, a, b in zip(todo, first[:-1].tolist(), first[1:].tolist()):
+            spelled[i] = flat[a:b]
+        tokens = self.vocab.tokens
+        self.decimal += [",".join(map(str, s)).encode() for s in spelled]
+        self.raw += [b"".join([tokens[t] for t in s]) for s in spelled]
+        counts = np.fromiter(map(len, spelled), np.int64, len(spelled))
+        self.ids = np.concatenate((self.ids, np.fromiter((t for s in spelled for t in s), np.int32, int(counts.sum()))))
+        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(counts)))
+
+    def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Of each text the places of its pieces; all pieces' decimal ids and bytes."""
+        if len(self.index) > MAX_PIECES:
+            self.clear()
+        at = self.index.__getitem__
+        split = self.pattern.findall
+        places = []
+        for text in texts:
+            found = split(text) if text else []
+            places.append(np.fromiter(map(at, found), np.int32, len(found)))
+        self.learn()
+        return places, np.array(self.decimal, object), np.array(self.raw, object)
+
+
+_encoders: dict[tuple[int, str], Encoder] = {}
+
+
+def _encoder(raw: bytes, pattern: str) -> Encoder:
+    key = (hash(raw), pattern)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(parse_ranks(raw), pattern)
+    return _encoders[key]
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_tokens, digests of the ids and of the bytes they decode to; the ids too on demand."""
-    spark = docs.sparkSession
-    folder, shared = shared_folder(spark), spark.sparkContext.broadcast(read_ranks(ranks_path))
-    docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: _split(b, pattern), _ROWS).write.parquet(f"{folder}/split")
-    split = spark.read.parquet(f"{folder}/split")
-    known = split.where("kind = 0").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _replayed(b, shared.value), _ROWS)
-    dealt = known.unionByName(split.where("kind = 1")).repartition("block").sortWithinPartitions("block", "kind", "bucket")
-    out = checkpointed(dealt.mapInArrow(lambda b: _spelled(b, shared.value, ids), SCHEMA + ", ids array<int>" * ids))
-    dropped(spark, folder)
-    return out
+    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _encoder(shared.value, pattern)
+        for batch in batches:
+            for block in pieces(batch, "text", BLOCK_BYTES):
+                places, decimal, raw = coder.encode(block.column("text").to_pylist())
+                counts = np.diff(coder.first)
+                sizes = np.array([counts[p].sum() for p in places], np.int64)
+                cols = [
+                    block.column("doc_id"),
+                    pa.array(sizes),
+                    pa.array([hashlib.sha256(b",".join(decimal[p].tolist())).hexdigest() for p in places], pa.string()),
+                    pa.array([hashlib.sha256(b"".join(raw[p].tolist())).hexdigest() for p in places], pa.string()),
+                ]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if ids:
+                    flat = [coder.ids[np.repeat(coder.first[p], counts[p]) + runs(counts[p])] for p in places]
+                    cuts = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+                    cols.append(pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([np.zeros(0, np.int32), *flat]))))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return read.mapInArrow(run, SCHEMA + ", ids array<int>" * ids)
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:

@@ -1,6 +1,5 @@
 import hashlib
 
-import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -58,27 +57,3 @@ def test_replay_where_a_merge_makes_a_lower_rank(words):
     ranks = {bytes([i]): i for i in range(256)} | {b"aba": 256, b"ab": 257, b"abab": 258, b"aaa": 259, b"aa": 260}
     ids, first = bb.replay(words, bb.Vocabulary(ranks))
     assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [bb.lowest_first(w, ranks) for w in words]
-
-
-def test_many_blocks_share_pieces(docs):
-    rows = [(i, f"the same words stand here, and number{i} {'é' * (i % 7)}") for i in range(60)]
-    check(bb.encode(docs(rows).repartition(12), PATH, public_tokenizers.PATTERN), rows)
-
-
-def test_a_piece_is_replayed_once_in_the_corpus(monkeypatch):
-    """Rows of one bucket from several blocks are spelled from one index; a full one is replayed before the next bucket."""
-    words = [b" the", b"zzzqqqxxy", b" unheardofness", b"a", b"\xe6\x97\xa5"]
-    pack = lambda some: bb.packed(np.array([len(w) for w in some]), b"".join(some))
-    rows = [(7, 0, words[:2]), (8, 0, words[1:3]), (7, 1, words[3:]), (9, 1, [])]
-    batch = bb._rows(np.array([r[0] for r in rows]), 0, np.array([r[1] for r in rows], np.int32), None, [pack(r[2]) for r in rows])
-    seen = []
-    monkeypatch.setattr(bb, "_ids_of", lambda some, vocab, f=bb._ids_of: (seen.append(list(some)), f(some, vocab))[1])
-    for most, met in ((1 << 20, [words]), (1, [words[:3], words[3:]])):
-        seen.clear()
-        monkeypatch.setattr(bb, "REPLAY_BYTES", most)
-        got = [r for b in bb._replayed([batch], bb.read_ranks(PATH)) for r in b.to_pylist()]
-        assert seen == met and [(r["block"], r["bucket"]) for r in got] == [r[:2] for r in rows]
-        for r, (_, _, some) in zip(got, rows):
-            counts, tail = bb.unpacked(r["data"])
-            want = [[RANKS[w]] if w in RANKS else bb.lowest_first(w, RANKS) for w in some]
-            assert counts.tolist() == [len(x) for x in want] and bb.unpacked(tail)[0].tolist() == [i for x in want for i in x]
