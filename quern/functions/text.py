@@ -95,3 +95,18 @@ def collected_context(rank: Column, block: Column) -> Column:
 
 def prompt(context: Column, question: Column) -> Column:
     return F.concat(F.lit("Context:\n"), context, F.lit("\n\nQuestion: "), question)
+
+
+_FORM = " Answer in one paragraph of plain text, with steps numbered 1), 2), 3), and with the figures that the context gives. Say so where the context has no answer."
+#: What a generator is told before the context, by intent; and where a question is unclear.
+SYSTEM_PROMPTS = {
+    "disease": "You advise citrus growers on diseases and pests from the numbered sources." + _FORM,
+    "scheme": "You advise citrus growers on government support schemes from the numbered sources: names, amounts, who may apply and how." + _FORM,
+    "hybrid": "You advise citrus growers on a disease or pest and on the support there is for it, from the numbered sources: first what to do, then which schemes help." + _FORM,
+    "ambiguous": "A grower's question is unclear. Ask back in one paragraph: say what has to be known, numbered 1), 2), 3), and give three questions that could be asked.",
+}
+
+
+def system_prompt(intent: Column) -> Column:
+    """The prompt of an intent; anything but disease and hybrid has that of schemes."""
+    return F.when(intent.isin("hybrid", "disease", "ambiguous"), F.element_at(F.create_map(*[F.lit(x) for kv in SYSTEM_PROMPTS.items() for x in kv]), intent)).otherwise(SYSTEM_PROMPTS["scheme"])

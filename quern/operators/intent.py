@@ -38,6 +38,7 @@ REPLIES = {
     "ambiguous_query": "Please say more: which crop part, which symptom, or which scheme?",
     "disease": "Nothing was found on that disease or pest. Describe the symptoms or name the part of the plant.",
     "scheme": "Nothing was found on that scheme. Name the scheme or the kind of support.",
+    "failed": "No answer could be generated. Please ask again.",
     "other": "Nothing was found. Add details of the disease or of the support that is looked for.",
 }
 
@@ -97,6 +98,12 @@ def parse_label(raw: Column) -> Column:
     return F.struct(F.coalesce(last(intents), F.lit("unknown")).alias("intent"), confidence.alias("confidence"), F.coalesce(last(after("REASON:")), F.lit("")).alias("reason"))
 
 
+def labelled(raw: Column) -> Column:
+    """struct(intent, confidence, reason) of a classifier's raw answer; null, where it failed, is unknown at confidence 0."""
+    none = F.struct(F.lit("unknown").alias("intent"), F.lit(0.0).alias("confidence"), F.lit("classification failed").alias("reason"))
+    return F.when(raw.isNull(), none).otherwise(parse_label(raw))
+
+
 def label_to_intent(label: Column) -> Column:
     low = F.lower(label)
     return F.when(low.isin(*INTENTS), low).otherwise("unknown")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import collected_context, context_block, query_hash
+from quern.functions.text import collected_context, context_block, prompt, query_hash, system_prompt
 from quern.operators import fusion, intent
 from quern.operators.hybrid import smart_search
 from quern.settings import DEFAULTS, Settings
@@ -53,12 +54,47 @@ def ranked(found: DataFrame, settings: Settings = DEFAULTS, **keywords) -> DataF
     return fusion.with_fallback(kept, ordered.select(*columns), ["ord"], k)
 
 
-def answer(corpus: DataFrame, questions: DataFrame, settings: Settings = DEFAULTS, classifier: Callable[[Column], Column] = intent.rule_intent, metric: str = "l2sq", **keywords) -> DataFrame:
+#: A generator takes a system prompt and a prompt to a text, or to null where it fails.
+Generator = Callable[[Column, Column], Column]
+
+
+def generated(rows: DataFrame, generator: Generator | None = None) -> DataFrame:
+    """``rows`` (question, intent, n, context, sources) with answer, citations (an array of names) and failed.
+
+    Without documents the answer is the reply of the intent. With them it is the generator's text for the intent's prompt, the context and the question; without a
+    generator it is the context itself, which is extractive and not equivalent to a model's text.
+    """
+    some = F.col("n") > 0
+    if generator is None:
+        out = rows.withColumn("_text", F.when(some, F.col("context")))
+    else:
+        out = written(rows, some, lambda: generator(system_prompt(F.col("intent")), prompt(F.col("context"), F.col("question"))))
+    out = out.withColumn("failed", some & F.col("_text").isNull())
+    said = F.when(~some, intent.reply(intent.no_result_key(F.col("intent")))).otherwise(F.coalesce("_text", intent.reply(F.lit("failed"))))
+    cited = F.when(some & ~F.col("failed"), F.filter(F.split(F.coalesce("sources", F.lit("")), "; "), lambda x: x != "")).otherwise(F.array().cast("array<string>"))
+    return out.withColumns({"answer": said, "citations": cited}).drop("_text")
+
+
+def written(rows: DataFrame, which: Column, text: Callable[[], Column]) -> DataFrame:
+    """``rows`` with _text, which a generator is asked for in some rows alone: a Python function in a CASE would be called for all."""
+    rows = settled(rows)
+    return rows.where(which).withColumn("_text", text()).unionByName(rows.where(~F.coalesce(which, F.lit(False))).withColumn("_text", F.lit(None).cast("string")))
+
+
+def answer(
+    corpus: DataFrame, questions: DataFrame, settings: Settings = DEFAULTS, classifier: Callable[[Column], Column] = intent.rule_intent, metric: str = "l2sq",
+    labels: Callable[[Column], Column] | None = None, generator: Generator | None = None, **keywords,
+) -> DataFrame:
     """query_id, success, intent, outcome, n_sources, sources, answer: one row a question.
 
-    The answer is extractive: the numbered sources themselves. It stands where a model's text would, and is not equivalent to one.
+    ``classifier`` maps a question to an intent. ``labels`` maps it to a model's raw answer instead (null where the model failed), whose intent and
+    confidence count. ``generator`` writes the answers to what was found, and asks back where a question is unclear; a question it fails on has success false and the outcome failed.
+    Without it the answer is extractive: the numbered sources themselves.
     """
-    asked = questions.withColumn("intent", classifier(F.col("question"))).withColumn("confidence", intent.rule_confidence(F.col("intent")))
+    if labels is None:
+        asked = questions.withColumn("intent", classifier(F.col("question"))).withColumn("confidence", intent.rule_confidence(F.col("intent")))
+    else:
+        asked = settled(questions.withColumn("_label", intent.labelled(labels(F.col("question")))).withColumns({"intent": F.col("_label.intent"), "confidence": F.col("_label.confidence")}).drop("_label"))
     docs = ranked(retrieve(corpus, asked, settings, metric), settings, **keywords)
     block = context_block(F.col("final_rank"), F.col("source"), F.col("page"), F.col("content"))
     name = F.concat(F.coalesce("source", F.lit("Unknown")), F.lit(":"), F.coalesce(F.col("page").cast("string"), F.lit("N/A")))
@@ -67,23 +103,41 @@ def answer(corpus: DataFrame, questions: DataFrame, settings: Settings = DEFAULT
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("final_rank").alias("r"), name.alias("s")))), lambda x: x["s"]), "; ").alias("sources"),
     )
     rows = asked.select("query_id", "question", "intent", "confidence").join(gathered, "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rows = generated(rows, generator)
     looked_up = intent.gate(F.col("confidence"), F.col("n"))
-    outcome = F.when(F.col("intent") == "greeting", F.concat(F.lit("greeting:"), intent.greeting_key(F.col("question")))).when(F.col("intent") == "out_of_scope", "out_of_scope").otherwise(looked_up)
-    said = F.when(F.col("intent") == "greeting", intent.reply(intent.greeting_key(F.col("question")))).when(outcome == "answer", F.col("context")).otherwise(intent.reply(outcome))
+    outcome = F.when(F.col("intent") == "greeting", F.concat(F.lit("greeting:"), intent.greeting_key(F.col("question")))).when(F.col("intent") == "out_of_scope", "out_of_scope").when(F.col("failed"), "failed").otherwise(looked_up)
+    rows = rows.withColumn("outcome", outcome).withColumn("_text", F.lit(None).cast("string"))
+    outcome = F.col("outcome")
+    if generator is not None:
+        rows = written(rows.drop("_text"), outcome == "ambiguous_query", lambda: generator(system_prompt(F.lit("ambiguous")), F.col("question")))
+    asked_back = F.coalesce("_text", intent.reply(outcome))
+    said = F.when(F.col("intent") == "greeting", intent.reply(intent.greeting_key(F.col("question")))).when(outcome.isin("answer", "failed"), F.col("answer")).when(outcome == "ambiguous_query", asked_back).otherwise(intent.reply(outcome))
     return rows.select(
-        "query_id", F.lit(True).alias("success"), "intent", outcome.alias("outcome"), F.col("n").alias("n_sources"), F.coalesce("sources", F.lit("")).alias("sources"), said.alias("answer")
+        "query_id", (~F.col("failed")).alias("success"), "intent", "outcome", F.col("n").alias("n_sources"), F.coalesce("sources", F.lit("")).alias("sources"), said.alias("answer")
     )
 
 
-def answer_cached(corpus: DataFrame, questions: DataFrame, cache: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
-    """(answers with was_cached, the grown cache) for a cache (query_hash, success, intent, outcome, n_sources, sources, answer); questions of one hash are answered once."""
+def answer_cached(corpus: DataFrame, questions: DataFrame, cache: DataFrame, now: datetime | None = None, settings: Settings = DEFAULTS, **options) -> tuple[DataFrame, DataFrame]:
+    """(answers with was_cached, the cache after the batch); questions of one hash are answered once.
+
+    ``cache`` has query_hash, success, intent, outcome, n_sources, sources, answer, stored_at, used_at (without the last two, all were stored now). An entry lives
+    ``response_ttl_seconds`` from when it was stored, however often it is used; failed answers are not stored. Of the living the ``response_cache_size`` used last stay, of those used at once the
+    smaller hashes.
+    """
+    now = now or datetime.now()
     hashed = questions.withColumn("query_hash", query_hash(F.col("question")))
     columns = ["success", "intent", "outcome", "n_sources", "sources", "answer"]
-    once = hashed.join(cache.select("query_hash"), "query_hash", "left_anti")
+    at = F.lit(now).cast("timestamp")
+    cache = cache.withColumns({c: at for c in ("stored_at", "used_at") if c not in cache.columns})
+    alive = cache.where(F.col("stored_at") > F.lit(now - timedelta(seconds=settings.response_ttl_seconds)).cast("timestamp"))
+    once = hashed.join(alive.select("query_hash"), "query_hash", "left_anti")
     once = once.withColumn("_at", F.row_number().over(Window.partitionBy("query_hash").orderBy("query_id"))).where("_at = 1")
-    fresh = answer(corpus, once.select("query_id", "query_vec", "question"), **options).join(once.select("query_id", "query_hash"), "query_id").select("query_hash", *columns)
-    known = settled(cache.select("query_hash", *columns, F.lit(True).alias("was_cached")).unionByName(fresh.withColumn("was_cached", F.lit(False))))
-    return hashed.select("query_id", "query_hash").join(known, "query_hash").drop("query_hash"), known.drop("was_cached")
+    fresh = answer(corpus, once.select("query_id", "query_vec", "question"), settings, **options).join(once.select("query_id", "query_hash"), "query_id").select("query_hash", *columns)
+    fresh = fresh.withColumns({"stored_at": at, "used_at": at, "was_cached": F.lit(False)})
+    known = settled(alive.select("query_hash", *columns, "stored_at", "used_at", F.lit(True).alias("was_cached")).unionByName(fresh))
+    used = known.join(hashed.select("query_hash").distinct().withColumn("_used", F.lit(True)), "query_hash", "left")
+    kept = used.where("success").withColumn("used_at", F.when(F.col("_used"), at).otherwise(F.col("used_at"))).orderBy(F.desc("used_at"), "query_hash").limit(settings.response_cache_size)
+    return hashed.select("query_id", "query_hash").join(known.drop("stored_at", "used_at"), "query_hash").drop("query_hash"), kept.drop("was_cached", "_used")
 
 
 def as_json(answers: DataFrame) -> DataFrame:

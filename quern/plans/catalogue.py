@@ -597,6 +597,24 @@ def embed_cache_stats(spark, sf):
     return caches.cache_stats(table(spark, sf, "conversations").select("text"))
 
 
+#: Small, so that keys are forgotten on the test tables.
+LRU_SIZE, LRU_CHUNK = 40, 64
+
+
+@query
+def embed_cache_lru(spark, sf):
+    """Turns of the conversations ask one after the other for their embeddings, from a cache of a few keys."""
+    turns = bloom.arrivals(table(spark, sf, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn", "text"])
+    return caches.lru_stats(turns.select("text", "ord"), LRU_SIZE, LRU_CHUNK)
+
+
+@query
+def intent_prompts(spark, sf):
+    """The system prompt that each question's answer would be generated under."""
+    prompt = tx.system_prompt(intent.route(intent.rule_intent(F.col("question"))))
+    return questions(spark, sf).select("query_id", F.md5(prompt).alias("prompt_md5"))
+
+
 @query
 def ttl_cache_hits(spark, sf):
     requests = table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"))

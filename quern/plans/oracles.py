@@ -6,7 +6,8 @@ from quern.operators import graph, intent
 from quern.operators.bloom import scalable_filter
 from quern.operators.dictionary import DISEASE_KEYWORDS, SCHEME_KEYWORDS
 from quern.operators.lexical import STOP_WORDS
-from quern.plans.catalogue import BITS, COMMON, EACH, FIRST_CAPACITY, FIXTURE_DISEASE, FIXTURE_SCHEME, HASHES, LABELS, SAMPLES, TTL
+from quern.functions.text import SYSTEM_PROMPTS
+from quern.plans.catalogue import BITS, COMMON, EACH, FIRST_CAPACITY, FIXTURE_DISEASE, FIXTURE_SCHEME, HASHES, LABELS, LRU_SIZE, SAMPLES, TTL
 
 W = r"[\p{L}\p{N}_]+"
 #: White space of any script; trim() takes U+0020 alone and RE2's \s is ASCII.
@@ -327,6 +328,11 @@ ORACLE_SQL: dict[str, str] = {
     "upsert_chunks": f"WITH {CHUNKS} SELECT chunk_id, chunk_index + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS chunk_index, md5(CASE WHEN doc_id % 2 = 0 THEN reverse(content) ELSE content END) AS content_md5 FROM ci",
     "context_builder": f"""WITH {CORPUS}, {ASKED}, {LISTS}, c AS (SELECT query_id, string_agg({BLOCK.format(r="rank")}, E'\\n\\n' ORDER BY rank) AS context FROM rl WHERE collection = 'disease' GROUP BY query_id)
         SELECT query_id, md5(context) AS context_md5, CAST(length(context) AS INT) AS n_chars FROM c""",
+    "embed_cache_lru": f"""WITH r AS (SELECT {KEY} AS key, row_number() OVER (ORDER BY conv_id, turn, text) AS ord FROM conversations), p AS (SELECT *, lag(ord) OVER (PARTITION BY key ORDER BY ord) AS prev FROM r),
+        d AS (SELECT a.ord, a.prev, count(DISTINCT b.key) AS between FROM p a LEFT JOIN r b ON b.ord > a.prev AND b.ord < a.ord GROUP BY a.ord, a.prev), h AS (SELECT prev IS NOT NULL AND between < {LRU_SIZE} AS hit FROM d)
+        SELECT count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, least((SELECT count(DISTINCT key) FROM r), {LRU_SIZE}) AS cached, round(count(*) FILTER (hit) / greatest(count(*), 1), 4) AS hit_rate FROM h""",
+    "intent_prompts": f"""WITH {QUESTIONS}, i AS (SELECT query_id, {rule("question", intent.DISEASE_WORDS, intent.SCHEME_WORDS)} AS intent FROM qs)
+        SELECT query_id, md5(CASE intent WHEN 'hybrid' THEN {lit(SYSTEM_PROMPTS["hybrid"])} WHEN 'disease' THEN {lit(SYSTEM_PROMPTS["disease"])} ELSE {lit(SYSTEM_PROMPTS["scheme"])} END) AS prompt_md5 FROM i""",
     "embed_cache_stats": f"""WITH k AS (SELECT {KEY} AS key FROM conversations), c AS (SELECT count(*) AS t, count(DISTINCT key) AS m FROM k)
         SELECT t - m AS hits, m AS misses, m AS distinct_keys, round((t - m) / greatest(t, 1), 4) AS hit_rate FROM c""",
     "ttl_cache_hits": f"""WITH RECURSIVE m(key, since) AS (SELECT user_id, min(ts) FROM events GROUP BY user_id UNION ALL SELECT key, (SELECT min(ts) FROM events e WHERE e.user_id = m.key AND e.ts >= m.since + INTERVAL {TTL} SECOND) FROM m WHERE since IS NOT NULL),

@@ -428,6 +428,37 @@ def test_embedding_cache(spark):
     assert grown.count() == 3 and caches.cleared(grown).count() == 0 and caches.warm(cache, asked, embed).count() == 3
 
 
+def test_embedding_cache_is_bounded(spark):
+    embed = lambda texts: texts.map(lambda t: [float(len(t))])
+    ask = lambda *texts: spark.createDataFrame([(t,) for t in texts], "text string")
+    cache = spark.createDataFrame([], "key string, vector array<double>")
+    _, cache = caches.embed_cached(ask("a", "b", "c"), cache, embed, size=3)
+    rows, cache = caches.embed_cached(ask("a", "d"), cache, embed, size=3)  # b or c goes: both were used in the first batch
+    assert {r.text: r.was_cached for r in rows.collect()} == {"a": True, "d": False}
+    assert {r.key for r in cache.collect()} == {"a", "d", "b"}
+    rows, _ = caches.embed_cached(ask("c", "b"), cache, embed, size=3)
+    assert {r.text: r.was_cached for r in rows.collect()} == {"b": True, "c": False}
+
+
+@pytest.mark.parametrize("keys, size, chunk", [(5, 10, 7), (30, 8, 11), (30, 8, 1000), (12, 12, 5), (200, 20, 50), (3, 1, 2)])
+def test_lru_against_a_replay(spark, keys, size, chunk):
+    from collections import OrderedDict
+
+    rng = random.Random(keys * size)
+    asked = [f"k{min(rng.randrange(keys), rng.randrange(keys))}" if rng.random() < 0.8 else "hot" for _ in range(400)]
+    held, want = OrderedDict(), []
+    for k in asked:
+        want.append(k in held)
+        held[k] = None
+        held.move_to_end(k)
+        if len(held) > size:
+            held.popitem(last=False)
+    frame = spark.createDataFrame([(k, i + 1, i * 2) for i, k in enumerate(asked)], "key string, ord long, tag int")
+    got = sorted(caches.lru_hits(frame, size, chunk).collect(), key=lambda r: r.ord)
+    assert [r.hit for r in got] == want and [(r.key, r.tag) for r in got] == [(k, i * 2) for i, k in enumerate(asked)]
+    assert caches.lru_hits(frame.limit(0), size, chunk).collect() == []
+
+
 # --- streams ---
 
 
@@ -486,6 +517,54 @@ def test_answers_from_cache(spark):
     assert rows.where("was_cached").count() == 6 and '"success":true' in as_json(rows).first().body
 
 
+def test_cached_answers_expire_and_are_bounded(spark):
+    from quern.plans import catalogue
+    from quern.plans.answer import answer_cached
+
+    corpus = catalogue.corpus(spark, "/root/testdata/sf0.001").limit(5)
+    vec = corpus.select(F.col("embedding").alias("query_vec")).limit(1)
+    ask = lambda *qs: vec.crossJoin(spark.createDataFrame([(i, q) for i, q in enumerate(qs)], "query_id long, question string"))
+    few, start = Settings(response_cache_size=2, response_ttl_seconds=100), datetime(2024, 1, 1)
+    cache = spark.createDataFrame([], "query_hash string, success boolean, intent string, outcome string, n_sources long, sources string, answer string")
+    seen = lambda rows: {r.query_id: r.was_cached for r in rows.collect()}
+    rows, cache = answer_cached(corpus, ask("hi", "thanks"), cache, start, few)
+    assert seen(rows) == {0: False, 1: False} and cache.count() == 2
+    rows, cache = answer_cached(corpus, ask("HI ", "bye"), cache, start + timedelta(seconds=60), few)
+    assert seen(rows) == {0: True, 1: False} and cache.count() == 2  # thanks was used longest ago
+    rows, cache = answer_cached(corpus, ask("thanks", "hi"), cache, start + timedelta(seconds=99), few)
+    assert seen(rows) == {0: False, 1: True}
+    rows, _ = answer_cached(corpus, ask("hi"), cache, start + timedelta(seconds=100), few)
+    assert seen(rows) == {0: False}  # a use does not prolong it
+
+
+def test_generator_and_labels(spark):
+    from quern.plans import catalogue
+    from quern.plans.answer import answer, generated
+
+    sf = "/root/testdata/sf0.001"
+    vec = catalogue.vectors(spark, sf).where("vec_id = 3").select(F.col("embedding").alias("query_vec"))
+    rows = [(1, "what of canker"), (2, "what grants"), (3, "hm"), (4, "thanks"), (5, "broken"), (6, "no answer please")]
+    asked = vec.crossJoin(spark.createDataFrame(rows, "query_id long, question string"))
+    raw = {1: "INTENT: disease\nCONFIDENCE: 0.9", 2: "INTENT: scheme\nCONFIDENCE: 0.8", 3: "INTENT: out\nCONFIDENCE: 0.2", 4: "INTENT: greeting\nCONFIDENCE: 1", 6: "INTENT: disease\nCONFIDENCE: 0.7"}
+    labels = lambda q: F.element_at(F.create_map(*[F.lit(x) for i, t in raw.items() for x in (dict(rows)[i], t)]), q)
+
+    @F.pandas_udf("string")
+    def model(system, prompt):
+        return pd.Series([None if "no answer" in p else f"{s[:24]}|{p[-14:]}|{'[Source 1' in p}" for s, p in zip(system, prompt)])
+
+    got = {r.query_id: r for r in answer(catalogue.corpus(spark, sf), asked, labels=labels, generator=model).collect()}
+    assert got[1].answer == "You advise citrus growers|what of canker|True"[:24] + "|what of canker|True" and got[1].outcome == "answer" and got[1].n_sources > 0
+    assert got[2].intent == "scheme" and got[2].answer.endswith("what grants|True") and got[4].outcome == "greeting:thanks"
+    assert got[5].intent == "unknown" and got[5].outcome == "answer" and got[3].intent == "unknown"  # an unknown intent is looked up in both collections
+    assert (got[6].success, got[6].outcome, got[6].answer) == (False, "failed", intent.REPLIES["failed"])
+    empty = {r.query_id: r for r in answer(catalogue.corpus(spark, sf).limit(0), asked, labels=labels, generator=model).collect()}
+    assert empty[3].outcome == "ambiguous_query" and empty[3].answer.startswith("A grower's question is u|") and empty[5].outcome == "ambiguous_query"
+    assert empty[1].outcome == "no_documents" and empty[1].success
+    table = spark.createDataFrame([("q", "disease", 0, None, None), ("q", "scheme", 0, None, None), ("q", "unknown", 0, None, None), ("q", "disease", 2, "ctx", "a:1; b:2")], "question string, intent string, n long, context string, sources string")
+    out = [(r.answer, r.citations, r.failed) for r in generated(table).collect()]
+    assert out == [(intent.REPLIES[k], [], False) for k in ("disease", "scheme", "other")] + [("ctx", ["a:1", "b:2"], False)]
+
+
 @pytest.mark.parametrize("name", ["knn_batch_rownum", "knn_cosine_batch", "knn_ip_batch", "knn_filtered_batch", "knn_threshold_batch", "knn_per_collection_batch"])
 def test_batched_searches_ask_every_fiftieth_vector(spark, name):
     found = QUERIES[name](spark, "/root/testdata/sf0.001")
