@@ -294,6 +294,10 @@ def test_domain_graph(spark):
     symptom = spark.createDataFrame([("yellowing",)], "start string")
     assert graph.treatments_for_symptom(nodes, edges, symptom).collect() == []
     assert graph.treatments_for_symptom(nodes, edges, symptom, "both").count() > 0
+    pests = nodes.where("node_type = 'pest'").select(F.col("id").alias("start"))
+    severe = graph.multi_hop(nodes, edges, pests, ["disease"], 1, where=F.element_at("metadata", "severity") == "critical")
+    assert {(r.start, r.id) for r in severe.collect()} == {("asian_citrus_psyllid", "hlb")}
+    assert graph.bfs(nodes, edges, pests, 3, where=F.col("weight") < 0.4).collect() == []
     assert [r.path for r in graph.find_path(nodes, edges, "nhm", "hlb").collect()] == [["nhm", "biological_control", "hlb"]]
     assert graph.find_path(nodes, edges, "hlb", "hlb").collect() == []
     assert [r.path for r in graph.find_path(nodes, edges, "hlb", "hlb", True).collect()] == [["hlb"]]
