@@ -210,10 +210,12 @@ class Encoder:
         if len(self.index) > MAX_PIECES:
             self.clear()
         at = self.index.__getitem__
-        split = self.pattern.findall
         places = []
         for text in texts:
-            found = split(text) if text else []
+            if text and len(text) > BLOCK_BYTES:  # no list of all its pieces
+                places.append(np.fromiter((at(m[0]) for m in self.pattern.finditer(text)), np.int32))
+                continue
+            found = self.pattern.findall(text) if text else []
             places.append(np.fromiter(map(at, found), np.int32, len(found)))
         self.learn()
         return places, np.array(self.decimal, object), np.array(self.raw, object)

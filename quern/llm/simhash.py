@@ -21,6 +21,7 @@ come out as often as they go in; other columns are ignored, whatever their names
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed, join_hot, map_pieces, utf8
 
 SEED, SHINGLE, RADIUS, BITS = 42, 3, 2, 64
+#: Text that is split into words at once.
+PART_BYTES, _GAP = 1 << 20, re.compile(rb"[ \x09-\x0D]")
 BAND = 16
 BAND_PAIRS = [(a, b) for a in range(4) for b in range(a + 1, 4)]
 #: Distinct fingerprints of a group that one task compares; larger groups are cut into subgroups.
@@ -41,30 +44,37 @@ _BIT_TABLE = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.
 
 
 def fingerprint_of(text: bytes) -> int:
-    words = text.lower().split()  # of bytes: lowers A-Z only, splits at space and \x09-\x0D only
-    if not words:
-        return 0
-    if len(words) < SHINGLE:
-        shingles = [b" ".join(words)]
-    else:
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        shingles = [joined[s:e] for s, e in zip(starts[: len(words) - SHINGLE + 1].tolist(), ends[SHINGLE - 1 :].tolist())]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(x, SEED) for x in shingles), np.uint64, len(shingles))
-    return majority(hashes)
-
-
-def majority(hashes: np.ndarray) -> int:
-    """Bit i is set if it is set in over half of the hashes."""
+    """The majority of the shingles' bits; a long text is taken in parts of some PART_BYTES that end between words."""
+    counts, n, carry, at = np.zeros(BITS, np.int64), 0, [], 0
+    while at < len(text):
+        gap = _GAP.search(text, at + PART_BYTES) if at + PART_BYTES < len(text) else None
+        end = gap.start() if gap else len(text)
+        words = carry + text[at:end].lower().split()  # of bytes: lowers A-Z only, splits at space and \x09-\x0D only
+        at = end
+        if len(words) >= SHINGLE:
+            joined = b" ".join(words)
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+            starts = np.concatenate(([0], ends[:-1] + 1))
+            hashes = hashes_of(joined[s:e] for s, e in zip(starts[: len(words) - SHINGLE + 1].tolist(), ends[SHINGLE - 1 :].tolist()))
+            counts += bit_counts(hashes)
+            n += len(hashes)
+        carry = words[-SHINGLE + 1 :]
+    if not n and carry:
+        counts, n = bit_counts(hashes_of([b" ".join(carry)])), 1
+    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
+
+
+def hashes_of(shingles: Iterable[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in shingles), np.uint64)
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set."""
     n = len(hashes)
     if n < 256:
-        counts = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    else:
-        columns = np.ascontiguousarray(hashes.view(np.uint8).reshape(n, 8).T)
-        counts = np.concatenate([np.bincount(c, minlength=256) @ _BIT_TABLE for c in columns])
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
+        return np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    columns = np.ascontiguousarray(hashes.view(np.uint8).reshape(n, 8).T)
+    return np.concatenate([np.bincount(c, minlength=256) @ _BIT_TABLE for c in columns])
 
 
 def fingerprint_column(text: pa.Array) -> pa.Array:

@@ -23,28 +23,46 @@ GRAM_BASE = np.uint64(0xD6E8FEB86659FD93)
 _powers: dict[int, np.ndarray] = {}
 
 
+#: Bytes that hashes are computed over at once, so that temporary arrays don't grow with a text.
+STEP = 1 << 16
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 ... base**(n-1) modulo 2**64."""
+    """base**0 ... base**(n-1) modulo 2**64, for n up to STEP or so."""
     known = _powers.get(base)
     if known is None or len(known) < n:
-        grown = np.full(max(n, 1 << 16), base, np.uint64)
+        grown = np.full(max(n, STEP), base, np.uint64)
         grown[0] = 1
-        known = np.cumprod(grown, dtype=np.uint64)
-        if n <= 1 << 23:
-            _powers[base] = known
+        _powers[base] = known = np.cumprod(grown, dtype=np.uint64)
     return known[:n]
 
 
+def power_at(base: int, at: np.ndarray) -> np.ndarray:
+    """base**at modulo 2**64 from two short tables."""
+    high = at >> 16
+    top = powers(pow(base, STEP, 2**64), int(high.max()) + 1 if len(at) else 1)
+    return powers(base, STEP)[at & (STEP - 1)] * top[high]
+
+
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """n + 1 prefix sums of byte values times powers of BASE."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[data] * powers(BASE, len(data)), out=out[1:])
+    table = powers(BASE, STEP)
+    for a in range(0, len(data), STEP):
+        part = BYTE_VALUES[data[a : a + STEP]]
+        part *= table[: len(part)]
+        part *= np.uint64(pow(BASE, a, 2**64))
+        part[0] += out[a]
+        np.cumsum(part, out=out[a + 1 : a + 1 + len(part)])
     return out
 
 
 def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of data[start:end]; equal bytes have equal hashes wherever they stand."""
-    return mix((prefix[ends] - prefix[starts]) * powers(INVERSE, len(prefix))[starts])
+    out = prefix[ends]
+    out -= prefix[starts]
+    out *= power_at(INVERSE, starts)
+    return mix(out)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

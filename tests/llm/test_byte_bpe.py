@@ -57,3 +57,11 @@ def test_replay_where_a_merge_makes_a_lower_rank(words):
     ranks = {bytes([i]): i for i in range(256)} | {b"aba": 256, b"ab": 257, b"abab": 258, b"aaa": 259, b"aa": 260}
     ids, first = bb.replay(words, bb.Vocabulary(ranks))
     assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [bb.lowest_first(w, ranks) for w in words]
+
+
+def test_a_text_over_a_block(monkeypatch):
+    monkeypatch.setattr(bb, "BLOCK_BYTES", 10)
+    coder = bb.Encoder(RANKS, public_tokenizers.PATTERN)
+    text = "it's a long text, of 12345 words; é and so on"
+    (places,), decimal, raw = coder.encode([text])
+    assert b",".join(decimal[places]) == ",".join(map(str, LIBRARY.encode_ordinary(text))).encode() and b"".join(raw[places]) == text.encode()

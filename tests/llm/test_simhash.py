@@ -136,3 +136,10 @@ def test_hot_fingerprints_join_alike(docs, monkeypatch):
     want = sorted(map(str, sh.near_duplicates(docs(rows)).collect()))
     monkeypatch.setattr("quern.llm.common.HOT_LEAST", 5)
     assert sorted(map(str, sh.near_duplicates(docs(rows)).collect())) == want
+
+
+def test_long_texts_in_parts(monkeypatch):
+    texts = [("one two three four five six seven " * 300).strip() + " end", "x" * 500, "a b", " ".join("abc"[i % 3] * (i % 50 + 1) for i in range(400)), " \n" * 90 + "a" + "\t " * 90 + "b c", ""]
+    for size in (1, 7, 100, 1 << 20):
+        monkeypatch.setattr(sh, "PART_BYTES", size)
+        assert [sh.fingerprint_of(t.encode()) for t in texts] == [brute_print(t) for t in texts], size
