@@ -52,7 +52,7 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
         part = BYTE_VALUES[data[a : a + STEP]]
         part *= table[: len(part)]
         part *= np.uint64(pow(BASE, a, 2**64))
-        part[0] += out[a]
+        part[:1] += out[a : a + 1]
         np.cumsum(part, out=out[a + 1 : a + 1 + len(part)])
     return out
 
