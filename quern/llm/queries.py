@@ -130,10 +130,10 @@ ORACLE_SQL: dict[str, str] = {
       kept AS (SELECT doc_id, string_agg(substr(hx, 2 * f + 1, 2 * (a - f)), '' ORDER BY a) AS kx FROM k JOIN h USING (doc_id) GROUP BY doc_id)
       SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kx)) AS kept_sha256 FROM h JOIN kept USING (doc_id) LEFT JOIN m USING (doc_id)""",
     "op11_window_dedup": r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-      w AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d WHERE len(ws) >= 13),
-      h AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY md5(array_to_string(ws[i : i + 12], ' '))) AS earliest FROM w),
-      gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS place FROM h WHERE earliest < doc_id),
       words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS place FROM d),
+      w AS (SELECT doc_id, place, string_agg(word, ' ') OVER following AS x, count(*) OVER following AS n FROM words WINDOW following AS (PARTITION BY doc_id ORDER BY place ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+      h AS (SELECT doc_id, place, min(doc_id) OVER (PARTITION BY md5(x)) AS earliest FROM w WHERE n = 13),
+      gone AS (SELECT DISTINCT doc_id, unnest(range(place, place + 13)) AS place FROM h WHERE earliest < doc_id),
       kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS kx FROM words ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
       SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kx, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
     "op12_periodic_runs": r"""WITH o AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, CRC AS h FROM documents),
