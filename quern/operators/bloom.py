@@ -1,6 +1,7 @@
 """Bloom filters as sets of bits. Deduplication is exact by default; these reproduce the sketch bit by bit.
 
-Bit i of an item is (md5 + i * sha1) mod m. The digests do not fit a number type, so they are folded to their remainder 32 bits at a time.
+Bit i of an item is (md5 + i * sha1) mod m. The digests do not fit a number type, so they are folded to their remainder 32 or, for filters of 2**31 bits and more, 16 bits at a time.
+A filter is a table of its set bits, or one of bit pages: 32,768 bits each, built and merged by Spark's bitmap aggregates, and tested where the probes are.
 """
 
 from __future__ import annotations
@@ -13,6 +14,11 @@ from pyspark.sql import functions as F
 
 from quern.sources.tables import settled
 
+#: Bits of a page, and the bytes of pages that :func:`page_membership` broadcasts at most.
+PAGE_BITS, MAX_PAGE_BYTES = 32_768, 256 << 20
+#: Above this a remainder times 2**16 does not fit 63 bits.
+MOST_BITS = 2**47
+
 
 def optimal_bits(n: int, p: float) -> int:
     return math.ceil(-n * math.log(p) / math.log(2) ** 2)
@@ -23,10 +29,13 @@ def optimal_hashes(bits: int, n: int) -> int:
 
 
 def folded(digest: Column, pieces: int, bits: int) -> Column:
-    """A hex digest's number modulo ``bits``; ``bits`` has to be below 2**31."""
+    """The number of a hex digest of ``pieces`` times 8 digits, modulo ``bits``."""
+    if not 0 < bits <= MOST_BITS:
+        raise ValueError(f"a filter has 1 to {MOST_BITS} bits")
+    digits = 8 if bits < 2**31 else 4  # a remainder times 16**digits has to fit
     out = F.lit(0).cast("long")
-    for i in range(pieces):
-        out = (out * F.lit(2**32 % bits) + F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long")) % bits
+    for i in range(0, 8 * pieces, digits):
+        out = (out * F.lit(16**digits % bits) + F.conv(F.substring(digest, 1 + i, digits), 16, 10).cast("long")) % bits
     return out
 
 
@@ -47,6 +56,76 @@ def membership(probes: DataFrame, filter_: DataFrame, bits: int, hashes: int) ->
     return hits.groupBy("item").agg((F.count("set") == F.count(F.lit(1))).alias("maybe"))
 
 
+def filter_pages(items: DataFrame, bits: int, hashes: int) -> DataFrame:
+    """page, bitmap: the filter of all ``item``s as pages of PAGE_BITS bits, those without a set bit left out. A task sends a page once, however many items set bits in it."""
+    set_ = items.select(F.explode(positions(F.col("item"), bits, hashes)).alias("bit"))
+    return set_.groupBy(F.floor(F.col("bit") / PAGE_BITS).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("bitmap"))
+
+
+def merged_pages(one: DataFrame, *more: DataFrame) -> DataFrame:
+    """The pages of a filter of what any of the filters holds; all have to be of one size and number of hashes."""
+    return reduce(DataFrame.unionByName, more, one).groupBy("page").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+
+
+def set_bits(pages: DataFrame) -> DataFrame:
+    """filled: how many bits are set."""
+    return pages.agg(F.coalesce(F.sum(F.bitmap_count("bitmap")), F.lit(0)).alias("filled"))
+
+
+def _is_set(bitmap: Column, bit: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(bitmap, (F.floor(bit % PAGE_BITS / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) != 0, F.lit(False))
+
+
+def page_membership(probes: DataFrame, pages: DataFrame, bits: int, hashes: int, most: int = MAX_PAGE_BYTES) -> DataFrame:
+    """``probes`` with maybe: whether all bits of their ``item`` are set in the filter of these pages.
+
+    Pages of up to ``most`` bytes in all are broadcast, once for all hashes, and no probe is shuffled. Beyond that each probe's distinct bits meet the pages in a shuffle.
+    """
+    pages = settled(pages)
+    names = probes.columns
+    found = probes.withColumn("_bits", positions(F.col("item"), bits, hashes))
+    if pages.count() * (PAGE_BITS // 8) <= most:
+        found = found.withColumn("maybe", F.lit(True))
+        for i in range(hashes):
+            bit = F.col("_bits")[i]
+            found = found.withColumn("_page", F.floor(bit / PAGE_BITS)).join(F.broadcast(pages.select(F.col("page").alias("_page"), F.col("bitmap").alias("_bitmap"))), "_page", "left")
+            found = found.withColumn("maybe", F.col("maybe") & _is_set(F.col("_bitmap"), bit)).drop("_page", "_bitmap")
+        return found.select(*names, "maybe")
+    each = found.select("item").distinct().select("item", F.explode(F.array_distinct(positions(F.col("item"), bits, hashes))).alias("_bit")).withColumn("_page", F.floor(F.col("_bit") / PAGE_BITS))
+    hits = each.join(pages.select(F.col("page").alias("_page"), F.col("bitmap").alias("_bitmap")), "_page", "left")
+    said = hits.groupBy(F.col("item").alias("_item")).agg(F.min(_is_set(F.col("_bitmap"), F.col("_bit"))).alias("maybe"))
+    return probes.join(said, F.col("item").eqNullSafe(F.col("_item"))).select(*names, "maybe")
+
+
+def add_if_new(items: DataFrame, bits: int, hashes: int) -> DataFrame:
+    """``items`` (item, ord: a number of its own for each, in order of arrival) with is_new: whether a filter that starts empty, and takes each item in turn, did not hold it yet.
+
+    An item that is refused would have set no bit that is not set, so after any number of arrivals the set bits are those of all items so far, refused or not. So an item
+    is new if and only if it is the earliest of all that have one of its bits: a grouped minimum for each bit replaces the replay, false positives included.
+    """
+    setters = items.select("ord", F.explode(positions(F.col("item"), bits, hashes)).alias("bit")).groupBy("bit").agg(F.min("ord").alias("ord"))
+    new = setters.select("ord").distinct().withColumn("_new", F.lit(True))
+    return items.join(new, "ord", "left").select(*items.columns, F.coalesce("_new", F.lit(False)).alias("is_new"))
+
+
+def dedup_stats(items: DataFrame, n: int, p: float) -> DataFrame:
+    """offered, refused and a filter's statistics once it has been offered the ``items`` (item, ord) in turn; elements_added counts what it took as new."""
+    bits = optimal_bits(n, p)
+    hashes = optimal_hashes(bits, n)
+    taken = add_if_new(items, bits, hashes).agg(F.count(F.lit(1)).alias("offered"), F.count(F.when(~F.col("is_new"), 1)).alias("refused"), F.count(F.when(F.col("is_new"), 1)).alias("elements_added"))
+    ratio = F.col("filled") / F.lit(bits)
+    return taken.join(set_bits(filter_pages(items, bits, hashes)), F.lit(True)).select(
+        "offered", "refused", F.lit(bits).alias("size_bits"), F.lit(math.ceil(bits / 8)).alias("size_bytes"), F.lit(hashes).alias("hash_count"), "elements_added",
+        F.round(ratio, 4).alias("fill_ratio"), F.round(F.pow(ratio, F.lit(hashes)), 6).alias("estimated_fp_rate"), F.lit(float(p)).alias("target_fp_rate"),
+    )
+
+
+def cleared(pages: DataFrame) -> DataFrame:
+    """The filter with no bit set."""
+    return pages.limit(0)
+
+
 def stats(items: DataFrame, n: int, p: float) -> DataFrame:
     """size_bits, size_bytes, hash_count, elements_added, fill_ratio, estimated_fp_rate, target_fp_rate of a filter of distinct items."""
     bits = optimal_bits(n, p)
@@ -111,3 +190,27 @@ def scalable_assignment(items: DataFrame, n: int = 1000, growth: int = 2) -> Dat
     if growth == 1:
         return items.withColumn("filter", F.floor((F.col("ord") - 1) / n).cast("int"))
     return items.withColumn("filter", F.floor(F.log((F.col("ord") - 1) * (growth - 1) / n + 1) / math.log(growth) + 1e-12).cast("int"))
+
+
+def scalable_add_if_new(items: DataFrame, n: int = 1000, p: float = 0.01, growth: int = 2, tightening: float = 0.5) -> DataFrame:
+    """``items`` (item, ord) with is_new and filter (the number of the filter that took it, null if refused), of a growing filter that takes each item in turn.
+
+    Round j replays filter j on what the filters before it, then full, have not refused: it takes items as :func:`add_if_new` says until ``n * growth**j`` of them are new. What arrives after
+    the last of these is refused by its bits, or goes on to the next round. There are as many rounds as filters, so a logarithm of the items (growth 2 or more).
+    """
+    rest, done, j = settled(items), [], 0
+    names = items.columns
+    while True:
+        _, capacity, _, bits, hashes = scalable_filter(n, p, growth, tightening, j + 1)[-1]
+        tried = settled(add_if_new(rest, bits, hashes))
+        last = arrivals(tried.where("is_new").select(F.col("ord").alias("at")), ["at"]).where(F.col("ord") == capacity).first()
+        now = tried.where(F.col("ord") <= last["at"]) if last else tried
+        done.append(now.select(*names, "is_new", F.when(F.col("is_new"), j).alias("filter")))
+        after = tried.where(F.col("ord") > last["at"]) if last else tried.limit(0)
+        if after.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        judged = settled(page_membership(after.select(*names), filter_pages(now, bits, hashes), bits, hashes))
+        done.append(judged.where("maybe").select(*names, F.lit(False).alias("is_new"), F.lit(None).cast("int").alias("filter")))
+        rest, j = judged.where("not maybe").select(*names), j + 1
+        if rest.isEmpty():
+            return reduce(DataFrame.unionByName, done)

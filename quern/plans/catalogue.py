@@ -528,6 +528,38 @@ def bloom_stats(spark, sf):
     return bloom.stats(keys(spark, sf), 5000, 0.001)
 
 
+@query
+def bloom_page_membership(spark, sf):
+    """The same, by bit pages; for each document."""
+    every = keys(spark, sf)
+    return bloom.page_membership(every, bloom.filter_pages(every.where("doc_id % 2 = 0"), BITS, HASHES), BITS, HASHES)
+
+
+#: A filter so small that it takes documents for known that are not.
+NARROW = bloom.optimal_bits(500, 0.05), bloom.optimal_hashes(bloom.optimal_bits(500, 0.05), 500)
+
+
+def arriving(spark, sf):
+    """Keys of all documents, in order of doc_id."""
+    return bloom.arrivals(keys(spark, sf), ["doc_id", "item"])
+
+
+@query
+def bloom_add_if_new(spark, sf):
+    return bloom.add_if_new(arriving(spark, sf), *NARROW).select("doc_id", "is_new")
+
+
+@query
+def bloom_dedup_stats(spark, sf):
+    return bloom.dedup_stats(arriving(spark, sf), 500, 0.05)
+
+
+@query
+def scalable_bloom_add_if_new(spark, sf):
+    """The first filter takes 100 documents."""
+    return bloom.scalable_add_if_new(arriving(spark, sf), 100, 0.05).select("doc_id", "is_new", "filter")
+
+
 @query
 def scalable_bloom_assign(spark, sf):
     """Documents arrive in order of doc_id."""
@@ -629,6 +661,27 @@ def stream_event_windows(spark, sf):
     return drain(windowed_counts(read_events(spark, f"{sf}/events.parquet")), stream_folder(spark), "complete")
 
 
+@query
+def stream_response_cache(spark, sf):
+    """The requests of ttl_cache_hits as a stream of several batches, each row up to 6 hours late and so out of order; hits and misses a user."""
+    from quern.streaming.requests import arriving_in_parts, drain, response_cache, rocksdb_state
+
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    late = F.pmod(F.xxhash64("event_id"), F.lit(6 * 3600)) * 1_000_000
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("key"), F.timestamp_micros(at).alias("ts"), (at + late).alias("arrival"))
+    # A last request of nobody moves the watermark past all others.
+    close = rows.agg(F.max("ts").alias("ts")).select(F.lit(None).cast(rows.schema["key"].dataType).alias("key"), (F.col("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"))
+    folder = stream_folder(spark)
+    with rocksdb_state(spark):
+        found = drain(response_cache(arriving_in_parts(rows, f"{folder}/in", "arrival", STREAM_PARTS, close), TTL, "12 hours"), folder)
+    found = found.where("key is not null")
+    return found.groupBy("key").agg(F.sum(F.col("hit").cast("long")).alias("hits"), F.sum((~F.col("hit")).cast("long")).alias("misses"))
+
+
+#: Batches that the request stream comes in.
+STREAM_PARTS = 4
+
+
 def stream_folder(spark):
     return f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
 

@@ -7,7 +7,7 @@ from quern.operators.bloom import scalable_filter
 from quern.operators.dictionary import DISEASE_KEYWORDS, SCHEME_KEYWORDS
 from quern.operators.lexical import STOP_WORDS
 from quern.functions.text import SYSTEM_PROMPTS
-from quern.plans.catalogue import BITS, COMMON, EACH, FIRST_CAPACITY, FIXTURE_DISEASE, FIXTURE_SCHEME, HASHES, LABELS, LRU_SIZE, SAMPLES, TTL
+from quern.plans.catalogue import BITS, COMMON, EACH, FIRST_CAPACITY, FIXTURE_DISEASE, FIXTURE_SCHEME, HASHES, LABELS, LRU_SIZE, NARROW, SAMPLES, TTL
 
 W = r"[\p{L}\p{N}_]+"
 #: White space of any script; trim() takes U+0020 alone and RE2's \s is ASCII.
@@ -167,14 +167,15 @@ def fold_by(digest: str, pieces: int, bits: str) -> str:
     return out
 
 
-def fold(digest: str, pieces: int) -> str:
+def fold(digest: str, pieces: int, bits: int = BITS) -> str:
     out = "0::BIGINT"
     for i in range(pieces):
-        out = f"(({out} * {2**32 % BITS} + ('0x' || substr({digest}, {1 + 8 * i}, 8))::BIGINT) % {BITS})"
+        out = f"(({out} * {2**32 % bits} + ('0x' || substr({digest}, {1 + 8 * i}, 8))::BIGINT) % {bits})"
     return out
 
 
 KEYS = f"keys AS (SELECT doc_id, {DOCKEY} AS item FROM documents), hs AS (SELECT doc_id, item, {fold('md5(item)', 4)} AS h1, {fold('sha1(item)', 5)} AS h2 FROM keys), bits AS (SELECT doc_id, item, (h1 + i * h2) % {BITS} AS bit FROM hs, range({HASHES}) r(i))"
+NARROW_BITS = f"keys AS (SELECT doc_id, {DOCKEY} AS item FROM documents), hs AS (SELECT doc_id, {fold('md5(item)', 4, NARROW[0])} AS h1, {fold('sha1(item)', 5, NARROW[0])} AS h2 FROM keys), bits AS (SELECT doc_id, (h1 + i * h2) % {NARROW[0]} AS bit FROM hs, range({NARROW[1]}) r(i)), new AS (SELECT DISTINCT d FROM (SELECT min(doc_id) AS d FROM bits GROUP BY bit))"
 GROWN = [(j, FIRST_CAPACITY * (2**j - 1), FIRST_CAPACITY * (2 ** (j + 1) - 1), bits, hashes) for j, _, _, bits, hashes in scalable_filter(FIRST_CAPACITY, most=16)]
 QUESTIONS = f"qs AS (SELECT * FROM ({rows(SAMPLES)}) t(query_id, question) UNION ALL SELECT conv_id * 1000 + turn + 100, text FROM conversations)"
 
@@ -314,6 +315,10 @@ ORACLE_SQL: dict[str, str] = {
     "confidence_gate": "SELECT id, CASE WHEN c < 0.4 AND n = 0 THEN 'ambiguous_query' WHEN n = 0 THEN 'no_documents' ELSE 'answer' END AS outcome FROM (VALUES (1, 0.3, 0), (2, 0.3, 2), (3, 0.4, 0), (4, 0.9, 4)) t(id, c, n)",
     "bloom_bits": f"WITH {KEYS} SELECT DISTINCT bit FROM bits",
     "bloom_membership": f"""WITH {KEYS}, ins AS (SELECT DISTINCT bit FROM bits WHERE doc_id % 2 = 0), pr AS (SELECT DISTINCT item, bit FROM bits) SELECT item, count(ins.bit) = count(*) AS maybe FROM pr LEFT JOIN ins USING (bit) GROUP BY item""",
+    "bloom_page_membership": f"WITH {KEYS}, ins AS (SELECT DISTINCT bit FROM bits WHERE doc_id % 2 = 0) SELECT doc_id, item, count(ins.bit) = count(*) AS maybe FROM bits LEFT JOIN ins USING (bit) GROUP BY doc_id, item",
+    "bloom_add_if_new": f"WITH {NARROW_BITS} SELECT doc_id, doc_id IN (SELECT d FROM new) AS is_new FROM documents",
+    "bloom_dedup_stats": f"""WITH {NARROW_BITS}, f AS (SELECT count(DISTINCT bit) / {NARROW[0]} AS r FROM bits), n AS (SELECT count(*) AS taken FROM new), d AS (SELECT count(*) AS offered FROM documents)
+        SELECT offered, offered - taken AS refused, {NARROW[0]} AS size_bits, {-(-NARROW[0] // 8)} AS size_bytes, {NARROW[1]} AS hash_count, taken AS elements_added, round(r, 4) AS fill_ratio, round(pow(r, {NARROW[1]}), 6) AS estimated_fp_rate, 0.05::DOUBLE AS target_fp_rate FROM f, n, d""",
     "bloom_stats": f"""WITH {KEYS}, f AS (SELECT count(DISTINCT bit) / {BITS} AS r FROM bits), e AS (SELECT count(DISTINCT item) AS n FROM keys)
         SELECT {BITS} AS size_bits, {-(-BITS // 8)} AS size_bytes, {HASHES} AS hash_count, n AS elements_added, round(r, 4) AS fill_ratio, round(pow(r, {HASHES}), 6) AS estimated_fp_rate, 0.001::DOUBLE AS target_fp_rate FROM f, e""",
     "scalable_bloom_assign": """WITH c AS (SELECT CAST(j AS INT) AS filter, 100 * (pow(2, j) - 1) AS lo, 100 * (pow(2, j + 1) - 1) AS hi FROM range(40) r(j)) SELECT filter, count(*) AS n, min(doc_id) AS first_doc FROM documents JOIN c ON doc_id >= lo AND doc_id < hi GROUP BY filter""",
@@ -352,3 +357,4 @@ ORACLE_SQL["kg_enrich"] = ORACLE_SQL["kg_disease_context"].replace("SELECT start
 )
 # The context of a question's entity may be of any node, not of a disease alone.
 ORACLE_SQL["kg_enrich"] = ORACLE_SQL["kg_enrich"].replace("FROM x WHERE st = 'disease' AND (tt", "FROM x WHERE (tt").replace("WHERE st = 'scheme' AND tt = 'disease'), anyscheme", "WHERE st = 'scheme'), anyscheme")
+ORACLE_SQL["stream_response_cache"] = ORACLE_SQL["ttl_cache_hits"]

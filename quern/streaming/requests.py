@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quern.settings import DEFAULTS
 
+#: The state store that stateful processors need.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """A stream of a Parquet folder, or of one file, with the schema of what is there now; ts is made a timestamp, which watermarks need."""
@@ -49,22 +55,123 @@ def ttl_cache(stream: DataFrame, seconds: int = DEFAULTS.response_ttl_seconds, d
     return keyed.groupBy("key").applyInPandasWithState(walk, "key string, ts timestamp, hit boolean", "until long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+class _Entry(StatefulProcessor):
+    """One key: requests that wait for the watermark, and when its entry ends (microseconds)."""
+
+    def __init__(self, seconds: int):
+        self.life = seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.until = handle.getValueState("until", "at long")
+        self.waiting = handle.getListState("waiting", "at long")
+
+    def _settle(self, key: tuple, fresh: list[int], mark: int) -> Iterator[pd.DataFrame]:
+        """Judge, in order of time, what no request can come before any more; keep the rest, and wake when it or the entry is due."""
+        ats = sorted([*(r[0] for r in self.waiting.get()), *fresh])
+        until = self.until.get()[0] if self.until.exists() else None
+        due = [at for at in ats if at // 1000 <= mark]
+        left = ats[len(due) :]
+        hits = []
+        for at in due:
+            hits.append(until is not None and at < until)
+            if not hits[-1]:
+                until = at + self.life
+        if until is not None and until // 1000 <= mark and not (left and left[0] < until):
+            until = None  # nothing that may still come can hit it
+        if until is None:
+            self.until.clear()
+        else:
+            self.until.update((until,))
+        if left:
+            self.waiting.put([(at,) for at in left])
+        else:
+            self.waiting.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        wake = [*(at // 1000 for at in left[:1]), *([until // 1000] if until is not None else [])]
+        if wake:
+            self.handle.registerTimer(max(min(wake), mark + 1))
+        if due:
+            yield pd.DataFrame({"key": key[0], "ts": pd.to_datetime(due, unit="us"), "hit": hits})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        fresh = [at for batch in rows for at in batch["at"].tolist()]
+        yield from self._settle(key, fresh, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield from self._settle(key, [], timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def response_cache(stream: DataFrame, seconds: int = DEFAULTS.response_ttl_seconds, delay: str = "30 minutes") -> DataFrame:
+    """key, ts, hit for each request (key, ts), judged in order of ts however the requests come: as :func:`quern.operators.caches.ttl_hits`, for a stream.
+
+    A request waits in its key's state until the watermark has passed it, so that those out of order by up to ``delay`` take their place; later ones are dropped. A timer a key wakes it for
+    what waits and when its entry ends; then nothing of the key is kept. State is thus the requests of the last ``delay``, and an expiry for each key of the last ``seconds``. Needs :func:`rocksdb_state` while the stream starts.
+    """
+    keyed = stream.select("key", "ts", F.unix_micros("ts").alias("at")).withWatermark("ts", delay)
+    kind = stream.schema["key"].dataType.simpleString()
+    return keyed.groupBy("key").transformWithStateInPandas(_Entry(seconds), f"key {kind}, ts timestamp, hit boolean", "append", "EventTime")
+
+
+@contextlib.contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that start in here keep their state in RocksDB."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def arriving_in_parts(rows: DataFrame, folder: str, order: str, parts: int, close: DataFrame | None = None) -> DataFrame:
+    """``rows`` written to ``folder`` in so many files one after the other, by equal ranges of the number ``order``, then ``close``; and the stream that takes a file a batch."""
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    part = F.least(F.floor((F.col(order) - F.lit(low)) * parts / F.lit(max((high or 0) - (low or 0), 1))), F.lit(parts - 1))
+    for n in range(parts if low is not None else 0):
+        rows.where(part == n).drop(order).coalesce(1).write.mode("append").parquet(folder)
+    if close is not None:
+        close.coalesce(1).write.mode("append").parquet(folder)
+    return rows.sparkSession.readStream.schema(rows.drop(order).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 def windowed_counts(stream: DataFrame, width: str = "1 hour", delay: str = "30 minutes") -> DataFrame:
     """window_start, event_type, n, total."""
     counted = stream.withWatermark("ts", delay).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return counted.select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
 
 
-def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there now, into Parquet under ``folder``, and read the result. Each batch is written whole, so a repeated batch replaces itself."""
+def drain(stream: DataFrame, folder: str, mode: str = "append", progress: list | None = None) -> DataFrame:
+    """Run a stream over all that is there now, into Parquet under ``folder``, and read the result.
+
+    An appended batch is written whole, so a repeated batch replaces itself. A complete result goes to a folder of its own for each batch, and the last one is read, so that nobody's rows are
+    overwritten. ``progress`` gets the batches' reports.
+    """
     spark = stream.sparkSession
     out = f"{folder}/rows"
+    last = []
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number if mode == 'append' else 0}")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        last[:] = [number]
+
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
+    query.awaitTermination()
+    if progress is not None:
+        progress += query.recentProgress
+    if not last and mode == "append":
+        return spark.createDataFrame([], stream.schema)
+    read = spark.read.schema(_plain(stream))
+    return (read.parquet(out) if mode == "append" else read.parquet(f"{out}/batch={last[0]}")).select(*stream.columns)
+
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return spark.read.schema(_plain(stream)).parquet(out).select(*stream.columns)
+def new_folder(root: str) -> str:
+    return f"{root}/stream-{uuid.uuid4().hex}"
 
 
 def _plain(stream: DataFrame) -> str:
