@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as tx
-from quern.operators import bloom, caches, chunking, dictionary, fusion, graph, hybrid, intent, knn, lexical
+from quern.operators import automaton, bloom, caches, chunking, dictionary, fusion, graph, hybrid, intent, knn, lexical
 from quern.plans.answer import answer
 from quern.settings import DEFAULTS, Settings
 from quern.sources.store import collection_stats, upserted
@@ -348,6 +348,21 @@ def kw_phrase(spark, sf):
     return table(spark, sf, "documents").select("doc_id", listed(dictionary.phrase_matches(F.col("text"), words)).alias("matches"))
 
 
+def large_dictionary(spark, sf):
+    """Part names, every phrase of three words of a benchmark item, and the two keyword lists."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    items = table(spark, sf, "benchmark").select(words.alias("w")).where(F.size("w") >= 3)
+    phrases = items.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))).alias("keyword"))
+    named = phrases.select(F.lit("benchmark").alias("category"), "keyword").unionByName(table(spark, sf, "part").select(F.lit("part").alias("category"), F.col("p_name").alias("keyword")))
+    return named.unionByName(dictionary.keyword_table(spark).select("category", "keyword"))
+
+
+@query
+def kw_automaton(spark, sf):
+    """All keywords and phrases of a large dictionary, counted in one pass over each document."""
+    return automaton.dictionary_hits(contents(spark, sf), large_dictionary(spark, sf))
+
+
 # --- graph --------------------------------------------------------------------------------------------------------
 
 

@@ -358,3 +358,10 @@ ORACLE_SQL["kg_enrich"] = ORACLE_SQL["kg_disease_context"].replace("SELECT start
 # The context of a question's entity may be of any node, not of a disease alone.
 ORACLE_SQL["kg_enrich"] = ORACLE_SQL["kg_enrich"].replace("FROM x WHERE st = 'disease' AND (tt", "FROM x WHERE (tt").replace("WHERE st = 'scheme' AND tt = 'disease'), anyscheme", "WHERE st = 'scheme'), anyscheme")
 ORACLE_SQL["stream_response_cache"] = ORACLE_SQL["ttl_cache_hits"]
+ORACLE_SQL["kw_automaton"] = rf"""WITH k AS (SELECT 'part' AS category, p_name AS keyword FROM part UNION SELECT * FROM ({rows([("disease", k) for k in DISEASE_KEYWORDS] + [("scheme", k) for k in SCHEME_KEYWORDS])}) t(category, keyword)
+        UNION SELECT 'benchmark', array_to_string(w[i : i + 2], ' ') FROM (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM benchmark) WHERE len(w) >= 3)),
+      p AS (SELECT category, keyword, regexp_extract_all(lower(keyword), '[\p{{L}}\p{{N}}]+') AS w FROM k), q AS (SELECT category, keyword, len(w) AS n_words, array_to_string(w, ' ') AS pattern FROM p WHERE len(w) > 0),
+      d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM documents), t AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d), s AS (SELECT DISTINCT n_words FROM q),
+      one AS (SELECT doc_id, i, word AS g1, word || ' ' || lead(word) OVER o AS g2, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o AS g3 FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+      g AS (SELECT doc_id, 1 AS n_words, g1 AS pattern FROM one UNION ALL SELECT doc_id, 2, g2 FROM one WHERE g2 IS NOT NULL UNION ALL SELECT doc_id, 3, g3 FROM one WHERE g3 IS NOT NULL)
+      SELECT doc_id AS doc, category, keyword, count(*) AS n FROM g JOIN q USING (n_words, pattern) GROUP BY ALL"""
