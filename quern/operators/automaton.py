@@ -20,7 +20,9 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 #: Bytes of one automaton's arrays, and a bound on those that a byte of a keyword takes there.
 MAX_BYTES, NODE_BYTES = 256 << 20, 40
 #: Text that is walked at once, and the length of a stretch.
-PIECE_BYTES, STRETCH = 1 << 20, 1024
+PIECE_BYTES, STRETCH = 4 << 20, 1024
+#: Nodes next to the root whose every step is looked up in one table.
+DENSE = 4096
 
 
 @dataclass
@@ -33,10 +35,11 @@ class Automaton:
     pattern: np.ndarray  # of the pattern that ends in a node, or -1
     output: np.ndarray  # the node itself or the next one along its failure links where a pattern ends, or -1
     longest: int
+    near: np.ndarray  # where the first nodes go on each byte
 
     @property
     def nbytes(self) -> int:
-        return sum(x.nbytes for x in (self.first, self.label, self.fail, self.pattern, self.output))
+        return sum(x.nbytes for x in (self.first, self.label, self.fail, self.pattern, self.output, self.near))
 
     @classmethod
     def of(cls, patterns: list[bytes]) -> Automaton:
@@ -57,7 +60,7 @@ class Automaton:
         first = np.searchsorted(edges >> 8, np.arange(nodes + 1)).astype(np.int32)
         pattern = np.full(nodes, -1, np.int32)
         pattern[at] = np.arange(len(patterns))
-        made = cls(first, (edges & 255).astype(np.uint8), np.zeros(nodes, np.int32), pattern, np.where(pattern >= 0, np.arange(nodes), -1).astype(np.int32), int(size.max(initial=0)))
+        made = cls(first, (edges & 255).astype(np.uint8), np.zeros(nodes, np.int32), pattern, np.where(pattern >= 0, np.arange(nodes), -1).astype(np.int32), int(size.max(initial=0)), np.zeros((0, 256), np.int32))
         for a, b in zip(levels[1:], levels[2:]):
             node = np.arange(a, b)
             parent = edges[node - 1] >> 8
@@ -65,6 +68,8 @@ class Automaton:
                 made.fail[node] = made.step(made.fail[parent].astype(np.int64), made.label[node - 1])
             bare = node[pattern[node] < 0]
             made.output[bare] = made.output[made.fail[bare]]
+        near = min(nodes, DENSE)
+        made.near = made.step(np.repeat(np.arange(near), 256), np.tile(np.arange(256), near)).astype(np.int32).reshape(near, 256)
         return made
 
     def child(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
@@ -102,7 +107,11 @@ class Automaton:
         node, lanes = np.zeros(n, np.int64), np.arange(n) * length
         ends, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for at in range(self.longest + length if n else 0):
-            node = self.step(node, padded[lanes + at])
+            byte, far = padded[lanes + at], np.flatnonzero(node >= len(self.near))
+            there = self.step(node[far], byte[far]) if len(far) else None
+            node = self.near[np.minimum(node, len(self.near) - 1), byte].astype(np.int64)
+            if there is not None:
+                node[far] = there
             if at >= self.longest:
                 found = self.output[node]
                 here = np.flatnonzero(found >= 0)
