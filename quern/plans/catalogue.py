@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as tx
-from quern.operators import automaton, bloom, caches, chunking, dictionary, fusion, graph, hybrid, intent, knn, lexical
+from quern.operators import automaton, blocks, bloom, caches, chunking, dictionary, fusion, graph, hybrid, intent, knn, lexical
 from quern.plans.answer import answer
 from quern.settings import DEFAULTS, Settings
 from quern.sources.store import collection_stats, upserted
@@ -153,6 +153,14 @@ def bm25_topk_corpus(spark, sf):
     return lexical.bm25_corpus(contents(spark, sf), benchmark_questions(spark, sf)).select("query_id", "doc", "score", "rank")
 
 
+@query
+def bm25_topk_blocks(spark, sf):
+    """The same from an index of blocks, of which only those that can matter are opened."""
+    asked = benchmark_questions(spark, sf)
+    index = blocks.block_index(contents(spark, sf), lexical.query_terms(asked))
+    return blocks.bm25_blocks(index, asked).select("query_id", "doc", "score", "rank")
+
+
 @query
 def bm25_candidates(spark, sf):
     found = hybrid.candidates(corpus(spark, sf), asked(spark, sf), 15)

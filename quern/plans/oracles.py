@@ -365,3 +365,4 @@ ORACLE_SQL["kw_automaton"] = rf"""WITH k AS (SELECT 'part' AS category, p_name A
       one AS (SELECT doc_id, i, word AS g1, word || ' ' || lead(word) OVER o AS g2, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o AS g3 FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
       g AS (SELECT doc_id, 1 AS n_words, g1 AS pattern FROM one UNION ALL SELECT doc_id, 2, g2 FROM one WHERE g2 IS NOT NULL UNION ALL SELECT doc_id, 3, g3 FROM one WHERE g3 IS NOT NULL)
       SELECT doc_id AS doc, category, keyword, count(*) AS n FROM g JOIN q USING (n_words, pattern) GROUP BY ALL"""
+ORACLE_SQL["bm25_topk_blocks"] = ORACLE_SQL["bm25_topk_corpus"]
