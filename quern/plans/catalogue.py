@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as tx
-from quern.operators import automaton, blocks, bloom, caches, chunking, dictionary, fusion, graph, hybrid, intent, knn, lexical
+from quern.operators import automaton, blocks, bloom, caches, chunking, dictionary, fusion, graph, hybrid, intent, ivf, knn, lexical
 from quern.plans.answer import answer
 from quern.settings import DEFAULTS, Settings
 from quern.sources.store import collection_stats, upserted
@@ -305,6 +305,14 @@ def token_counts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(words).alias("n_tokens"), F.size(F.array_distinct(words)).alias("n_distinct"))
 
 
+@query
+def ivf_ip_batch(spark, sf):
+    """The same searches as knn_ip_batch by the approximate index, built over all vectors."""
+    rows, asked = vectors(spark, sf).drop("label"), many_queries(spark, sf)
+    index = ivf.build(rows, asked, "ip")
+    return ivf.search(index, rows, asked).select("query_id", "vec_id", "distance", "rank")
+
+
 # --- dictionaries -------------------------------------------------------------------------------------------------
 
 
