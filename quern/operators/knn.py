@@ -2,10 +2,11 @@
 
 Up to ``QUERY_BLOCK`` queries are broadcast as one matrix: a task multiplies slices of its part of the corpus with it and holds only the k best a
 query (and ranking group). More queries than that meet the corpus in a shuffle: vectors are dealt into parts of about ``PART_BYTES``,
-each part is one task's matrix, and all queries stream past it in blocks. Either way the corpus is scanned once, nothing is collected but
+each part is one task's matrix, and all queries stream past it in blocks. Either way vectors are scanned once, nothing is collected but
 the one bounded block, and what goes on is queries x tasks x k rows; a final row_number merges them.
 
-Only numbers go through Python: texts and other columns of any width are joined to the rows that were found.
+Only ids, vectors and other numbers are read for that: texts and other columns of any width are read afterwards, by a join with the rows that were found. Ids alone are read first, to know whether one has
+several rows; only then are wide columns hashed, to tell these apart.
 """
 
 from __future__ import annotations
@@ -47,8 +48,10 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int | None = None, metric:
     columns = [c for c in corpus.columns if c != "embedding"]
     wide = [c for c in columns if c not in ("vec_id", *within) and isinstance(corpus.schema[c].dataType, (StringType, BinaryType, ArrayType, MapType, StructType))]
     marked = corpus.withColumn("vec_id", F.col("vec_id").cast("long"))
-    if wide:  # told apart by their hash, where one id has several rows
+    key = ["vec_id"]
+    if wide and marked.select("vec_id").groupBy("vec_id").count().where("count > 1").limit(1).count():  # one id, several rows: told apart by their hash
         marked = marked.withColumn("_row", F.xxhash64(*[F.to_json(F.struct(c)) if isinstance(corpus.schema[c].dataType, MapType) else F.col(c) for c in wide]))
+        key = ["vec_id", "_row"]
     kept = [c for c in marked.columns if c not in wide and c != "embedding"]
     vectors = marked.select(*kept, F.col("embedding").cast("array<double>").alias("embedding"))
     vectors = vectors.where(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull()))
@@ -65,8 +68,8 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int | None = None, metric:
     found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     if wide:
         found = settled(found)
-        rows = marked.select("vec_id", "_row", *wide).join(small(found.select("vec_id", "_row").distinct()), ["vec_id", "_row"], "left_semi").dropDuplicates(["vec_id", "_row"])
-        found = found.join(rows, ["vec_id", "_row"])
+        rows = marked.select(*key, *wide).join(small(found.select(*key).distinct()), key, "left_semi").dropDuplicates(key)
+        found = found.join(rows, key)
     return found.select("query_id", *columns, "distance", "rank", F.round(F.lit(1.0) - F.col("distance"), digits).alias("score"))
 
 

@@ -13,7 +13,7 @@ from quern.operators import automaton, blocks, bloom, caches, chunking, dictiona
 from quern.plans.answer import answer
 from quern.settings import DEFAULTS, Settings
 from quern.sources.store import collection_stats, upserted
-from quern.sources.tables import checkpoint_folder, table
+from quern.sources.tables import checkpoint_folder, settled, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -350,12 +350,13 @@ def kw_overlap(spark, sf):
 
 @query
 def kw_starts_with(spark, sf):
-    return dictionary.starts_with(dictionary.keyword_table(spark), "CIT").select("category", "keyword")
+    """Of all keywords of the large dictionary."""
+    return dictionary.starts_with(large_dictionary(spark, sf).distinct(), "TH").select("category", "keyword")
 
 
 @query
 def kw_count(spark, sf):
-    return dictionary.keyword_table(spark).groupBy("category").agg(F.count_distinct("keyword").alias("n_words"))
+    return large_dictionary(spark, sf).groupBy("category").agg(F.count_distinct("keyword").alias("n_words"))
 
 
 @query
@@ -382,90 +383,133 @@ def kw_automaton(spark, sf):
 # --- graph --------------------------------------------------------------------------------------------------------
 
 
+#: Of the segments that customers belong to, in order.
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+def table_graph(spark, sf):
+    """(nodes, edges) from tables, with the kinds of the domain graph: regions are schemes, nations diseases, a nation's market segments symptoms, suppliers treatments, customers pests.
+
+    Weights differ by key, so that the shortest way to a nation is straight for some and by a supplier for others.
+    """
+    c, s, n, r = (table(spark, sf, t) for t in ("customer", "supplier", "nation", "region"))
+    name = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
+    node = lambda rows, id_, kind, title, meta=None: rows.select(id_.alias("id"), F.lit(kind).alias("node_type"), title.alias("name"), (meta if meta is not None else F.create_map().cast("map<string,string>")).alias("metadata"))
+    segments = c.select("c_nationkey", "c_mktsegment").distinct().join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    pair = F.concat(F.lit("n"), F.col("n_nationkey").cast("string"), F.lit("-"), F.col("c_mktsegment"))
+    severity = F.when(F.col("n_nationkey") % 3 == 0, "high").when(F.col("n_nationkey") % 3 == 1, "critical").otherwise("medium")
+    nodes = (
+        node(r, name("r", "r_regionkey"), "scheme", F.col("r_name"), F.create_map(F.lit("type"), F.col("r_name")))
+        .unionByName(node(n, name("n", "n_nationkey"), "disease", F.col("n_name"), F.create_map(F.lit("severity"), severity)))
+        .unionByName(node(segments, pair, "symptom", F.concat_ws(" ", "n_name", "c_mktsegment")))
+        .unionByName(node(s, name("s", "s_suppkey"), "treatment", F.col("s_name")))
+        .unionByName(node(c, name("c", "c_custkey"), "pest", F.col("c_name")))
+    )
+    edge = lambda rows, src, dst, relation, weight, seq: rows.select(src.alias("src"), dst.alias("dst"), F.lit(relation).alias("relation"), weight.cast("double").alias("weight"), seq.cast("long").alias("seq"))
+    at = F.col("n_nationkey").cast("long") * 20 + 2 * F.array_position(F.array(*map(F.lit, SEGMENTS)), F.col("c_mktsegment"))
+    home = name("n", "n_nationkey")
+    helped = s.join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    edges = (
+        edge(segments, home, pair, "causes", F.lit(0.5), at)
+        .unionByName(edge(segments, pair, home, "symptom_of", F.lit(0.5), at + 1))
+        .unionByName(edge(s, name("s", "s_suppkey"), name("n", "s_nationkey"), "treats", F.col("s_suppkey") % 3 / 10 + 0.25, F.col("s_suppkey") + 10**9))
+        .unionByName(edge(c, name("c", "c_custkey"), name("n", "c_nationkey"), "causes", F.lit(0.4), F.col("c_custkey") + 2 * 10**9))
+        .unionByName(edge(helped, name("r", "n_regionkey"), name("s", "s_suppkey"), "subsidizes", F.lit(0.4), F.col("s_suppkey") + 3 * 10**9))
+        .unionByName(edge(n, name("r", "n_regionkey"), home, "applies_to", F.col("n_nationkey") % 4 / 10 + 0.6, F.col("n_nationkey") + 4 * 10**9))
+    )
+    return settled(nodes), settled(edges)
+
+
 def every_start(nodes):
     return nodes.select(F.col("id").alias("start"))
 
 
 @query
 def kg_stats(spark, sf):
-    return graph.graph_stats(*graph.domain_graph(spark))
+    return graph.graph_stats(*table_graph(spark, sf))
 
 
 @query
 def kg_nodes_by_type(spark, sf):
-    return graph.domain_graph(spark)[0].where("node_type = 'disease'").select("id", "name", F.element_at("metadata", "severity").alias("severity"))
+    return table_graph(spark, sf)[0].where("node_type = 'disease'").select("id", "name", F.element_at("metadata", "severity").alias("severity"))
 
 
 @query
 def kg_neighbors(spark, sf):
-    return graph.neighbors(graph.domain_graph(spark)[1], "hlb")
+    return graph.neighbors(table_graph(spark, sf)[1], "n3")
 
 
 @query
 def kg_incoming(spark, sf):
-    return graph.incoming(graph.domain_graph(spark)[1], "hlb")
+    return graph.incoming(table_graph(spark, sf)[1], "n3")
 
 
 @query
 def kg_bfs(spark, sf):
-    nodes, edges = graph.domain_graph(spark)
+    nodes, edges = table_graph(spark, sf)
     return graph.bfs(nodes, edges, every_start(nodes), 4).select("start", "id", "depth", F.array_join("path", ">").alias("path"))
 
 
 @query
 def kg_bfs_relation(spark, sf):
-    nodes, edges = graph.domain_graph(spark)
+    nodes, edges = table_graph(spark, sf)
     return graph.bfs(nodes, edges, every_start(nodes), 3, ["causes", "treats"]).select("start", "id", "depth", F.array_join("path", ">").alias("path"))
 
 
 @query
 def kg_multi_hop(spark, sf):
-    nodes, edges = graph.domain_graph(spark)
+    nodes, edges = table_graph(spark, sf)
     found = graph.multi_hop(nodes, edges, every_start(nodes), ["disease", "symptom"], 3)
     return found.select("start", "id", "name", "type", "hops", F.array_join("path", ">").alias("path"))
 
 
 @query
 def kg_schemes(spark, sf):
-    nodes, edges = graph.domain_graph(spark)
+    nodes, edges = table_graph(spark, sf)
     return graph.schemes_for(nodes, edges, nodes).select("id", "scheme", "scheme_name", "scheme_type", F.array_join("path", ">").alias("path"))
 
 
 @query
 def kg_treatments_both_ways(spark, sf):
-    nodes, edges = graph.domain_graph(spark)
+    nodes, edges = table_graph(spark, sf)
     return graph.treatments_for_symptom(nodes, edges, nodes.where("node_type = 'symptom'").select(F.col("id").alias("start")), "both").select("start", "id", "hops")
 
 
 @query
 def kg_disease_context(spark, sf):
-    nodes, edges = graph.domain_graph(spark)
+    nodes, edges = table_graph(spark, sf)
     return graph.disease_context(nodes, edges, nodes.where("node_type = 'disease'").select(F.col("id").alias("start")))
 
 
 @query
 def kg_shortest_path(spark, sf):
-    nodes, edges = graph.domain_graph(spark)
+    nodes, edges = table_graph(spark, sf)
     return graph.shortest_paths(nodes, edges, every_start(nodes)).select("start", "id", F.round("cost", 6).alias("cost"))
 
 
 @query
 def kg_dijkstra(spark, sf):
-    nodes, edges = graph.domain_graph(spark)
+    nodes, edges = table_graph(spark, sf)
     return graph.dijkstra(nodes, edges, every_start(nodes)).select("start", "id", F.round("cost", 6).alias("cost"))
 
 
 @query
 def kg_dfs(spark, sf):
-    nodes, edges = graph.domain_graph(spark)
+    nodes, edges = table_graph(spark, sf)
     return graph.dfs(nodes, edges, every_start(nodes)).select("start", "ord", "id", "depth", F.array_join("path", ">").alias("path"))
 
 
 @query
 def kg_enrich(spark, sf):
-    nodes, edges = graph.domain_graph(spark)
-    rows = [(1, "how to treat canker and hlb", "disease"), (2, "subsidy for root rot", "hybrid"), (3, "scheme for Tristeza", "scheme"), (4, "canker?", "disease"), (5, "psyllid aphid", "hybrid")]
-    return graph.enrich(spark.createDataFrame(rows, "query_id long, question string, intent string"), nodes, edges)
+    """Each customer asks about its nation and the next one, with an intent by its key."""
+    nodes, edges = table_graph(spark, sf)
+    c, n = table(spark, sf, "customer"), table(spark, sf, "nation")
+    kinds = F.array(F.lit("disease"), F.lit("scheme"), F.lit("hybrid"), F.lit("greeting"))
+    text = F.concat(F.lit("What of NATION_"), F.col("c_nationkey").cast("string"), F.lit(" and nation_"), (F.col("c_nationkey") + 1).cast("string"), F.lit(" or NATION_3?"))
+    asked = c.select(F.col("c_custkey").alias("query_id"), text.alias("question"), F.get(kinds, (F.col("c_custkey") % 4).cast("int")).alias("intent"))
+    entities = n.select(F.lower("n_name").alias("word"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("start"))
+    found = graph.enrich(asked, nodes, edges.where("relation <> 'treats' or weight < 0.3"), entities=entities)
+    return found.groupBy("query_id", "part").agg(F.count(F.lit(1)).alias("n"), F.md5(F.concat_ws(",", F.array_sort(F.collect_list(F.concat_ws("=", "id", "name"))))).alias("items_md5"))
 
 
 @query
@@ -521,13 +565,18 @@ def greeting_cascade(spark, sf):
 
 @query
 def llm_label_parse(spark, sf):
+    """Each event's answer of a model, right and wrong ones in turn, with what the event says in it."""
     parsed = intent.parse_label(F.col("raw"))
-    return spark.createDataFrame(LABELS, "id long, raw string").select("id", parsed["intent"].alias("intent"), parsed["confidence"].alias("confidence"), parsed["reason"].alias("reason"))
+    said = F.get(F.array(*[F.lit(raw) for _, raw in LABELS]), (F.col("event_id") % len(LABELS)).cast("int"))
+    more = F.concat(F.lit("\nCONFIDENCE: "), (F.col("event_id") % 13 / 8).cast("string"), F.lit("\nReason:  "), "event_type", F.lit(" "), F.col("user_id").cast("string"))
+    raw = F.concat(said, F.when(F.col("event_id") % 4 != 0, more).otherwise(""))
+    return table(spark, sf, "events").select(F.col("event_id").alias("id"), raw.alias("raw")).select("id", parsed["intent"].alias("intent"), parsed["confidence"].alias("confidence"), parsed["reason"].alias("reason"))
 
 
 @query
 def confidence_gate(spark, sf):
-    rows = spark.createDataFrame([(1, 0.3, 0), (2, 0.3, 2), (3, 0.4, 0), (4, 0.9, 4)], "id long, confidence double, n_docs long")
+    """Each event's value is a confidence in percent of 200, and its number says how many documents were found."""
+    rows = table(spark, sf, "events").select(F.col("event_id").alias("id"), (F.col("value") / 200).alias("confidence"), (F.col("event_id") % 3).alias("n_docs"))
     return rows.select("id", intent.gate(F.col("confidence"), F.col("n_docs")).alias("outcome"))
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from quern.operators import graph, intent
+from quern.operators import intent
 from quern.operators.bloom import scalable_filter
 from quern.operators.dictionary import DISEASE_KEYWORDS, SCHEME_KEYWORDS
 from quern.operators.lexical import STOP_WORDS
 from quern.functions.text import SYSTEM_PROMPTS
-from quern.plans.catalogue import BITS, COMMON, EACH, FIRST_CAPACITY, FIXTURE_DISEASE, FIXTURE_SCHEME, HASHES, LABELS, LRU_SIZE, NARROW, SAMPLES, TTL
+from quern.plans.catalogue import BITS, COMMON, EACH, FIRST_CAPACITY, FIXTURE_DISEASE, FIXTURE_SCHEME, HASHES, LABELS, LRU_SIZE, NARROW, SAMPLES, SEGMENTS, TTL
 
 W = r"[\p{L}\p{N}_]+"
 #: White space of any script; trim() takes U+0020 alone and RE2's \s is ASCII.
@@ -142,19 +142,26 @@ HASH = f"md5(substr({spaced('lower(text)')}, 1, 200))"
 DOCKEY = f"CASE WHEN source IS NOT NULL AND source <> '' THEN source || '_p' || (doc_id % 10) || '_' || substr({HASH}, 1, 8) ELSE {HASH} END"
 RAW = r"regexp_replace(html, '<[^>]*>', E'\n\n\n 7 \n', 'g')"
 PRE = CLEAN.format(x=r"regexp_replace(regexp_replace(regexp_replace(" + RAW + r", '\n{3,}', E'\n\n', 'g'), ' {2,}', ' ', 'g'), '(?m)^\s*\d+\s*$', '', 'g')")
-KEYWORDS = f"kw AS (SELECT DISTINCT category, lower(keyword) AS keyword FROM ({rows([('disease', k) for k in DISEASE_KEYWORDS] + [('scheme', k) for k in SCHEME_KEYWORDS])}) t(category, keyword))"
-NODES = f"""nodes AS (SELECT * FROM ({rows([(i, t, n, m.get("severity"), m.get("type")) for i, t, n, m in graph.domain_nodes()])}) t(id, node_type, name, severity, kind))"""
-EDGES = f"edges AS (SELECT * FROM ({rows(graph.domain_edges())}) t(src, dst, relation, weight, seq))"
+NODES = """nodes AS (SELECT 'r' || r_regionkey AS id, 'scheme' AS node_type, r_name AS name, NULL AS severity, r_name AS kind FROM region
+    UNION ALL SELECT 'n' || n_nationkey, 'disease', n_name, CASE n_nationkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'critical' ELSE 'medium' END, NULL FROM nation
+    UNION ALL SELECT DISTINCT 'n' || n_nationkey || '-' || c_mktsegment, 'symptom', n_name || ' ' || c_mktsegment, NULL, NULL FROM customer JOIN nation ON c_nationkey = n_nationkey
+    UNION ALL SELECT 's' || s_suppkey, 'treatment', s_name, NULL, NULL FROM supplier UNION ALL SELECT 'c' || c_custkey, 'pest', c_name, NULL, NULL FROM customer)"""
+EDGES = f"""seg AS (SELECT DISTINCT 'n' || n_nationkey AS home, 'n' || n_nationkey || '-' || c_mktsegment AS pair, CAST(n_nationkey AS BIGINT) * 20 + 2 * list_position({array(SEGMENTS)}, c_mktsegment) AS seq FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    edges AS (SELECT home AS src, pair AS dst, 'causes' AS relation, 0.5::DOUBLE AS weight, seq FROM seg UNION ALL SELECT pair, home, 'symptom_of', 0.5::DOUBLE, seq + 1 FROM seg
+    UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'treats', CAST(s_suppkey % 3 AS DOUBLE) / 10 + 0.25::DOUBLE, s_suppkey + 1000000000 FROM supplier
+    UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'causes', 0.4::DOUBLE, c_custkey + 2000000000 FROM customer
+    UNION ALL SELECT 'r' || n_regionkey, 's' || s_suppkey, 'subsidizes', 0.4::DOUBLE, s_suppkey + 3000000000 FROM supplier JOIN nation ON s_nationkey = n_nationkey
+    UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey, 'applies_to', CAST(n_nationkey % 4 AS DOUBLE) / 10 + 0.6::DOUBLE, CAST(n_nationkey AS BIGINT) + 4000000000 FROM nation)"""
 
 
 def bfs(depth: int, name: str = "b", edges: str = "SELECT src, dst, seq FROM edges", starts: str = "SELECT id FROM nodes") -> str:
     """Recursive walk over simple paths; the least sequence of edges among the shortest is what a queue finds first."""
-    return f"""{name}_e AS ({edges}), {name}_w(start, id, depth, path, sp) AS (SELECT id, id, 0, [id], CAST([] AS INT[]) FROM ({starts})
-    UNION ALL SELECT start, dst, depth + 1, list_append(path, dst), list_append(sp, CAST(seq AS INT)) FROM {name}_w JOIN {name}_e ON src = {name}_w.id WHERE depth < {depth} AND NOT list_contains(path, dst)),
+    return f"""{name}_e AS ({edges}), {name}_w(start, id, depth, path, sp) AS (SELECT id, id, 0, [id], CAST([] AS BIGINT[]) FROM ({starts})
+    UNION ALL SELECT start, dst, depth + 1, list_append(path, dst), list_append(sp, CAST(seq AS BIGINT)) FROM {name}_w JOIN {name}_e ON src = {name}_w.id WHERE depth < {depth} AND NOT list_contains(path, dst)),
     {name} AS (SELECT * FROM {name}_w WHERE depth > 0 QUALIFY row_number() OVER (PARTITION BY start, id ORDER BY depth, sp) = 1)"""
 
 
-BOTH = "SELECT src, dst, seq FROM edges UNION ALL SELECT dst, src, seq + 1000000000 FROM edges"
+BOTH = "SELECT src, dst, seq FROM edges UNION ALL SELECT dst, src, seq + 1000000000000000 FROM edges"
 NAMED = "array_to_string(list_transform(path, lambda p: names[p]), '>')"
 NAMES = "nm AS (SELECT map(list(id), list(name)) AS names FROM nodes)"
 
@@ -285,15 +292,13 @@ ORACLE_SQL: dict[str, str] = {
     "kw_overlap": f"""WITH p AS (SELECT item_id AS query_id, list_distinct({tok("b.text")}) AS q, list_distinct({tok("d.text")}) AS c FROM benchmark b JOIN documents d ON doc_id = item_id),
         n AS (SELECT query_id, CAST(len(list_intersect(list_intersect(q, c), {array(FIXTURE_DISEASE)})) AS INT) AS disease, CAST(len(list_intersect(list_intersect(q, c), {array(FIXTURE_SCHEME)})) AS INT) AS scheme FROM p)
         SELECT query_id, disease, disease + scheme AS both_lists FROM n""",
-    "kw_starts_with": f"WITH {KEYWORDS} SELECT category, keyword FROM kw WHERE starts_with(keyword, 'cit')",
-    "kw_count": f"WITH {KEYWORDS} SELECT category, count(DISTINCT keyword) AS n_words FROM kw GROUP BY category",
     "kw_phrase": r"""WITH p AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), ' ') || ' ' AS t FROM documents)
         SELECT doc_id, array_to_string(list_sort(list_filter(['the and', 'of the', 'mit license', 'root rot'], lambda k: contains(t, ' ' || k || ' '))), ',') AS matches FROM p""",
     "kg_stats": f"""WITH {NODES}, {EDGES}, c AS (SELECT (SELECT count(*) FROM nodes) AS n, (SELECT count(*) FROM edges) AS e) SELECT 'total_nodes' AS metric, CAST(n AS DOUBLE) AS value FROM c
         UNION ALL SELECT 'total_edges', CAST(e AS DOUBLE) FROM c UNION ALL SELECT 'avg_degree', round(e / n, 6) FROM c UNION ALL SELECT 'type:' || node_type, CAST(count(*) AS DOUBLE) FROM nodes GROUP BY node_type""",
     "kg_nodes_by_type": f"WITH {NODES} SELECT id, name, severity FROM nodes WHERE node_type = 'disease'",
-    "kg_neighbors": f"WITH {EDGES} SELECT dst, relation, CAST(weight AS DOUBLE) AS weight, seq FROM edges WHERE src = 'hlb'",
-    "kg_incoming": f"WITH {EDGES} SELECT src, relation, CAST(weight AS DOUBLE) AS weight, seq FROM edges WHERE dst = 'hlb'",
+    "kg_neighbors": f"WITH {EDGES} SELECT dst, relation, CAST(weight AS DOUBLE) AS weight, seq FROM edges WHERE src = 'n3'",
+    "kg_incoming": f"WITH {EDGES} SELECT src, relation, CAST(weight AS DOUBLE) AS weight, seq FROM edges WHERE dst = 'n3'",
     "kg_bfs": f"WITH RECURSIVE {NODES}, {EDGES}, {bfs(4)} SELECT start, id, depth, array_to_string(path, '>') AS path FROM b",
     "kg_bfs_relation": f"WITH RECURSIVE {NODES}, {EDGES}, {bfs(3, 'b', '''SELECT src, dst, seq FROM edges WHERE relation IN ('causes', 'treats')''')} SELECT start, id, depth, array_to_string(path, '>') AS path FROM b",
     "kg_multi_hop": f"WITH RECURSIVE {NODES}, {EDGES}, {NAMES}, {bfs(3)} SELECT start, b.id, name, node_type AS type, depth AS hops, {NAMED} AS path FROM nm, b JOIN nodes ON nodes.id = b.id WHERE node_type IN ('disease', 'symptom')",
@@ -308,11 +313,11 @@ ORACLE_SQL: dict[str, str] = {
     "intent_route": f"""WITH {QUESTIONS}, i AS (SELECT query_id, {rule("question", intent.DISEASE_WORDS, intent.SCHEME_WORDS)} AS branch FROM qs)
         SELECT query_id, branch, CASE WHEN branch = 'hybrid' THEN 'disease,scheme' WHEN branch IN ('disease', 'scheme') THEN branch ELSE '' END AS targets FROM i""",
     "greeting_cascade": f"WITH {QUESTIONS} SELECT query_id, {cascade('question')} AS reply_key FROM qs",
-    "llm_label_parse": "WITH raw AS (SELECT * FROM (" + rows([(i, t.replace("\n", "|")) for i, t in LABELS]) + r""") t(id, raw)), l AS (SELECT id, list_transform(string_split(trim(raw, ' |'), '|'), lambda x: trim(x)) AS ls FROM raw),
+    "llm_label_parse": "WITH raw AS (SELECT event_id AS id, " + array([t.replace("\n", "|") for _, t in LABELS]) + f"[event_id % {len(LABELS)} + 1]" + r""" || CASE WHEN event_id % 4 <> 0 THEN '|CONFIDENCE: ' || CAST(CAST(event_id % 13 AS DOUBLE) / 8 AS VARCHAR) || '|Reason:  ' || event_type || ' ' || user_id ELSE '' END AS raw FROM events), l AS (SELECT id, list_transform(string_split(trim(raw, ' |'), '|'), lambda x: trim(x)) AS ls FROM raw),
         v AS (SELECT id, list_transform(list_filter(ls, lambda x: starts_with(upper(x), 'INTENT:')), lambda x: lower(trim(substr(x, 8)))) AS i, list_transform(list_filter(ls, lambda x: starts_with(upper(x), 'CONFIDENCE:')), lambda x: trim(substr(x, 12))) AS c,
           list_transform(list_filter(ls, lambda x: starts_with(upper(x), 'REASON:')), lambda x: trim(substr(x, 8))) AS r FROM l)
         SELECT id, coalesce(list_filter(i, lambda x: x IN ('disease', 'scheme', 'hybrid', 'greeting', 'out_of_scope'))[-1], 'unknown') AS intent, greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(try_cast(c[-1] AS DOUBLE), 0.5::DOUBLE))) AS confidence, coalesce(r[-1], '') AS reason FROM v""",
-    "confidence_gate": "SELECT id, CASE WHEN c < 0.4 AND n = 0 THEN 'ambiguous_query' WHEN n = 0 THEN 'no_documents' ELSE 'answer' END AS outcome FROM (VALUES (1, 0.3, 0), (2, 0.3, 2), (3, 0.4, 0), (4, 0.9, 4)) t(id, c, n)",
+    "confidence_gate": "SELECT id, CASE WHEN c < 0.4 AND n = 0 THEN 'ambiguous_query' WHEN n = 0 THEN 'no_documents' ELSE 'answer' END AS outcome FROM (SELECT event_id AS id, value / 200 AS c, event_id % 3 AS n FROM events)",
     "bloom_bits": f"WITH {KEYS} SELECT DISTINCT bit FROM bits",
     "bloom_membership": f"""WITH {KEYS}, ins AS (SELECT DISTINCT bit FROM bits WHERE doc_id % 2 = 0), pr AS (SELECT DISTINCT item, bit FROM bits) SELECT item, count(ins.bit) = count(*) AS maybe FROM pr LEFT JOIN ins USING (bit) GROUP BY item""",
     "bloom_page_membership": f"WITH {KEYS}, ins AS (SELECT DISTINCT bit FROM bits WHERE doc_id % 2 = 0) SELECT doc_id, item, count(ins.bit) = count(*) AS maybe FROM bits LEFT JOIN ins USING (bit) GROUP BY doc_id, item",
@@ -348,19 +353,18 @@ ORACLE_SQL: dict[str, str] = {
     "answer_all": answer_sql(),
 }
 ORACLE_SQL["kg_dijkstra"] = ORACLE_SQL["kg_shortest_path"]
-ORACLE_SQL["kg_enrich"] = ORACLE_SQL["kg_disease_context"].replace("SELECT start, CASE tt", ", ctx AS (SELECT start, CASE tt", 1).replace(
-    "WHERE st = 'scheme' AND tt = 'disease'",
-    "WHERE st = 'scheme' AND tt = 'disease'), anyscheme AS (SELECT id AS start, start AS id, sn AS name FROM x WHERE st = 'scheme'),"
-    " ask(query_id, intent, start) AS (VALUES (1, 'disease', 'citrus_canker'), (1, 'disease', 'hlb'), (2, 'hybrid', 'root_rot'), (3, 'scheme', 'tristeza'), (5, 'hybrid', 'asian_citrus_psyllid'), (5, 'hybrid', 'aphids')),"
-    " cx AS (SELECT start, part, id, name FROM ctx WHERE part <> 'applicable_schemes' UNION SELECT start, part, id, name FROM ctx WHERE part = 'applicable_schemes')"
-    " SELECT query_id, part, id, name FROM ask JOIN cx USING (start) WHERE intent IN ('disease', 'hybrid') UNION SELECT query_id, 'schemes', id, name FROM ask JOIN anyscheme USING (start) WHERE intent IN ('scheme', 'hybrid')",
-)
-# The context of a question's entity may be of any node, not of a disease alone.
-ORACLE_SQL["kg_enrich"] = ORACLE_SQL["kg_enrich"].replace("FROM x WHERE st = 'disease' AND (tt", "FROM x WHERE (tt").replace("WHERE st = 'scheme' AND tt = 'disease'), anyscheme", "WHERE st = 'scheme'), anyscheme")
+ORACLE_SQL["kg_enrich"] = f"""WITH RECURSIVE {NODES}, {EDGES}, {bfs(2, edges="SELECT src, dst, seq FROM edges WHERE relation <> 'treats' OR weight < 0.3")}, x AS (SELECT b.*, s.node_type AS st, t.node_type AS tt, t.name AS tn, s.name AS sn FROM b JOIN nodes s ON s.id = start JOIN nodes t ON t.id = b.id),
+      asks AS (SELECT c_custkey AS query_id, ['disease', 'scheme', 'hybrid', 'greeting'][c_custkey % 4 + 1] AS intent, unnest(['n' || c_nationkey, 'n' || (c_nationkey + 1)]) AS start FROM customer),
+      ctx AS (SELECT start, CASE tt WHEN 'symptom' THEN 'symptoms' WHEN 'treatment' THEN 'treatments' ELSE 'related_pests' END AS part, id, tn AS name FROM x WHERE tt = 'symptom' AND depth = 1 OR tt IN ('treatment', 'pest')
+        UNION ALL SELECT id, 'applicable_schemes', start, sn FROM x WHERE st = 'scheme'),
+      e AS (SELECT query_id, part, id, name FROM asks JOIN ctx USING (start) WHERE intent IN ('disease', 'hybrid') UNION SELECT query_id, 'schemes', x.start, sn FROM asks JOIN x ON asks.start = x.id WHERE st = 'scheme' AND intent IN ('scheme', 'hybrid'))
+      SELECT query_id, part, count(*) AS n, md5(string_agg(id || '=' || name, ',' ORDER BY id || '=' || name)) AS items_md5 FROM e GROUP BY query_id, part"""
 ORACLE_SQL["stream_response_cache"] = ORACLE_SQL["ttl_cache_hits"]
-ORACLE_SQL["kw_automaton"] = rf"""WITH k AS (SELECT 'part' AS category, p_name AS keyword FROM part UNION SELECT * FROM ({rows([("disease", k) for k in DISEASE_KEYWORDS] + [("scheme", k) for k in SCHEME_KEYWORDS])}) t(category, keyword)
-        UNION SELECT 'benchmark', array_to_string(w[i : i + 2], ' ') FROM (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM benchmark) WHERE len(w) >= 3)),
-      p AS (SELECT category, keyword, regexp_extract_all(lower(keyword), '[\p{{L}}\p{{N}}]+') AS w FROM k), q AS (SELECT category, keyword, len(w) AS n_words, array_to_string(w, ' ') AS pattern FROM p WHERE len(w) > 0),
+LARGE = rf"""k AS (SELECT 'part' AS category, p_name AS keyword FROM part UNION SELECT * FROM ({rows([("disease", k) for k in DISEASE_KEYWORDS] + [("scheme", k) for k in SCHEME_KEYWORDS])}) t(category, keyword)
+        UNION SELECT 'benchmark', array_to_string(w[i : i + 2], ' ') FROM (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM benchmark) WHERE len(w) >= 3))"""
+ORACLE_SQL["kw_starts_with"] = f"WITH {LARGE} SELECT category, keyword FROM k WHERE starts_with(keyword, 'th')"
+ORACLE_SQL["kw_count"] = f"WITH {LARGE} SELECT category, count(DISTINCT keyword) AS n_words FROM k GROUP BY category"
+ORACLE_SQL["kw_automaton"] = rf"""WITH {LARGE}, p AS (SELECT category, keyword, regexp_extract_all(lower(keyword), '[\p{{L}}\p{{N}}]+') AS w FROM k), q AS (SELECT category, keyword, len(w) AS n_words, array_to_string(w, ' ') AS pattern FROM p WHERE len(w) > 0),
       d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM documents), t AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d), s AS (SELECT DISTINCT n_words FROM q),
       one AS (SELECT doc_id, i, word AS g1, word || ' ' || lead(word) OVER o AS g2, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o AS g3 FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
       g AS (SELECT doc_id, 1 AS n_words, g1 AS pattern FROM one UNION ALL SELECT doc_id, 2, g2 FROM one WHERE g2 IS NOT NULL UNION ALL SELECT doc_id, 3, g3 FROM one WHERE g3 IS NOT NULL)
