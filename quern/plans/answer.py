@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quern.functions.text import collected_context, context_block, prompt, query_hash, system_prompt
 from quern.operators import fusion, intent
 from quern.operators.hybrid import smart_search
+from quern.plans.stage_log import StageLog, staged
 from quern.settings import DEFAULTS, Settings
 from quern.sources.tables import settled
 
@@ -83,19 +84,29 @@ def written(rows: DataFrame, which: Column, text: Callable[[], Column]) -> DataF
 
 def answer(
     corpus: DataFrame, questions: DataFrame, settings: Settings = DEFAULTS, classifier: Callable[[Column], Column] = intent.rule_intent, metric: str = "l2sq",
-    labels: Callable[[Column], Column] | None = None, generator: Generator | None = None, **keywords,
+    labels: Callable[[Column], Column] | None = None, generator: Generator | None = None, log: StageLog | None = None, **keywords,
 ) -> DataFrame:
     """query_id, success, intent, outcome, n_sources, sources, answer: one row a question.
 
     ``classifier`` maps a question to an intent. ``labels`` maps it to a model's raw answer instead (null where the model failed), whose intent and
     confidence count. ``generator`` writes the answers to what was found, and asks back where a question is unclear; a question it fails on has success false and the outcome failed.
-    Without it the answer is extractive: the numbered sources themselves.
+    Without it the answer is extractive: the numbered sources themselves. ``log`` takes down each stage: classify, retrieve, rank, answer.
     """
+    asked = staged(log, "classify", questions, lambda rows: _classified(rows, classifier, labels))
+    found = staged(log, "retrieve", asked, lambda rows: retrieve(corpus, rows, settings, metric))
+    docs = staged(log, "rank", found, lambda rows: ranked(rows, settings, **keywords))
+    return staged(log, "answer", docs, lambda rows: _answered(asked, rows, generator))
+
+
+def _classified(questions: DataFrame, classifier: Callable[[Column], Column], labels: Callable[[Column], Column] | None) -> DataFrame:
+    """``questions`` with intent and confidence."""
     if labels is None:
-        asked = questions.withColumn("intent", classifier(F.col("question"))).withColumn("confidence", intent.rule_confidence(F.col("intent")))
-    else:
-        asked = settled(questions.withColumn("_label", intent.labelled(labels(F.col("question")))).withColumns({"intent": F.col("_label.intent"), "confidence": F.col("_label.confidence")}).drop("_label"))
-    docs = ranked(retrieve(corpus, asked, settings, metric), settings, **keywords)
+        return questions.withColumn("intent", classifier(F.col("question"))).withColumn("confidence", intent.rule_confidence(F.col("intent")))
+    return settled(questions.withColumn("_label", intent.labelled(labels(F.col("question")))).withColumns({"intent": F.col("_label.intent"), "confidence": F.col("_label.confidence")}).drop("_label"))
+
+
+def _answered(asked: DataFrame, docs: DataFrame, generator: Generator | None) -> DataFrame:
+    """One row a question, from its ranked documents."""
     block = context_block(F.col("final_rank"), F.col("source"), F.col("page"), F.col("content"))
     name = F.concat(F.coalesce("source", F.lit("Unknown")), F.lit(":"), F.coalesce(F.col("page").cast("string"), F.lit("N/A")))
     gathered = docs.groupBy("query_id").agg(

@@ -5,14 +5,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as tx
-from quern.operators import automaton, blocks, bloom, caches, chunking, dictionary, fusion, graph, hybrid, intent, ivf, knn, lexical
+from quern.operators import automaton, blocks, bloom, caches, chunking, dictionary, fusion, graph, hybrid, intent, ivf, knn, lexical, tfidf_pipeline
 from quern.plans.answer import answer
+from quern.plans.stage_log import StageLog
 from quern.settings import DEFAULTS, Settings
-from quern.sources.store import collection_stats, upserted
+from quern.sources.store import BucketedStore, collection_stats, upserted
 from quern.sources.tables import checkpoint_folder, settled, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,6 +163,14 @@ def bm25_topk_blocks(spark, sf):
     return blocks.bm25_blocks(index, asked).select("query_id", "doc", "score", "rank")
 
 
+@query
+def tfidf_pipeline_topk(spark, sf):
+    """Benchmark items ask the whole corpus, by a fitted pipeline that has been saved and loaded."""
+    docs, folder = contents(spark, sf), f"{checkpoint_folder(spark)}/tfidf-{uuid.uuid4().hex}"
+    tfidf_pipeline.fit(docs).write().save(folder)
+    return tfidf_pipeline.search(PipelineModel.load(folder), docs, benchmark_questions(spark, sf)).select("query_id", "doc", "score", "rank")
+
+
 @query
 def bm25_candidates(spark, sf):
     found = hybrid.candidates(corpus(spark, sf), asked(spark, sf), 15)
@@ -698,6 +708,20 @@ def upsert_chunks(spark, sf):
     return upserted(old, old.where("page % 2 = 0").unionByName(new)).select("chunk_id", "chunk_index", F.md5("content").alias("content_md5"))
 
 
+@query
+def bucketed_upsert(spark, sf):
+    """Chunks go to a store on disk, those of even pages come anew, and one collection is dropped and filled again: what the store holds then."""
+    store = BucketedStore(spark, f"{checkpoint_folder(spark)}/store-{uuid.uuid4().hex}", buckets=16)
+    rows = chunk_rows(spark, sf)
+    for kind, name in (("disease", DEFAULTS.disease_collection), ("scheme", DEFAULTS.scheme_collection)):
+        mine = rows.where(F.col("collection") == name)
+        store.add(mine, kind)
+        store.add(mine.where("page % 2 = 0").withColumns({"content": F.reverse("content"), "chunk_index": F.col("chunk_index") + 1}), kind)
+    store.drop("scheme")
+    store.add(rows.where((F.col("collection") == DEFAULTS.scheme_collection) & (F.col("page") % 3 == 0)), "scheme")
+    return store.read().select("chunk_id", "collection", "chunk_index", F.md5("content").alias("content_md5"))
+
+
 @query
 def context_builder(spark, sf):
     rows = ranked_lists(spark, sf).where("collection = 'disease'")
@@ -783,3 +807,11 @@ def fixture_intent(question):
 def answer_all(spark, sf):
     out = answer(corpus(spark, sf), answer_questions(spark, sf), classifier=fixture_intent, disease=FIXTURE_DISEASE, scheme=FIXTURE_SCHEME)
     return out.select("query_id", "success", "intent", "outcome", "n_sources", "sources", F.md5("answer").alias("answer_md5"))
+
+
+@query
+def answer_stages(spark, sf):
+    """What each stage of answer_all takes in and gives out."""
+    log = StageLog(spark)
+    answer(corpus(spark, sf), answer_questions(spark, sf), classifier=fixture_intent, disease=FIXTURE_DISEASE, scheme=FIXTURE_SCHEME, log=log)
+    return log.table().select("stage", "rows_in", "rows_out", (F.col("ms") > 0).alias("timed"))

@@ -370,3 +370,14 @@ ORACLE_SQL["kw_automaton"] = rf"""WITH {LARGE}, p AS (SELECT category, keyword,
       g AS (SELECT doc_id, 1 AS n_words, g1 AS pattern FROM one UNION ALL SELECT doc_id, 2, g2 FROM one WHERE g2 IS NOT NULL UNION ALL SELECT doc_id, 3, g3 FROM one WHERE g3 IS NOT NULL)
       SELECT doc_id AS doc, category, keyword, count(*) AS n FROM g JOIN q USING (n_words, pattern) GROUP BY ALL"""
 ORACLE_SQL["bm25_topk_blocks"] = ORACLE_SQL["bm25_topk_corpus"]
+ORACLE_SQL["answer_stages"] = ORACLE_SQL["answer_all"].rsplit("SELECT query_id, true AS success", 1)[0] + """SELECT * FROM (SELECT 'classify' AS stage, (SELECT count(*) FROM q) AS rows_in, (SELECT count(*) FROM qi) AS rows_out, true AS timed
+      UNION ALL SELECT 'retrieve', (SELECT count(*) FROM qi), (SELECT count(*) FROM od), true UNION ALL SELECT 'rank', (SELECT count(*) FROM od), (SELECT count(*) FROM fin), true UNION ALL SELECT 'answer', (SELECT count(*) FROM fin), (SELECT count(*) FROM ou), true)"""
+ORACLE_SQL["tfidf_pipeline_topk"] = f"""WITH dw AS (SELECT doc_id AS doc, {tfidf_words("coalesce(text, '')")} AS w FROM documents), dt AS (SELECT doc, unnest({tfidf_terms("w")}) AS term FROM dw),
+      tf AS (SELECT doc, term, count(*) AS tf FROM dt GROUP BY ALL), nn AS (SELECT count(*) AS n FROM documents), voc AS (SELECT term, count(*) AS df FROM tf GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 10000),
+      idf AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM voc, nn), wt AS (SELECT doc, term, tf * idf AS w FROM tf JOIN idf USING (term)), dn AS (SELECT doc, sqrt(sum(w * w)) AS dn FROM wt GROUP BY doc),
+      q0 AS (SELECT item_id AS query_id, {tfidf_words("text")} AS w FROM benchmark), q1 AS (SELECT query_id, unnest({tfidf_terms("w")}) AS term FROM q0), q2 AS (SELECT query_id, term, count(*) AS qtf FROM q1 GROUP BY ALL),
+      qw AS (SELECT query_id, term, qtf * idf AS qw FROM q2 JOIN idf USING (term)), qn AS (SELECT query_id, sqrt(sum(qw * qw)) AS qn FROM qw GROUP BY query_id),
+      sc AS (SELECT query_id, doc, round(sum(w * qw) / (any_value(dn) * any_value(qn)), 6) AS score FROM wt JOIN qw USING (term) JOIN dn USING (doc) JOIN qn USING (query_id) GROUP BY query_id, doc)
+      SELECT query_id, doc, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS INT) AS rank FROM sc QUALIFY rank <= 5"""
+ORACLE_SQL["bucketed_upsert"] = f"""WITH {CHUNKS} SELECT chunk_id, collection, chunk_index + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS chunk_index, md5(CASE WHEN doc_id % 2 = 0 THEN reverse(content) ELSE content END) AS content_md5 FROM ci WHERE collection = 'citrus_diseases'
+      UNION ALL SELECT chunk_id, collection, chunk_index, md5(content) FROM ci WHERE collection = 'government_schemes' AND doc_id % 3 = 0"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.settings import DEFAULTS, Settings
-from quern.sources.tables import small
+from quern.sources.tables import settled, small
 
 CHUNKS = "chunk_id string, collection string, source_file string, page int, chunk_index int, content string"
 KINDS = ("disease", "scheme")
@@ -67,6 +67,56 @@ class ChunkStore:
         return collection_stats(self.read(), [self.name(k) for k in KINDS])
 
 
+class BucketedStore(ChunkStore):
+    """The same store with each collection dealt into buckets by chunk_id: a change writes the buckets that it touches, and no other file is read or written.
+
+    A bucket is replaced when the whole write is done; a job that dies before leaves all of them, and one that dies while they are moved leaves each bucket old or new, so that running the same
+    upsert again ends in the same state. ``buckets`` counts for a new collection; one that is there keeps its own number.
+    """
+
+    def __init__(self, spark: SparkSession, base: str, settings: Settings = DEFAULTS, buckets: int = 64):
+        super().__init__(spark, base, settings)
+        if buckets < 1:
+            raise ValueError("a collection has a bucket at least")
+        self.buckets = buckets
+
+    def _layout(self, collection: str) -> tuple[str, int] | None:
+        """Folder and number of buckets of a collection that is there."""
+        found = [n for n in self._folders(f"{self.base}/{collection}") if n.startswith("buckets-")]
+        return (f"{self.base}/{collection}/{found[0]}", int(found[0].split("-")[1])) if found else None
+
+    def _rows(self, folder: str) -> DataFrame:
+        return self.spark.read.schema(CHUNKS + ", bucket int").option("basePath", folder).parquet(folder)
+
+    def read(self, kind: str | None = None) -> DataFrame:
+        names = self._folders(self.base) if kind is None else [self.name(kind)]
+        out = self.spark.createDataFrame([], CHUNKS)
+        for layout in filter(None, map(self._layout, names)):  # a folder a collection
+            out = out.unionByName(self._rows(layout[0]).drop("bucket"))
+        return out
+
+    def add(self, chunks: DataFrame, kind: str) -> DataFrame:
+        collection = self.name(kind)
+        folder, n = self._layout(collection) or (f"{self.base}/{collection}/buckets-{self.buckets}", self.buckets)
+        given = F.coalesce("chunk_id", F.concat(F.lit(f"{kind}_"), F.col("chunk_index").cast("string")))
+        named = chunks.withColumns({"chunk_id": given, "collection": F.lit(collection)})
+        columns = [c.split()[0] for c in CHUNKS.split(", ")]
+        new = settled(upserted(self.spark.createDataFrame([], CHUNKS), named).withColumn("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(n)).cast("int")))
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # n at most
+        if touched:
+            rows = new
+            if self._layout(collection):
+                old = self._rows(folder).where(F.col("bucket").isin(touched))
+                rows = old.join(new.select("chunk_id"), "chunk_id", "left_anti").select(*columns, "bucket").unionByName(new.select(*columns, "bucket"))
+            rows.repartition(min(n, len(touched)), "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
+        return named.select("chunk_id")
+
+    def drop(self, kind: str) -> None:
+        gone = self.name("disease" if kind == "disease" else "scheme")
+        fs, where = self._fs(f"{self.base}/{gone}")
+        fs.delete(where, True)
+
+
 def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
     """Old rows whose (collection, chunk_id) are not among the new, and the last of the new rows of each."""
     last = Window.partitionBy("collection", "chunk_id").orderBy(F.desc("chunk_index"), F.desc("content"))
