@@ -7,6 +7,7 @@ ranges, so no key holds more than a range's documents.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from quern.functions.text import tokens
 from quern.operators.lexical import B, K1, bm25_weight, idf, query_terms
 from quern.settings import DEFAULTS, positive
-from quern.sources.tables import settled, small
+from quern.sources.tables import checkpoint_folder, settled, small
 
 #: Documents of a range, on average, and the ranges that are scored first for a threshold, times k. The more documents, the fewer bounds to sum, and the further these are from what one document scores.
 WIDTH, SEEDS = 4, 2
@@ -31,20 +32,27 @@ class BlockIndex:
     width: int
 
 
+def _written(rows: DataFrame) -> DataFrame:
+    """``rows`` as Parquet in the shared folder: compressed, and bounds are read without the entries."""
+    path = f"{checkpoint_folder(rows.sparkSession)}/postings-{uuid.uuid4().hex}"
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def block_index(docs: DataFrame, terms: DataFrame | None = None, width: int = WIDTH, k1: float = K1, b: float = B) -> BlockIndex:
     """Index of (doc, content), of all terms or of those in ``terms`` (term), over ranges of ``width`` documents on average, by hash. A doc stands for all rows that have it."""
     words = docs.select("doc", tokens(F.col("content")).alias("words"))
     each = words.select("doc", F.size("words").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "words")).alias("term"))  # "" keeps one row a document
     if terms is not None:
         each = each.join(small(terms.select("term").union(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()), "term", "left_semi")
-    held = settled(each.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")))
+    held = _written(each.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")))
     total = held.where("term = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     ranges = F.greatest(F.floor(F.col("n") / width), F.lit(1))
     df = held.where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighed = held.where("term <> ''").join(df, "term").join(F.broadcast(total), F.lit(True))  # one row
     weighed = weighed.select("term", "doc", F.pmod(F.xxhash64("doc"), ranges).alias("range"), (idf(F.col("n"), F.col("df")) * bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)).alias("weight"))
     blocks = weighed.groupBy("term", "range").agg(F.max("weight").alias("bound"), F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("doc", "weight")).alias("entries"))
-    return BlockIndex(settled(blocks), width)
+    return BlockIndex(_written(blocks), width)
 
 
 def _opened(index: BlockIndex, asked: DataFrame, wanted: DataFrame) -> DataFrame:
