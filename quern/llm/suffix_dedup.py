@@ -10,10 +10,10 @@
 3. Those spans' contexts are cut out of the texts and dealt into buckets by the gram with 34 or 35 bytes on the side that
    all its windows hold. A task takes whole buckets, up to ``BLOCK_BYTES`` at a time, and sorts their suffixes by
    difference-cover blockwise construction (:mod:`suffix_blocks`).
-   Buckets are counted first: one of over ``MAX_BUCKET`` contexts is not gathered; its windows go on from where they are as 128-bit hashes, of
-   which a grouped minimum keeps the earliest.
+   Buckets are counted first: one of over ``MAX_BUCKET`` contexts is not gathered; its windows go on from where they are as 128-bit BLAKE2b digests, of
+   which a grouped minimum keeps the earliest. Windows of such a bucket alone are removed on a digest's word.
 4. Whole spans that are to go are claims: this document's bytes, merged to runs and cut at every ``SEGMENT`` bytes of the source's text, equal the source's.
-   Distinct claims (a passage of a million copies makes a few) are compared with the source's bytes; nothing is removed on a hash's word, and a claim
+   Distinct claims (a passage of a million copies makes a few) are compared with the source's bytes; no claim is taken on a hash's word, and one
    that does not hold stops the job.
 5. Removed runs are merged a document, and what remains is hashed.
 
@@ -317,19 +317,18 @@ class _Blocks:
 
 
 def _hash_windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of contexts as two hashes each (kind 2)."""
+    """The windows of contexts as 128-bit BLAKE2b digests (kind 2)."""
     for whole in batches:
         for start in range(0, whole.num_rows, 4096):
             batch = whole.slice(start, 4096)
-            text, bounds = utf8(batch.column("bytes"))
-            counts = np.diff(bounds) - WIDTH + 1
+            texts = batch.column("bytes").to_pylist()
+            counts = np.array([len(t) for t in texts], np.int64) - WIDTH + 1
             owner = np.repeat(np.arange(batch.num_rows), counts)
             place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-            starts = bounds[:-1][owner] + place
-            flipped = tc.prefix_hash(text ^ np.uint8(0xA5))
-            h1, h2 = tc.span_hash(tc.prefix_hash(text), starts, starts + WIDTH), tc.span_hash(flipped, starts, starts + WIDTH)
+            digests = b"".join(hashlib.blake2b(t[i : i + WIDTH], digest_size=16).digest() for t in texts for i in range(len(t) - WIDTH + 1))
+            h = np.frombuffer(digests, np.int64).reshape(-1, 2)
             doc, alt, at = (batch.column(c).to_numpy()[owner] for c in ("doc", "alt", "at"))
-            yield _found(np.full(len(owner), 2), doc, alt, at + place, np.full(len(owner), WIDTH), h1.view(np.int64), h2.view(np.int64))
+            yield _found(np.full(len(owner), 2), doc, alt, at + place, np.full(len(owner), WIDTH), h[:, 0], h[:, 1])
 
 
 def _found(kind, doc, alt, at, n, h1, h2) -> pa.RecordBatch:
