@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import collected_context, context_block, preprocess_text
 from quern.settings import DEFAULTS, positive
+from quern.sources.tables import checkpoint_folder, small
 
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 
@@ -83,16 +85,26 @@ def recursive_chunks(text: Column, size: int | None = None, overlap: int | None
 def chunked_pages(pages: DataFrame, collection: str | Column, size: int | None = None, overlap: int | None = None, clean: bool = True, chunks: Callable[..., Column] = recursive_chunks) -> DataFrame:
     """chunk_id, collection, source_file, page, chunk_index, content from (source_file, page, content).
 
-    chunk_index counts over all pages of a file, from 0, by page and then by place; one file's chunks are numbered together.
+    chunk_index counts over all pages of a file, from 0: by page, then by the rows' text, then by place. Pages are sorted by ranges, cut where they then lie, and written once with
+    their place in that order; a file's first place is what its chunks' numbers are counted from. So no task holds a file, however long, and texts are cut once.
     """
     text = preprocess_text(F.col("content")) if clean else F.col("content")
     source, page = F.coalesce(F.col("source_file"), F.lit("unknown")), F.coalesce(F.col("page"), F.lit(0))
     collection = F.lit(collection) if isinstance(collection, str) else collection
-    rows = pages.select(collection.alias("collection"), source.alias("source_file"), page.alias("page"), F.posexplode(chunks(text, size, overlap)).alias("_at", "content"))
-    along = Window.partitionBy("collection", "source_file").orderBy("page", "_at", "content")
-    rows = rows.withColumn("chunk_index", F.row_number().over(along) - 1)
+    rows = pages.select(collection.alias("collection"), source.alias("source_file"), page.alias("page"), text.alias("content")).orderBy("collection", "source_file", "page", "content")
+    rows = rows.select("collection", "source_file", "page", F.explode(chunks(F.col("content"), size, overlap)).alias("content")).withColumn("_at", F.monotonically_increasing_id())
+    path = f"{checkpoint_folder(pages.sparkSession)}/chunks-{uuid.uuid4().hex}"
+    rows.write.option("compression", "zstd").parquet(path)
+    rows = pages.sparkSession.read.schema(rows.schema).parquet(path)
+    rows = rows.withColumns({"_part": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    # by (file, range): the file's first row there, and how many; a file lies in consecutive ranges
+    parts = rows.groupBy("collection", "source_file", "_part").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("collection", "source_file").orderBy("_part")) - F.col("_n")
+    parts = parts.select("collection", "source_file", "_part", (before - F.col("_first")).alias("_shift"))
+    same = [F.col("r.collection").eqNullSafe(F.col("p.collection")), F.col("r.source_file") == F.col("p.source_file"), F.col("r._part") == F.col("p._part")]
+    numbered = rows.alias("r").join(small(parts).alias("p"), same).select("r.collection", "r.source_file", "r.page", (F.col("_row") + F.col("_shift")).cast("int").alias("chunk_index"), "r.content")
     name = F.concat("source_file", F.lit("_page"), F.col("page").cast("string"), F.lit("_chunk"), F.col("chunk_index").cast("string"))
-    return rows.select(name.alias("chunk_id"), "collection", "source_file", "page", "chunk_index", "content")
+    return numbered.select(name.alias("chunk_id"), "collection", "source_file", "page", "chunk_index", "content")
 
 
 def contexts(rows: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as tx
 from quern.operators import automaton, blocks, bloom, caches, chunking, dictionary, fusion, graph, hybrid, intent, ivf, knn, lexical, tfidf_pipeline
+from quern.plans import requests
 from quern.plans.answer import answer
 from quern.plans.stage_log import StageLog
 from quern.settings import DEFAULTS, Settings
@@ -815,3 +816,48 @@ def answer_stages(spark, sf):
     log = StageLog(spark)
     answer(corpus(spark, sf), answer_questions(spark, sf), classifier=fixture_intent, disease=FIXTURE_DISEASE, scheme=FIXTURE_SCHEME, log=log)
     return log.table().select("stage", "rows_in", "rows_out", (F.col("ms") > 0).alias("timed"))
+
+
+# --- requests -----------------------------------------------------------------------------------------------------
+
+#: Bodies come in so many kinds, six of them faulty.
+BODY_KINDS = 9
+
+
+def request_body(kind, text):
+    """A JSON body that asks ``text``: plain, with ids, or with one of the faults that a caller makes."""
+    said = F.to_json(F.array(F.coalesce(text, F.lit(""))))
+    said = F.substr(said, F.lit(2), F.length(said) - 2)
+    plain = F.concat(F.lit('{"question": '), said, F.lit("}"))
+    bodies = {
+        1: F.lit('{"question": ""}'),
+        2: F.lit('{"user_id": "u1"}'),
+        3: F.substr(plain, F.lit(1), F.length(plain) - 1),
+        4: F.lit('{"question": 17, "session_id": []}'),
+        5: F.lit('{"question": null}'),
+        6: F.concat(F.lit('{"user_id": 5, "question": '), said, F.lit("}")),
+        7: F.concat(F.lit("["), said, F.lit("]")),
+        8: F.concat(F.lit('{"session_id": "s1", "user_id": null, "more": {"question": 1}, "question": '), said, F.lit("}")),
+    }
+    out = plain
+    for n, body in bodies.items():
+        out = F.when(kind == n, body).otherwise(out)
+    return out
+
+
+@query
+def request_parse(spark, sf):
+    """Every turn of the conversations as a request's body, plain or faulty."""
+    kind = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(BODY_KINDS))
+    bodies = table(spark, sf, "conversations").select("conv_id", "turn", request_body(kind, F.col("text")).alias("body"))
+    return requests.parsed_requests(bodies).select("conv_id", "turn", "question", "user_id", "session_id", requests.error_text(F.col("errors")).alias("errors"))
+
+
+@query
+def request_replies(spark, sf):
+    """Benchmark items as bodies, plain or faulty: accepted ones answered, others refused; what the reply's JSON says."""
+    bodies = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), request_body(F.pmod(F.col("item_id"), F.lit(BODY_KINDS)), F.col("text")).alias("body"))
+    vecs = vectors(spark, sf).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    out = requests.served(corpus(spark, sf), bodies, lambda rows: rows.join(vecs, "query_id"), classifier=fixture_intent, disease=FIXTURE_DISEASE, scheme=FIXTURE_SCHEME)
+    said = lambda path: F.get_json_object("body", path)
+    return out.select("query_id", "status", said("$.intent").alias("intent"), said("$.detail[0].field").alias("field"), said("$.detail[0].problem").alias("problem"), F.md5(said("$.answer")).alias("answer_md5"))

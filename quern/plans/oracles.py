@@ -381,3 +381,33 @@ ORACLE_SQL["tfidf_pipeline_topk"] = f"""WITH dw AS (SELECT doc_id AS doc, {tfidf
       SELECT query_id, doc, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS INT) AS rank FROM sc QUALIFY rank <= 5"""
 ORACLE_SQL["bucketed_upsert"] = f"""WITH {CHUNKS} SELECT chunk_id, collection, chunk_index + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS chunk_index, md5(CASE WHEN doc_id % 2 = 0 THEN reverse(content) ELSE content END) AS content_md5 FROM ci WHERE collection = 'citrus_diseases'
       UNION ALL SELECT chunk_id, collection, chunk_index, md5(content) FROM ci WHERE collection = 'government_schemes' AND doc_id % 3 = 0"""
+
+
+def body_sql(kind: str, text: str) -> str:
+    said = f"CAST(to_json(coalesce({text}, '')) AS VARCHAR)"
+    return f"""CASE {kind} WHEN 1 THEN '{{"question": ""}}' WHEN 2 THEN '{{"user_id": "u1"}}' WHEN 3 THEN '{{"question": ' || {said} WHEN 4 THEN '{{"question": 17, "session_id": []}}' WHEN 5 THEN '{{"question": null}}'
+      WHEN 6 THEN '{{"user_id": 5, "question": ' || {said} || '}}' WHEN 7 THEN '[' || {said} || ']' WHEN 8 THEN '{{"session_id": "s1", "user_id": null, "more": {{"question": 1}}, "question": ' || {said} || '}}'
+      ELSE '{{"question": ' || {said} || '}}' END"""
+
+
+#: From a table b with body: each body's errors as a list of field:problem.
+PARSED = """j AS (SELECT *, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS js FROM b), y AS (SELECT *, json_type(js, '$.question') AS kq, json_type(js, '$.user_id') AS ku, json_type(js, '$.session_id') AS ks FROM j),
+    e AS (SELECT *, list_filter(CASE WHEN js IS NULL THEN ['body:json_invalid'] WHEN json_type(js) <> 'OBJECT' THEN ['body:not_an_object'] ELSE [
+      CASE WHEN kq IS NULL THEN 'question:missing' WHEN kq <> 'VARCHAR' THEN 'question:not_a_string' WHEN js ->> '$.question' = '' THEN 'question:too_short' END,
+      CASE WHEN ku NOT IN ('VARCHAR', 'NULL') THEN 'user_id:not_a_string' END, CASE WHEN ks NOT IN ('VARCHAR', 'NULL') THEN 'session_id:not_a_string' END] END, lambda x: x IS NOT NULL) AS errs FROM y)"""
+ORACLE_SQL["request_parse"] = f"""WITH b AS (SELECT conv_id, turn, {body_sql("(conv_id + turn) % 9", "text")} AS body FROM conversations), {PARSED}
+    SELECT conv_id, turn, CASE WHEN len(errs) = 0 THEN js ->> '$.question' END AS question, CASE WHEN len(errs) = 0 THEN js ->> '$.user_id' END AS user_id, CASE WHEN len(errs) = 0 THEN js ->> '$.session_id' END AS session_id,
+      array_to_string(errs, ',') AS errors FROM e"""
+ORACLE_SQL["request_replies"] = f"""WITH b AS (SELECT item_id, {body_sql("item_id % 9", "text")} AS body FROM benchmark), {PARSED}, an AS ({ORACLE_SQL["answer_all"]})
+    SELECT item_id AS query_id, CASE WHEN len(errs) > 0 THEN 422 ELSE 200 END AS status, CASE WHEN len(errs) = 0 THEN an.intent END AS intent, string_split(errs[1], ':')[1] AS field, string_split(errs[1], ':')[2] AS problem,
+      CASE WHEN len(errs) = 0 THEN answer_md5 END AS answer_md5 FROM e LEFT JOIN an ON an.query_id = item_id"""
+#: Greedy choice one at a time, each from the candidates that are left.
+ORACLE_SQL["mmr"] = f"""WITH RECURSIVE {VEC}, q AS (SELECT vec_id AS query_id, v AS qv FROM vec WHERE vec_id % {EACH} = 0), d AS (SELECT query_id, qv, vec_id, v, round({l2("qv", "v")}, 6) AS distance FROM vec, q),
+    c AS (SELECT *, round({cos("qv", "v")}, 12) AS near, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS nth FROM d QUALIFY nth <= 20),
+    s AS (SELECT a.query_id, a.nth AS a, b.nth AS b, {cos("a.v", "b.v")} AS alike FROM c a JOIN c b USING (query_id)),
+    m(query_id, n, chosen) AS (SELECT query_id, 1, [(array_agg(nth ORDER BY near DESC, nth))[1]] FROM c GROUP BY query_id
+      UNION ALL SELECT query_id, n + 1, list_append(chosen, (array_agg(nth ORDER BY gain DESC, nth))[1]) FROM (
+        SELECT m.query_id, n, chosen, c.nth, round(0.5 * any_value(c.near) - 0.5 * max(alike), 12) AS gain FROM m JOIN c ON c.query_id = m.query_id AND NOT list_contains(chosen, c.nth)
+          JOIN s ON s.query_id = m.query_id AND s.a = c.nth AND list_contains(chosen, s.b) WHERE n < 5 GROUP BY m.query_id, n, chosen, c.nth) GROUP BY query_id, n, chosen),
+    last AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC) = 1), u AS (SELECT query_id, unnest(chosen) AS nth, unnest(range(1, len(chosen) + 1)) AS rank FROM last)
+    SELECT query_id, vec_id, CAST(rank AS INT) AS rank FROM u JOIN c USING (query_id, nth)"""
