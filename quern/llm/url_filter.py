@@ -173,7 +173,10 @@ def tree_sum(trees: list[tuple[float, Tree]]) -> Column:
 
 
 class Judge:
-    """Boosted trees and suffix statistics of labelled URLs (url, blocked), of which at most MAX_LABELLED are used (those of the smallest hashes)."""
+    """Boosted trees and suffix statistics of labelled URLs (url, blocked), of which at most MAX_LABELLED are used (those of the smallest hashes).
+
+    Training takes as long for any number of pages; a judge that is saved is trained once, and scores the same after :meth:`load`.
+    """
 
     def __init__(self, labelled: DataFrame):
         rows = _prepared(labelled.where("url is not null and blocked is not null").orderBy(F.xxhash64("url"), "url", "blocked").limit(MAX_LABELLED))
@@ -191,6 +194,22 @@ class Judge:
             self.trees, self.importance = trees_of(model), dict(zip(FEATURES, model.featureImportances.toArray().tolist()))
             self.margin = tree_sum(self.trees)
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write suffix statistics, importances and trees as one JSON text under ``path``, which must not exist yet."""
+        kept = {"features": FEATURES, "overall": self.overall, "shares": self.shares, "importance": self.importance, "trees": self.trees}
+        spark.range(1).select(F.lit(json.dumps(kept)).alias("value")).write.text(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Judge:
+        """The judge that was saved under ``path``; an error if it was trained on other features."""
+        kept = json.loads(spark.read.text(path, wholetext=True).where("value <> ''").first().value)
+        if kept["features"] != FEATURES:
+            raise ValueError(f"the judge under {path} was trained on other features: {kept['features']}")
+        judge = cls.__new__(cls)
+        judge.overall, judge.shares, judge.importance, judge.trees = kept["overall"], kept["shares"], kept["importance"], kept["trees"]
+        judge.margin = tree_sum(judge.trees) if judge.trees else F.lit(2.0 * judge.overall - 1.0)
+        return judge
+
     def with_features(self, rows: DataFrame, keep: list[str]) -> DataFrame:
         """``keep`` and FEATURES as columns of a generator of one row: each is computed once, however often the trees (or a caller's filter) name it."""
         return self.with_share(rows).select(*keep, F.inline(F.array(F.struct(*FEATURES))))
@@ -203,9 +222,9 @@ class Judge:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-2.0 * self.margin))
 
 
-def url_filter(pages: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
-    """One row per input row: page_id, host, path, rule, verdict, score (of the trees: likelihood of block)."""
-    judge = Judge(labelled_urls(pages.sparkSession) if labelled is None else labelled)
+def url_filter(pages: DataFrame, labelled: DataFrame | None = None, judge: Judge | None = None) -> DataFrame:
+    """One row per input row: page_id, host, path, rule, verdict, score (of the trees: likelihood of block), by ``judge``, or one trained from ``labelled``."""
+    judge = judge or Judge(labelled_urls(pages.sparkSession) if labelled is None else labelled)
     rows = judge.with_features(_prepared(pages.select("page_id", F.col("url").cast("string").alias("url"))), ["page_id", "host", "path"])
     rule, verdict = ruled(F.col("host"), F.col("path"))
     scored = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), F.round(judge.score(), 9).alias("score"))

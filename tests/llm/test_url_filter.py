@@ -1,4 +1,5 @@
 import math
+import random
 import re
 
 import pytest
@@ -125,3 +126,50 @@ def test_every_suffix_has_its_share(spark):
     pages = spark.createDataFrame([(1, "http://b.s3/x"), (2, "http://b.s400/x"), (3, "http://b.unknown/x")], "page_id long, url string")
     got = {r.page_id: r.suffix_share for r in judge.with_share(uf._prepared(pages)).collect()}
     assert got == {1: (4 + 10) / 24, 2: 10 / 24, 3: 0.5}
+
+
+def other_make(n, seed=11):
+    """(url, blocked) from words, hosts and endings that the labelled rows know nothing of."""
+    rng = random.Random(seed)
+    words = "garden harbour museum violin bridge lantern meadow physics pottery railway orchard lecture pension council archive recipe glacier beetle theatre compass parish weather library climbing".split()
+    bait = "jackpot pharma replica escort lottery refinance slots viagra crypto giveaway bonus luxury".split()
+    hexa = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
+    pick = lambda *x: rng.choice(x)
+    rows = []
+    for i in range(n):
+        w, b = (lambda: rng.choice(words)), (lambda: rng.choice(bait))
+        if i % 2 == 0:
+            host = pick("www.", "", "", "blog.", "lists.") + w() + pick("", "", w()) + pick(".org", ".com", ".com", ".net", ".edu", ".de", ".fr")
+            path = pick(f"/{w()}/{w()}", f"/{rng.randint(2001, 2024)}/{rng.randint(1, 12)}/{w()}-{w()}", f"/{w()}.html", "/", f"/item/{rng.randint(1, 9999)}", f"/{w()}/{w()}/{rng.randint(1, 900)}.html") + pick("", "", "", f"?page={rng.randint(1, 30)}")
+            rows.append((pick("https://", "http://") + host + path, 0))
+        else:
+            host = pick(
+                f"{b()}-{b()}{rng.randint(1, 99)}", f"{hexa(12)}.{b()}{b()}", f"{b()}-{b()}-{w()}", f"best{b()}{rng.randint(100, 9999)}", f"r{hexa(6)}.{b()}-{w()}", f"{rng.randint(1, 223)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(1, 254)}"
+            )
+            host += "" if host[0].isdigit() and host.count(".") == 3 else pick(".com", ".net", ".xyz", ".top", ".info", ".click", ".ru")
+            path = pick(f"/{hexa(16)}", f"/go/{hexa(8)}", f"/{b()}-{b()}-{b()}", f"/p/{rng.randint(10**6, 10**8)}", "/") + pick("", f"?aff={rng.randint(1, 99999)}&sub={hexa(10)}", f"?click={hexa(20)}&z={rng.randint(1, 99)}&k={b()}")
+            rows.append((pick("https://", "http://") + host + path, 1))
+    return rows
+
+
+def test_rows_of_another_make_and_a_saved_judge(spark, tmp_path):
+    rows = [(i, u, y) for i, (u, y) in enumerate(other_make(1200))]
+    held = spark.createDataFrame(rows, "page_id long, url string, label int")
+    judge = uf.Judge(uf.labelled_urls(spark))
+    judge.save(spark, f"{tmp_path}/judge")
+    first = {r.page_id: r.score for r in uf.url_filter(held, judge=judge).collect()}
+    again = {r.page_id: r.score for r in uf.url_filter(held, judge=uf.Judge.load(spark, f"{tmp_path}/judge")).collect()}
+    assert first == again and len(first) == len(rows)
+    right = sum((first[i] >= 0.5) == bool(y) for i, _, y in rows) / len(rows)
+    wrong = sum(first[i] >= 0.5 for i, _, y in rows if not y) / (len(rows) / 2)
+    print("another make", right, wrong)
+    assert right > 0.85 and wrong < 0.1
+    with pytest.raises(Exception, match="already exists"):
+        judge.save(spark, f"{tmp_path}/judge")
+
+
+def test_saved_judge_of_one_class(spark, tmp_path):
+    judge = uf.Judge(spark.createDataFrame([("http://a.com/", 1)], "url string, blocked int"))
+    judge.save(spark, f"{tmp_path}/judge")
+    pages = spark.createDataFrame([(1, "http://b.org/"), (2, None)], "page_id long, url string")
+    assert [r.score for r in uf.url_filter(pages, judge=uf.Judge.load(spark, f"{tmp_path}/judge")).collect()] == [r.score for r in uf.url_filter(pages, judge=judge).collect()]
