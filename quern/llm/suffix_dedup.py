@@ -13,8 +13,8 @@
    Buckets are counted first: one of over ``MAX_BUCKET`` contexts is not gathered; its windows go on from where they are as 128-bit BLAKE2b digests, of
    which a grouped minimum keeps the earliest. Windows of such a bucket alone are removed on a digest's word.
 4. Whole spans that are to go are claims: this document's bytes, merged to runs and cut at every ``SEGMENT`` bytes of the source's text, equal the source's.
-   Distinct claims (a passage of a million copies makes a few) are compared with the source's bytes; no claim is taken on a hash's word, and one
-   that does not hold stops the job.
+   Distinct claims (a passage of a million copies makes a few) are compared with the source's bytes; no claim is taken on a hash's word. Where one
+   does not hold, different spans have one hash: all claims on those bytes of that source, and the source's own span, go through step 3 instead.
 5. Removed runs are merged a document, and what remains is hashed.
 
 Order of documents is by doc_id (null last), and where a doc_id has several texts by the texts' hashes.
@@ -48,10 +48,12 @@ HALF = (WIDTH - GRAM) // 2
 PIECE_BYTES = 1 << 20
 BLOCK_BYTES, MAX_BUCKET = 1 << 20, 8192
 SEGMENT = 256
+#: Of a span's 64-bit hash; its number of windows and its gram's place take the other 14.
+SPAN_BITS = 50
 LAST_ID = 2**63 - 1
 
 _SPANS = "gram long, span long, doc long, alt long, at int, n int"
-#: Kind 0: removed bytes (at, n), and the place in the source (sat, -1 if bytes have been compared); kind 1: a span to look at.
+#: Kind 0: removed bytes (at, n), the gram's place from there, and the place in the source (sat, -1 if bytes have been compared); kind 1: a span to look at (at, windows).
 _RUNS = "kind int, doc long, alt long, at int, n int, inner int, sdoc long, salt long, sat int"
 #: Kind 0: a claim on the bytes of doc, alt; kind 1: a context of a bucket.
 _CUT = "kind int, bucket long, doc long, alt long, at int, bytes binary"
@@ -111,17 +113,17 @@ def spans_by_parts(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ..
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> bool:
-    """Whether data[a : a + n] equals data[b : b + n] for all of them; each n is 8 at least."""
+def differing(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether data[a : a + n] is other than data[b : b + n], for each of them; each n is 8 at least."""
+    out = np.zeros(len(a), bool)
     if not len(a):
-        return True
+        return out
     eight = np.ndarray((len(data) - 7,), np.uint64, np.ascontiguousarray(data).data, 0, (1,))
     for i in range(0, int(n.max()), 8):
-        live = n > i
+        live = np.flatnonzero(n > i)
         step = np.minimum(i, n[live] - 8)
-        if (eight[a[live] + step] != eight[b[live] + step]).any():
-            return False
-    return True
+        out[live] |= eight[a[live] + step] != eight[b[live] + step]
+    return out
 
 
 def merged(runs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -135,22 +137,21 @@ def merged(runs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def span_rows(rows: DataFrame) -> DataFrame:
-    """Spans, each task's repeats left out; those come as rows of gram = their document, span = -1 and the removed bytes at, n."""
+def span_rows(rows: DataFrame, bits: int = SPAN_BITS) -> DataFrame:
+    """Spans, each task's repeats left out; those come as rows of gram = their document, span = -1 and the removed bytes at, n. ``bits`` of a span's hash are kept."""
 
     def step(piece: pa.RecordBatch) -> pa.RecordBatch:
         data, bounds = utf8(piece.column("text"))
         gram, span, owner, first, count, inner = spans_by_parts(data, bounds)
         doc, alt = piece.column("doc").to_numpy()[owner], piece.column("alt").to_numpy()[owner]
-        packed = ((span >> np.uint64(14)) << np.uint64(14)) | (count << 7 | inner).astype(np.uint64)
+        packed = ((span >> np.uint64(64 - bits)) << np.uint64(14)) | (count << 7 | inner).astype(np.uint64)
         order = np.lexsort((first, alt, doc, packed, gram))
         g, s, d, a, f, c = (x[order] for x in (gram, packed, doc, alt, first, count))
         again = np.append(False, (g[1:] == g[:-1]) & (s[1:] == s[:-1])) if len(g) else np.zeros(0, bool)
         head = np.maximum.accumulate(np.where(again, 0, np.arange(len(g)))) if len(g) else np.zeros(0, np.int64)
-        other = again & ((d != d[head]) | (a != a[head]) | (f != f[head]))  # else a repeated row's
         place = (bounds[owner] + first)[order]
-        if not same_bytes(data, place[again], place[head[again]], (c + WIDTH - 1)[again]):
-            raise RuntimeError("two spans of one hash differ")
+        again[again] = ~differing(data, place[again], place[head[again]], (c + WIDTH - 1)[again])  # of one hash, yet different: goes on as it is
+        other = again & ((d != d[head]) | (a != a[head]) | (f != f[head]))  # else a repeated row's
         by_doc: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for key_d, key_a, x, y in zip(d[other].tolist(), a[other].tolist(), f[other].tolist(), (f + c - 1 + WIDTH)[other].tolist()):
             by_doc.setdefault((key_d, key_a), []).append((x, y))
@@ -188,7 +189,7 @@ def _stream_spans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             first = before[head]  # row of the first of each one's span; 0 is from earlier batches
             gone = same_span & (cols[:, 2:5] != first[:, 2:5]).any(axis=1)
             windows, inner = cols[:, 1] >> 7 & 127, cols[:, 1] & 127
-            out.append(np.column_stack((np.zeros(int(gone.sum()), np.int64), cols[gone][:, 2:5], windows[gone] - 1 + WIDTH, np.zeros(int(gone.sum()), np.int64), first[gone][:, 2:5])))
+            out.append(np.column_stack((np.zeros(int(gone.sum()), np.int64), cols[gone][:, 2:5], windows[gone] - 1 + WIDTH, inner[gone], first[gone][:, 2:5])))
             fresh = np.flatnonzero(~same_span)
             if len(fresh):
                 firsts = cols[fresh]
@@ -259,14 +260,15 @@ def _false_claims(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     last, text = None, b""
     for batch in batches:
         docs, alts = batch.column("doc").to_pylist(), batch.column("alt").to_pylist()
-        bad = []
+        bad, sizes = [], []
         for i, (key, at, said) in enumerate(zip(zip(docs, alts), batch.column("at").to_pylist(), batch.column("bytes").to_pylist())):
             if key != last:
                 last, text = key, unpack(batch.column("packed")[i].as_py())
             if text[at : at + len(said)] != said:
                 bad.append(i)
+                sizes.append(len(said))
         if bad:
-            yield batch.select(["doc", "alt", "at"]).take(pa.array(bad))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(bad)) for c in ("doc", "alt", "at")), pa.array(sizes, pa.int32())], ["doc", "alt", "at", "n"])
 
 
 class _Blocks:
@@ -362,8 +364,8 @@ def _keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def suffix_dedup(docs: DataFrame, most: int = MAX_BUCKET) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+def suffix_dedup(docs: DataFrame, most: int = MAX_BUCKET, bits: int = SPAN_BITS) -> DataFrame:
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256. Fewer ``bits`` of the spans' hashes (tests) give the same rows by more work."""
     spark = docs.sparkSession
     folder = shared_folder(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -374,7 +376,7 @@ def suffix_dedup(docs: DataFrame, most: int = MAX_BUCKET) -> DataFrame:
     rows = rows.withColumn("alt", F.xxhash64("text") if shared_ids else F.lit(0).cast("long"))
 
     order = ["gram", "span", "doc", "alt", "at"]
-    streamed = span_rows(rows.select("doc", "alt", "text")).repartition("gram").sortWithinPartitions(*order).mapInArrow(_stream_spans, _RUNS)
+    streamed = span_rows(rows.select("doc", "alt", "text"), bits).repartition("gram").sortWithinPartitions(*order).mapInArrow(_stream_spans, _RUNS)
     streamed.write.option("compression", "zstd").parquet(f"{folder}/spans")
     streamed = spark.read.parquet(f"{folder}/spans")
 
@@ -387,21 +389,34 @@ def suffix_dedup(docs: DataFrame, most: int = MAX_BUCKET) -> DataFrame:
 
     texts = map_pieces(rows, "text", pack, "doc_id long, doc long, alt long, packed binary")
     key = ["doc", "alt"]
-    asked = streamed.where("kind = 1 or sat >= 0").groupBy(*key).agg(F.collect_list(F.struct("kind", "at", "n", "inner", "sdoc", "salt", "sat")).alias("asked"))
-    texts.join(asked, key).select(*key, "packed", "asked").mapInArrow(_cut, _CUT).write.option("compression", "zstd").parquet(f"{folder}/cut")
-    cut = spark.read.parquet(f"{folder}/cut")
+
+    def cut_out(spans: DataFrame, name: str) -> DataFrame:
+        asked = spans.groupBy(*key).agg(F.collect_list(F.struct("kind", "at", "n", "inner", "sdoc", "salt", "sat")).alias("asked"))
+        texts.join(asked, key).select(*key, "packed", "asked").mapInArrow(_cut, _CUT).write.option("compression", "zstd").parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    cut = cut_out(streamed.where("kind = 1 or sat >= 0"), "cut")
     claims = cut.where("kind = 0").select(*key, "at", "bytes").distinct()
-    false = claims.join(texts.select(*key, "packed").dropDuplicates(key), key).select(*key, "at", "bytes", "packed").mapInArrow(_false_claims, "doc long, alt long, at int")
-    if found := false.limit(1).collect():
-        raise RuntimeError(f"two spans of one hash differ: {found[0]}")
-    contexts = cut.where("kind = 1").drop("kind")
+    false = checkpointed(claims.join(texts.select(*key, "packed").dropDuplicates(key), key).select(*key, "at", "bytes", "packed").mapInArrow(_false_claims, "doc long, alt long, at int, n int"))
+    contexts, sure = cut.where("kind = 1"), streamed.where("kind = 0")
+    if not false.isEmpty():
+        c = {name: F.col(f"s.{name}") for name in ("sdoc", "salt", "sat", "n")}
+        touches = [c["sdoc"] == F.col("f.doc"), c["salt"] == F.col("f.alt"), c["sat"] < F.col("f.at") + F.col("f.n"), c["sat"] + c["n"] > F.col("f.at")]
+        unsure = checkpointed(sure.alias("s").join(false.alias("f"), touches, "left_semi"))
+        sure = sure.alias("s").join(false.alias("f"), touches, "left_anti")
+        windows = (F.col("n") - WIDTH + 1).alias("n")
+        nowhere = [F.lit(0).cast("long").alias("sdoc"), F.lit(0).cast("long").alias("salt"), F.lit(-1).alias("sat")]
+        sources = unsure.select(F.lit(1).alias("kind"), F.col("sdoc").alias("doc"), F.col("salt").alias("alt"), F.col("sat").alias("at"), windows, "inner", *nowhere).distinct()
+        again = unsure.select(F.lit(1).alias("kind"), *key, "at", windows, "inner", *nowhere)
+        contexts = contexts.unionByName(cut_out(again.unionByName(sources), "cut_again").where("kind = 1"))
+    contexts = contexts.drop("kind")
     hot = small(checkpointed(contexts.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("bucket")))
     dealt = contexts.join(hot, "bucket", "left_anti").repartition("bucket").sortWithinPartitions("bucket", "doc", "alt", "at").mapInArrow(_sort_blocks, _FOUND)
     hashed = contexts.join(hot, "bucket", "left_semi").mapInArrow(_hash_windows, _FOUND)
     dealt.unionByName(hashed).write.option("compression", "zstd").parquet(f"{folder}/windows")
     found = spark.read.parquet(f"{folder}/windows")
 
-    gone = streamed.where("kind = 0").select(*key, "at", "n").unionByName(found.where("kind = 0").select(*key, "at", "n"))
+    gone = sure.select(*key, "at", "n").unionByName(found.where("kind = 0").select(*key, "at", "n"))
     wide = found.where("kind = 2")
     if wide.limit(1).count():
         earliest = wide.groupBy("h1", "h2").agg(F.min(F.struct("doc", "alt", "at")).alias("e"))

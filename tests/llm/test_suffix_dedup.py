@@ -124,12 +124,23 @@ def test_long_texts_by_parts(spark, docs, monkeypatch):
 
 def test_claims_are_compared_with_bytes():
     data = np.frombuffer(b"a" * 120 + b"b" * 120, np.uint8)
-    assert sd.same_bytes(data, np.array([0, 121]), np.array([5, 125]), np.array([101, 99]))
-    assert not sd.same_bytes(data, np.array([0, 15]), np.array([10, 20]), np.array([101, 105]))
+    assert sd.differing(data, np.array([0, 121]), np.array([5, 125]), np.array([101, 99])).tolist() == [False, False]
+    assert sd.differing(data, np.array([0, 15]), np.array([10, 20]), np.array([101, 105])).tolist() == [False, True]
     assert list(sd.claims_of(bytes(range(200)) * 4, [(300, 120, 7, 1, 500), (400, 100, 7, 1, 600)])) == [(7, 1, 500, (bytes(range(200)) * 4)[300:312]), (7, 1, 512, (bytes(range(200)) * 4)[312:500])]
     text = bytes(range(97, 123)) * 10
     import pyarrow as pa
     import zstandard
 
     batch = pa.RecordBatch.from_pydict({"doc": [1, 1], "alt": [0, 0], "at": pa.array([0, 5], pa.int32()), "bytes": [text[:50], text[:50]], "packed": [zstandard.ZstdCompressor().compress(text)] * 2})
-    assert [b.to_pydict() for b in sd._false_claims([batch])] == [{"doc": [1], "alt": [0], "at": [5]}]
+    assert [b.to_pydict() for b in sd._false_claims([batch])] == [{"doc": [1], "alt": [0], "at": [5], "n": [50]}]
+
+
+def test_spans_of_one_hash_that_differ(spark, docs):
+    """With two bits of each span's hash most claims are false, within tasks and between them; the rows are the same."""
+    for seed in (3, 4):
+        rows = crafted(seed)
+        rows += [(i + 500, t) for i, t in rows[:9]] + [(None, rows[5][1] + "tail"), (3, rows[7][1])]
+        random.Random(seed).shuffle(rows)
+        want = brute(rows)
+        for most, parts in ((sd.MAX_BUCKET, 1), (2, 6)):
+            assert got(sd.suffix_dedup(docs(rows).repartition(parts), most, 2)) == want, (seed, most)
