@@ -24,28 +24,31 @@ OK, REFUSED, FAILED = 200, 422, 500
 
 
 def _problem(field: str, code: str) -> Column:
-    return F.struct(F.lit(field).alias("field"), F.lit(code).alias("problem"))
+    return F.array(F.struct(F.lit(field).alias("field"), F.lit(code).alias("problem")))
 
 
-def request_errors(body: Column, min_length: int = MIN_QUESTION, max_length: int | None = None) -> Column:
-    """Array of (field, problem), empty for an acceptable body: ``json_invalid``, ``not_an_object``, ``missing``, ``not_a_string``, ``too_short``, ``too_long``."""
-    read = F.try_parse_json(body)
-    kind = lambda field: F.schema_of_variant(F.try_variant_get(read, f"$.{field}", "variant"))
-    size = F.length(F.try_variant_get(read, "$.question", "string"))
-    whole = F.when(read.isNull(), _problem("body", "json_invalid")).when(~F.schema_of_variant(read).startswith("OBJECT"), _problem("body", "not_an_object"))
-    asked = F.when(kind("question").isNull(), _problem("question", "missing")).when(kind("question") != "STRING", _problem("question", "not_a_string")).when(size < min_length, _problem("question", "too_short"))
+def parsed_requests(bodies: DataFrame, min_length: int = MIN_QUESTION, max_length: int | None = None) -> DataFrame:
+    """``bodies`` (with body) with errors, and question, user_id and session_id, which are null where there are errors.
+
+    errors is an array of (field, problem), empty for an acceptable body; problems are ``json_invalid``, ``not_an_object``, ``missing``, ``not_a_string``, ``too_short`` and ``too_long``.
+    """
+    names = [c for c in bodies.columns if c not in ("question", *OPTIONAL, "errors")]
+    fields = ("question", *OPTIONAL)
+    # one projection after the other: a body is parsed once, and each field's type found once
+    read = bodies.select(*names, F.try_parse_json("body").alias("_read"))
+    parts = read.select(*names, "_read", *[F.try_variant_get("_read", f"$.{field}", "variant").alias(f"_{field}") for field in fields])
+    kinds = parts.select(
+        *names, F.col("_read").isNull().alias("_bad"), F.schema_of_variant("_read").startswith("OBJECT").alias("_object"),
+        *[F.schema_of_variant(f"_{field}").alias(f"_kind_{field}") for field in fields], *[F.try_variant_get(f"_{field}", "$", "string").alias(f"_{field}") for field in fields],
+    )
+    size, none = F.length("_question"), F.array().cast("array<struct<field:string,problem:string>>")
+    asked = F.when(F.col("_kind_question").isNull(), _problem("question", "missing")).when(F.col("_kind_question") != "STRING", _problem("question", "not_a_string")).when(size < min_length, _problem("question", "too_short"))
     if max_length is not None:
         asked = asked.when(size > max_length, _problem("question", "too_long"))
-    others = [F.when(~kind(field).isin("STRING", "VOID"), _problem(field, "not_a_string")) for field in OPTIONAL]
-    found = F.when(whole.isNull(), F.array(asked, *others)).otherwise(F.array(whole))
-    return F.filter(found, lambda x: x.isNotNull())
-
-
-def parsed_requests(bodies: DataFrame, min_length: int = MIN_QUESTION, max_length: int | None = None) -> DataFrame:
-    """``bodies`` (with body) with errors, and question, user_id and session_id, which are null where there are errors."""
-    out = bodies.drop("question", *OPTIONAL, "errors").withColumn("errors", request_errors(F.col("body"), min_length, max_length))
-    fine = F.size("errors") == 0
-    return out.withColumns({field: F.when(fine, F.try_variant_get(F.try_parse_json("body"), f"$.{field}", "string")) for field in ("question", *OPTIONAL)})
+    others = [F.when(~F.col(f"_kind_{field}").isin("STRING", "VOID"), _problem(field, "not_a_string")).otherwise(none) for field in OPTIONAL]
+    found = F.when(F.col("_bad"), _problem("body", "json_invalid")).when(~F.col("_object"), _problem("body", "not_an_object")).otherwise(F.concat(asked.otherwise(none), *others))
+    judged = kinds.select(*names, found.alias("errors"), *[f"_{field}" for field in fields])
+    return judged.select(*names, "errors", *[F.when(F.size("errors") == 0, F.col(f"_{field}")).alias(field) for field in fields])
 
 
 def error_text(errors: Column) -> Column:
