@@ -33,8 +33,8 @@ class BlockIndex:
 
 
 def _written(rows: DataFrame) -> DataFrame:
-    """``rows`` as Parquet in the shared folder: compressed, and bounds are read without the entries."""
-    path = f"{checkpoint_folder(rows.sparkSession)}/postings-{uuid.uuid4().hex}"
+    """``rows`` as Parquet in the shared folder: compressed, and read by column."""
+    path = f"{checkpoint_folder(rows.sparkSession)}/blocks-{uuid.uuid4().hex}"
     rows.write.option("compression", "zstd").parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
@@ -71,12 +71,12 @@ def plan(index: BlockIndex, queries: DataFrame, k: int | None = None) -> tuple[D
     k = int(positive("k", k, DEFAULTS.top_k))
     asked = settled(query_terms(queries))
     bounds = index.blocks.select("term", "range", "bound", "n").join(small(asked), "term")
-    bounds = settled(bounds.groupBy("query_id", "range").agg(F.sum(F.col("qtf") * F.col("bound")).alias("most"), F.sum("n").alias("n")))
+    bounds = _written(bounds.groupBy("query_id", "range").agg(F.sum(F.col("qtf") * F.col("bound")).alias("most"), F.sum("n").alias("n")))
     order = Window.partitionBy("query_id").orderBy(F.desc("most"), "range")
     first = bounds.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= SEEDS * k).select("query_id", "range")
     reached = _best(_opened(index, asked, first), k).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
     open_ = bounds.join(reached, "query_id", "left").where(F.col("least").isNull() | (F.col("most") >= F.col("least") - CLOSE))
-    return asked, settled(open_.select("query_id", "range", "n"))
+    return asked, _written(open_.select("query_id", "range", "n"))
 
 
 def bm25_blocks(index: BlockIndex, queries: DataFrame, k: int | None = None) -> DataFrame:
