@@ -2,8 +2,8 @@
 
 1. Anchors. Every 100-byte window has one anchor, its 32-byte gram of least hash. Consecutive windows share an anchor
    and make one span. A task emits one row a span, about one for 32 bytes: hash of the gram, hash of the span. Spans that repeat
-   within the task go no further than that task (pre-aggregation, bytes compared on the spot): only its earliest stays. A long text is worked off in
-   overlapping parts.
+   within a piece of text go no further (pre-aggregation, bytes compared on the spot): only its earliest stays. Spans that come back in later pieces of the task are remembered
+   (``_Seen``), so a passage that stands in every document leaves about a row a task, not a row a piece. A long text is worked off in overlapping parts.
 2. Equal windows have equal grams at equal places, so windows are compared within a gram's rows only. Rows sorted by
    (gram, span, document, place) stream past: a span seen before is to be removed whole; if a gram has several distinct spans,
    the earliest of each is looked at byte by byte.
@@ -37,14 +37,14 @@ from pyspark.sql import functions as F
 from quern.sources.tables import small
 
 from . import textcore as tc
-from .common import checkpointed, dropped, map_pieces, shared_folder, utf8
+from .common import checkpointed, dropped, map_pieces, pieces, shared_folder, utf8
 from .suffix_blocks import repeated_windows
 
 WIDTH, GRAM = 100, 32
 WINDOWS = WIDTH - GRAM + 1
 #: A window whose gram starts up to so many bytes in holds WIDTH - GRAM - HALF bytes after it; any other holds HALF + 1 before it.
 HALF = (WIDTH - GRAM) // 2
-#: Text that a task takes at once, and so the reach of its pre-aggregation.
+#: Text that a task takes at once.
 PIECE_BYTES = 1 << 20
 BLOCK_BYTES, MAX_BUCKET = 1 << 20, 8192
 SEGMENT = 256
@@ -137,10 +137,38 @@ def merged(runs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def span_rows(rows: DataFrame, bits: int = SPAN_BITS) -> DataFrame:
-    """Spans, each task's repeats left out; those come as rows of gram = their document, span = -1 and the removed bytes at, n. ``bits`` of a span's hash are kept."""
+class _Seen:
+    """Spans that came back within one task: where the earliest of each stood, and its bytes. What isn't remembered is compared after the shuffle, so its bounds drop nothing."""
 
-    def step(piece: pa.RecordBatch) -> pa.RecordBatch:
+    SLOTS, MOST = 1 << 20, 1 << 16
+
+    def __init__(self):
+        self.recent = np.zeros(self.SLOTS, np.uint64)  # the last gram of each slot
+        self.spans: dict[tuple[int, int], tuple[tuple[int, int, int], bytes]] = {}
+
+    def again(self, gram: np.ndarray, span: np.ndarray, place: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(spans of this piece that equal an earlier one, spans that are the remembered row itself); ``place`` is (doc, alt, at), ``twice`` what the piece itself has repeated."""
+        gone, same = np.zeros(len(gram), bool), np.zeros(len(gram), bool)
+        slot = (gram >> np.uint64(30)).astype(np.int64) % self.SLOTS
+        for i in np.flatnonzero(twice | (self.recent[slot] == gram)).tolist():
+            key, here = (int(gram[i]), int(span[i])), tuple(place[i].tolist())
+            text = data[start[i] : start[i] + size[i]].tobytes()
+            known = self.spans.get(key)
+            if known is None:
+                if len(self.spans) < self.MOST:
+                    self.spans[key] = here, text
+            elif known[1] == text:
+                gone[i], same[i] = known[0] < here, known[0] == here
+                if here < known[0]:
+                    self.spans[key] = here, text
+        self.recent[slot] = gram
+        return gone, same
+
+
+def span_rows(rows: DataFrame, bits: int = SPAN_BITS, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """Spans, the repeats that a task knows of left out; those come as rows of gram = their document, span = -1 and the removed bytes at, n. ``bits`` of a span's hash are kept."""
+
+    def step(piece: pa.RecordBatch, seen: _Seen) -> pa.RecordBatch:
         data, bounds = utf8(piece.column("text"))
         gram, span, owner, first, count, inner = spans_by_parts(data, bounds)
         doc, alt = piece.column("doc").to_numpy()[owner], piece.column("alt").to_numpy()[owner]
@@ -152,6 +180,11 @@ def span_rows(rows: DataFrame, bits: int = SPAN_BITS) -> DataFrame:
         place = (bounds[owner] + first)[order]
         again[again] = ~differing(data, place[again], place[head[again]], (c + WIDTH - 1)[again])  # of one hash, yet different: goes on as it is
         other = again & ((d != d[head]) | (a != a[head]) | (f != f[head]))  # else a repeated row's
+        heads, twice = np.flatnonzero(~again), np.zeros(len(g), bool)
+        twice[head[other]] = True
+        back, same = seen.again(g[heads], s[heads], np.column_stack((d, a, f))[heads], data, place[heads], (c + WIDTH - 1)[heads], twice[heads])
+        other[heads[back]] = True
+        again[heads[back | same]] = True
         by_doc: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for key_d, key_a, x, y in zip(d[other].tolist(), a[other].tolist(), f[other].tolist(), (f + c - 1 + WIDTH)[other].tolist()):
             by_doc.setdefault((key_d, key_a), []).append((x, y))
@@ -168,7 +201,13 @@ def span_rows(rows: DataFrame, bits: int = SPAN_BITS) -> DataFrame:
         ]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["gram", "span", "doc", "alt", "at", "n"])
 
-    return map_pieces(rows, "text", step, _SPANS, PIECE_BYTES)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
+        for batch in batches:
+            for piece in pieces(batch, "text", piece_bytes):
+                yield step(piece, seen)
+
+    return rows.mapInArrow(run, _SPANS)
 
 
 def _stream_spans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
