@@ -411,3 +411,29 @@ ORACLE_SQL["mmr"] = f"""WITH RECURSIVE {VEC}, q AS (SELECT vec_id AS query_id, v
           JOIN s ON s.query_id = m.query_id AND s.a = c.nth AND list_contains(chosen, s.b) WHERE n < 5 GROUP BY m.query_id, n, chosen, c.nth) GROUP BY query_id, n, chosen),
     last AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC) = 1), u AS (SELECT query_id, unnest(chosen) AS nth, unnest(range(1, len(chosen) + 1)) AS rank FROM last)
     SELECT query_id, vec_id, CAST(rank AS INT) AS rank FROM u JOIN c USING (query_id, nth)"""
+
+
+def split_parts(src: str, size: int) -> str:
+    """The rows of ``src`` (doc_id, path, text, lo) cut at the coarsest of the separators from ``lo`` on that they have: s, i, part, g (long parts up to here)."""
+    marks = {1: "E'\\n\\n'", 2: "E'\\n'", 3: "'. '", 4: "' '"}
+    which = " ".join(f"WHEN lo <= {n} AND contains(text, {m}) THEN {n}" for n, m in marks.items())
+    mark = "CASE s " + " ".join(f"WHEN {n} THEN {m}" for n, m in marks.items()) + " END"
+    return f"""(SELECT *, sum(CASE WHEN length(part) >= {size} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, path ORDER BY i) AS g FROM (SELECT doc_id, path, s, unnest(ps) AS part, unnest(range(1, len(ps) + 1)) AS i FROM (
+      SELECT doc_id, path, s, CASE WHEN s = 5 THEN list_transform(range(1, length(text) + 1), lambda x: substr(text, x, 1)) ELSE list_filter(list_transform(string_split(text, {mark}), lambda x, j: CASE WHEN j = 1 THEN x ELSE {mark} || x END), lambda x: x <> '') END AS ps
+      FROM (SELECT *, CASE {which} ELSE 5 END AS s FROM {src}))))"""
+
+
+def recursive_chunks_sql(size: int = 1500, overlap: int = 300) -> str:
+    """Texts cut until every part is short; then runs of short parts gathered, each chunk (f up to before n) following from the one before by sums of lengths alone."""
+    return f"""WITH RECURSIVE sp(doc_id, path, text, lo) AS (SELECT doc_id, CAST([] AS BIGINT[]), text, 1 FROM documents WHERE length(text) > 0
+      UNION ALL SELECT doc_id, list_append(path, CAST(2 * g - 1 AS BIGINT)), part, s + 1 FROM {split_parts("sp", size)} WHERE length(part) >= {size} AND s < 5),
+    gr AS (SELECT doc_id, list_append(path, CAST(2 * g AS BIGINT)) AS gp, list(part ORDER BY i) AS ps FROM {split_parts("sp", size)} WHERE length(part) < {size} OR s = 5 GROUP BY doc_id, path, g),
+    cu AS (SELECT *, len(ps) AS k, list_prepend(0, list_transform(range(1, len(ps) + 1), lambda x: length(array_to_string(ps[1:x], '')))) AS a FROM gr),
+    ch(doc_id, gp, f, n, k, a) AS (SELECT doc_id, gp, 0::BIGINT, coalesce(list_filter(range(1, k), lambda m: a[m + 2] > {size})[1], k), k, a FROM cu
+      UNION ALL SELECT doc_id, gp, f2, coalesce(list_filter(range(n + 1, k), lambda m: a[m + 2] - a[f2 + 1] > {size})[1], k), k, a
+        FROM (SELECT *, list_filter(range(f, n + 1), lambda x: x = n OR (a[n + 1] - a[x + 1] <= {overlap} AND a[n + 2] - a[x + 1] <= {size}))[1] AS f2 FROM ch WHERE n < k)),
+    tx AS (SELECT ch.doc_id, ch.gp, n, {strip("array_to_string(ps[f + 1:n], '')")} AS content FROM ch JOIN gr ON gr.doc_id = ch.doc_id AND gr.gp = ch.gp)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY gp, n) - 1 AS INT) AS chunk, CAST(length(content) AS INT) AS n_chars, md5(content) AS content_md5 FROM tx WHERE content <> ''"""
+
+
+ORACLE_SQL["recursive_chunks"] = recursive_chunks_sql()

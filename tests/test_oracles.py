@@ -20,7 +20,7 @@ def test_query(spark, con, name):
     if name in ORACLE_SQL:
         assert compare(frame, con, ORACLE_SQL[name]) is None
     else:
-        assert frame.count() >= 0 and name in ("kg_dfs", "recursive_chunks", "scalable_bloom_add_if_new", "ivf_ip_batch")
+        assert frame.count() >= 0 and name in ("kg_dfs", "scalable_bloom_add_if_new", "ivf_ip_batch")
 
 
 def test_every_oracle_has_a_query():
