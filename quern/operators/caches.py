@@ -108,7 +108,7 @@ def embed_cached(requests: DataFrame, cache: DataFrame, embed: Callable[[pd.Seri
     """
     keyed = requests.withColumn("key", cache_key(F.col("text")))
     model = F.pandas_udf(embed, "array<double>")
-    cache = cache if "used" in cache.columns else cache.withColumn("used", F.lit(0).cast("long"))
+    cache = settled(cache if "used" in cache.columns else cache.withColumn("used", F.lit(0).cast("long")))  # of bounded size, and read several times
     batch = (cache.agg(F.max("used")).first()[0] or 0) + 1
     asked = keyed.groupBy("key").agg(F.min("text").alias("text"))
     fresh = asked.join(cache.select("key"), "key", "left_anti").select("key", model("text").alias("vector"), F.lit(batch).cast("long").alias("used"), F.lit(False).alias("was_cached"))
@@ -128,17 +128,20 @@ def cleared(cache: DataFrame) -> DataFrame:
 
 
 def ttl_hits(requests: DataFrame, seconds: int = DEFAULTS.response_ttl_seconds) -> DataFrame:
-    """``requests`` (key, ts) with hit: whether an entry younger than ``seconds`` was there; a hit does not prolong an entry.
+    """``requests`` (key, ts) with hit: whether an entry younger than ``seconds`` was there; a hit does not prolong an entry, and a request without a time is none.
 
     Whether a request misses depends on the miss before it, so a key's requests are gone through in order. A gap of ``seconds`` or more always
-    ends in a miss, so runs between such gaps are independent and are dealt out apart, which spreads a hot key; rows stream past in order and only the last
-    entry's expiry is held.
+    ends in a miss, so runs between such gaps are independent and are dealt out apart, which spreads a hot key. Such gaps lie between, never within, spans of ``seconds`` on the clock: the first and last request of each
+    key and span, from a grouped aggregation, say where runs begin, and no task orders all requests of a key. Then rows stream past in order and only the last entry's expiry is held.
     """
-    names = requests.columns
-    before = Window.partitionBy("key").orderBy("_at")
-    ordered = requests.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
-    opens = F.coalesce((F.col("_at") - F.lag("_at").over(before) >= seconds * 1_000_000).cast("int"), F.lit(1))
-    ordered = ordered.withColumn("_opens", opens).withColumn("_run", F.sum("_opens").over(before)).drop("_opens")
+    names, width = requests.columns, seconds * 1_000_000
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    ordered = requests.withColumn("_at", at).withColumn("_span", F.col("_at") - F.pmod(F.col("_at"), F.lit(width)))
+    spans = ordered.groupBy("key", "_span").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+    before = Window.partitionBy("key").orderBy("_span")
+    opens = F.coalesce((F.col("_first") - F.lag("_last").over(before) >= width).cast("int"), F.lit(1))
+    runs = spans.withColumn("_opens", opens).select(F.col("key").alias("_key"), F.col("_span").alias("_of"), F.sum("_opens").over(before).alias("_run"))
+    ordered = ordered.join(runs, F.col("key").eqNullSafe(F.col("_key")) & F.col("_span").eqNullSafe(F.col("_of"))).select(*names, "_at", "_run")
     ordered = ordered.repartition("key", "_run").sortWithinPartitions("key", "_run", "_at")
 
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,8 +149,8 @@ def ttl_hits(requests: DataFrame, seconds: int = DEFAULTS.response_ttl_seconds)
         for batch in batches:
             hits = []
             for key, run, at in zip(batch.column("key").to_pylist(), batch.column("_run").to_pylist(), batch.column("_at").to_pylist()):
-                hit = (key, run) == last and at < until
-                if not hit:
+                hit = at is not None and (key, run) == last and at < until
+                if not hit and at is not None:
                     last, until = (key, run), at + seconds * 1_000_000
                 hits.append(hit)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(hits, pa.bool_())], [*names, "hit"])

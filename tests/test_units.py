@@ -482,6 +482,22 @@ def test_ttl_batch_and_stream(spark, tmp_path):
     assert sorted((r.key, seconds(r), r.hit) for r in rq.drain(stream, str(tmp_path / "out")).collect()) == sorted(want)
 
 
+def test_ttl_of_dense_keys_null_keys_and_early_times(spark):
+    rng = random.Random(12)
+    rows = [("hot", t) for t in rng.sample(range(-900_000, 900_000), 700)] + [("edge", 100 * i) for i in range(-40, 40)] + [(None, rng.randrange(5000)) for _ in range(60)] + [("hot", 77), ("hot", 77), ("late", None), ("edge", None)]
+    frame = spark.createDataFrame(rows, "key string, s long").select("key", F.timestamp_seconds("s").alias("ts"))
+    for seconds in (100, 1800, 100_000):
+        want, until = [], {}
+        for key, at in sorted(rows, key=lambda r: (str(r[0]), r[1] is not None, r[1] or 0)):
+            hit = at is not None and at < until.get(key, -(10**9))
+            if not hit and at is not None:
+                until[key] = at + seconds
+            want.append((str(key), str(at), hit))
+        got = caches.ttl_hits(frame.repartition(5), seconds).select("key", F.unix_seconds("ts").alias("s"), "hit").collect()
+        assert sorted((str(r.key), str(r.s), r.hit) for r in got) == sorted(want), seconds
+    assert caches.ttl_hits(frame.limit(0)).collect() == []
+
+
 def test_first_requests(spark, tmp_path):
     rows = [(k, datetime(2024, 1, 1) + timedelta(seconds=s)) for k, s in event_rows()]
     spark.createDataFrame(rows, "key string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
