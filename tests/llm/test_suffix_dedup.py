@@ -144,29 +144,3 @@ def test_spans_of_one_hash_that_differ(spark, docs):
         want = brute(rows)
         for most, parts in ((sd.MAX_BUCKET, 1), (2, 6)):
             assert got(sd.suffix_dedup(docs(rows).repartition(parts), most, 2)) == want, (seed, most)
-
-
-def test_a_passage_of_every_document_leaves_a_row_a_task(spark, docs):
-    """Pieces of some three documents: a span that all documents have goes on once a task, whatever the order of the documents, and all else is as it was."""
-    rng = random.Random(21)
-    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
-    notice = " ".join(word() for _ in range(40))
-    rows = [(i, " ".join(word() for _ in range(60)) + notice + " ".join(word() for _ in range(60))) for i in range(400)]
-    rng.shuffle(rows)
-    frame = docs(rows).coalesce(1).select(F.col("doc_id").alias("doc"), F.lit(0).cast("long").alias("alt"), "text")
-    spans = sd.span_rows(frame, piece_bytes=4000).where("span <> -1").groupBy("gram", "span").count()
-    # a smaller document that comes later goes on too: a new earliest, of which there are few
-    assert spans.agg(F.max("count")).first()[0] < 20
-    assert got(sd.suffix_dedup(docs(rows))) == brute(rows)
-
-
-def test_remembered_spans():
-    seen = sd._Seen()
-    data = np.frombuffer(b"x" * 100 + b"y" * 100, np.uint8)
-    one = lambda doc, start, gram=5, twice=False: [x.tolist()[0] for x in seen.again(np.array([gram], np.uint64), np.array([7]), np.array([[doc, 0, 0]]), data, np.array([start]), np.array([100]), np.array([twice]))]
-    assert one(4, 0) == [False, False]  # seen for the first time: only its gram is noted
-    assert one(6, 0) == [False, False]  # back again: remembered from here on
-    assert one(9, 0) == [True, False] and one(6, 0) == [False, True]
-    assert one(3, 0) == [False, False] and one(6, 0) == [True, False]  # a new earliest
-    assert one(8, 100) == [False, False]  # other bytes of that hash
-    assert one(1, 0, 6, True) == [False, False] and one(2, 0, 6) == [True, False]
