@@ -397,7 +397,9 @@ def suffix_dedup(docs: DataFrame, most: int = MAX_BUCKET, bits: int = SPAN_BITS)
 
     cut = cut_out(streamed.where("kind = 1 or sat >= 0"), "cut")
     claims = cut.where("kind = 0").select(*key, "at", "bytes").distinct()
-    false = checkpointed(claims.join(texts.select(*key, "packed").dropDuplicates(key), key).select(*key, "at", "bytes", "packed").mapInArrow(_false_claims, "doc long, alt long, at int, n int"))
+    held = claims.join(texts.select(*key, "packed").dropDuplicates(key), key).select(*key, "at", "bytes", "packed")
+    held.mapInArrow(_false_claims, "doc long, alt long, at int, n int").write.parquet(f"{folder}/false")
+    false = spark.read.schema("doc long, alt long, at int, n int").parquet(f"{folder}/false")
     contexts, sure = cut.where("kind = 1"), streamed.where("kind = 0")
     if not false.isEmpty():
         c = {name: F.col(f"s.{name}") for name in ("sdoc", "salt", "sat", "n")}
