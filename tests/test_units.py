@@ -233,6 +233,19 @@ def plain_graph(rng, n=14, m=40):
     return [(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}", rng.choice("ab"), rng.choice([0.5, 1.0, 2.0]), s) for s in range(m)]
 
 
+def test_depth_first_search_of_more_edges_than_a_task_took(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MAX_LOCAL_EDGES", 3, raising=False)  # of the search that broadcast the graph
+    nodes = spark.createDataFrame([(i, "t", i, {}) for i in "abcdefg"], graph.NODES)
+    links = ["ab", "bc", "ac", "cd", "de", "ef", "fg", "ba", "ab"]
+    edges = spark.createDataFrame([(s, d, "r", 1.0, n) for n, (s, d) in enumerate(links)], graph.EDGES)
+    starts = spark.createDataFrame([("a",), ("c",), ("g",)], "start string")
+    got = {}
+    for r in sorted(graph.dfs(nodes, edges, starts, 3).collect(), key=lambda r: r.ord):
+        got.setdefault(r.start, []).append("".join(r.path))
+    assert got == {"a": ["ab", "abc", "abcd"], "c": ["cd", "cde", "cdef"]}
+    assert graph.dfs(nodes, edges, starts, 0).count() == 0
+
+
 def test_searches_against_plain_python(spark):
     edges_list = plain_graph(random.Random(2))
     nodes = spark.createDataFrame([(f"n{i}", "t", f"N{i}", {}) for i in range(14)], graph.NODES)
