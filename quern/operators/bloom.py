@@ -7,15 +7,20 @@ A filter is a table of its set bits, or one of bit pages: 32,768 bits each, buil
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.sources.tables import settled
+from quern.sources.tables import settled, written
 
 #: Bits of a page, and the bytes of pages that :func:`page_membership` broadcasts at most.
 PAGE_BITS, MAX_PAGE_BYTES = 32_768, 256 << 20
+#: Bytes of filters that each Python worker holds at most in :func:`in_any`.
+MAX_HELD_BYTES = 64 << 20
 #: Above this a remainder times 2**16 does not fit 63 bits.
 MOST_BITS = 2**47
 
@@ -40,8 +45,8 @@ def folded(digest: Column, pieces: int, bits: int) -> Column:
 
 
 def positions(item: Column, bits: int, hashes: int) -> Column:
-    h1, h2 = folded(F.md5(item), 4, bits), folded(F.sha1(item), 5, bits)
-    return F.array(*[(h1 + i * h2) % bits for i in range(hashes)])
+    both = F.array(F.struct(folded(F.md5(item), 4, bits).alias("h1"), folded(F.sha1(item), 5, bits).alias("h2")))  # in the plan once, not once a hash
+    return F.flatten(F.transform(both, lambda h: F.array(*[(h["h1"] + i * h["h2"]) % bits for i in range(hashes)])))
 
 
 def filter_bits(items: DataFrame, bits: int, hashes: int) -> DataFrame:
@@ -98,6 +103,64 @@ def page_membership(probes: DataFrame, pages: DataFrame, bits: int, hashes: int,
     return probes.join(said, F.col("item").eqNullSafe(F.col("_item"))).select(*names, "maybe")
 
 
+@dataclass
+class Filter:
+    """A filter of ``bits`` bits as pages (page, bitmap)."""
+
+    bits: int
+    hashes: int
+    pages: DataFrame
+
+
+def _folded(digests: pd.Series, bits: int) -> np.ndarray:
+    """:func:`folded` of whole columns of binary digests."""
+    size, top = (4, 2**32) if bits < 2**31 else (2, 2**16)
+    pieces = np.frombuffer(b"".join(digests), f">u{size}").reshape(len(digests), -1).astype(np.int64)
+    out = np.zeros(len(digests), np.int64)
+    for i in range(pieces.shape[1]):
+        out = (out * (top % bits) + pieces[:, i]) % bits
+    return out
+
+
+def in_any(probes: DataFrame, filters: list[Filter], most: int = MAX_HELD_BYTES) -> DataFrame:
+    """``probes`` with maybe: whether any of the filters has all bits of their ``item``.
+
+    Filters of up to ``most`` bytes in all go to the tasks as bit sets, and no probe is shuffled; an item leaves a filter at the first bit that is not set. Beyond that it is :func:`page_membership`, a filter at a time.
+    """
+    if sum(-(-f.bits // PAGE_BITS) * (PAGE_BITS // 8) for f in filters) > most:
+        out = probes.withColumn("maybe", F.lit(False))
+        for f in filters:
+            out = page_membership(out.withColumnRenamed("maybe", "_before"), f.pages, f.bits, f.hashes).withColumn("maybe", F.col("maybe") | F.col("_before")).drop("_before")
+        return out
+    if not filters:
+        return probes.withColumn("maybe", F.lit(False))
+    held = []
+    for f in filters:
+        table = np.zeros((-(-f.bits // PAGE_BITS), PAGE_BITS // 8), np.uint8)
+        for page, bitmap in f.pages.where("page is not null").select("page", "bitmap").collect():  # MAX_HELD_BYTES at most
+            table[page] = np.frombuffer(bitmap, np.uint8)
+        held.append((f.bits, f.hashes, table.reshape(-1)))
+    shared = probes.sparkSession.sparkContext.broadcast(held)
+
+    @F.pandas_udf("boolean")
+    def maybe(md5s: pd.Series, sha1s: pd.Series) -> pd.Series:
+        out = np.zeros(len(md5s), bool)
+        left = np.flatnonzero(md5s.notna().to_numpy())  # in no filter so far
+        for bits, hashes, table in reversed(shared.value):  # the largest first
+            if not len(left):
+                break
+            at, h1, h2 = left, _folded(md5s.iloc[left], bits), _folded(sha1s.iloc[left], bits)
+            for i in range(hashes):
+                bit = (h1 + i * h2) % bits
+                on = (table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+                at, h1, h2 = at[on], h1[on], h2[on]
+            out[at] = True
+            left = left[~out[left]]
+        return pd.Series(out)
+
+    return probes.withColumn("maybe", maybe(F.unhex(F.md5("item")), F.unhex(F.sha1("item"))))
+
+
 def add_if_new(items: DataFrame, bits: int, hashes: int) -> DataFrame:
     """``items`` (item, ord: a number of its own for each, in order of arrival) with is_new: whether a filter that starts empty, and takes each item in turn, did not hold it yet.
 
@@ -151,8 +214,8 @@ def scalable_filter(n: int = 1000, p: float = 0.01, growth: int = 2, tightening:
 
 
 def arrivals(items: DataFrame, order: list[str]) -> DataFrame:
-    """``items`` with ord: their number from 1 in the given order, without gaps. Rows are sorted by ranges; each range is offset by the counts before it."""
-    ranged = settled(items.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    """``items`` with ord: their number from 1 in the given order, without gaps. Rows are written down and sorted by ranges; each range is offset by the counts before it."""
+    ranged = settled(written(items, "arrivals").orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
     ranged = ranged.withColumns({"_part": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
     offsets, total = [], 0
     for part, n in sorted(tuple(r) for r in ranged.groupBy("_part").count().collect()):
@@ -174,12 +237,11 @@ def scalable_bits(items: DataFrame, n: int = 1000, p: float = 0.01, growth: int
 
 def scalable_membership(probes: DataFrame, items: DataFrame, n: int = 1000, p: float = 0.01, growth: int = 2, tightening: float = 0.5) -> DataFrame:
     """item, maybe: whether any of the filters of ``items`` (item, ord) has all of its bits."""
-    every = settled(scalable_bits(items, n, p, growth, tightening))
-    last = every.agg(F.max("filter")).first()[0]
-    if last is None:
-        return probes.select("item").distinct().withColumn("maybe", F.lit(False))
-    found = [membership(probes, every.where(F.col("filter") == j), bits, hashes) for j, _, _, bits, hashes in scalable_filter(n, p, growth, tightening, last + 1)]
-    return reduce(DataFrame.unionByName, found).groupBy("item").agg(F.max("maybe").alias("maybe"))
+    assigned = settled(scalable_assignment(items, n, growth))
+    last = assigned.agg(F.max("filter")).first()[0]
+    sizes = [] if last is None else scalable_filter(n, p, growth, tightening, last + 1)
+    filters = [Filter(bits, hashes, filter_pages(assigned.where(F.col("filter") == j), bits, hashes)) for j, _, _, bits, hashes in sizes]
+    return in_any(probes.select("item"), filters).distinct()  # one answer an item
 
 
 def scalable_assignment(items: DataFrame, n: int = 1000, growth: int = 2) -> DataFrame:
@@ -195,22 +257,43 @@ def scalable_assignment(items: DataFrame, n: int = 1000, growth: int = 2) -> Dat
 def scalable_add_if_new(items: DataFrame, n: int = 1000, p: float = 0.01, growth: int = 2, tightening: float = 0.5) -> DataFrame:
     """``items`` (item, ord) with is_new and filter (the number of the filter that took it, null if refused), of a growing filter that takes each item in turn.
 
-    Round j replays filter j on what the filters before it, then full, have not refused: it takes items as :func:`add_if_new` says until ``n * growth**j`` of them are new. What arrives after
-    the last of these is refused by its bits, or goes on to the next round. There are as many rounds as filters, so a logarithm of the items (growth 2 or more).
+    Round j takes what arrives after filter j - 1 was full, tests it against the filters before, and fills filter j with the rest as :func:`add_if_new` says, up to the arrival that makes ``n * growth**j``
+    items new. It reads arrivals of twice that number, then of twice as many again as long as these don't fill it, so an item is in few rounds. There are as many rounds as filters, so a logarithm of the items (growth 2 or more).
     """
-    rest, done, j = settled(items), [], 0
     names = items.columns
-    while True:
+    items = written(items, "arrivals")
+    low, high = items.agg(F.min("ord"), F.max("ord")).first()
+    done, filters, j, width = [], [], 0, 2 * n
+    after = 0 if low is None else low - 1  # the last arrival that is judged
+    while high is not None and after < high:
         _, capacity, _, bits, hashes = scalable_filter(n, p, growth, tightening, j + 1)[-1]
-        tried = settled(add_if_new(rest, bits, hashes))
-        last = arrivals(tried.where("is_new").select(F.col("ord").alias("at")), ["at"]).where(F.col("ord") == capacity).first()
-        now = tried.where(F.col("ord") <= last["at"]) if last else tried
+        window = in_any(items.where((F.col("ord") > after) & (F.col("ord") <= after + width)), filters)
+        window = written(window, "arrivals")
+        tried = add_if_new(window.where("not maybe").select(*names), bits, hashes)
+        tried = written(tried.select(*names, "is_new").unionByName(window.where("maybe").select(*names, F.lit(False).alias("is_new"))), "arrivals")
+        last = _nth(tried.where("is_new"), capacity)
+        if last is None and after + width < high:
+            width *= 2
+            continue
+        now = tried if last is None else tried.where(F.col("ord") <= last)
         done.append(now.select(*names, "is_new", F.when(F.col("is_new"), j).alias("filter")))
-        after = tried.where(F.col("ord") > last["at"]) if last else tried.limit(0)
-        if after.isEmpty():
-            return reduce(DataFrame.unionByName, done)
-        judged = settled(page_membership(after.select(*names), filter_pages(now, bits, hashes), bits, hashes))
-        done.append(judged.where("maybe").select(*names, F.lit(False).alias("is_new"), F.lit(None).cast("int").alias("filter")))
-        rest, j = judged.where("not maybe").select(*names), j + 1
-        if rest.isEmpty():
-            return reduce(DataFrame.unionByName, done)
+        if last is None:
+            break
+        filters.append(Filter(bits, hashes, settled(filter_pages(now.where("is_new"), bits, hashes))))
+        after, j, width = last, j + 1, 2 * capacity * growth
+    return reduce(DataFrame.unionByName, done) if done else items.select(*names, F.lit(None).cast("boolean").alias("is_new"), F.lit(None).cast("int").alias("filter"))
+
+
+#: Arrivals that are counted together to find the one of a number.
+SPAN = 1 << 14
+
+
+def _nth(rows: DataFrame, n: int) -> int | None:
+    """The n-th smallest ``ord``, which no two rows share; None of fewer rows. Spans of ord are counted, then one of them is sorted."""
+    spans = sorted(tuple(r) for r in rows.groupBy(F.floor(F.col("ord") / SPAN).alias("span")).count().collect())
+    for span, count in spans:
+        if n <= count:
+            inside = rows.where(F.floor(F.col("ord") / SPAN) == span).select("ord").collect()  # SPAN at most
+            return sorted(r.ord for r in inside)[n - 1]
+        n -= count
+    return None

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +101,38 @@ def test_growing_filter_adds_what_is_new(spark, n, p, count):
     assert [(r.is_new, r.filter) for r in got.orderBy("ord").collect()] == want
 
 
+def test_growing_filter_reads_an_arrival_in_few_rounds(spark, monkeypatch):
+    read, real = [], bloom.add_if_new
+    monkeypatch.setattr(bloom, "add_if_new", lambda items, *a: read.append(items.count()) or real(items, *a))
+    got = bloom.scalable_add_if_new(items_of(spark, [f"n{i}" for i in range(400)]), 10, 0.05)
+    assert got.count() == 400 and len(read) == 6
+    assert sum(read) <= 2 * 400
+
+
+@pytest.mark.parametrize("most", [bloom.PAGE_BITS, 0])
+def test_in_any_of_several_filters(spark, most):
+    names, sizes = [f"n{i}" for i in range(60)] + [None], [(300, 3), (5000, 5)]
+    held = [[f"n{i}" for i in range(0, 20, 2)], [f"n{i}" for i in range(1, 20, 2)]]
+    filters = [bloom.Filter(m, k, bloom.filter_pages(frame(spark, h), m, k)) for h, (m, k) in zip(held, sizes)]
+    sets = [set().union(*(bits_of(x, m, k) for x in h)) for h, (m, k) in zip(held, sizes)]
+    want = {x: x is not None and any(bits_of(x, m, k) <= s for s, (m, k) in zip(sets, sizes)) for x in names}
+    assert {r.item: r.maybe for r in bloom.in_any(frame(spark, names), filters, most).collect()} == want
+
+
+def test_digests_fold_alike_in_numpy(spark):
+    for bits in (40, 2**31 - 1, 2**33, bloom.MOST_BITS):
+        x = hashlib.sha1(b"x").digest()
+        assert bloom._folded(pd.Series([x, x]), bits).tolist() == [int.from_bytes(x, "big") % bits] * 2
+
+
+def test_membership_in_a_growing_filter_joins_no_probes(spark):
+    names = [f"n{i}" for i in range(100)]
+    got = bloom.scalable_membership(frame(spark, [*names, "a", "a", None]), items_of(spark, names).withColumn("ord", F.col("ord") + 1), 10, 0.01)
+    assert "Join" not in got._jdf.queryExecution().toString()
+    held = {r.item: r.maybe for r in got.collect()}
+    assert len(held) == got.count() == 102 and all(held[x] for x in names) and not held[None]
+
+
 def test_dedup_statistics(spark):
     row = bloom.dedup_stats(items_of(spark, ["a", "b", "a", "c", "b"]), 100, 0.01).first()
     assert (row.offered, row.refused, row.elements_added, row.size_bits, row.hash_count) == (5, 2, 3, 959, 7)
