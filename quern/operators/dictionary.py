@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sources.tables import small
+
 # The two keyword lists.
 DISEASE_KEYWORDS = (
     "disease", "pest", "symptom", "treatment", "infection", "control", "prevention", "management", "spray", "application", "damage", "canker", "greening", "hlb", "tristeza", "scab",
@@ -54,10 +56,15 @@ def phrase_matches(text: Column, keywords: tuple[str, ...]) -> Column:
 
 
 def prefix_matches_joined(docs: DataFrame, keywords: DataFrame) -> DataFrame:
-    """doc, category, keyword for dictionaries that are too large for a literal: an equi-join on each word's prefixes."""
-    words = docs.select("doc", F.explode(cleaned_words(F.col("content"))).alias("word"))
-    prefixes = words.select("doc", F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda n: F.substring(F.col("word"), F.lit(1), n))).alias("keyword")).distinct()
-    return prefixes.join(keywords.select("category", F.lower("keyword").alias("keyword")).distinct(), "keyword").select("doc", "category", "keyword")
+    """doc, category, keyword for dictionaries that are too large for a literal: an equi-join on each word's prefixes.
+
+    Prefixes are made of the lengths that keywords have, and meet the keywords where the words are if these are few enough for a broadcast; only then are rows made distinct.
+    """
+    wanted = keywords.select("category", F.lower("keyword").alias("keyword")).distinct()
+    lengths = F.broadcast(wanted.agg(F.collect_set(F.length("keyword")).alias("lengths")))  # one row
+    words = docs.select("doc", F.explode(cleaned_words(F.col("content"))).alias("word")).join(lengths, F.lit(True))
+    prefixes = words.select("doc", F.explode(F.transform(F.filter("lengths", lambda n: (n > 0) & (n <= F.length("word"))), lambda n: F.substring(F.col("word"), F.lit(1), n))).alias("keyword"))
+    return prefixes.join(small(wanted), "keyword").select("doc", "category", "keyword").distinct()
 
 
 def keyword_overlap(query: Column, content: Column, keywords: tuple[str, ...]) -> Column:

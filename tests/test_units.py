@@ -226,6 +226,15 @@ def test_prefix_phrase_and_join_forms(spark):
     assert {tuple(r) for r in joined.collect()} == {(1, "a", "rot"), (1, "a", "state"), (1, "b", "root")}
 
 
+def test_prefixes_meet_the_keywords_before_they_are_shuffled(spark):
+    df = spark.createDataFrame([(1, "rotation rotor rots"), (2, None), (3, "state 1")], "doc long, content string")
+    joined = dictionary.prefix_matches_joined(df, dictionary.keyword_table(spark, {"a": ("rot", "stat"), "b": ("rotor", "1")}))
+    top = joined._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+    assert top.startswith("Aggregate [doc")  # made distinct last, so of matches alone
+    assert sorted(tuple(r) for r in joined.collect()) == [(1, "a", "rot"), (1, "b", "rotor"), (3, "a", "stat"), (3, "b", "1")]
+    assert dictionary.prefix_matches_joined(df, dictionary.keyword_table(spark).limit(0)).count() == 0
+
+
 # --- graph ---
 
 
