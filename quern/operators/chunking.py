@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,12 +71,12 @@ def _gather(parts: list[str], size: int, overlap: int) -> list[str]:
 
 
 def recursive_chunks(text: Column, size: int | None = None, overlap: int | None = None, separators: tuple[str, ...] = SEPARATORS) -> Column:
-    """Array of chunks by :func:`split_recursively`, in Arrow batches."""
+    """Array of chunks by :func:`split_recursively`, some rows at a time: an Arrow batch of whole texts and their chunks would be 10,000 rows however long."""
     size, overlap = _sizes(size, overlap)
 
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_recursively(t, size, overlap, separators) if t else [])
+    @F.udf("array<string>", useArrow=False)
+    def split(text: str | None) -> list[str]:
+        return split_recursively(text, size, overlap, separators) if text else []
 
     return split(text)
 
