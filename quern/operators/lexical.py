@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import tokens
 from quern.settings import DEFAULTS, positive
-from quern.sources.tables import settled, small
+from quern.sources.tables import small, tasks_for, written
 
 K1, B = 1.5, 0.75
 #: English words that TF-IDF leaves out by default; a parameter everywhere.
@@ -70,18 +70,20 @@ def bm25_corpus(docs: DataFrame, queries: DataFrame, k: int | None = None, k1: f
 
     The corpus is tokenised once: words that no query has are dropped before the shuffle (a broadcast join where the queries' words are few enough), and
     every document keeps one row without a word, for the number of documents and their mean length. These postings are written down, since document
-    frequencies, sizes and scores all read them.
+    frequencies, sizes and scores all read them, and dealt out by document, so that a document's scores are summed where its postings are: none of the pairs of query and document is shuffled but the best.
     """
     k = int(positive("k", k, DEFAULTS.top_k))
     asked = query_terms(queries)
     wanted = small(asked.select("term").union(queries.sparkSession.createDataFrame([("",)], "term string")).distinct())
     words = docs.select("doc", tokens(F.col("content")).alias("words"))
     each = words.select("doc", F.size("words").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "words")).alias("term")).join(wanted, "term", "left_semi")
-    held = settled(each.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")))
+    held = written(each.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")), "postings")
     total = held.where("term = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     df = held.where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    asking = F.broadcast(asked.agg(F.count_distinct("query_id").alias("queries")))
+    tasks = tasks_for(held.where("term = ''").join(asking, F.lit(True)), F.count(F.lit(1)) * F.max("queries"))
     scored = (
-        held.where("term <> ''").join(df, "term").join(small(asked), "term").join(F.broadcast(total), F.lit(True))  # one row
+        held.where("term <> ''").repartition(tasks, "doc").join(small(df), "term").join(small(asked), "term").join(F.broadcast(total), F.lit(True))  # one row
         .groupBy("query_id", "doc")
         .agg(F.round(F.sum(F.col("qtf") * idf(F.col("n"), F.col("df")) * bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)), digits).alias("score"))
     )

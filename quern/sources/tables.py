@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only after it is known to have no more rows than this.
@@ -64,6 +64,16 @@ def written(df: DataFrame, name: str = "rows") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a task aggregates, on average, where :func:`tasks_for` says how many tasks there are.
+ROWS_A_TASK = 1_000_000
+
+
+def tasks_for(rows: DataFrame, count: Column) -> int:
+    """So many that each gets ROWS_A_TASK of ``count``, an aggregate of ``rows`` that foresees what is to come, and no fewer than any other shuffle has."""
+    wanted = -(-int(rows.agg(F.coalesce(count, F.lit(0))).first()[0]) // ROWS_A_TASK)
+    return max(wanted, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def read_pages(spark: SparkSession, path: str, split: Callable[[bytes], list[str]]) -> DataFrame:
     """One row a page of every file under ``path``; ``split`` turns a file's bytes into the texts of its pages.
 
