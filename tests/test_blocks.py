@@ -1,10 +1,12 @@
 """BM25 by blocks against scoring everything."""
 
 import random
+import re
 
 import pytest
 
 from quern.operators import blocks, lexical
+from quern.sources import tables
 
 DOCS, ASKED = "doc long, content string", "query_id long, question string"
 
@@ -37,3 +39,21 @@ def test_no_documents_or_queries(spark):
     d, q = spark.createDataFrame([], DOCS), spark.createDataFrame([(1, "a")], ASKED)
     assert blocks.bm25_blocks(blocks.block_index(d), q).count() == 0
     assert blocks.bm25_blocks(blocks.block_index(spark.createDataFrame([(1, "a")], DOCS)), q.limit(0)).count() == 0
+
+
+def test_pairs_of_query_and_document_are_summed_without_a_shuffle(spark):
+    d, q = spark.createDataFrame([(i, f"w{i % 5} w{i % 7}") for i in range(60)], DOCS), spark.createDataFrame([(i, f"w{i}") for i in range(7)], ASKED)
+    plan = lambda f: f._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id#" in plan(lexical.bm25_corpus(d, q, 3))  # the k best of each query
+    assert not re.search(r"hashpartitioning\(query_id#\d+L, (doc|range)#", plan(lexical.bm25_corpus(d, q, 3)))
+
+
+def test_bounds_are_summed_where_their_blocks_are(spark, monkeypatch):
+    frame = type(spark.range(0))
+    dealt, real = [], frame.repartition
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 5)
+    monkeypatch.setattr(frame, "repartition", lambda self, *a: dealt.append(a) or real(self, *a))
+    d, q = spark.createDataFrame([(i, f"w{i % 5} w{i % 7}") for i in range(200)], DOCS), spark.createDataFrame([(i, f"w{i}") for i in range(7)], ASKED)
+    assert blocks.plan(blocks.block_index(d), q, 2)[1].count() > 0
+    by_range = [a[0] for a in dealt if a[1:] == ("range",)]
+    assert by_range and by_range[0] >= 45 * 7 // 5 > 40  # more tasks as there are more ranges and queries
