@@ -16,7 +16,7 @@ from quern.plans.answer import answer
 from quern.plans.stage_log import StageLog
 from quern.settings import DEFAULTS, Settings
 from quern.sources.store import BucketedStore, collection_stats, upserted
-from quern.sources.tables import checkpoint_folder, settled, table
+from quern.sources.tables import ROWS_A_TASK, checkpoint_folder, settled, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -769,7 +769,7 @@ def stream_event_windows(spark, sf):
 @query
 def stream_response_cache(spark, sf):
     """The requests of ttl_cache_hits as a stream of several batches, each row up to 6 hours late and so out of order; hits and misses a user."""
-    from quern.streaming.requests import arriving_in_parts, drain, response_cache, rocksdb_state
+    from quern.streaming.requests import BUCKETS, arriving_in_parts, drain, response_cache, rocksdb_state
 
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     late = F.pmod(F.xxhash64("event_id"), F.lit(6 * 3600)) * 1_000_000
@@ -777,14 +777,16 @@ def stream_response_cache(spark, sf):
     # A last request of nobody moves the watermark past all others.
     close = rows.agg(F.max("ts").alias("ts")).select(F.lit(None).cast(rows.schema["key"].dataType).alias("key"), (F.col("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"))
     folder = stream_folder(spark)
-    with rocksdb_state(spark):
-        found = drain(response_cache(arriving_in_parts(rows, f"{folder}/in", "arrival", STREAM_PARTS, close), TTL, "12 hours"), folder)
+    n = rows.count()
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n // ROWS_A_TASK))
+    with rocksdb_state(spark, tasks):
+        found = drain(response_cache(arriving_in_parts(rows, f"{folder}/in", "arrival", STREAM_PARTS, close), TTL, "12 hours", max(BUCKETS, n // ROWS_A_BUCKET)), folder)
     found = found.where("key is not null")
     return found.groupBy("key").agg(F.sum(F.col("hit").cast("long")).alias("hits"), F.sum((~F.col("hit")).cast("long")).alias("misses"))
 
 
-#: Batches that the request stream comes in.
-STREAM_PARTS = 4
+#: Batches that the request stream comes in, and requests of a group of its keys.
+STREAM_PARTS, ROWS_A_BUCKET = 4, 5000
 
 
 def stream_folder(spark):

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
 import contextlib
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -55,89 +56,116 @@ def ttl_cache(stream: DataFrame, seconds: int = DEFAULTS.response_ttl_seconds, d
     return keyed.groupBy("key").applyInPandasWithState(walk, "key string, ts timestamp, hit boolean", "until long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-class _Entry(StatefulProcessor):
-    """One key: requests that wait for the watermark, and when its entry ends (microseconds)."""
+class _Entries(StatefulProcessor):
+    """Some keys: the requests of each that wait for the watermark and when its entry ends (microseconds), and what their timer is set to (milliseconds), in one value, which is read and written once a batch."""
 
-    def __init__(self, seconds: int):
-        self.life = seconds * 1_000_000
+    def __init__(self, seconds: int, kind: str):
+        self.life, self.kind = seconds * 1_000_000, kind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.until = handle.getValueState("until", "at long")
-        self.waiting = handle.getListState("waiting", "at long")
-
-    def _settle(self, key: tuple, fresh: list[int], mark: int) -> Iterator[pd.DataFrame]:
-        """Judge, in order of time, what no request can come before any more; keep the rest, and wake when it or the entry is due."""
-        ats = sorted([*(r[0] for r in self.waiting.get()), *fresh])
-        until = self.until.get()[0] if self.until.exists() else None
-        due = [at for at in ats if at // 1000 <= mark]
-        left = ats[len(due) :]
-        hits = []
-        for at in due:
-            hits.append(until is not None and at < until)
-            if not hits[-1]:
-                until = at + self.life
-        if until is not None and until // 1000 <= mark and not (left and left[0] < until):
-            until = None  # nothing that may still come can hit it
-        if until is None:
-            self.until.clear()
-        else:
-            self.until.update((until,))
-        if left:
-            self.waiting.put([(at,) for at in left])
+        self.entries = handle.getValueState("entries", f"keys array<{self.kind}>, until array<long>, waiting array<array<long>>, wake long")
+
+    def _settle(self, fresh: dict, mark: int, rung: int | None = None) -> Iterator[Row]:
+        """Judge, in order of time, what no request can come before any more; keep the rest, and wake when it or an entry is due. Spark deletes the timer that has rung."""
+        *held, timer = self.entries.get() or ([], [], [], None)
+        keys = {key: (until, waiting) for key, until, waiting in zip(*held)}
+        left_keys, dues = [], []
+        for key in {**keys, **fresh}:
+            until, waiting = keys.get(key, (None, []))
+            ats = sorted([*waiting, *fresh.get(key, [])])
+            n = bisect.bisect_left(ats, (mark + 1) * 1000)
+            for at in ats[:n]:
+                hit = until is not None and at < until
+                yield Row(key=key, at=at, hit=hit)
+                if not hit:
+                    until = at + self.life
+            left = ats[n:]
+            if until is not None and until // 1000 <= mark and not (left and left[0] < until):
+                until = None  # nothing that may still come can hit it
+            if left or until is not None:
+                left_keys.append((key, until, left))
+                dues += [*(at // 1000 for at in left[:1]), *([until // 1000] if until is not None else [])]
+        wake = max(min(dues), mark + 1) if dues else None
+        if wake != timer:
+            if timer is not None and timer != rung:
+                self.handle.deleteTimer(timer)
+            if wake is not None:
+                self.handle.registerTimer(wake)
+        if wake is None:
+            self.entries.clear()
         else:
-            self.waiting.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        wake = [*(at // 1000 for at in left[:1]), *([until // 1000] if until is not None else [])]
-        if wake:
-            self.handle.registerTimer(max(min(wake), mark + 1))
-        if due:
-            yield pd.DataFrame({"key": key[0], "ts": pd.to_datetime(due, unit="us"), "hit": hits})
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        fresh = [at for batch in rows for at in batch["at"].tolist()]
-        yield from self._settle(key, fresh, timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield from self._settle(key, [], timerValues.getCurrentWatermarkInMs())
+            self.entries.update((*map(list, zip(*left_keys)), wake))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        fresh: dict = {}
+        for r in rows:
+            fresh.setdefault(r.key, []).append(r.at)
+        yield from self._settle(fresh, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        yield from self._settle({}, timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
 
     def close(self) -> None:
         pass
 
 
-def response_cache(stream: DataFrame, seconds: int = DEFAULTS.response_ttl_seconds, delay: str = "30 minutes") -> DataFrame:
+#: Groups that keys are dealt out to by hash, unless told otherwise.
+BUCKETS = 1024
+
+
+def response_cache(stream: DataFrame, seconds: int = DEFAULTS.response_ttl_seconds, delay: str = "30 minutes", buckets: int = BUCKETS) -> DataFrame:
     """key, ts, hit for each request (key, ts), judged in order of ts however the requests come: as :func:`quern.operators.caches.ttl_hits`, for a stream.
 
-    A request waits in its key's state until the watermark has passed it, so that those out of order by up to ``delay`` take their place; later ones are dropped. A timer a key wakes it for
+    A request waits in its key's state until the watermark has passed it, so that those out of order by up to ``delay`` take their place; later ones are dropped. A timer wakes it for
     what waits and when its entry ends; then nothing of the key is kept. State is thus the requests of the last ``delay``, and an expiry for each key of the last ``seconds``. Needs :func:`rocksdb_state` while the stream starts.
+
+    A group's calls to the state store take milliseconds, so keys share states and timers, in ``buckets`` groups by their hash; they should grow with the keys.
     """
-    keyed = stream.select("key", "ts", F.unix_micros("ts").alias("at")).withWatermark("ts", delay)
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")
+    keyed = stream.select(bucket, "key", "ts", F.unix_micros("ts").alias("at")).withWatermark("ts", delay)
     kind = stream.schema["key"].dataType.simpleString()
-    return keyed.groupBy("key").transformWithStateInPandas(_Entry(seconds), f"key {kind}, ts timestamp, hit boolean", "append", "EventTime")
+    judged = keyed.groupBy("bucket").transformWithState(_Entries(seconds, kind), f"key {kind}, at long, hit boolean", "append", "EventTime")
+    return judged.select("key", F.timestamp_micros("at").alias("ts"), "hit")
 
 
 @contextlib.contextmanager
-def rocksdb_state(spark: SparkSession) -> Iterator[None]:
-    """Streams that start in here keep their state in RocksDB."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, ROCKSDB)
+def rocksdb_state(spark: SparkSession, tasks: int | None = None) -> Iterator[None]:
+    """Streams that start in here keep their state in RocksDB, dealt out to ``tasks`` (or the session's number): each of them starts a Python of its own in every batch."""
+    asked = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB} | ({"spark.sql.shuffle.partitions": str(tasks)} if tasks else {})
+    before = {name: spark.conf.get(name, None) for name in asked}
+    for name, value in asked.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
 
+#: Rows of a file that a stream reads, on average of the fullest part.
+ROWS_A_FILE = 250_000
 
-def arriving_in_parts(rows: DataFrame, folder: str, order: str, parts: int, close: DataFrame | None = None) -> DataFrame:
-    """``rows`` written to ``folder`` in so many files one after the other, by equal ranges of the number ``order``, then ``close``; and the stream that takes a file a batch."""
+
+def arriving_in_parts(rows: DataFrame, folder: str, order: str, parts: int, close: DataFrame | None = None, rows_a_file: int = ROWS_A_FILE) -> DataFrame:
+    """``rows`` written to ``folder`` in so many parts one after the other, by equal ranges of the number ``order``, then ``close``; and the stream that takes a part a batch.
+
+    Every part has the same number of files, so that a batch is so many: as many as the fullest part has ``rows_a_file``. A part with fewer rows than files is filled up with empty ones.
+    """
+    spark = rows.sparkSession
     low, high = rows.agg(F.min(order), F.max(order)).first()
     part = F.least(F.floor((F.col(order) - F.lit(low)) * parts / F.lit(max((high or 0) - (low or 0), 1))), F.lit(parts - 1))
+    fullest = 0 if low is None else rows.groupBy(part.alias("part")).count().agg(F.max("count")).first()[0]
+    files = max(1, -(-fullest // rows_a_file))
+    schema = rows.drop(order).schema
     for n in range(parts if low is not None else 0):
-        rows.where(part == n).drop(order).coalesce(1).write.mode("append").parquet(folder)
+        own = rows.where(part == n).drop(order)
+        (own.coalesce(1) if files == 1 else own.repartition(files)).write.mode("append").option("maxRecordsPerFile", 0).parquet(folder)
+        for _ in range((n + 1) * files - len(spark.read.schema(schema).parquet(folder).inputFiles())):
+            spark.createDataFrame([], schema).coalesce(1).write.mode("append").parquet(folder)
     if close is not None:
         close.coalesce(1).write.mode("append").parquet(folder)
-    return rows.sparkSession.readStream.schema(rows.drop(order).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def windowed_counts(stream: DataFrame, width: str = "1 hour", delay: str = "30 minutes") -> DataFrame:
