@@ -98,22 +98,30 @@ def tfidf_terms(content: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Co
     return F.concat(words, F.coalesce(pairs, F.array().cast("array<string>")))
 
 
+#: Characters of a text for each of its terms, to foresee how many there will be.
+CHARS_A_TERM = 4
+
+
 def tfidf_candidates(candidates: DataFrame, queries: DataFrame, k: int | None = None, stop_words: tuple[str, ...] = STOP_WORDS, max_features: int = MAX_FEATURES, digits: int = 6) -> DataFrame:
-    """query_id, doc, score, rank: cosine of L2-normalised TF-IDF vectors fitted to the query's own candidates (query_id, doc, ord, content)."""
+    """query_id, doc, score, rank: cosine of L2-normalised TF-IDF vectors fitted to the query's own candidates (query_id, doc, ord, content).
+
+    Texts are shuffled once, to their query, and terms not at all: everything is counted where a query's candidates and its own text are.
+    """
     k = int(positive("k", k, DEFAULTS.top_k))
-    tf = candidates.select("query_id", "doc", F.explode(tfidf_terms(F.col("content"), stop_words)).alias("term")).groupBy("query_id", "doc", "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = candidates.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    vocabulary = tf.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-    often = Window.partitionBy("query_id").orderBy(F.desc("total"), "term")
-    vocabulary = vocabulary.withColumn("at", F.row_number().over(often)).where(F.col("at") <= max_features).join(n, "query_id")
-    vocabulary = vocabulary.select("query_id", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighed = tf.join(vocabulary, ["query_id", "term"]).select("query_id", "doc", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    asked = queries.select("query_id", F.explode(tfidf_terms(F.col("question"), stop_words)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    asked = asked.join(vocabulary, ["query_id", "term"]).select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("qw"))
-    q_norm = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_norm"))
-    d_norm = weighed.groupBy("query_id", "doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("d_norm"))
-    dots = weighed.join(asked, ["query_id", "term"]).groupBy("query_id", "doc").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    scored = dots.join(d_norm, ["query_id", "doc"]).join(q_norm, "query_id").select("query_id", "doc", (F.col("dot") / (F.col("d_norm") * F.col("q_norm"))).alias("score"))
+    tasks = tasks_for(candidates, F.sum(F.length("content")) / CHARS_A_TERM)
+    own = queries.select("query_id", F.lit(True).alias("asked"), F.lit(None).cast(candidates.schema["doc"].dataType).alias("doc"), F.col("question").alias("content"))
+    texts = candidates.select("query_id", F.lit(False).alias("asked"), "doc", "content").unionByName(own).repartition(tasks, "query_id")
+    every, held = Window.partitionBy("query_id"), F.when(~F.col("asked"), F.lit(1))
+    terms = texts.withColumn("n", F.count(held).over(every)).select("query_id", "asked", "doc", "n", F.explode(tfidf_terms(F.col("content"), stop_words)).alias("term"))
+    tf = terms.groupBy("query_id", "asked", "doc", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
+    each = Window.partitionBy("query_id", "term")
+    tf = tf.withColumns({"df": F.count(held).over(each), "total": F.sum(held * F.col("tf")).over(each), "qtf": F.max(F.when(F.col("asked"), F.col("tf"))).over(each)}).where("df > 0")
+    tf = tf.withColumn("at", F.dense_rank().over(every.orderBy(F.desc("total"), "term"))).where(F.col("at") <= max_features)
+    idf_ = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
+    weighed = tf.select("query_id", "asked", "doc", (F.col("tf") * idf_).alias("w"), (F.col("qtf") * idf_).alias("qw"))
+    sums = weighed.groupBy("query_id", "asked", "doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    sums = sums.withColumn("q_norm", F.max(F.when(F.col("asked"), F.col("norm"))).over(every)).where(~F.col("asked"))
+    scored = sums.select("query_id", "doc", (F.col("dot") / (F.col("norm") * F.col("q_norm"))).alias("score"))
     every = candidates.select("query_id", "doc", "ord").join(scored, ["query_id", "doc"], "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), digits))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "ord")
     return every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "doc", "score", "rank")

@@ -1,11 +1,12 @@
 """Corpus-wide TF-IDF: what a fit counts, and a search that shuffles its best alone."""
 
+import math
 import random
 from collections import Counter
 
 import pyarrow as pa
 
-from quern.operators import tfidf_pipeline
+from quern.operators import lexical, tfidf_pipeline
 from quern.operators.tfidf_pipeline import _frequent, _task_best
 
 
@@ -57,3 +58,30 @@ def test_task_best_over_many_batches():
         scores = sorted((-sum(w * x.get(t, 0) for t, w in weights.items()), d) for d, x in rows)
         want += [(q, d, -s) for s, d in scores[:3]]
     assert got == sorted(want)
+
+
+def test_candidates_are_scored_where_their_query_is(spark):
+    rng = random.Random(5)
+    held = texts(40, 25, 6) + ["", None]
+    pairs = [(q, d, i) for q in range(6) for i, d in enumerate(rng.sample(range(len(held)), 20))] + [(9, 0, 0), (9, 1, 1)]
+    found = spark.createDataFrame([(q, d, i, held[d]) for q, d, i in pairs], "query_id long, doc long, ord int, content string")
+    asks = {**{q: held[q * 3] for q in range(5)}, 5: None, 7: "w1 w2"}  # 9 asks nothing, 7 has no candidates
+    asked = spark.createDataFrame(list(asks.items()), "query_id long, question string")
+    out = lexical.tfidf_candidates(found, asked, 8, max_features=30)
+    want = []
+    for query in (*range(6), 9):
+        own = [(i, d, (held[d] or "").split()) for q, d, i in pairs if q == query]
+        top = counted([words for _, _, words in own])[:30]
+        idf = {t: math.log((1 + len(own)) / (1 + df)) + 1 for t, _, df in top}
+        vector = lambda words: {t: n * idf[t] for t, n, _ in counted([words]) if t in idf}  # noqa: B023, E731
+        size = lambda v: math.sqrt(sum(w * w for w in v.values()))
+        q = vector((asks.get(query) or "").split())
+        scores = []
+        for i, d, words in own:
+            v = vector(words)
+            dot = sum(w * q.get(t, 0.0) for t, w in v.items())
+            scores.append((-round(dot / (size(v) * size(q)), 6) if dot else 0.0, i, d))
+        want += [(query, d, -s + 0.0, rank) for rank, (s, i, d) in enumerate(sorted(scores)[:8], 1)]
+    assert sorted((r.query_id, r.doc, round(r.score, 6), r["rank"]) for r in out.collect()) == sorted(want)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "term#" in line]
